@@ -31,12 +31,13 @@ def with_as_of(summary: DataFrame, as_of=None) -> DataFrame:
     raise TypeError("as_of must be None, a date, an ISO string or a Column")
 
 
-def customer_summary(tx: DataFrame, as_of=None) -> DataFrame:
+def customer_summary(tx: DataFrame, as_of=None, recency: bool = True) -> DataFrame:
     """B1: one row per customer.
 
     ``customer_id, first_purchase, last_purchase, as_of, days_inactive,
     total_orders, unique_products, lifetime_value, line_count``.
-    ``lifetime_value`` is the exact decimal sum (unrounded; revenue has
+    ``recency=False`` leaves out ``as_of``/``days_inactive`` (no reference
+    date needed).  ``lifetime_value`` is the exact decimal sum (unrounded; revenue has
     scale 2 so it is already a cent value).  Aggregates a caller does not
     select are pruned by Catalyst, so one definition serves every operator.
     """
@@ -47,6 +48,8 @@ def customer_summary(tx: DataFrame, as_of=None) -> DataFrame:
                 F.count_distinct("stockcode").alias("unique_products"),
                 F.sum("revenue").alias("lifetime_value"),
                 F.count(F.lit(1)).alias("line_count")))
+    if not recency:
+        return s
     s = with_as_of(s, as_of)
     return s.withColumn("days_inactive", F.datediff("as_of", "last_purchase"))
 

@@ -7,16 +7,28 @@ boundary types (:func:`tillroll.functions.numeric.to_contract`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import to_contract
-from tillroll.operators import churn
-from tillroll.sources.adapter import load_tx
+from tillroll.operators import churn, clean, revenue, rfm, stats, winback, windows
+from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources.adapter import load_tx, raw_lines_from_tables
+from tillroll.sources.raw import normalize_columns, union_sources
+from tillroll.sources.sink import write_and_reconcile
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Header names of the yearly extracts, as they appear in the source sheets.
+EXTRACT_HEADERS = {"invoice": "Invoice", "stockcode": "StockCode",
+                   "description": "Description", "quantity": "Quantity",
+                   "invoicedate": "InvoiceDate", "price": "Price",
+                   "customer_id": "Customer ID", "country": "Country"}
+EXTRACT_SPLIT = "1996-01-01"
+
 
 def _on_tx(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +37,68 @@ def _on_tx(fn) -> Query:
     return run
 
 
+def _raw_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O01 + O02: two extracts (split at a date) with sheet-style headers,
+    normalised and stacked again."""
+    raw = raw_lines_from_tables(spark, sf_dir)
+    early = F.coalesce(F.col("invoicedate") < F.lit(EXTRACT_SPLIT).cast("timestamp_ntz"),
+                       F.lit(False))
+    sheets = [raw.filter(cond).select([F.col(c).alias(h) for c, h in EXTRACT_HEADERS.items()])
+              for cond in (early, ~early)]
+    return to_contract(union_sources(*[normalize_columns(s) for s in sheets]))
+
+
+def _cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_contract(clean.cleaning_audit(raw_lines_from_tables(spark, sf_dir)))
+
+
+def _write_and_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/transactions-{uuid.uuid4().hex}"
+    return write_and_reconcile(load_tx(spark, sf_dir), path)
+
+
 QUERIES: dict[str, Query] = {
+    # ingest
+    "raw_union": _raw_union,
+    "cleaning_audit": _cleaning_audit,
+    "transactions": _on_tx(lambda tx: tx),
+    "write_and_reconcile": _write_and_reconcile,
+    # RFM
+    "rfm_segments": _on_tx(rfm.rfm_segments),
+    "rfm_segment_summary": _on_tx(lambda tx: rfm.rfm_segment_summary(
+        rfm.rfm_segments(tx, sort=False))),
+    "rfm_segment_rollup": _on_tx(lambda tx: rfm.rfm_segment_rollup(
+        rfm.rfm_segments(tx, sort=False))),
+    # revenue
+    "monthly_revenue_growth": _on_tx(revenue.monthly_revenue_growth),
+    "top_customers": _on_tx(revenue.top_customers),
+    "top_products": _on_tx(revenue.top_products),
+    "country_revenue": _on_tx(revenue.country_revenue),
+    "cumulative_revenue": _on_tx(revenue.cumulative_revenue),
+    # churn and retention
     "churn_flags": _on_tx(churn.churn_flags),
+    "churn_summary": _on_tx(lambda tx: churn.churn_summary(churn.churn_flags(tx, sort=False))),
+    "churn_share": _on_tx(lambda tx: churn.churn_share(
+        churn.churn_summary(churn.churn_flags(tx, sort=False), sort=False))),
+    "purchase_frequency": _on_tx(churn.purchase_frequency),
+    "cohort_retention": _on_tx(churn.cohort_retention),
+    "cohort_matrix": _on_tx(churn.cohort_matrix),
+    "purchase_cadence": _on_tx(churn.purchase_cadence),
+    # win-back
+    "winback_candidates": _on_tx(winback.winback_candidates),
+    "winback_priority": _on_tx(winback.winback_priority),
+    "recovery_potential": _on_tx(winback.recovery_potential),
+    "recovery_long": _on_tx(lambda tx: winback.recovery_long(winback.recovery_potential(tx))),
+    "top_products_at_risk": _on_tx(winback.top_products_at_risk),
+    # window reports
+    "customer_rank_in_country": _on_tx(windows.customer_rank_in_country),
+    "monthly_lead_lag": _on_tx(windows.monthly_lead_lag),
+    "moving_average": _on_tx(windows.moving_average),
+    "order_sequence": _on_tx(windows.order_sequence),
+    "ltv_percentile_tiers": _on_tx(windows.ltv_percentile_tiers),
+    "first_last_product": _on_tx(windows.first_last_product),
+    # chart statistics
+    "ltv_histogram": _on_tx(lambda tx: stats.histogram(windows.customer_ltv(tx))),
+    "ltv_quantile": _on_tx(lambda tx: stats.quantile(windows.customer_ltv(tx))),
 }
