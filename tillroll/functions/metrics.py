@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import pct
 
 
-def as_of_frame(df: DataFrame, col: str = "last_purchase") -> DataFrame:
-    """One-row frame ``as_of`` = latest purchase date.
+def as_of_frame(tx: DataFrame) -> DataFrame:
+    """One-row frame ``as_of`` = date of the latest line.
 
-    Built on the customer summary so the scan and shuffle of the customer
-    aggregate are reused (the max over customers equals the max over lines).
+    A partial ``max`` per task over the one pruned column, then a single
+    row: no shuffle of lines or customers.
     """
-    return df.agg(F.max(col).alias("as_of"))
+    return tx.agg(F.to_date(F.max("invoicedate")).alias("as_of"))
 
 
-def with_as_of(summary: DataFrame, as_of=None) -> DataFrame:
-    """Attach ``as_of`` (a date literal, or derived: 1-row broadcast)."""
+def with_as_of(df: DataFrame, as_of=None, tx: DataFrame | None = None) -> DataFrame:
+    """Attach ``as_of``: a date literal, a Column, or (None) derived from
+    ``tx`` as a one-row broadcast."""
     if as_of is None:
-        return summary.crossJoin(F.broadcast(as_of_frame(summary)))
+        if tx is None:
+            raise ValueError("as_of=None needs the transaction frame")
+        return df.crossJoin(F.broadcast(as_of_frame(tx)))
     if isinstance(as_of, (str, _dt.date)):
-        return summary.withColumn("as_of", F.lit(as_of).cast("date"))
+        return df.withColumn("as_of", F.lit(as_of).cast("date"))
     if isinstance(as_of, Column):
-        return summary.withColumn("as_of", as_of.cast("date"))
+        return df.withColumn("as_of", as_of.cast("date"))
     raise TypeError("as_of must be None, a date, an ISO string or a Column")
 
 
@@ -50,7 +53,7 @@ def customer_summary(tx: DataFrame, as_of=None, recency: bool = True) -> DataFra
                 F.count(F.lit(1)).alias("line_count")))
     if not recency:
         return s
-    s = with_as_of(s, as_of)
+    s = with_as_of(s, as_of, tx)
     return s.withColumn("days_inactive", F.datediff("as_of", "last_purchase"))
 
 

@@ -34,6 +34,7 @@ def _on_tx(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return to_contract(fn(load_tx(spark, sf_dir)))
     run.__name__ = getattr(fn, "__name__", "query")
+    run.on_tx = lambda tx: to_contract(fn(tx))  # same query over a stored table
     return run
 
 

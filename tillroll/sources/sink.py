@@ -13,8 +13,8 @@ def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
     The table is laid out by ``invoice_month`` so that date filters prune
     whole folders (the role the date index plays in a database).  Overwrite
     replaces the table in one job instead of drop-then-append.  The expected
-    count is taken by an accumulator-free ``observe`` on the write itself, so
-    the input is scanned once; the written count is read back from storage.
+    count is taken by ``observe`` on the write itself, so the input is
+    scanned once; the written count is read back from storage.
     """
     from pyspark.sql import Observation
 
@@ -22,7 +22,10 @@ def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
     out = tx.observe(obs, F.count(F.lit(1)).alias("rows"))
     w = out
     if partition_by_month:
-        w = w.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
+        # rebalance: AQE sizes the write tasks by data volume and splits a
+        # hot month over several tasks, so each task writes few, full files
+        w = (w.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
+              .hint("rebalance", "invoice_month"))
         w.write.mode(mode).partitionBy("invoice_month").parquet(path)
     else:
         w.write.mode(mode).parquet(path)
