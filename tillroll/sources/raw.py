@@ -30,7 +30,9 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     """UNION ALL of the extracts by column name; duplicates are kept."""
     if not frames:
         raise ValueError("union_sources needs at least one DataFrame")
-    out = frames[0]
+    # toDF: a plain (untyped) DataFrame, so the widened schema is not forced
+    # back into the first input's encoder
+    out = frames[0].toDF(*frames[0].columns)
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out

@@ -1,0 +1,3 @@
+from tillroll.streaming.ingest import start_ingest
+
+__all__ = ["start_ingest"]
