@@ -153,3 +153,14 @@ def test_empty_input(spark, tx):
     for fn in (churn.churn_flags, rfm.rfm_segments, windows.first_last_product,
                churn.purchase_cadence, churn.cohort_retention):
         assert fn(empty).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 0.95, 1.0])
+def test_quantile_matches_percentile(spark, q):
+    import random
+    rnd = random.Random(5)
+    df = spark.createDataFrame([(float(rnd.choice([1, 2, 2, 3, 7.5, 100])) + rnd.random(),)
+                                for _ in range(501)], "v double")
+    want = df.agg(F.percentile("v", F.lit(q)).alias("t")).first().t
+    for opts in ({}, {"single_task_rows": 0, "bucket_rows": 40}):
+        assert stats.quantile(df, "v", q, **opts).first().threshold == want

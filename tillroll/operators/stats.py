@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.plans.ranking import RankSpec, add_rankings
+
 
 def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> DataFrame:
     """``bin, lo, hi, customers`` for ``bins`` equal-width bins from the
@@ -38,11 +40,31 @@ def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> Dat
 
 
 def quantile(df: DataFrame, col: str = "lifetime_value", q: float = 0.9,
-             approx: bool = False, accuracy: int = 10000) -> DataFrame:
+             approx: bool = False, accuracy: int = 10000, **rank_opts) -> DataFrame:
     """One row ``threshold`` = the q-quantile with linear interpolation
-    (exact; ``approx=True`` uses ``percentile_approx`` for very large
-    inputs)."""
+    between the two values around position q·(n-1), as ``percentile`` does.
+
+    Exact and distributed: the values are numbered in order by the skew-safe
+    ranking (:func:`add_rankings`), the two rows at the floor and ceiling of
+    the position are kept, and a one-row aggregate interpolates.  (Spark's
+    ``percentile`` aggregate would merge a map of every distinct value in a
+    single task.)  ``approx=True`` uses ``percentile_approx`` instead.
+    """
     x = F.col(col).cast("double")
     if approx:
         return df.agg(F.percentile_approx(x, q, accuracy).alias("threshold"))
-    return df.agg(F.percentile(x, F.lit(q)).alias("threshold"))
+    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    ranked = add_rankings(vals, [RankSpec("_rn", "row_number", (("_x", True),))], **rank_opts)
+    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
+    lo_i, hi_i = F.floor(pos), F.ceil(pos)
+    picked = (ranked.crossJoin(F.broadcast(n))
+                    .filter((F.col("_rn") - 1 == lo_i) | (F.col("_rn") - 1 == hi_i))
+                    .select(F.col("_x"), (F.col("_rn") - 1 == lo_i).alias("_is_lo"),
+                            (F.col("_rn") - 1 == hi_i).alias("_is_hi"), pos.alias("_pos")))
+    lo_v = F.max(F.when(F.col("_is_lo"), F.col("_x")))
+    hi_v = F.max(F.when(F.col("_is_hi"), F.col("_x")))
+    p = F.max("_pos")
+    interp = ((F.ceil(p) - p) * lo_v + (p - F.floor(p)) * hi_v)
+    return picked.agg(F.when((F.floor(p) == F.ceil(p)) | (lo_v == hi_v), lo_v)
+                      .otherwise(interp).alias("threshold"))

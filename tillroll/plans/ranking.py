@@ -39,6 +39,10 @@ from tillroll.session import ensure_checkpoint_dir
 DEFAULT_SINGLE_TASK_ROWS = 2_000_000
 CONF_SINGLE_TASK_ROWS = "tillroll.ranking.singleTaskRows"
 OVERSAMPLE = 32
+# Upper bound on the number of range buckets: keeps the cut-point CASE tree
+# (2 x buckets literals, depth log2) and the broadcast carries small; above
+# it the buckets simply grow (a window sorts and spills within its task).
+MAX_BUCKETS = 4096
 KINDS = ("row_number", "rank", "dense_rank", "ntile")
 
 
@@ -205,7 +209,7 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
     O = F.struct(*[F.col(c) for c in on]) if on else F.lit(0)
 
     # cut points from a sample of the full key, collected once as literals
-    p = max(2, math.ceil(total / per_bucket))
+    p = min(MAX_BUCKETS, max(2, math.ceil(total / per_bucket)))
     frac = min(1.0, OVERSAMPLE * p / max(total, 1))
     sample = (keyed.select(*kn).sample(False, frac, seed=7)
                    .orderBy(*[F.col(c).asc() for c in kn]).collect())
