@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import pct
@@ -68,13 +68,21 @@ def monthly_revenue(tx: DataFrame, with_counts: bool = True) -> DataFrame:
               .agg(*aggs))
 
 
-def share_of_total(df: DataFrame, col: str, out: str, scale: int = 2) -> DataFrame:
-    """``out = round(100.0 * col / sum(col), scale)`` over the whole frame.
+def share_of_total(df: DataFrame, col: str, out: str, scale: int = 2,
+                   total: DataFrame | None = None) -> DataFrame:
+    """``out = round(100.0 * col / total, scale)``.
 
-    The grand total is a one-row aggregate joined by broadcast, so no
-    single-partition window is needed whatever the size of ``df``.
+    ``total=None``: the total is ``sum(col) over ()``, which gathers ``df`` in
+    one task; use it only where ``df`` is bounded by construction (countries,
+    segments, tiers, distinct order counts), where it also avoids computing
+    ``df`` twice.  Otherwise pass ``total``, a one-row frame (for instance
+    the grand total taken straight from the fact table), joined by
+    broadcast.
     """
-    total = df.agg(F.sum(col).alias("_total"))
-    return (df.crossJoin(F.broadcast(total))
+    if total is None:
+        t = F.sum(col).over(Window.partitionBy())
+        return df.withColumn(out, pct(F.col(col), t, scale))
+    t = total.select(total.columns[0]).toDF("_total")
+    return (df.crossJoin(F.broadcast(t))
               .withColumn(out, pct(F.col(col), F.col("_total"), scale))
               .drop("_total"))

@@ -50,17 +50,26 @@ def top_customers(tx: DataFrame, k: int = 10, with_dates: bool = True) -> DataFr
 
 
 def product_totals(tx: DataFrame) -> DataFrame:
-    """Per stock code: ``description`` (max of its spellings), units, revenue."""
-    return (tx.groupBy("stockcode")
+    """Per stock code: ``description`` (max of its spellings), units, revenue.
+
+    Two levels: the lines are first summed per (stock code, spelling), a
+    hash aggregate with partial combining; only those few rows reach the
+    ``max(description)`` level, whose string buffer needs a sort-based
+    aggregate."""
+    per_spelling = (tx.groupBy("stockcode", "description")
+                      .agg(F.sum("quantity").alias("_units"), F.sum("revenue").alias("_rev")))
+    return (per_spelling.groupBy("stockcode")
               .agg(F.max("description").alias("description"),
-                   F.sum("quantity").alias("total_units_sold"),
-                   F.sum("revenue").alias("total_revenue")))
+                   F.sum("_units").alias("total_units_sold"),
+                   F.sum("_rev").alias("total_revenue")))
 
 
 def top_products(tx: DataFrame, k: int = 10) -> DataFrame:
     """``revenue_rank, stockcode, description, total_units_sold,
     total_revenue, pct_of_total_revenue`` (share of *all* products)."""
-    p = share_of_total(product_totals(tx), "total_revenue", "pct_of_total_revenue", 2)
+    grand = tx.agg(F.sum("revenue"))  # = sum over products; no second product shuffle
+    p = share_of_total(product_totals(tx), "total_revenue", "pct_of_total_revenue", 2,
+                       total=grand)
     r = _rank_top(p, "total_revenue", k, "stockcode", "revenue_rank")
     return (r.select("revenue_rank", "stockcode", "description", "total_units_sold",
                      F.round("total_revenue", 2).alias("total_revenue"),

@@ -3,7 +3,7 @@ and an exact interpolated quantile (O33)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.plans.ranking import RankSpec, add_rankings
@@ -15,8 +15,11 @@ def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> Dat
 
     Double arithmetic as in numpy; when min = max the range is widened by
     0.5 on each side.  Min/max is a one-row aggregate joined by broadcast;
-    the per-bin count is a partially aggregated ``groupBy`` and the empty
-    bins come from a ``range`` of the (fixed) bin count."""
+    the per-bin count is a partially aggregated ``groupBy``; the bins come
+    from a ``range`` of the (fixed) bin count, and the edges are spread to
+    empty bins by a window over those ``bins`` rows.  ``df`` is read twice
+    (min/max, then counts): pass a materialised frame when it is costly.
+    """
     x = F.col(col).cast("double")
     mm = (df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
             .select(F.when(F.col("mn") == F.col("mx"), F.col("mn") - 0.5)
@@ -27,14 +30,18 @@ def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> Dat
     b = F.least(F.floor((x - F.col("_lo")) * F.lit(float(bins)) / width).cast("bigint"),
                 F.lit(bins - 1))
     counts = (df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(mm))
-                .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers")))
+                .groupBy(b.alias("bin"))
+                .agg(F.count(F.lit(1)).alias("customers"), F.max("_lo").alias("_lo"),
+                     F.max("_hi").alias("_hi")))
     spark = df.sparkSession
-    edges = spark.range(bins).withColumnRenamed("id", "bin").crossJoin(F.broadcast(mm))
-    return (edges.join(F.broadcast(counts), "bin", "left")
+    every = Window.partitionBy()  # over the `bins` rows only
+    lo, hi = F.max("_lo").over(every), F.max("_hi").over(every)
+    w = (hi - lo)
+    return (spark.range(bins).withColumnRenamed("id", "bin")
+                 .join(F.broadcast(counts), "bin", "left")
                  .select("bin",
-                         (F.col("_lo") + F.col("bin") * width / F.lit(float(bins))).alias("lo"),
-                         (F.col("_lo") + (F.col("bin") + 1) * width / F.lit(float(bins)))
-                         .alias("hi"),
+                         (lo + F.col("bin") * w / F.lit(float(bins))).alias("lo"),
+                         (lo + (F.col("bin") + 1) * w / F.lit(float(bins))).alias("hi"),
                          F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers"))
                  .orderBy("bin"))
 

@@ -110,10 +110,13 @@ def top_products_at_risk(tx: DataFrame, as_of=None, k: int = 3,
     at_risk = (customer_summary(tx, as_of)
                .filter(F.col("days_inactive").between(lo, hi)).select("customer_id"))
     lines = tx.join(at_risk, "customer_id", "left_semi")
-    per = (lines.groupBy("customer_id", "stockcode")
+    # hash-aggregate per spelling first; the string max runs on few rows
+    per = (lines.groupBy("customer_id", "stockcode", "description")
+                .agg(F.sum("quantity").alias("_q"), F.sum("revenue").alias("_r"))
+                .groupBy("customer_id", "stockcode")
                 .agg(F.max("description").alias("description"),
-                     F.sum("quantity").alias("total_qty"),
-                     F.sum("revenue").alias("_spent")))
+                     F.sum("_q").alias("total_qty"),
+                     F.sum("_r").alias("_spent")))
     w = Window.partitionBy("customer_id").orderBy(F.col("_spent").desc())
     return (per.withColumn("product_rank", F.rank().over(w))
                .filter(F.col("product_rank") <= k)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import to_contract
 from tillroll.operators import churn, clean, revenue, rfm, stats, winback, windows
+from tillroll.plans.ranking import materialize
 from tillroll.session import ensure_checkpoint_dir
 from tillroll.sources.adapter import load_tx, raw_lines_from_tables
 from tillroll.sources.raw import normalize_columns, union_sources
@@ -100,6 +101,6 @@ QUERIES: dict[str, Query] = {
     "ltv_percentile_tiers": _on_tx(windows.ltv_percentile_tiers),
     "first_last_product": _on_tx(windows.first_last_product),
     # chart statistics
-    "ltv_histogram": _on_tx(lambda tx: stats.histogram(windows.customer_ltv(tx))),
+    "ltv_histogram": _on_tx(lambda tx: stats.histogram(materialize(windows.customer_ltv(tx)))),
     "ltv_quantile": _on_tx(lambda tx: stats.quantile(windows.customer_ltv(tx))),
 }
