@@ -15,10 +15,10 @@ def tx(spark):
     return tx_frame(spark)
 
 
-def test_top_products_at_risk_uses_semi_join_and_group_limit(tx):
+def test_top_products_at_risk_one_pass_with_group_limit(tx):
     p = _plan(winback.top_products_at_risk(tx))
-    assert "LeftSemi" in p
     assert "WindowGroupLimit" in p
+    assert "Join" not in p.replace("BroadcastNestedLoopJoin", "")  # only the 1-row as_of
 
 
 def test_bucketed_ranking_windows_are_partitioned(tx):

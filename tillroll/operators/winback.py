@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary
+from tillroll.functions.metrics import customer_summary, with_as_of
 from tillroll.functions.numeric import mean_of
 from tillroll.plans.ranking import RankSpec, add_rankings
 from tillroll.schema import (RECOVERY_RATES, WINBACK_AT_RISK, WINBACK_CHURN_DAYS,
@@ -104,22 +104,29 @@ def top_products_at_risk(tx: DataFrame, as_of=None, k: int = 3,
     ranked by spend: ``customer_id, stockcode, description, total_qty,
     total_spent, product_rank`` with rank ≤ k (ties may give more rows).
 
-    The customer set filters the lines by a left-semi join; the rank filter
-    becomes a ``WindowGroupLimit`` so only candidate rows are shuffled to
-    the final window."""
-    at_risk = (customer_summary(tx, as_of)
-               .filter(F.col("days_inactive").between(lo, hi)).select("customer_id"))
-    lines = tx.join(at_risk, "customer_id", "left_semi")
-    # hash-aggregate per spelling first; the string max runs on few rows
-    per = (lines.groupBy("customer_id", "stockcode", "description")
-                .agg(F.sum("quantity").alias("_q"), F.sum("revenue").alias("_r"))
-                .groupBy("customer_id", "stockcode")
-                .agg(F.max("description").alias("description"),
-                     F.sum("_q").alias("total_qty"),
-                     F.sum("_r").alias("_spent")))
+    One pass over the lines: they are summed per (customer, product,
+    spelling) with partial combining, so the lines themselves are never
+    shuffled; a customer's last purchase is the latest of its product
+    rows (a window over the customer's products, bounded by the catalog),
+    which selects the at-risk customers; the rank filter becomes a
+    ``WindowGroupLimit``.  (Filtering the lines first would need a join of
+    every line with a customer set too large to broadcast, plus a second
+    scan of the lines to find that set.)"""
+    per = (tx.groupBy("customer_id", "stockcode", "description")
+             .agg(F.sum("quantity").alias("_q"), F.sum("revenue").alias("_r"),
+                  F.max("invoicedate").alias("_last"))
+             .groupBy("customer_id", "stockcode")
+             .agg(F.max("description").alias("description"),
+                  F.sum("_q").alias("total_qty"), F.sum("_r").alias("_spent"),
+                  F.max("_last").alias("_last")))
+    per = per.withColumn("last_purchase", F.to_date(F.max("_last").over(
+        Window.partitionBy("customer_id"))))
+    per = with_as_of(per, as_of, tx).withColumn(
+        "days_inactive", F.datediff("as_of", "last_purchase"))
+    at_risk = per.filter(F.col("days_inactive").between(lo, hi))
     w = Window.partitionBy("customer_id").orderBy(F.col("_spent").desc())
-    return (per.withColumn("product_rank", F.rank().over(w))
-               .filter(F.col("product_rank") <= k)
-               .select("customer_id", "stockcode", "description", "total_qty",
-                       F.round("_spent", 2).alias("total_spent"), "product_rank")
-               .orderBy("customer_id", "product_rank", "stockcode"))
+    return (at_risk.withColumn("product_rank", F.rank().over(w))
+                   .filter(F.col("product_rank") <= k)
+                   .select("customer_id", "stockcode", "description", "total_qty",
+                           F.round("_spent", 2).alias("total_spent"), "product_rank")
+                   .orderBy("customer_id", "product_rank", "stockcode"))
