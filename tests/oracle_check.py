@@ -77,6 +77,9 @@ def main(argv):
     import __spark_entry__ as E
     from tillroll.session import build_session
     spark = build_session("local[8]", shuffle_partitions=8)
+    # e.g. TILLROLL_SESSION_TZ=America/Sao_Paulo: results must not depend on it
+    if os.environ.get("TILLROLL_SESSION_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["TILLROLL_SESSION_TZ"])
     # e.g. TILLROLL_SINGLE_TASK_ROWS=200 forces the bucketed ranking path
     if os.environ.get("TILLROLL_SINGLE_TASK_ROWS"):
         spark.conf.set("tillroll.ranking.singleTaskRows", os.environ["TILLROLL_SINGLE_TASK_ROWS"])

@@ -32,3 +32,20 @@ def test_queries_match_oracle_small(spark):
         if not r.get("match"):
             bad.append(r)
     assert not bad, bad
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Midnight timestamps in a zone whose DST switched at midnight."""
+    con = duck(SF)
+    names = ["monthly_revenue_growth", "cohort_retention", "cumulative_revenue",
+             "purchase_cadence", "order_sequence", "churn_flags"]
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    spark.conf.set("tillroll.ranking.singleTaskRows", "5")
+    try:
+        bad = [r for r in (compare(spark, SF, n, E.queries()[n], E.oracle_sql()[n], con)
+                           for n in names) if not r.get("match")]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.unset("tillroll.ranking.singleTaskRows")
+    assert not bad, bad

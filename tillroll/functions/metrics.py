@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import pct
 
 
+def month_of(col) -> Column:
+    """First day of the calendar month of a date or timestamp_ntz, computed
+    on dates (no time zone is involved, whatever the session zone)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.trunc(F.to_date(c), "month")
+
+
 def as_of_frame(tx: DataFrame) -> DataFrame:
     """One-row frame ``as_of`` = date of the latest line.
 
@@ -64,7 +71,7 @@ def monthly_revenue(tx: DataFrame, with_counts: bool = True) -> DataFrame:
     if with_counts:
         aggs += [F.count_distinct("customer_id").alias("unique_customers"),
                  F.count_distinct("invoice").alias("total_orders")]
-    return (tx.groupBy(F.date_trunc("month", "invoicedate").cast("date").alias("month"))
+    return (tx.groupBy(month_of("invoicedate").alias("month"))
               .agg(*aggs))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary, share_of_total
+from tillroll.functions.metrics import customer_summary, month_of, share_of_total
 from tillroll.functions.numeric import mean_of, pct
 from tillroll.schema import CHURN_CUTS, CHURN_TIERS
 
@@ -82,7 +82,7 @@ def cohort_retention(tx: DataFrame, max_offset: int = 12, scale: int = 2,
     set is already distinct.  No join with the fact table is needed.
     """
     months = (tx.groupBy("customer_id")
-                .agg(F.collect_set(F.date_trunc("month", "invoicedate").cast("date"))
+                .agg(F.collect_set(month_of("invoicedate"))
                      .alias("months"))
                 .select("customer_id", F.array_min("months").alias("cohort_month"),
                         F.explode("months").alias("activity_month")))

@@ -163,8 +163,12 @@ def _norm_fields(df: DataFrame, cols_asc, prefix: str):
         if isinstance(dt, T.DateType):
             v = F.unix_date(v)
             dt = T.IntegerType()
-        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-            v = F.unix_micros(v.cast("timestamp"))
+        elif isinstance(dt, T.TimestampNTZType):
+            # epoch micros of the wall-clock value, independent of the session zone
+            v = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), v)
+            dt = T.LongType()
+        elif isinstance(dt, T.TimestampType):
+            v = F.unix_micros(v)
             dt = T.LongType()
         if not asc:
             if not isinstance(dt, T.NumericType):
