@@ -42,10 +42,12 @@ def test_results_do_not_depend_on_session_time_zone(spark):
              "purchase_cadence", "order_sequence", "churn_flags"]
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
     spark.conf.set("tillroll.ranking.singleTaskRows", "5")
+    spark.conf.set("tillroll.ranking.bucketRows", "300")
     try:
         bad = [r for r in (compare(spark, SF, n, E.queries()[n], E.oracle_sql()[n], con)
                            for n in names) if not r.get("match")]
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.unset("tillroll.ranking.singleTaskRows")
+        spark.conf.unset("tillroll.ranking.bucketRows")
     assert not bad, bad

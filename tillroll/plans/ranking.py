@@ -38,6 +38,7 @@ from tillroll.session import ensure_checkpoint_dir
 
 DEFAULT_SINGLE_TASK_ROWS = 2_000_000
 CONF_SINGLE_TASK_ROWS = "tillroll.ranking.singleTaskRows"
+CONF_BUCKET_ROWS = "tillroll.ranking.bucketRows"
 OVERSAMPLE = 32
 # Upper bound on the number of range buckets: keeps the cut-point CASE tree
 # (2 x buckets literals, depth log2) and the broadcast carries small; above
@@ -116,7 +117,8 @@ def add_rankings(df: DataFrame, specs, partition_by=(), *,
         largest = total
     if largest <= limit:
         return _plain(base, specs, partition_by)
-    per_bucket = bucket_rows or max(1, limit // 4)
+    conf_bucket = spark.conf.get(CONF_BUCKET_ROWS, None)
+    per_bucket = bucket_rows or (int(conf_bucket) if conf_bucket else max(1, limit // 4))
     out = base
     for i, s in enumerate(specs):
         if s.kind == "ntile" and partition_by:
