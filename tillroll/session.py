@@ -54,3 +54,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set: point it at a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def scale_conf(input_bytes: float, executor_cores_total: int,
+               target_partition_bytes: int = 256 * 1024 ** 2) -> dict:
+    """Spark settings sized for an input of ``input_bytes`` on a cluster
+    with ``executor_cores_total`` task slots.
+
+    * shuffle partitions: enough for ~``target_partition_bytes`` per reducer
+      on the largest shuffle (the fact table before partial aggregation),
+      at least 3 waves of the cluster; AQE then coalesces small ones and
+      splits skewed ones, so the number is an upper bound, not a target;
+    * scan splits of 512 MiB (fewer, larger tasks over Parquet row groups);
+    * the broadcast threshold is left at Spark's runtime-size check.
+    """
+    shuffle = max(3 * executor_cores_total, int(input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 ** 2),
+        "spark.sql.session.timeZone": "UTC",
+    }
