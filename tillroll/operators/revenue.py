@@ -10,7 +10,8 @@ from tillroll.functions.metrics import customer_summary, monthly_revenue, share_
 from tillroll.functions.numeric import mean_of, pct
 
 
-def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True) -> DataFrame:
+def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True,
+                           prev_name: str = "prev_month_revenue") -> DataFrame:
     """``month, total_revenue, unique_customers[, total_orders],
     prev_month_revenue, mom_growth_pct``.  LAG steps over months *with*
     sales; growth is null for the first month or a zero previous month.
@@ -23,10 +24,9 @@ def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True) -> DataFrame
         *(["total_orders"] if with_orders else []))
     w = Window.orderBy("month")
     prev = F.lag("total_revenue").over(w)
-    return (m.withColumn("prev_month_revenue", prev)
+    return (m.withColumn(prev_name, prev)
              .withColumn("mom_growth_pct",
-                         pct(F.col("total_revenue") - F.col("prev_month_revenue"),
-                             F.col("prev_month_revenue"), 2))
+                         pct(F.col("total_revenue") - F.col(prev_name), F.col(prev_name), 2))
              .orderBy("month"))
 
 
@@ -37,7 +37,8 @@ def _rank_top(df: DataFrame, metric: str, k: int, tie: str, rank_name: str) -> D
     return top.withColumn(rank_name, F.rank().over(Window.orderBy(F.col(metric).desc())))
 
 
-def top_customers(tx: DataFrame, k: int = 10, with_dates: bool = True) -> DataFrame:
+def top_customers(tx: DataFrame, k: int = 10, with_dates: bool = True,
+                  rank_name: str = "revenue_rank") -> DataFrame:
     """``revenue_rank, customer_id, total_orders, total_revenue,
     avg_order_value[, first_purchase, last_purchase]`` for the top k.
     ``avg_order_value`` is the mean *line* revenue."""
@@ -45,8 +46,8 @@ def top_customers(tx: DataFrame, k: int = 10, with_dates: bool = True) -> DataFr
         "customer_id", "total_orders", F.round("lifetime_value", 2).alias("total_revenue"),
         mean_of("lifetime_value", "line_count", 2).alias("avg_order_value"),
         *(["first_purchase", "last_purchase"] if with_dates else []))
-    r = _rank_top(s, "total_revenue", k, "customer_id", "revenue_rank")
-    return r.select("revenue_rank", *s.columns).orderBy("revenue_rank", "customer_id")
+    r = _rank_top(s, "total_revenue", k, "customer_id", rank_name)
+    return r.select(rank_name, *s.columns).orderBy(rank_name, "customer_id")
 
 
 def product_totals(tx: DataFrame) -> DataFrame:

@@ -100,6 +100,18 @@ QUERIES: dict[str, Query] = {
     "order_sequence": _on_tx(windows.order_sequence),
     "ltv_percentile_tiers": _on_tx(windows.ltv_percentile_tiers),
     "first_last_product": _on_tx(windows.first_last_product),
+    # notebook variants of the statements above
+    "rfm_scores": _on_tx(lambda tx: rfm.rfm_segments(tx).drop("last_purchase_date")),
+    "monthly_revenue_trend": _on_tx(lambda tx: revenue.monthly_revenue_growth(
+        tx, with_orders=False, prev_name="prev_month")),
+    "top_customers_brief": _on_tx(lambda tx: revenue.top_customers(
+        tx, with_dates=False, rank_name="rank")),
+    "cohort_retention_6m": _on_tx(lambda tx: churn.cohort_retention(tx, max_offset=6, scale=1)
+                                  .select("cohort_month", "month_number",
+                                          F.col("retention_rate_pct").alias("retention_pct"))),
+    "recovery_potential_unrounded": _on_tx(lambda tx: winback.recovery_potential(
+        tx, round_inner=False)),
+    "ltv_percentiles": _on_tx(lambda tx: windows.ltv_percentile_tiers(tx, with_tier=False)),
     # chart statistics
     "ltv_histogram": _on_tx(lambda tx: stats.histogram(materialize(windows.customer_ltv(tx)))),
     "ltv_quantile": _on_tx(lambda tx: stats.quantile(windows.customer_ltv(tx))),
