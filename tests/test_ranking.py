@@ -67,3 +67,15 @@ def test_ntile_fewer_rows_than_buckets(spark):
     out = add_rankings(df, [RankSpec("p", "ntile", (("m", True),), ("id",), n=100)],
                        single_task_rows=0, bucket_rows=2)
     assert sorted(r.p for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
+
+
+def test_hot_value_without_tie_break_is_split(spark):
+    from tillroll.plans.ranking import _bucketed, materialize
+    rows = [(i, 7 if i % 10 < 7 else i % 13) for i in range(3000)]
+    df = materialize(spark.createDataFrame(rows, "id long, m int"))
+    spec = RankSpec("rk", "rank", (("m", False),))
+    out = _bucketed(df, spec, [], 3000, 100, keep_bucket=True)
+    sizes = [r["count"] for r in out.groupBy("_pid").count().collect()]
+    assert len(sizes) > 10 and max(sizes) <= 400
+    plain = add_rankings(df, [spec])
+    assert sorted(out.select("id", "rk").collect()) == sorted(plain.select("id", "rk").collect())

@@ -200,14 +200,17 @@ def _bucket_expr(key: Column, cuts, dtypes) -> Column:
 
 
 def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
-              per_bucket: int) -> DataFrame:
-    ties = s.ties
-    g = _norm_fields(base, [(c, True) for c in partition_by], "_g")
-    o = _norm_fields(base, list(s.order), "_o")
-    t = _norm_fields(base, [(c, True) for c in ties], "_t")
+              per_bucket: int, keep_bucket: bool = False) -> DataFrame:
+    # A row id closes the key, so even a value (or exact copies of a row)
+    # holding a third of the input is cut into bounded buckets.  ``base`` is
+    # a checkpoint, so the id is the same in the sampling and the final pass.
+    base_id = base.withColumn("_rowid", F.monotonically_increasing_id())
+    g = _norm_fields(base_id, [(c, True) for c in partition_by], "_g")
+    o = _norm_fields(base_id, list(s.order), "_o")
+    t = _norm_fields(base_id, [(c, True) for c in s.ties] + [("_rowid", True)], "_t")
     if not g:
         g = [("_g0", F.lit(0))]
-    keyed = base.withColumns(dict(g + o + t))
+    keyed = base_id.withColumns(dict(g + o + t))
     gn, on, tn = [n for n, _ in g], [n for n, _ in o], [n for n, _ in t]
     kn = gn + on + tn
     K = F.struct(*[F.col(c) for c in kn])
@@ -281,4 +284,5 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
     else:
         val = F.col("_dr") + F.when(
             in_g, F.col("_d_g") - F.when(F.col("_c_go") > 0, 1).otherwise(0)).otherwise(0)
-    return y.withColumn(s.name, val.cast("bigint")).select(*base.columns, s.name)
+    out = y.withColumn(s.name, val.cast("bigint"))
+    return out.select(*base.columns, s.name, *(["_pid"] if keep_bucket else []))
