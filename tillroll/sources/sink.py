@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def write_table(tx: DataFrame, path: str, mode: str = "overwrite",
+                partition_by_month: bool = True) -> None:
+    """Write ``tx`` as Parquet, partitioned by ``invoice_month`` (date
+    pruning).  The ``rebalance`` hint lets AQE size the write tasks by data
+    volume and split a hot month over several tasks, so each task writes
+    few, full files."""
+    if partition_by_month:
+        (tx.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
+           .hint("rebalance", "invoice_month")
+           .write.mode(mode).partitionBy("invoice_month").parquet(path))
+    else:
+        tx.hint("rebalance").write.mode(mode).parquet(path)
+
+
 def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
                         partition_by_month: bool = True) -> DataFrame:
     """Write ``tx`` as Parquet and return ``rows_expected, rows_written``.
@@ -19,16 +33,7 @@ def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
     from pyspark.sql import Observation
 
     obs = Observation("rows_expected")
-    out = tx.observe(obs, F.count(F.lit(1)).alias("rows"))
-    w = out
-    if partition_by_month:
-        # rebalance: AQE sizes the write tasks by data volume and splits a
-        # hot month over several tasks, so each task writes few, full files
-        w = (w.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
-              .hint("rebalance", "invoice_month"))
-        w.write.mode(mode).partitionBy("invoice_month").parquet(path)
-    else:
-        w.write.mode(mode).parquet(path)
+    write_table(tx.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode, partition_by_month)
     expected = obs.get["rows"]
     spark = tx.sparkSession
     written = spark.read.parquet(path).count()
