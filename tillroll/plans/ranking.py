@@ -17,6 +17,11 @@ the rows.  :func:`add_rankings` computes ``row_number``, ``rank``,
   rows, equal-key rows and distinct values that precede it.  These carries
   are joined back by broadcast, whose size is the bucket count.
 
+Cost of the large-input path: one shuffle of the rows by bucket, plus a
+second shuffle of the key columns only for the bucket statistics (the
+statistics branch prunes the payload columns, so the exchange is not
+reused); the carries are a broadcast of at most ``MAX_BUCKETS`` rows.
+
 The input is first checkpointed to the shared checkpoint folder: the count,
 the sample and the final pass then read the materialised rows instead of
 recomputing the upstream plan, and the lineage is cut (an executor loss
@@ -28,7 +33,7 @@ Null order keys sort last (ascending and descending alike).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,7 +66,6 @@ class RankSpec:
     order: tuple = ()
     ties: tuple = ()
     n: int | None = None
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.kind not in KINDS:
