@@ -17,10 +17,11 @@ the rows.  :func:`add_rankings` computes ``row_number``, ``rank``,
   rows, equal-key rows and distinct values that precede it.  These carries
   are joined back by broadcast, whose size is the bucket count.
 
-Cost of the large-input path: one shuffle of the rows by bucket, plus a
-second shuffle of the key columns only for the bucket statistics (the
-statistics branch prunes the payload columns, so the exchange is not
-reused); the carries are a broadcast of at most ``MAX_BUCKETS`` rows.
+Cost of the large-input path: one shuffle of the rows, by bucket.  The
+bucket statistics are partial aggregates over the bucket id (one row per
+bucket leaves each task); only ``dense_rank`` adds a distinct count of the
+order values of each bucket's last group.  The carries are a broadcast of
+at most ``MAX_BUCKETS`` rows.
 
 The input is first checkpointed to the shared checkpoint folder: the count,
 the sample and the final pass then read the materialised rows instead of
@@ -235,26 +236,27 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
     dtypes = [keyed.schema[c].dataType for c in kn]
     pid = _bucket_expr(K, cuts, dtypes) if cuts else F.lit(0)
 
-    x = keyed.withColumn("_pid", pid).repartition("_pid")
-    wb = Window.partitionBy("_pid")
-    x = x.withColumn("_kmin", F.min(K).over(wb)).withColumn("_kmax", F.max(K).over(wb))
-    wg = Window.partitionBy("_pid", *gn)
-    x = (x.withColumn("_rn", F.row_number().over(wg.orderBy(*on, *tn)))
-          .withColumn("_rk", F.rank().over(wg.orderBy(*on)) if on else F.lit(1))
-          .withColumn("_dr", F.dense_rank().over(wg.orderBy(*on)) if on else F.lit(1))
-          .withColumn("_cg", F.count(F.lit(1)).over(wg))
-          .withColumn("_cgo", F.count(F.lit(1)).over(Window.partitionBy("_pid", *gn, *on))))
-
-    fG = F.struct(*[F.col(f"_kmin.{c}") for c in gn])
-    fO = F.struct(*[F.col(f"_kmin.{c}") for c in on]) if on else F.lit(0)
-    lG = F.struct(*[F.col(f"_kmax.{c}") for c in gn])
-    lO = F.struct(*[F.col(f"_kmax.{c}") for c in on]) if on else F.lit(0)
-    stats = (x.filter(K == F.col("_kmax"))
-              .groupBy("_pid")
-              .agg(F.first(fG).alias("fG"), F.first(fO).alias("fO"),
-                   F.first(lG).alias("lG"), F.first(lO).alias("lO"),
-                   F.max("_cg").alias("t_g"), F.max("_cgo").alias("t_go"),
-                   F.max("_dr").alias("d_g")))
+    kp = keyed.withColumn("_pid", pid)
+
+    # Bucket statistics from partial aggregates (no rows are shuffled for
+    # them): first/last key per bucket, then the rows (and, for dense_rank,
+    # distinct order values) of the bucket's last group / last key value.
+    ends = kp.groupBy("_pid").agg(F.min(K).alias("_kmin"), F.max(K).alias("_kmax"))
+    ends = ends.select(
+        "_pid",
+        F.struct(*[F.col(f"_kmin.{c}") for c in gn]).alias("fG"),
+        (F.struct(*[F.col(f"_kmin.{c}") for c in on]) if on else F.lit(0)).alias("fO"),
+        F.struct(*[F.col(f"_kmax.{c}") for c in gn]).alias("lG"),
+        (F.struct(*[F.col(f"_kmax.{c}") for c in on]) if on else F.lit(0)).alias("lO"))
+    last_g = G == F.col("lG")
+    aggs = [F.count_if(last_g).alias("t_g"), F.count_if(last_g & (O == F.col("lO"))).alias("t_go")]
+    if s.kind == "dense_rank":
+        aggs.append(F.count_distinct(F.when(last_g, O)).alias("d_g"))
+    else:
+        aggs.append(F.max(F.lit(0)).alias("d_g"))
+    counts = kp.join(F.broadcast(ends), "_pid").groupBy("_pid").agg(*aggs)
+    stats = ends.join(counts, "_pid")
+
     # ≤ p rows: carries by small single-partition windows over bucket order
     wp = Window.orderBy("_pid")
     stats = (stats
@@ -270,14 +272,23 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
     prev_same_g = F.coalesce(F.lag("lG").over(wp) == F.col("fG"), F.lit(False))
     prev_same_go = prev_same_g & F.coalesce(F.lag("lO").over(wp) == F.col("fO"), F.lit(False))
     carries = stats.select(
-        "_pid",
+        "_pid", F.col("fG").alias("_fG"), F.col("fO").alias("_fO"),
         F.when(prev_same_g, F.lag("cum_tg").over(wp)).otherwise(0).alias("_c_g"),
         F.when(prev_same_go, F.lag("cum_tgo").over(wp)).otherwise(0).alias("_c_go"),
         F.when(prev_same_g, F.lag("cum_d").over(wp)).otherwise(0).alias("_d_g"))
 
+    # the one shuffle of the rows: by bucket, then local ranks per group
+    x = kp.repartition("_pid")
+    wg = Window.partitionBy("_pid", *gn)
+    if s.kind in ("row_number", "ntile"):
+        x = x.withColumn("_rn", F.row_number().over(wg.orderBy(*on, *tn)))
+    elif s.kind == "rank":
+        x = x.withColumn("_rk", F.rank().over(wg.orderBy(*on)) if on else F.lit(1))
+    else:
+        x = x.withColumn("_dr", F.dense_rank().over(wg.orderBy(*on)) if on else F.lit(1))
     y = x.join(F.broadcast(carries), "_pid")
-    in_g = G == fG
-    in_go = in_g & (O == fO)
+    in_g = G == F.col("_fG")
+    in_go = in_g & (O == F.col("_fO"))
     if s.kind in ("row_number", "ntile"):
         val = F.col("_rn") + F.when(in_g, F.col("_c_g")).otherwise(0)
         if s.kind == "ntile":
