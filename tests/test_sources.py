@@ -44,3 +44,18 @@ def test_write_and_reconcile(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "tx"))
     assert "invoice_month" in back.columns
     assert back.filter("invoice_month = '2011-12'").count() == 2
+
+
+def test_write_to_catalog_table(spark, tmp_path):
+    out = write_and_reconcile(tx_frame(spark), str(tmp_path / "t"), table="tx_fixture_tbl").first()
+    assert (out.rows_expected, out.rows_written) == (10, 10)
+    assert spark.table("tx_fixture_tbl").filter("invoice_month = '2011-11'").count() == 4
+    spark.sql("DROP TABLE tx_fixture_tbl")
+
+
+def test_clean_with_audit_counts_during_the_write(spark):
+    from tillroll.operators.clean import clean_with_audit
+    cleaned, obs = clean_with_audit(raw_frame(spark))
+    cleaned.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"input": 15, "missing_customer": 2, "cancellation": 1,
+                       "non_positive_quantity_or_price": 2}

@@ -50,6 +50,24 @@ def cleaning_audit(raw: DataFrame) -> DataFrame:
                   .withColumn("step", order[F.col("rule")].cast("int")))
 
 
+def clean_with_audit(raw: DataFrame, name: str = "cleaning_audit"):
+    """O03 with O04's counts collected on the fly: returns ``(clean, obs)``.
+
+    ``obs`` is a :class:`pyspark.sql.Observation`; its ``get`` gives
+    ``input`` and the per-rule drop counts once the first action on
+    ``clean`` (e.g. the table write) has run.  No extra pass over the data.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    rule = _first_failed_rule()
+    observed = raw.observe(
+        obs, F.count(F.lit(1)).alias("input"),
+        *[F.count_if(rule == F.lit(r)).alias(r)
+          for r in (RULE_MISSING_CUSTOMER, RULE_CANCELLATION, RULE_NON_POSITIVE)])
+    return clean_transactions(observed), obs
+
+
 def _violations():
     """Comma-separated contract violations of one cleaned line ('' = valid).
     ``concat_ws`` skips the nulls of the checks that pass; all of it stays

@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 
 def write_table(tx: DataFrame, path: str, mode: str = "overwrite",
-                partition_by_month: bool = True) -> None:
+                partition_by_month: bool = True, table: str | None = None) -> None:
     """Write ``tx`` as Parquet, partitioned by ``invoice_month`` (date
     pruning).  The ``rebalance`` hint lets AQE size the write tasks by data
     volume and split a hot month over several tasks, so each task writes
-    few, full files."""
+    few, full files.  With ``table``, the files at ``path`` are also
+    registered as that catalog table (``saveAsTable``)."""
     if partition_by_month:
-        (tx.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
-           .hint("rebalance", "invoice_month")
-           .write.mode(mode).partitionBy("invoice_month").parquet(path))
+        w = (tx.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
+               .hint("rebalance", "invoice_month")
+               .write.mode(mode).partitionBy("invoice_month"))
     else:
-        tx.hint("rebalance").write.mode(mode).parquet(path)
+        w = tx.hint("rebalance").write.mode(mode)
+    if table:
+        w.format("parquet").option("path", path).saveAsTable(table)
+    else:
+        w.parquet(path)
 
 
 def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
-                        partition_by_month: bool = True) -> DataFrame:
+                        partition_by_month: bool = True, table: str | None = None) -> DataFrame:
     """Write ``tx`` as Parquet and return ``rows_expected, rows_written``.
 
     The table is laid out by ``invoice_month`` so that date filters prune
@@ -33,9 +38,10 @@ def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
     from pyspark.sql import Observation
 
     obs = Observation("rows_expected")
-    write_table(tx.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode, partition_by_month)
+    write_table(tx.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode,
+                partition_by_month, table)
     expected = obs.get["rows"]
     spark = tx.sparkSession
-    written = spark.read.parquet(path).count()
+    written = (spark.table(table) if table else spark.read.parquet(path)).count()
     return spark.createDataFrame(
         [(int(expected), int(written))], "rows_expected bigint, rows_written bigint")
