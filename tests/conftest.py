@@ -11,7 +11,10 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from tillroll.session import build_session
-    s = build_session("local[4]", shuffle_partitions=8)
+    s = build_session("local[4]", shuffle_partitions=8, extra={
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tillroll-warehouse-")})
     yield s
     s.stop()
