@@ -164,3 +164,16 @@ def test_quantile_matches_percentile(spark, q):
     want = df.agg(F.percentile("v", F.lit(q)).alias("t")).first().t
     for opts in ({}, {"single_task_rows": 0, "bucket_rows": 40}):
         assert stats.quantile(df, "v", q, **opts).first().threshold == want
+
+
+def test_shared_summary_reports_equal_standalone(tx):
+    from tillroll.plans.reports import customer_reports
+    shared = customer_reports(tx)
+    standalone = {"rfm_segments": rfm.rfm_segments(tx), "top_customers": revenue.top_customers(tx),
+                  "churn_flags": churn.churn_flags(tx),
+                  "churn_summary": churn.churn_summary(churn.churn_flags(tx, sort=False)),
+                  "winback_candidates": winback.winback_candidates(tx),
+                  "winback_priority": winback.winback_priority(tx),
+                  "recovery_potential": winback.recovery_potential(tx)}
+    for name, df in standalone.items():
+        assert shared[name].collect() == df.collect(), name

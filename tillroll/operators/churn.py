@@ -27,10 +27,11 @@ def tier_order(col: str, tiers=CHURN_TIERS):
     return expr
 
 
-def churn_flags(tx: DataFrame, as_of=None, cuts=CHURN_CUTS, sort: bool = True) -> DataFrame:
+def churn_flags(tx: DataFrame, as_of=None, cuts=CHURN_CUTS, sort: bool = True,
+                summary: DataFrame | None = None) -> DataFrame:
     """``customer_id, last_purchase, days_inactive, total_orders,
     lifetime_value, churn_risk`` — most inactive first."""
-    s = customer_summary(tx, as_of)
+    s = summary if summary is not None else customer_summary(tx, as_of)
     out = s.select(
         "customer_id", "last_purchase", "days_inactive", "total_orders",
         F.round("lifetime_value", 2).alias("lifetime_value"),

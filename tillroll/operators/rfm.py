@@ -24,7 +24,7 @@ def segment_of(r, f, m):
 
 
 def rfm_segments(tx: DataFrame, as_of=None, n: int = 5, sort: bool = True,
-                 **rank_opts) -> DataFrame:
+                 summary: DataFrame | None = None, **rank_opts) -> DataFrame:
     """``customer_id, last_purchase_date, recency_days, frequency,
     monetary, r_score, f_score, m_score, rfm_total, segment``.
 
@@ -33,7 +33,7 @@ def rfm_segments(tx: DataFrame, as_of=None, n: int = 5, sort: bool = True,
     The three global NTILEs run through :func:`add_rankings`, so no single
     task ever holds all customers once they exceed the checked size.
     """
-    s = customer_summary(tx, as_of).select(
+    s = (summary if summary is not None else customer_summary(tx, as_of)).select(
         "customer_id", F.col("last_purchase").alias("last_purchase_date"),
         F.col("days_inactive").alias("recency_days"),
         F.col("total_orders").alias("frequency"),

@@ -18,13 +18,13 @@ from tillroll.schema import (RECOVERY_RATES, WINBACK_AT_RISK, WINBACK_CHURN_DAYS
 
 def winback_candidates(tx: DataFrame, as_of=None, min_days: int = WINBACK_MIN_DAYS,
                        churn_days: int = WINBACK_CHURN_DAYS, sort: bool = True,
-                       **rank_opts) -> DataFrame:
+                       summary: DataFrame | None = None, **rank_opts) -> DataFrame:
     """Customers inactive ≥ ``min_days`` ranked by lifetime value:
     ``priority_rank, customer_id, last_purchase, days_inactive, total_orders,
     lifetime_value, avg_order_value, unique_products_bought, status``
     (status: At-Risk for min..churn days inclusive, Churned above)."""
-    s = customer_summary(tx, as_of).filter(F.col("days_inactive") >= min_days)
-    s = s.select(
+    s = summary if summary is not None else customer_summary(tx, as_of)
+    s = s.filter(F.col("days_inactive") >= min_days).select(
         "customer_id", "last_purchase", "days_inactive", "total_orders",
         F.round("lifetime_value", 2).alias("lifetime_value"),
         mean_of("lifetime_value", "line_count", 2).alias("avg_order_value"),
@@ -46,13 +46,14 @@ def winback_tier(score):
 
 def winback_priority(tx: DataFrame, as_of=None, n: int = 10,
                      min_days: int = WINBACK_MIN_DAYS, sort: bool = True,
-                     **rank_opts) -> DataFrame:
+                     summary: DataFrame | None = None, **rank_opts) -> DataFrame:
     """``customer_id, days_inactive, lifetime_value, ltv_decile,
     recency_decile, winback_priority_score, winback_tier`` over customers
     inactive ≥ ``min_days`` (deciles are taken *after* that filter).
     LTV decile ascending; recency decile by days descending (so a larger
     decile means more recently active); ties by ``customer_id``."""
-    s = (customer_summary(tx, as_of).filter(F.col("days_inactive") >= min_days)
+    s = ((summary if summary is not None else customer_summary(tx, as_of))
+         .filter(F.col("days_inactive") >= min_days)
          .select("customer_id", "days_inactive",
                  F.round("lifetime_value", 2).alias("lifetime_value")))
     r = add_rankings(s, [
@@ -68,14 +69,16 @@ def winback_priority(tx: DataFrame, as_of=None, n: int = 10,
 
 def recovery_potential(tx: DataFrame, as_of=None, rates=RECOVERY_RATES,
                        round_inner: bool = True,
-                       churn_days: int = WINBACK_CHURN_DAYS) -> DataFrame:
+                       churn_days: int = WINBACK_CHURN_DAYS,
+                       summary: DataFrame | None = None) -> DataFrame:
     """One row ``churned_customers, avg_order_value, recovery_<r>_pct...``.
 
     Per churned customer (inactive > ``churn_days``) the mean line value
     (rounded to cents when ``round_inner``); then count × mean × rate, which
     is computed exactly as sum × rate.  With no churned customer the row is
     ``0`` and nulls."""
-    s = customer_summary(tx, as_of).filter(F.col("days_inactive") > churn_days)
+    s = summary if summary is not None else customer_summary(tx, as_of)
+    s = s.filter(F.col("days_inactive") > churn_days)
     inner = F.col("lifetime_value") / F.col("line_count").cast("decimal(20,0)")
     if round_inner:
         inner = F.round(inner, 2)
