@@ -1,6 +1,6 @@
 from tillroll.sources.adapter import raw_lines_from_tables, load_tx
 from tillroll.sources.raw import read_raw, union_sources, normalize_columns
-from tillroll.sources.sink import write_and_reconcile, write_table
+from tillroll.sources.sink import write_and_reconcile, write_jdbc, write_table
 
 __all__ = ["raw_lines_from_tables", "load_tx", "read_raw", "union_sources",
-           "normalize_columns", "write_and_reconcile", "write_table"]
+           "normalize_columns", "write_and_reconcile", "write_jdbc", "write_table"]
