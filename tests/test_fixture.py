@@ -177,3 +177,26 @@ def test_shared_summary_reports_equal_standalone(tx):
                   "recovery_potential": winback.recovery_potential(tx)}
     for name, df in standalone.items():
         assert shared[name].collect() == df.collect(), name
+
+
+def test_growth_after_a_zero_month(spark):
+    from decimal import Decimal
+    m = spark.createDataFrame([(D(2011, 1, 1), Decimal("10.00")), (D(2011, 2, 1), Decimal("0.00")),
+                               (D(2011, 3, 1), Decimal("5.00"))],
+                              "month date, total_revenue decimal(22,2)")
+    got = [None if r.mom_growth_pct is None else str(r.mom_growth_pct)
+           for r in revenue.growth_of_months(m).collect()]
+    assert got == [None, "-100.00", None]
+
+
+@pytest.mark.parametrize("case", ["empty", "one_customer"])
+def test_every_query_on_degenerate_input(tx, case):
+    from tillroll.plans.catalog import QUERIES
+    t = tx.limit(0) if case == "empty" else tx.filter("customer_id = 1")
+    for name, q in QUERIES.items():
+        if hasattr(q, "on_tx"):
+            rows = q.on_tx(t).collect()
+            if case == "one_customer" and name in ("rfm_segments", "churn_flags", "ltv_percentiles"):
+                assert len(rows) == 1, name
+            if case == "empty" and name in ("recovery_potential", "ltv_quantile"):
+                assert len(rows) == 1, name

@@ -22,6 +22,11 @@ def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True,
     m = monthly_revenue(tx).select(
         "month", F.round("revenue", 2).alias("total_revenue"), "unique_customers",
         *(["total_orders"] if with_orders else []))
+    return growth_of_months(m, prev_name)
+
+
+def growth_of_months(m: DataFrame, prev_name: str = "prev_month_revenue") -> DataFrame:
+    """Month-over-month growth on a monthly frame (``month, total_revenue``)."""
     w = Window.orderBy("month")
     prev = F.lag("total_revenue").over(w)
     return (m.withColumn(prev_name, prev)
