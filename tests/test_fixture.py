@@ -200,3 +200,9 @@ def test_every_query_on_degenerate_input(tx, case):
                 assert len(rows) == 1, name
             if case == "empty" and name in ("recovery_potential", "ltv_quantile"):
                 assert len(rows) == 1, name
+
+
+def test_cadence_by_order(tx):
+    got = [(r.customer_id, r.gap_count, str(r.avg_days_between_purchases), r.min_days, r.max_days)
+           for r in churn.purchase_cadence(tx, grain="order").collect()]
+    assert got == [(1, 2, "15.0", 0, 30)]

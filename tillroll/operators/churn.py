@@ -114,7 +114,8 @@ def cohort_matrix(tx: DataFrame, max_offset: int = 6, scale: int = 1) -> DataFra
     return piv.toDF("cohort_month", *[f"month_{i}" for i in offsets]).orderBy("cohort_month")
 
 
-def purchase_cadence(tx: DataFrame, min_gaps: int = 2, sort: bool = True) -> DataFrame:
+def purchase_cadence(tx: DataFrame, min_gaps: int = 2, sort: bool = True,
+                     grain: str = "line") -> DataFrame:
     """Day gaps between a customer's consecutive lines (in time order):
     ``customer_id, gap_count, avg_days_between_purchases (1 dp), min_days,
     max_days`` for customers with at least ``min_gaps`` gaps.
@@ -124,9 +125,17 @@ def purchase_cadence(tx: DataFrame, min_gaps: int = 2, sort: bool = True) -> Dat
     the same day give 0-day gaps (so min = 0 when L > D); the non-zero gaps
     are the gaps between consecutive distinct days.  Only the distinct
     (customer, day) pairs are windowed, and those are bounded by the calendar.
+
+    ``grain="order"`` measures between a customer's invoices instead of its
+    lines (each invoice dated by its first line).
     """
-    days = (tx.groupBy("customer_id", F.to_date("invoicedate").alias("day"))
-              .agg(F.count(F.lit(1)).alias("lines")))
+    if grain not in ("line", "order"):
+        raise ValueError("grain must be 'line' or 'order'")
+    events = tx.select("customer_id", F.to_date("invoicedate").alias("day"))
+    if grain == "order":
+        events = (tx.groupBy("customer_id", "invoice")
+                    .agg(F.to_date(F.min("invoicedate")).alias("day")).drop("invoice"))
+    days = events.groupBy("customer_id", "day").agg(F.count(F.lit(1)).alias("lines"))
     w = Window.partitionBy("customer_id").orderBy("day")
     gaps = days.withColumn("gap", F.datediff("day", F.lag("day").over(w)))
     per = (gaps.groupBy("customer_id")
