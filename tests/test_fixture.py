@@ -206,3 +206,14 @@ def test_cadence_by_order(tx):
     got = [(r.customer_id, r.gap_count, str(r.avg_days_between_purchases), r.min_days, r.max_days)
            for r in churn.purchase_cadence(tx, grain="order").collect()]
     assert got == [(1, 2, "15.0", 0, 30)]
+
+
+def test_calendar_fill(tx):
+    g = revenue.monthly_revenue_growth(tx, fill_months=True).collect()
+    assert [r.month.month for r in g] == [6, 7, 8, 9, 10, 11, 12]
+    assert [str(r.total_revenue) for r in g][:4] == ["5.00", "0.00", "0.00", "20.00"]
+    assert g[1].mom_growth_pct is not None and str(g[1].mom_growth_pct) == "-100.00"
+    assert g[3].mom_growth_pct is None  # previous month is 0
+    ma = [str(r.moving_avg_3m) for r in windows.moving_average(tx, fill_months=True).collect()]
+    assert ma == ["5.00", "2.50", "1.67", "6.67", "8.33", "12.42", "12.42"]
+    assert len(windows.monthly_lead_lag(tx, fill_months=True).collect()) == 7

@@ -75,6 +75,20 @@ def monthly_revenue(tx: DataFrame, with_counts: bool = True) -> DataFrame:
               .agg(*aggs))
 
 
+def fill_months(m: DataFrame, zero_cols) -> DataFrame:
+    """Add the calendar months missing between the first and last month of a
+    monthly frame, with ``zero_cols`` set to 0 (other columns null).  The
+    calendar comes from a one-row min/max and ``sequence``; it is bounded by
+    the time span, not by the data volume."""
+    types = {f.name: f.dataType for f in m.schema.fields}
+    cal = (m.agg(F.min("month").alias("_lo"), F.max("month").alias("_hi"))
+             .select(F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 MONTH")))
+                     .alias("month")))
+    out = cal.join(m, "month", "left")
+    return out.select([F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c) if c in zero_cols
+                       else F.col(c) for c in m.columns])
+
+
 def share_of_total(df: DataFrame, col: str, out: str, scale: int = 2,
                    total: DataFrame | None = None) -> DataFrame:
     """``out = round(100.0 * col / total, scale)``.

@@ -7,14 +7,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import customer_summary, monthly_revenue, share_of_total
+from tillroll.functions.metrics import fill_months as fill_months_of
 from tillroll.functions.numeric import mean_of, pct
 
 
 def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True,
-                           prev_name: str = "prev_month_revenue") -> DataFrame:
+                           prev_name: str = "prev_month_revenue",
+                           fill_months: bool = False) -> DataFrame:
     """``month, total_revenue, unique_customers[, total_orders],
     prev_month_revenue, mom_growth_pct``.  LAG steps over months *with*
     sales; growth is null for the first month or a zero previous month.
+    ``fill_months=True`` inserts the months without sales as zero rows, so
+    LAG compares calendar-adjacent months.
 
     The window has no partition key on purpose: it runs over one row per
     calendar month, a size fixed by the calendar, not by the data volume.
@@ -22,6 +26,8 @@ def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True,
     m = monthly_revenue(tx).select(
         "month", F.round("revenue", 2).alias("total_revenue"), "unique_customers",
         *(["total_orders"] if with_orders else []))
+    if fill_months:
+        m = fill_months_of(m, [c for c in m.columns if c != "month"])
     return growth_of_months(m, prev_name)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import monthly_revenue
+from tillroll.functions.metrics import fill_months, monthly_revenue
 from tillroll.functions.numeric import mean_of, pct
 from tillroll.plans.ranking import RankSpec, add_rankings
 from tillroll.schema import LTV_TIER_CUTS, LTV_TIERS
@@ -34,16 +34,18 @@ def customer_rank_in_country(tx: DataFrame, sort: bool = True, **rank_opts) -> D
     return out
 
 
-def _monthly(tx: DataFrame) -> DataFrame:
-    return monthly_revenue(tx, with_counts=False).select(
+def _monthly(tx: DataFrame, fill: bool = False) -> DataFrame:
+    m = monthly_revenue(tx, with_counts=False).select(
         "month", F.round("revenue", 2).alias("revenue"))
+    return fill_months(m, ["revenue"]) if fill else m
 
 
-def monthly_lead_lag(tx: DataFrame) -> DataFrame:
+def monthly_lead_lag(tx: DataFrame, fill_months: bool = False) -> DataFrame:
     """``month, current_revenue, prev_month, next_month, mom_change,
-    mom_growth_pct`` (one row per month with sales; bounded window)."""
+    mom_growth_pct`` (one row per month with sales, or per calendar month
+    with ``fill_months``; bounded window)."""
     w = Window.orderBy("month")
-    m = _monthly(tx)
+    m = _monthly(tx, fill_months)
     return (m.select("month", F.col("revenue").alias("current_revenue"),
                      F.lag("revenue", 1).over(w).alias("prev_month"),
                      F.lead("revenue", 1).over(w).alias("next_month"))
@@ -54,11 +56,12 @@ def monthly_lead_lag(tx: DataFrame) -> DataFrame:
              .orderBy("month"))
 
 
-def moving_average(tx: DataFrame, k: int = 3) -> DataFrame:
+def moving_average(tx: DataFrame, k: int = 3, fill_months: bool = False) -> DataFrame:
     """``month, revenue, moving_avg_<k>m``: mean of the current and up
-    to k-1 preceding months with sales (partial at the start)."""
+    to k-1 preceding months with sales (partial at the start); with
+    ``fill_months`` months without sales count as 0."""
     w = Window.orderBy("month").rowsBetween(-(k - 1), Window.currentRow)
-    m = _monthly(tx)
+    m = _monthly(tx, fill_months)
     return (m.withColumn(f"moving_avg_{k}m",
                          mean_of(F.sum("revenue").over(w), F.count("revenue").over(w), 2))
              .orderBy("month"))
