@@ -69,9 +69,10 @@ def test_rank_relations(tx):
 def test_bucketed_equals_plain_random(spark, rows, bucket_rows):
     df = spark.createDataFrame([(i, g, m) for i, (g, m) in enumerate(rows)], "id long, g string, m int")
     specs = [RankSpec("rn", "row_number", (("m", False),), ("id",)),
-             RankSpec("rk", "rank", (("m", True),)), RankSpec("dr", "dense_rank", (("m", False),))]
+             RankSpec("rk", "rank", (("m", True),)), RankSpec("dr", "dense_rank", (("m", False),)),
+             RankSpec("nt", "ntile", (("m", True),), ("id",), n=3)]
     for part in ([], ["g"]):
         plain = add_rankings(df, specs, part)
         dist = add_rankings(df, specs, part, single_task_rows=0, bucket_rows=bucket_rows)
-        cols = ["id", "rn", "rk", "dr"]
+        cols = ["id", "rn", "rk", "dr", "nt"]
         assert sorted(plain.select(cols).collect()) == sorted(dist.select(cols).collect())

@@ -42,10 +42,11 @@ def test_bucketed_global_equals_plain(spark, bucket_rows):
 @pytest.mark.parametrize("bucket_rows", [29, 400])
 def test_bucketed_partitioned_equals_plain(spark, bucket_rows):
     df = _data(spark, seed=3)
-    plain = add_rankings(df, SPECS, partition_by=["g"])
-    dist = add_rankings(df, SPECS, partition_by=["g"], single_task_rows=0,
+    specs = SPECS + [RankSpec("nt", "ntile", (("m", True),), ("id",), n=7)]
+    plain = add_rankings(df, specs, partition_by=["g"])
+    dist = add_rankings(df, specs, partition_by=["g"], single_task_rows=0,
                         bucket_rows=bucket_rows)
-    cols = ["rn", "rk", "dr"]
+    cols = ["rn", "rk", "dr", "nt"]
     assert _collect(plain, cols) == _collect(dist, cols)
 
 

@@ -104,6 +104,16 @@ def ntile_from_row_number(rn: Column, total: int, n: int) -> Column:
     return F.when(rn <= F.lit(big), first).otherwise(rest).cast("bigint")
 
 
+def ntile_of_group(rn: Column, size: Column, n: int) -> Column:
+    """NTILE(n) from a row number within a group of ``size`` rows (columns)."""
+    q = F.floor(size / F.lit(n))
+    r = size - q * n
+    big = r * (q + 1)
+    first = F.floor((rn - 1) / (q + 1)) + 1
+    rest = F.floor((rn - 1 - big) / F.when(q == 0, F.lit(1)).otherwise(q)) + 1 + r
+    return F.when(rn <= big, first).otherwise(rest).cast("bigint")
+
+
 def add_rankings(df: DataFrame, specs, partition_by=(), *,
                  single_task_rows: int | None = None,
                  bucket_rows: int | None = None) -> DataFrame:
@@ -126,8 +136,6 @@ def add_rankings(df: DataFrame, specs, partition_by=(), *,
     per_bucket = bucket_rows or (int(conf_bucket) if conf_bucket else max(1, limit // 4))
     out = base
     for i, s in enumerate(specs):
-        if s.kind == "ntile" and partition_by:
-            raise NotImplementedError("ntile within groups above the single-task size")
         out = _bucketed(out, s, partition_by, total, per_bucket)
         if i < len(specs) - 1:
             out = materialize(out)  # the next spec samples and ranks stored rows
@@ -249,7 +257,8 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
         F.struct(*[F.col(f"_kmax.{c}") for c in gn]).alias("lG"),
         (F.struct(*[F.col(f"_kmax.{c}") for c in on]) if on else F.lit(0)).alias("lO"))
     last_g = G == F.col("lG")
-    aggs = [F.count_if(last_g).alias("t_g"), F.count_if(last_g & (O == F.col("lO"))).alias("t_go")]
+    aggs = [F.count_if(last_g).alias("t_g"), F.count_if(last_g & (O == F.col("lO"))).alias("t_go"),
+            F.count_if(G == F.col("fG")).alias("h_g")]
     if s.kind == "dense_rank":
         aggs.append(F.count_distinct(F.when(last_g, O)).alias("d_g"))
     else:
@@ -268,20 +277,28 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
              .withColumn("cum_tg", F.sum("t_g").over(Window.partitionBy("lG").orderBy("_pid")))
              .withColumn("cum_d", F.sum("d_adj").over(Window.partitionBy("lG").orderBy("_pid")))
              .withColumn("cum_tgo", F.sum("t_go").over(
-                 Window.partitionBy("lG", "lO").orderBy("_pid"))))
+                 Window.partitionBy("lG", "lO").orderBy("_pid")))
+             # rows of a bucket's first group in it and all later buckets
+             .withColumn("cum_h", F.sum("h_g").over(
+                 Window.partitionBy("fG").orderBy(F.col("_pid").desc()))))
     prev_same_g = F.coalesce(F.lag("lG").over(wp) == F.col("fG"), F.lit(False))
     prev_same_go = prev_same_g & F.coalesce(F.lag("lO").over(wp) == F.col("fO"), F.lit(False))
     carries = stats.select(
         "_pid", F.col("fG").alias("_fG"), F.col("fO").alias("_fO"),
         F.when(prev_same_g, F.lag("cum_tg").over(wp)).otherwise(0).alias("_c_g"),
         F.when(prev_same_go, F.lag("cum_tgo").over(wp)).otherwise(0).alias("_c_go"),
-        F.when(prev_same_g, F.lag("cum_d").over(wp)).otherwise(0).alias("_d_g"))
+        F.when(prev_same_g, F.lag("cum_d").over(wp)).otherwise(0).alias("_d_g"),
+        F.col("lG").alias("_lG"),
+        F.when(F.coalesce(F.lead("fG").over(wp) == F.col("lG"), F.lit(False)),
+               F.lead("cum_h").over(wp)).otherwise(0).alias("_r_g"))
 
     # the one shuffle of the rows: by bucket, then local ranks per group
     x = kp.repartition("_pid")
     wg = Window.partitionBy("_pid", *gn)
     if s.kind in ("row_number", "ntile"):
         x = x.withColumn("_rn", F.row_number().over(wg.orderBy(*on, *tn)))
+        if s.kind == "ntile" and partition_by:
+            x = x.withColumn("_cnt", F.count(F.lit(1)).over(wg))
     elif s.kind == "rank":
         x = x.withColumn("_rk", F.rank().over(wg.orderBy(*on)) if on else F.lit(1))
     else:
@@ -291,7 +308,11 @@ def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
     in_go = in_g & (O == F.col("_fO"))
     if s.kind in ("row_number", "ntile"):
         val = F.col("_rn") + F.when(in_g, F.col("_c_g")).otherwise(0)
-        if s.kind == "ntile":
+        if s.kind == "ntile" and partition_by:
+            size = (F.col("_cnt") + F.when(in_g, F.col("_c_g")).otherwise(0)
+                    + F.when(G == F.col("_lG"), F.col("_r_g")).otherwise(0))
+            val = ntile_of_group(val, size, s.n)
+        elif s.kind == "ntile":
             val = ntile_from_row_number(val, total, s.n)
     elif s.kind == "rank":
         val = (F.col("_rk") + F.when(in_g, F.col("_c_g")).otherwise(0)
