@@ -123,13 +123,10 @@ def add_rankings(df: DataFrame, specs, partition_by=(), *,
     spark = df.sparkSession
     limit = _single_task_rows(spark, single_task_rows)
     base = materialize(df)
-    if partition_by:
-        st = (base.groupBy(*partition_by).count()
-                  .agg(F.max("count").alias("m"), F.sum("count").alias("n")).first())
-        largest, total = int(st["m"] or 0), int(st["n"] or 0)
-    else:
-        total = base.count()
-        largest = total
+    total = base.count()
+    largest = total
+    if partition_by and total > limit:  # no group can exceed the whole input
+        largest = int(base.groupBy(*partition_by).count().agg(F.max("count")).first()[0] or 0)
     if largest <= limit:
         return _plain(base, specs, partition_by)
     conf_bucket = spark.conf.get(CONF_BUCKET_ROWS, None)
