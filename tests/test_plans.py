@@ -50,3 +50,12 @@ def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
     p = _plan(revenue.top_products(t.filter("country = 'UK'")))
     assert "PushedFilters: [IsNotNull(country), EqualTo(country,UK)]" in p
     assert "ReadSchema: struct<stockcode:string,description:string,quantity:int,country:string,revenue:decimal(12,2)>" in p
+
+
+def test_bucketed_ranking_shuffles_rows_once(tx):
+    # one row-level exchange (by bucket); the bucket statistics travel as
+    # partial aggregates and a broadcast of at most MAX_BUCKETS rows
+    df = windows.ltv_percentile_tiers(tx, single_task_rows=0, bucket_rows=2, sort=False)
+    p = _plan(df)
+    assert p.count("REPARTITION_BY_COL") == 1
+    assert "BroadcastHashJoin" in p
