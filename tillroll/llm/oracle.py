@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import mixing, quality, url_cascade
+from tillroll.llm import mixing, quality, url_cascade, warc
 from tillroll.llm.queries import THIN_PAGE_BYTES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -126,8 +126,22 @@ SELECT page_id, host, path, CASE {rule} END AS rule,
 FROM p"""
 
 
+def _op8() -> str:
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes,
+                  sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, max(page_id) AS first_id FROM p WHERE bytes >= {warc.MIN_REVISIT}
+      GROUP BY digest HAVING count(*) > 1)
+SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (digest)"""
+
+
 ORACLE = {
     "op1_quality_rules": _op1(),
     "op2_source_mixing": _op2(),
+    "op8_warc_salvage": _op8(),
     "op10_url_filter": _op10(),
 }

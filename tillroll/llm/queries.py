@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, quality, url_cascade
+from tillroll.llm import mixing, quality, simhash, url_cascade, warc
+from tillroll.llm.common import scratch
 
 #: A page of fewer payload bytes than this is thin; its url goes on the blocklist.
 THIN_PAGE_BYTES = 1000
@@ -26,6 +27,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
+                        "component_id")
+
+
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    warc.write_archives(warc.mark_revisits(
+        _table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return warc.resolve(warc.read_records(spark, path)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     thin = pages.filter(F.coalesce(F.octet_length("html"), F.lit(0)) < THIN_PAGE_BYTES)
@@ -37,5 +52,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op5_simhash_groups": op5_simhash_groups,
+    "op8_warc_salvage": op8_warc_salvage,
     "op10_url_filter": op10_url_filter,
 }

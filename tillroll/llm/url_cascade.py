@@ -26,9 +26,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillroll.llm.common import fresh, let, scratch, stored
+from tillroll.llm.common import fresh, scratch, stored
 
 BITS_PER_KEY = 10
 PROBES = 7
@@ -42,9 +41,9 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"),
 
 @dataclass(frozen=True)
 class Cascade:
-    """Levels of one shard: a one-row table of words per level, and the bits of each level."""
+    """Levels of one shard: per level a one-row table of its words, and its number of bits."""
 
-    levels: DataFrame
+    levels: tuple
     bits: tuple
 
 
@@ -74,36 +73,39 @@ def rule_of(host_: Column, path_: Column, rules=RULES) -> Column:
     return out
 
 
-def _positions(key: Column, level: int, bits: int) -> Column:
+def _positions(key: Column, level: int, bits: int) -> list[Column]:
     h = F.xxhash64(key, F.lit(level))
     step = F.xxhash64(key, F.lit(-level))
-    return F.array(*[F.pmod(F.xxhash64(h, step, F.lit(i)), F.lit(bits)) for i in range(PROBES)])
+    return [F.pmod(F.xxhash64(h, step, F.lit(i)), F.lit(bits)) for i in range(PROBES)]
 
 
 def _holds(words: Column, key: Column, level: int, bits: int) -> Column:
-    """Whether all probed bits of the key are set."""
-    return F.forall(_positions(key, level, bits), lambda p: F.getbit(
-        F.get(words, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1)
+    """Whether all probed bits of the key are set (``words``: a scalar subquery)."""
+    out = F.lit(True)
+    for p in _positions(key, level, bits):
+        word = F.get(words, F.shiftright(p, 6).cast("int"))
+        out = out & (F.getbit(word, (p % 64).cast("int")) == 1)
+    return out
 
 
 def _level(keys: DataFrame, level: int, bits: int) -> DataFrame:
     """The words of a level's filter as one row, in order."""
     spark = keys.sparkSession
-    at = keys.select(F.explode(_positions(F.col("key"), level, bits)).alias("p")).select(
+    at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, bits))).alias("p")).select(
         F.shiftright("p", 6).alias("i"),
         F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("w"))
     empty = spark.range(0, bits // 64, 1, 1).select(F.col("id").alias("i"),
                                                     F.lit(0).cast("long").alias("w"))
     words = at.unionByName(empty).groupBy("i").agg(F.bit_or("w").alias("w"))
     return words.groupBy().agg(F.sort_array(F.collect_list(F.struct("i", "w"))).alias("x")).select(
-        F.lit(level).alias("level"), F.col("x.w").alias("words"))
+        F.col("x.w").alias("words"))
 
 
 def build(universe: DataFrame) -> Cascade:
     """Cascade of a stored (key, listed) table that holds every key once."""
     spark = universe.sparkSession
     base = scratch(spark)
-    bits, rows = [], None
+    bits, levels = [], []
     inner = universe.filter("listed").select("key")   # keys that the next level encodes
     outer = universe.filter("not listed").select("key")  # keys it is tested against
     for level in range(1, MAX_LEVELS + 1):
@@ -112,29 +114,21 @@ def build(universe: DataFrame) -> Cascade:
             break
         bits.append(max(64, -(-n * BITS_PER_KEY // 64) * 64))
         one = stored(_level(inner, level, bits[-1]), f"{base}/level-{level}")
-        rows = one if rows is None else rows.unionByName(one)
+        levels.append(one)
         wrong = outer.filter(_holds(one.select("words").scalar(), F.col("key"), level, bits[-1]))
         inner, outer = stored(wrong, f"{base}/keys-{level}"), inner
     else:
         raise RuntimeError(f"the cascade did not end within {MAX_LEVELS} levels")
-    if rows is None:
-        rows = spark.createDataFrame([], T.StructType([
-            T.StructField("level", T.IntegerType()),
-            T.StructField("words", T.ArrayType(T.LongType()))]))
-    one = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("level", "words"))).alias("x"))
-    return Cascade(stored(one.select(F.col("x.words").alias("levels")), f"{base}/all"), tuple(bits))
+    return Cascade(tuple(levels), tuple(bits))
 
 
 def listed(cascade: Cascade, key: Column) -> Column:
     """Whether a key of the universe is listed."""
-    def walk(levels):
-        out = F.lit(len(cascade.bits) % 2 == 1)
-        for i in range(len(cascade.bits), 0, -1):  # the first level that lacks the key decides
-            out = F.when(~_holds(F.get(levels, F.lit(i - 1)), key, i, cascade.bits[i - 1]),
-                         F.lit(i % 2 == 0)).otherwise(out)
-        return out
-
-    return let(cascade.levels.scalar(), walk) if cascade.bits else F.lit(False)
+    out = F.lit(len(cascade.bits) % 2 == 1)
+    for i in range(len(cascade.bits), 0, -1):  # the first level that lacks the key decides
+        words = cascade.levels[i - 1].select("words").scalar()
+        out = F.when(~_holds(words, key, i, cascade.bits[i - 1]), F.lit(i % 2 == 0)).otherwise(out)
+    return out
 
 
 def judge(pages: DataFrame, blocked: DataFrame, url: str = "url", rules=RULES,
