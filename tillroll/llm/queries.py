@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, quality, simhash, url_cascade, warc
+from tillroll.llm import line_dedup, mixing, quality, simhash, url_cascade, warc
 from tillroll.llm.common import scratch
 
 #: A page of fewer payload bytes than this is thin; its url goes on the blocklist.
@@ -27,6 +27,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"),
@@ -52,6 +56,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_groups": op5_simhash_groups,
     "op8_warc_salvage": op8_warc_salvage,
     "op10_url_filter": op10_url_filter,
