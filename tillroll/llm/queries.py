@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import line_dedup, mixing, quality, simhash, url_cascade, warc
+from tillroll.llm import bpe, line_dedup, lm_bloom, mixing, quality, simhash, url_cascade, warc
 from tillroll.llm.common import scratch
 
 #: A page of fewer payload bytes than this is thin; its url goes on the blocklist.
 THIN_PAGE_BYTES = 1000
+#: Rank file of the byte-level vocabulary that texts are encoded with.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +40,24 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op6_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_bloom.score(docs, held_out)
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the ids of every text and of the text decoded from them."""
+    path = public_tokenizers.path(VOCABULARY)
+    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     warc.write_archives(warc.mark_revisits(
@@ -58,6 +79,8 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_groups": op5_simhash_groups,
+    "op6_lm_bloom": op6_lm_bloom,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_warc_salvage": op8_warc_salvage,
     "op10_url_filter": op10_url_filter,
 }
