@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, line_dedup, lm_bloom, mixing, quality, simhash, url_cascade, warc
+from tillroll.llm import bpe, line_dedup, lm_bloom, mih, mixing, quality, simhash, url_cascade, warc
 from tillroll.llm.common import scratch
 
 #: A page of fewer payload bytes than this is thin; its url goes on the blocklist.
@@ -66,6 +66,11 @@ def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_mih_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                       F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     thin = pages.filter(F.coalesce(F.octet_length("html"), F.lit(0)) < THIN_PAGE_BYTES)
@@ -82,5 +87,6 @@ QUERIES = {
     "op6_lm_bloom": op6_lm_bloom,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc_salvage": op8_warc_salvage,
+    "op9_mih_neighbours": op9_mih_neighbours,
     "op10_url_filter": op10_url_filter,
 }
