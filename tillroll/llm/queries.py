@@ -6,11 +6,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import bpe, line_dedup, lm_bloom, mih, mixing, quality, simhash, url_cascade, warc
+from tillroll.llm import (
+    bpe,
+    line_dedup,
+    lm_bloom,
+    mih,
+    mixing,
+    quality,
+    simhash,
+    surrogates,
+    url_cascade,
+    warc,
+)
 from tillroll.llm.common import scratch
 
 #: A page of fewer payload bytes than this is thin; its url goes on the blocklist.
 THIN_PAGE_BYTES = 1000
+#: Key of the surrogates; a deployment passes its own secret.
+SURROGATE_KEY = "surrogates of the test corpus"
 #: Rank file of the byte-level vocabulary that texts are encoded with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -30,6 +43,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs, SURROGATE_KEY).select("doc_id", "n_replaced", "text")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -82,6 +100,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_groups": op5_simhash_groups,
     "op6_lm_bloom": op6_lm_bloom,
