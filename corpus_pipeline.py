@@ -7,9 +7,11 @@ returns a DataFrame. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillroll.llm import mixing, quality
+from tillroll.llm import line_dedup, mixing, quality, simhash
 from tillroll.llm.common import scratch, stored
+from tillroll.llm.queries import token_digests
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,17 +19,39 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that align with an earlier one; ``n_chars`` follows the text."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_cut") > 0, F.length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group, the one of the smallest id."""
+    return simhash.keep_one(docs)
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix of sources takes them."""
     return mixing.mixed_corpus(docs)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count, ids and digests of ids and decoded text, per row of the mix."""
+    return token_digests(docs, with_ids=True)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_deduplication),
+    ("SimHash near-dedup", near_duplicates),
     ("mixing sources", source_mixing),
+    ("byte-level BPE", token_ids),
 ]
 
-#: Stages run user code (alignment, byte merges), which SQL cannot express.
+#: Alignment, groups and byte merges are beyond SQL; tests compare with a plain Python version.
 ORACLE_SQL = None
 
 
