@@ -99,7 +99,7 @@ def test_top_products_at_risk(tx):
     assert got == [(2, "10", 1), (3, "11", 1), (3, "10", 2)]
 
 
-@pytest.mark.parametrize("opts", [{}, {"single_task_rows": 0, "bucket_rows": 2}])
+@pytest.mark.parametrize("opts", [{}, {"bucket_rows": 2}])
 def test_rank_in_country(tx, opts):
     got = [(r.country, r.customer_id, r.rank_in_country, r.dense_rank_in_country,
             r.row_num_in_country) for r in windows.customer_rank_in_country(tx, **opts).collect()]
@@ -108,7 +108,7 @@ def test_rank_in_country(tx, opts):
                    (None, 4, 1, 1, 1)]
 
 
-@pytest.mark.parametrize("opts", [{}, {"single_task_rows": 0, "bucket_rows": 2}])
+@pytest.mark.parametrize("opts", [{}, {"bucket_rows": 2}])
 def test_order_sequence(tx, opts):
     got = [(r.invoice, str(r.order_value), r.order_sequence_number)
            for r in windows.order_sequence(tx, **opts).filter("customer_id = 1").collect()]
@@ -122,7 +122,7 @@ def test_first_last_product(tx):
                    4: ("PEN", "PEN"), 5: ("PEN", "PEN"), 6: ("TAG", "TAG")}
 
 
-@pytest.mark.parametrize("opts", [{}, {"single_task_rows": 0, "bucket_rows": 2}])
+@pytest.mark.parametrize("opts", [{}, {"bucket_rows": 2}])
 def test_rfm_and_percentiles(tx, opts):
     r = rfm.rfm_segments(tx, **opts).collect()
     assert len(r) == 6
@@ -162,7 +162,7 @@ def test_quantile_matches_percentile(spark, q):
     df = spark.createDataFrame([(float(rnd.choice([1, 2, 2, 3, 7.5, 100])) + rnd.random(),)
                                 for _ in range(501)], "v double")
     want = df.agg(F.percentile("v", F.lit(q)).alias("t")).first().t
-    for opts in ({}, {"single_task_rows": 0, "bucket_rows": 40}):
+    for opts in ({}, {"bucket_rows": 40}):
         assert stats.quantile(df, "v", q, **opts).first().threshold == want
 
 

@@ -22,12 +22,12 @@ def test_top_products_at_risk_one_pass_with_group_limit(tx):
 
 
 def test_bucketed_ranking_windows_are_partitioned(tx):
-    df = rfm.rfm_segments(tx, single_task_rows=0, bucket_rows=2, sort=False)
+    df = rfm.rfm_segments(tx, bucket_rows=2, sort=False)
     p = _plan(df)
     # the per-row windows run per bucket; only the bucket-statistics window
     # (one row per bucket) may be global
     assert "hashpartitioning(_pid" in p
-    df2 = windows.customer_rank_in_country(tx, single_task_rows=0, bucket_rows=2, sort=False)
+    df2 = windows.customer_rank_in_country(tx, bucket_rows=2, sort=False)
     assert "hashpartitioning(_pid" in _plan(df2)
 
 
@@ -55,7 +55,7 @@ def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
 def test_bucketed_ranking_shuffles_rows_once(tx):
     # one row-level exchange (by bucket); the bucket statistics travel as
     # partial aggregates and a broadcast of at most MAX_BUCKETS rows
-    df = windows.ltv_percentile_tiers(tx, single_task_rows=0, bucket_rows=2, sort=False)
+    df = windows.ltv_percentile_tiers(tx, bucket_rows=2, sort=False)
     p = _plan(df)
     assert p.count("REPARTITION_BY_COL") == 1
     assert "BroadcastHashJoin" in p

@@ -73,6 +73,6 @@ def test_bucketed_equals_plain_random(spark, rows, bucket_rows):
              RankSpec("nt", "ntile", (("m", True),), ("id",), n=3)]
     for part in ([], ["g"]):
         plain = add_rankings(df, specs, part)
-        dist = add_rankings(df, specs, part, single_task_rows=0, bucket_rows=bucket_rows)
+        dist = add_rankings(df, specs, part, bucket_rows=bucket_rows)
         cols = ["id", "rn", "rk", "dr", "nt"]
         assert sorted(plain.select(cols).collect()) == sorted(dist.select(cols).collect())

@@ -34,7 +34,7 @@ def test_bucketed_global_equals_plain(spark, bucket_rows):
     df = _data(spark)
     specs = SPECS + [RankSpec("nt", "ntile", (("m", True),), ("id",), n=7)]
     plain = add_rankings(df, specs)
-    dist = add_rankings(df, specs, single_task_rows=0, bucket_rows=bucket_rows)
+    dist = add_rankings(df, specs, bucket_rows=bucket_rows)
     cols = ["rn", "rk", "dr", "nt"]
     assert _collect(plain, cols) == _collect(dist, cols)
 
@@ -44,8 +44,7 @@ def test_bucketed_partitioned_equals_plain(spark, bucket_rows):
     df = _data(spark, seed=3)
     specs = SPECS + [RankSpec("nt", "ntile", (("m", True),), ("id",), n=7)]
     plain = add_rankings(df, specs, partition_by=["g"])
-    dist = add_rankings(df, specs, partition_by=["g"], single_task_rows=0,
-                        bucket_rows=bucket_rows)
+    dist = add_rankings(df, specs, partition_by=["g"], bucket_rows=bucket_rows)
     cols = ["rn", "rk", "dr", "nt"]
     assert _collect(plain, cols) == _collect(dist, cols)
 
@@ -54,7 +53,7 @@ def test_all_equal_keys_and_small_n(spark):
     df = spark.range(12).withColumn("m", F.lit(5))
     specs = [RankSpec("nt", "ntile", (("m", True),), ("id",), n=5),
              RankSpec("rk", "rank", (("m", True),))]
-    for kw in ({}, {"single_task_rows": 0, "bucket_rows": 3}):
+    for kw in ({}, {"bucket_rows": 3}):
         out = add_rankings(df, specs, **kw).orderBy("id").collect()
         sizes = {}
         for r in out:
@@ -66,7 +65,7 @@ def test_all_equal_keys_and_small_n(spark):
 def test_ntile_fewer_rows_than_buckets(spark):
     df = spark.range(7).withColumn("m", F.col("id") * 2)
     out = add_rankings(df, [RankSpec("p", "ntile", (("m", True),), ("id",), n=100)],
-                       single_task_rows=0, bucket_rows=2)
+                       bucket_rows=2)
     assert sorted(r.p for r in out.collect()) == [1, 2, 3, 4, 5, 6, 7]
 
 

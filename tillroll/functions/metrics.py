@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import pct
+from tillroll.plans.store import stored
 
 
 def month_of(col) -> Column:
@@ -41,26 +42,38 @@ def with_as_of(df: DataFrame, as_of=None, tx: DataFrame | None = None) -> DataFr
     raise TypeError("as_of must be None, a date, an ISO string or a Column")
 
 
-def customer_summary(tx: DataFrame, as_of=None, recency: bool = True) -> DataFrame:
+def customer_summary(tx: DataFrame, as_of=None, recency: bool = True,
+                     need: tuple = ()) -> DataFrame:
     """B1: one row per customer.
 
     ``customer_id, first_purchase, last_purchase, as_of, days_inactive,
     total_orders, unique_products, lifetime_value, line_count``.
     ``recency=False`` leaves out ``as_of``/``days_inactive`` (no reference
     date needed).  ``lifetime_value`` is the exact decimal sum (unrounded; revenue has
-    scale 2 so it is already a cent value).  Aggregates a caller does not
-    select are pruned by Catalyst, so one definition serves every operator.
+    scale 2 so it is already a cent value).  ``need`` names the aggregates a
+    caller uses (default: all).
+
+    Without a given ``as_of`` it is the latest ``last_purchase``: the summary,
+    one row per customer, is then stored, so the lines are read and aggregated
+    once; this runs a job while the result is built.
     """
-    s = (tx.groupBy("customer_id")
-           .agg(F.to_date(F.min("invoicedate")).alias("first_purchase"),
-                F.to_date(F.max("invoicedate")).alias("last_purchase"),
-                F.count_distinct("invoice").alias("total_orders"),
-                F.count_distinct("stockcode").alias("unique_products"),
-                F.sum("revenue").alias("lifetime_value"),
-                F.count(F.lit(1)).alias("line_count")))
+    aggs = {
+        "first_purchase": F.to_date(F.min("invoicedate")),
+        "last_purchase": F.to_date(F.max("invoicedate")),
+        "total_orders": F.count_distinct("invoice"),
+        "unique_products": F.count_distinct("stockcode"),
+        "lifetime_value": F.sum("revenue"),
+        "line_count": F.count(F.lit(1)),
+    }
+    need = {*need, "last_purchase"} if need else set(aggs)
+    s = tx.groupBy("customer_id").agg(*[v.alias(k) for k, v in aggs.items() if k in need])
     if not recency:
         return s
-    s = with_as_of(s, as_of, tx)
+    if as_of is None:
+        s = stored(s)
+        s = s.crossJoin(F.broadcast(s.agg(F.max("last_purchase").alias("as_of"))))
+    else:
+        s = with_as_of(s, as_of, tx)
     return s.withColumn("days_inactive", F.datediff("as_of", "last_purchase"))
 
 

@@ -31,7 +31,8 @@ def churn_flags(tx: DataFrame, as_of=None, cuts=CHURN_CUTS, sort: bool = True,
                 summary: DataFrame | None = None) -> DataFrame:
     """``customer_id, last_purchase, days_inactive, total_orders,
     lifetime_value, churn_risk`` — most inactive first."""
-    s = summary if summary is not None else customer_summary(tx, as_of)
+    s = summary if summary is not None else customer_summary(
+        tx, as_of, need=("total_orders", "lifetime_value"))
     out = s.select(
         "customer_id", "last_purchase", "days_inactive", "total_orders",
         F.round("lifetime_value", 2).alias("lifetime_value"),
@@ -76,17 +77,15 @@ def cohort_retention(tx: DataFrame, max_offset: int = 12, scale: int = 2,
     """``cohort_month, cohort_customers, month_number, retained_customers,
     retention_rate_pct`` for month offsets 0..max_offset.
 
-    Each customer's set of active months is collected by a partially
-    aggregated ``collect_set`` (its size is bounded by the calendar, never by
-    the number of lines, so a very heavy customer is cheap), the cohort is
-    the set's minimum, and the final count is a plain ``count`` because the
-    set is already distinct.  No join with the fact table is needed.
+    The lines are first reduced to one row per (customer, active month), a
+    hash aggregate with partial combining, so a very heavy customer is cheap;
+    the cohort is the customer's first such month (a window over at most as
+    many rows as the calendar has months), and the final count is a plain
+    ``count``.  No join with the fact table is needed.
     """
-    months = (tx.groupBy("customer_id")
-                .agg(F.collect_set(month_of("invoicedate"))
-                     .alias("months"))
-                .select("customer_id", F.array_min("months").alias("cohort_month"),
-                        F.explode("months").alias("activity_month")))
+    months = (tx.select("customer_id", month_of("invoicedate").alias("activity_month")).distinct()
+              .withColumn("cohort_month", F.min("activity_month").over(
+                  Window.partitionBy("customer_id"))))
     offs = months.withColumn("month_number",
                              _months_between("activity_month", "cohort_month"))
     counts = (offs.filter(F.col("month_number").between(0, max_offset))

@@ -79,36 +79,50 @@ def _violations():
         (F.col("invoicedate").isNull(), "invoicedate is null"),
         (F.col("price").isNull(), "price is null"),
         (F.col("customer_id").isNull(), "customer_id is null"),
+        (F.col("price").isNotNull() & _price().isNull(), "price out of range"),
+        (F.col("price").isNotNull() & F.col("quantity").isNotNull() & _revenue().isNull(),
+         "revenue out of range"),
     ] + [(F.length(c) > n, f"{c} longer than {n}") for c, n in MAX_LEN.items()]
     return F.concat_ws(", ", *[F.when(cond, F.lit(msg)) for cond, msg in checks])
 
 
+def _price():
+    """Price in cents precision, null if it does not fit."""
+    return F.round(F.col("price").try_cast("decimal(20,6)"), 2).try_cast(PRICE_TYPE)
+
+
+def _revenue():
+    """Revenue from the unrounded price, rounded to cents; null if it does not fit."""
+    exact = F.col("quantity").cast("decimal(10,0)") * F.col("price").try_cast("decimal(20,6)")
+    return F.round(exact, 2).try_cast(REVENUE_TYPE)
+
+
 def _typed_columns():
-    price = F.col("price").cast("decimal(20,6)")
     return [
         F.col("invoice").cast("string").alias("invoice"),
         F.col("stockcode").cast("string").alias("stockcode"),
         F.col("description").cast("string").alias("description"),
         F.col("quantity").cast("int").alias("quantity"),
         F.col("invoicedate").cast("timestamp_ntz").alias("invoicedate"),
-        F.round(price, 2).cast(PRICE_TYPE).alias("price"),
+        _price().alias("price"),
         F.col("customer_id").cast("bigint").alias("customer_id"),
         F.col("country").cast("string").alias("country"),
-        # revenue from the unrounded price, then rounded to cents
-        F.round(F.col("quantity").cast("decimal(10,0)") * price, 2).cast(REVENUE_TYPE)
-        .alias("revenue"),
+        _revenue().alias("revenue"),
     ]
 
 
 def type_transactions(clean: DataFrame, on_violation: str = "raise") -> DataFrame:
     """Cast to the transaction schema and derive ``revenue``.
 
-    ``on_violation='raise'`` fails the job on the first NOT NULL / length
-    violation (as the table constraints would); ``'drop'`` keeps only valid
-    rows (see :func:`transaction_rejects` for the others).
+    ``on_violation='raise'`` fails the job on the first NOT NULL / length /
+    numeric range violation (as the table constraints would); ``'drop'`` keeps
+    only valid rows (see :func:`transaction_rejects` for the others);
+    ``'trust'`` checks nothing, for lines that were checked when loaded.
     """
-    if on_violation not in ("raise", "drop"):
-        raise ValueError("on_violation must be 'raise' or 'drop'")
+    if on_violation not in ("raise", "drop", "trust"):
+        raise ValueError("on_violation must be 'raise', 'drop' or 'trust'")
+    if on_violation == "trust":
+        return clean.select(_typed_columns())
     v = _violations()
     if on_violation == "drop":
         checked = clean.filter(v == F.lit(""))

@@ -53,7 +53,8 @@ def top_customers(tx: DataFrame, k: int = 10, with_dates: bool = True,
     """``revenue_rank, customer_id, total_orders, total_revenue,
     avg_order_value[, first_purchase, last_purchase]`` for the top k.
     ``avg_order_value`` is the mean *line* revenue."""
-    s = (summary if summary is not None else customer_summary(tx, recency=False)).select(
+    s = (summary if summary is not None else customer_summary(
+        tx, recency=False, need=("first_purchase", "total_orders", "lifetime_value", "line_count"))).select(
         "customer_id", "total_orders", F.round("lifetime_value", 2).alias("total_revenue"),
         mean_of("lifetime_value", "line_count", 2).alias("avg_order_value"),
         *(["first_purchase", "last_purchase"] if with_dates else []))

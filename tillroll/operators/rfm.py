@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tillroll.functions.metrics import customer_summary, share_of_total
 from tillroll.functions.numeric import mean_of
 from tillroll.plans.ranking import RankSpec, add_rankings
-from tillroll.schema import (SEG_AT_RISK, SEG_BIG_SPENDER, SEG_CHAMPION, SEG_LOST,
-                             SEG_POTENTIAL, SEG_REGULAR)
+from tillroll.schema import SEG_OTHER, SEGMENT_RULES
 
 
 def segment_of(r, f, m):
-    """Six segments, first matching rule wins."""
-    r, f, m = F.col(r), F.col(f), F.col(m)
-    return (F.when((r >= 4) & (f >= 4) & (m >= 4), F.lit(SEG_CHAMPION))
-             .when((r >= 3) & (m >= 4), F.lit(SEG_BIG_SPENDER))
-             .when((r >= 3) & (f >= 3), F.lit(SEG_REGULAR))
-             .when((r <= 2) & (f >= 3), F.lit(SEG_AT_RISK))
-             .when((r <= 2) & (f <= 2), F.lit(SEG_LOST))
-             .otherwise(F.lit(SEG_POTENTIAL)))
+    """Six segments by the bounds of :data:`SEGMENT_RULES`, first matching rule wins."""
+    score = {"r": F.col(r), "f": F.col(f), "m": F.col(m)}
+    out = F.lit(SEG_OTHER)
+    for label, bounds in reversed(SEGMENT_RULES):
+        fits = F.lit(True)
+        for s, (low, high) in bounds.items():
+            fits = fits & score[s].between(low, high)
+        out = F.when(fits, F.lit(label)).otherwise(out)
+    return out
 
 
 def rfm_segments(tx: DataFrame, as_of=None, n: int = 5, sort: bool = True,
@@ -31,9 +31,10 @@ def rfm_segments(tx: DataFrame, as_of=None, n: int = 5, sort: bool = True,
     Scores are NTILE(n): recency by days descending (n = most recent),
     frequency and monetary ascending; ties broken by ``customer_id``.
     The three global NTILEs run through :func:`add_rankings`, so no single
-    task ever holds all customers once they exceed the checked size.
+    task ever holds all customers.
     """
-    s = (summary if summary is not None else customer_summary(tx, as_of)).select(
+    s = (summary if summary is not None else customer_summary(
+        tx, as_of, need=("total_orders", "lifetime_value"))).select(
         "customer_id", F.col("last_purchase").alias("last_purchase_date"),
         F.col("days_inactive").alias("recency_days"),
         F.col("total_orders").alias("frequency"),

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.plans.ranking import RankSpec, add_rankings
+from tillroll.plans.store import stored
 
 
 def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> DataFrame:
@@ -61,8 +62,9 @@ def quantile(df: DataFrame, col: str = "lifetime_value", q: float = 0.9,
     if approx:
         return df.agg(F.percentile_approx(x, q, accuracy).alias("threshold"))
     vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    vals = stored(vals)
     ranked = add_rankings(vals, [RankSpec("_rn", "row_number", (("_x", True),))], **rank_opts)
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
+    n = vals.agg(F.count(F.lit(1)).alias("_n"))
     pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
     lo_i, hi_i = F.floor(pos), F.ceil(pos)
     picked = (ranked.crossJoin(F.broadcast(n))

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary, with_as_of
+from tillroll.functions.metrics import customer_summary
 from tillroll.functions.numeric import mean_of
 from tillroll.plans.ranking import RankSpec, add_rankings
 from tillroll.schema import (RECOVERY_RATES, WINBACK_AT_RISK, WINBACK_CHURN_DAYS,
@@ -23,7 +23,8 @@ def winback_candidates(tx: DataFrame, as_of=None, min_days: int = WINBACK_MIN_DA
     ``priority_rank, customer_id, last_purchase, days_inactive, total_orders,
     lifetime_value, avg_order_value, unique_products_bought, status``
     (status: At-Risk for min..churn days inclusive, Churned above)."""
-    s = summary if summary is not None else customer_summary(tx, as_of)
+    s = summary if summary is not None else customer_summary(
+        tx, as_of, need=("total_orders", "unique_products", "lifetime_value", "line_count"))
     s = s.filter(F.col("days_inactive") >= min_days).select(
         "customer_id", "last_purchase", "days_inactive", "total_orders",
         F.round("lifetime_value", 2).alias("lifetime_value"),
@@ -52,7 +53,8 @@ def winback_priority(tx: DataFrame, as_of=None, n: int = 10,
     inactive ≥ ``min_days`` (deciles are taken *after* that filter).
     LTV decile ascending; recency decile by days descending (so a larger
     decile means more recently active); ties by ``customer_id``."""
-    s = ((summary if summary is not None else customer_summary(tx, as_of))
+    s = ((summary if summary is not None else customer_summary(
+        tx, as_of, need=("lifetime_value",)))
          .filter(F.col("days_inactive") >= min_days)
          .select("customer_id", "days_inactive",
                  F.round("lifetime_value", 2).alias("lifetime_value")))
@@ -77,7 +79,8 @@ def recovery_potential(tx: DataFrame, as_of=None, rates=RECOVERY_RATES,
     (rounded to cents when ``round_inner``); then count × mean × rate, which
     is computed exactly as sum × rate.  With no churned customer the row is
     ``0`` and nulls."""
-    s = summary if summary is not None else customer_summary(tx, as_of)
+    s = summary if summary is not None else customer_summary(
+        tx, as_of, need=("lifetime_value", "line_count"))
     s = s.filter(F.col("days_inactive") > churn_days)
     inner = F.col("lifetime_value") / F.col("line_count").cast("decimal(20,0)")
     if round_inner:
@@ -101,32 +104,31 @@ def recovery_long(recovery: DataFrame) -> DataFrame:
     return wide.unpivot([], names, "metric", "value")
 
 
+def product_spend(tx: DataFrame) -> DataFrame:
+    """``customer_id, stockcode, description`` (largest spelling), ``total_qty, _spent``.
+
+    Lines are summed per spelling first, a hash aggregate with partial combining."""
+    return (tx.groupBy("customer_id", "stockcode", "description")
+              .agg(F.sum("quantity").alias("_q"), F.sum("revenue").alias("_r"))
+              .groupBy("customer_id", "stockcode")
+              .agg(F.max("description").alias("description"),
+                   F.sum("_q").alias("total_qty"), F.sum("_r").alias("_spent")))
+
+
 def top_products_at_risk(tx: DataFrame, as_of=None, k: int = 3,
                          lo: int = WINBACK_MIN_DAYS, hi: int = WINBACK_CHURN_DAYS) -> DataFrame:
     """For customers inactive ``lo..hi`` days (inclusive), their products
     ranked by spend: ``customer_id, stockcode, description, total_qty,
     total_spent, product_rank`` with rank ≤ k (ties may give more rows).
 
-    One pass over the lines: they are summed per (customer, product,
-    spelling) with partial combining, so the lines themselves are never
-    shuffled; a customer's last purchase is the latest of its product
-    rows (a window over the customer's products, bounded by the catalog),
-    which selects the at-risk customers; the rank filter becomes a
-    ``WindowGroupLimit``.  (Filtering the lines first would need a join of
-    every line with a customer set too large to broadcast, plus a second
-    scan of the lines to find that set.)"""
-    per = (tx.groupBy("customer_id", "stockcode", "description")
-             .agg(F.sum("quantity").alias("_q"), F.sum("revenue").alias("_r"),
-                  F.max("invoicedate").alias("_last"))
-             .groupBy("customer_id", "stockcode")
-             .agg(F.max("description").alias("description"),
-                  F.sum("_q").alias("total_qty"), F.sum("_r").alias("_spent"),
-                  F.max("_last").alias("_last")))
-    per = per.withColumn("last_purchase", F.to_date(F.max("_last").over(
-        Window.partitionBy("customer_id"))))
-    per = with_as_of(per, as_of, tx).withColumn(
-        "days_inactive", F.datediff("as_of", "last_purchase"))
-    at_risk = per.filter(F.col("days_inactive").between(lo, hi))
+    The at-risk customers are found first, from one small row per customer;
+    a left semi join keeps their lines (a shuffled join, or a broadcast where
+    the runtime size allows), and only those are summed per product.  The rank
+    filter becomes a ``WindowGroupLimit``.
+    """
+    days = customer_summary(tx, as_of, need=("last_purchase",))
+    chosen = days.filter(F.col("days_inactive").between(lo, hi)).select("customer_id")
+    at_risk = product_spend(tx.join(chosen, "customer_id", "left_semi"))
     w = Window.partitionBy("customer_id").orderBy(F.col("_spent").desc())
     return (at_risk.withColumn("product_rank", F.rank().over(w))
                    .filter(F.col("product_rank") <= k)

@@ -17,7 +17,8 @@ def customer_rank_in_country(tx: DataFrame, sort: bool = True, **rank_opts) -> D
     """``customer_id, country, total_revenue, rank_in_country,
     dense_rank_in_country, row_num_in_country`` by revenue descending
     (row numbers break ties by ``customer_id``).  A dominant country is
-    split over several buckets by :func:`add_rankings`."""
+    split over several buckets by :func:`add_rankings`; the three columns
+    share one order, so they are one pass."""
     per = (tx.groupBy("customer_id", "country")
              .agg(F.sum("revenue").alias("_rev")))
     by_rev = (("_rev", False),)
@@ -110,14 +111,31 @@ def first_last_product(tx: DataFrame, sort: bool = True) -> DataFrame:
     """``customer_id, first_product_bought, last_product_bought``.
 
     The description of the first and last line in time order (ties by
-    invoice, stock code, then description with nulls last).  ``min_by`` /
-    ``max_by`` over an ordering struct pre-aggregate before the shuffle, so
-    a heavy customer's lines are never gathered in one place; a null
-    description of the chosen line is returned as null, as FIRST_VALUE /
-    LAST_VALUE do."""
+    invoice, stock code, then description with nulls last); a null description
+    of the chosen line is returned as null, as FIRST_VALUE / LAST_VALUE do.
+
+    A hash aggregate finds each customer's first and last time; only the lines
+    at these two times reach ``min_by`` / ``max_by``, whose text buffers need a
+    sort-based aggregate."""
+    ends = tx.groupBy("customer_id").agg(F.min("invoicedate").alias("_first"),
+                                         F.max("invoicedate").alias("_last"))
+    lines = tx.select("customer_id", "invoicedate", "invoice", "stockcode", "description").join(
+        ends, "customer_id").filter((F.col("invoicedate") == F.col("_first"))
+                                    | (F.col("invoicedate") == F.col("_last")))
     key = F.struct("invoicedate", "invoice", "stockcode",
                    F.col("description").isNull().alias("_null_desc"), "description")
-    out = (tx.groupBy("customer_id")
-             .agg(F.min_by("description", key).alias("first_product_bought"),
-                  F.max_by("description", key).alias("last_product_bought")))
+    out = (lines.groupBy("customer_id")
+           .agg(F.min_by("description", key).alias("first_product_bought"),
+                F.max_by("description", key).alias("last_product_bought")))
     return out.orderBy("customer_id") if sort else out
+
+
+def running_invoice_revenue(tx: DataFrame, **rank_opts) -> DataFrame:
+    """O14 at invoice grain: ``invoice, invoicedate, revenue, running_revenue`` in time
+    order (ties by invoice).  One row per invoice is too many for a one-task
+    window, so the running total is a ranking column."""
+    per = tx.groupBy("invoice", "invoicedate").agg(F.sum("revenue").alias("_rev"))
+    r = add_rankings(per, [RankSpec("_run", "running_sum", (("invoicedate", True),), ("invoice",),
+                                    value="_rev")], **rank_opts)
+    return r.select("invoice", "invoicedate", F.round("_rev", 2).alias("revenue"),
+                    F.round("_run", 2).alias("running_revenue"))

@@ -2,7 +2,9 @@
 
 Every query reads the test tables through the adapter, cleans and types
 them, runs one operator over the whole data and returns the result with
-boundary types (:func:`tillroll.functions.numeric.to_contract`).
+boundary types (:func:`tillroll.functions.numeric.to_contract`).  The contract
+of the lines is checked where they are loaded (``transactions``,
+``write_and_reconcile``, ``transaction_rejects``); reports trust it.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import to_contract
 from tillroll.operators import churn, clean, revenue, rfm, stats, winback, windows
-from tillroll.plans.ranking import materialize
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.plans.store import folder, remove, stored
+from tillroll.schema import BULK_SCALE
 from tillroll.sources.adapter import load_tx, raw_lines_from_tables
-from tillroll.sources.raw import normalize_columns, union_sources
+from tillroll.sources.raw import normalize_columns, read_raw, union_sources
 from tillroll.sources.sink import write_and_reconcile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +31,12 @@ EXTRACT_HEADERS = {"invoice": "Invoice", "stockcode": "StockCode",
                    "invoicedate": "InvoiceDate", "price": "Price",
                    "customer_id": "Customer ID", "country": "Country"}
 EXTRACT_SPLIT = "1996-01-01"
+EXTRACT_DATES = "M/d/yyyy H:mm"
 
 
 def _on_tx(fn) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return to_contract(fn(load_tx(spark, sf_dir)))
+        return to_contract(fn(load_tx(spark, sf_dir, on_violation="trust")))
     run.__name__ = getattr(fn, "__name__", "query")
     run.on_tx = lambda tx: to_contract(fn(tx))  # same query over a stored table
     return run
@@ -54,17 +57,49 @@ def _cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_contract(clean.cleaning_audit(raw_lines_from_tables(spark, sf_dir)))
 
 
+def _raw_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw lines as CSV extracts in the sheets' own text (headers, ids with a fraction,
+    US dates), read back by header."""
+    raw = raw_lines_from_tables(spark, sf_dir)
+    text = raw.withColumns({
+        "customer_id": F.concat(F.col("customer_id").cast("string"), F.lit(".0")),
+        "invoicedate": F.date_format("invoicedate", EXTRACT_DATES)})
+    path = f"{folder(spark)}/extract-{uuid.uuid4().hex}"
+    text.select([F.col(c).alias(h) for c, h in EXTRACT_HEADERS.items()]).write.option(
+        "header", "true").csv(path)
+    return to_contract(read_raw(spark, path, fmt="csv", timestamp_format=EXTRACT_DATES))
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_contract(load_tx(spark, sf_dir))
+
+
+_transactions.on_tx = to_contract
+
+
+def _transaction_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned lines at bulk quantities, which the contract's revenue type cannot hold."""
+    lines = clean.clean_transactions(raw_lines_from_tables(spark, sf_dir)).withColumn(
+        "quantity", (F.col("quantity") * BULK_SCALE).cast("int"))
+    return to_contract(clean.transaction_rejects(lines).select(
+        "invoice", "stockcode", "quantity", "price", "violations"))
+
+
 def _write_and_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/transactions-{uuid.uuid4().hex}"
-    return write_and_reconcile(load_tx(spark, sf_dir), path)
+    path = f"{folder(spark)}/transactions-{uuid.uuid4().hex}"
+    try:
+        return write_and_reconcile(load_tx(spark, sf_dir), path)
+    finally:
+        remove(spark, path)
 
 
 QUERIES: dict[str, Query] = {
     # ingest
     "raw_union": _raw_union,
     "cleaning_audit": _cleaning_audit,
-    "transactions": _on_tx(lambda tx: tx),
+    "raw_extract": _raw_extract,
+    "transactions": _transactions,
+    "transaction_rejects": _transaction_rejects,
     "write_and_reconcile": _write_and_reconcile,
     # RFM
     "rfm_segments": _on_tx(rfm.rfm_segments),
@@ -100,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "order_sequence": _on_tx(windows.order_sequence),
     "ltv_percentile_tiers": _on_tx(windows.ltv_percentile_tiers),
     "first_last_product": _on_tx(windows.first_last_product),
+    "running_invoice_revenue": _on_tx(windows.running_invoice_revenue),
     # notebook variants of the statements above
     "rfm_scores": _on_tx(lambda tx: rfm.rfm_segments(tx).drop("last_purchase_date")),
     "monthly_revenue_trend": _on_tx(lambda tx: revenue.monthly_revenue_growth(
@@ -113,6 +149,6 @@ QUERIES: dict[str, Query] = {
         tx, round_inner=False)),
     "ltv_percentiles": _on_tx(lambda tx: windows.ltv_percentile_tiers(tx, with_tier=False)),
     # chart statistics
-    "ltv_histogram": _on_tx(lambda tx: stats.histogram(materialize(windows.customer_ltv(tx)))),
+    "ltv_histogram": _on_tx(lambda tx: stats.histogram(stored(windows.customer_ltv(tx)))),
     "ltv_quantile": _on_tx(lambda tx: stats.quantile(windows.customer_ltv(tx))),
 }

@@ -2,33 +2,30 @@
 
 ``Window.orderBy(...)`` with no ``partitionBy`` moves every row into a single
 task, and ``partitionBy(key)`` does the same for a key that holds a third of
-the rows.  :func:`add_rankings` computes ``row_number``, ``rank``,
-``dense_rank`` and ``ntile`` exactly, in two regimes:
-
-* **small input** (largest group ≤ ``single_task_rows``, checked by a count
-  on the materialised input): plain windows — one task per group, and the
-  group size is known to be bounded;
-* **large input**: range buckets.  Cut points are taken from a sample of the
-  full sort key (group, order, tie-break) and applied as literals, so each
-  row's bucket is a deterministic function of its key; a heavy group or a
-  heavy order value is split over several buckets by the tie-break.  Each
-  bucket is ranked locally (one task each, bounded by the bucket size), then
-  per-bucket statistics (≤ number of buckets rows) give every bucket the
-  rows, equal-key rows and distinct values that precede it.  These carries
-  are joined back by broadcast, whose size is the bucket count.
-
-Cost of the large-input path: one shuffle of the rows, by bucket.  The
-bucket statistics are partial aggregates over the bucket id (one row per
-bucket leaves each task); only ``dense_rank`` adds a distinct count of the
-order values of each bucket's last group.  The carries are a broadcast of
-at most ``MAX_BUCKETS`` rows.
-
-The input is first checkpointed to the shared checkpoint folder: the count,
-the sample and the final pass then read the materialised rows instead of
-recomputing the upstream plan, and the lineage is cut (an executor loss
-re-reads the checkpoint rather than re-running the upstream job).
-
-Null order keys sort last (ascending and descending alike).
+the rows. :func:`add_rankings` computes ``row_number``, ``rank``,
+``dense_rank``, ``ntile`` and ``running_sum`` exactly, on one path for every
+input size:
+
+1. the input is stored with a row id;
+2. it is range-partitioned by (group, order, ties, row id), in Spark's own
+   ordering, and stored with the partition number, in ``rows / bucket_rows`` buckets (``MIN_BUCKETS`` at least). The row
+   id closes the key, so equal values, and even copies of a row, are split;
+3. windows within (bucket, group) give local ranks;
+4. one row of statistics per bucket (its first and last group and value, and
+   the local ranks of its last row) tells every bucket what precedes it. These
+   carries are added to the bucket's first group, the only one that can have
+   begun earlier.
+
+All columns of one order are computed in one pass: one range shuffle of the
+rows and one by bucket. Only the bucket statistics pass a window of their own
+(one row per bucket). Columns of another order take another pass over the
+result of the first.
+
+Nulls sort last, ascending and descending alike; otherwise the order is
+Spark's (NaN is the largest number).
+
+:func:`add_rankings` runs jobs while it builds its result: it stores the input,
+counts it, and stores it once more per order, by bucket.
 """
 
 from __future__ import annotations
@@ -38,19 +35,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.plans.store import stored
 
-DEFAULT_SINGLE_TASK_ROWS = 2_000_000
-CONF_SINGLE_TASK_ROWS = "tillroll.ranking.singleTaskRows"
 CONF_BUCKET_ROWS = "tillroll.ranking.bucketRows"
-OVERSAMPLE = 32
-# Upper bound on the number of range buckets: keeps the cut-point CASE tree
-# (2 x buckets literals, depth log2) and the broadcast carries small; above
-# it the buckets simply grow (a window sorts and spills within its task).
-MAX_BUCKETS = 4096
-KINDS = ("row_number", "rank", "dense_rank", "ntile")
+DEFAULT_BUCKET_ROWS = 500_000
+MIN_BUCKETS = 4
+KINDS = ("row_number", "rank", "dense_rank", "ntile", "running_sum")
 
 
 @dataclass(frozen=True)
@@ -59,7 +50,9 @@ class RankSpec:
 
     ``order``: ``(column, ascending)`` pairs.  ``ties``: extra ascending
     columns that make the order total (needed for deterministic
-    ``row_number`` / ``ntile``; ignored by ``rank`` / ``dense_rank``).
+    ``row_number`` / ``ntile`` / ``running_sum``; ignored by ``rank`` /
+    ``dense_rank``).  ``n``: buckets of ``ntile``; ``value``: the summed column
+    of ``running_sum`` (row by row, not by peers).
     """
 
     name: str
@@ -67,43 +60,21 @@ class RankSpec:
     order: tuple = ()
     ties: tuple = ()
     n: int | None = None
+    value: str | None = None
 
     def __post_init__(self):
         if self.kind not in KINDS:
             raise ValueError(f"kind must be one of {KINDS}")
         if self.kind == "ntile" and not self.n:
             raise ValueError("ntile needs n")
-
-
-def _single_task_rows(spark, override):
-    if override is not None:
-        return int(override)
-    v = spark.conf.get(CONF_SINGLE_TASK_ROWS, None)
-    return int(v) if v else DEFAULT_SINGLE_TASK_ROWS
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared checkpoint folder (cuts lineage)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        if self.kind == "running_sum" and not self.value:
+            raise ValueError("running_sum needs value")
 
 
 def _sort_col(c: str, asc: bool) -> Column:
     return F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_last()
 
 
-def ntile_from_row_number(rn: Column, total: int, n: int) -> Column:
-    """NTILE(n) from a 1-based row number over ``total`` rows: the first
-    ``total % n`` buckets hold one row more than the others."""
-    q, r = divmod(total, n)
-    big = r * (q + 1)
-    first = F.floor((rn - 1) / F.lit(q + 1)) + 1
-    if q == 0:
-        return first.cast("bigint")
-    rest = F.floor((rn - 1 - F.lit(big)) / F.lit(q)) + 1 + F.lit(r)
-    return F.when(rn <= F.lit(big), first).otherwise(rest).cast("bigint")
-
-
 def ntile_of_group(rn: Column, size: Column, n: int) -> Column:
     """NTILE(n) from a row number within a group of ``size`` rows (columns)."""
     q = F.floor(size / F.lit(n))
@@ -115,207 +86,131 @@ def ntile_of_group(rn: Column, size: Column, n: int) -> Column:
 
 
 def add_rankings(df: DataFrame, specs, partition_by=(), *,
-                 single_task_rows: int | None = None,
                  bucket_rows: int | None = None) -> DataFrame:
-    """Return ``df`` with one bigint column per :class:`RankSpec`."""
-    specs = list(specs)
-    partition_by = list(partition_by)
-    spark = df.sparkSession
-    limit = _single_task_rows(spark, single_task_rows)
-    base = materialize(df)
-    total = base.count()
-    largest = total
-    if partition_by and total > limit:  # no group can exceed the whole input
-        largest = int(base.groupBy(*partition_by).count().agg(F.max("count")).first()[0] or 0)
-    if largest <= limit:
-        return _plain(base, specs, partition_by)
-    conf_bucket = spark.conf.get(CONF_BUCKET_ROWS, None)
-    per_bucket = bucket_rows or (int(conf_bucket) if conf_bucket else max(1, limit // 4))
-    out = base
-    for i, s in enumerate(specs):
-        out = _bucketed(out, s, partition_by, total, per_bucket)
-        if i < len(specs) - 1:
-            out = materialize(out)  # the next spec samples and ranks stored rows
-    return out
-
-
-def _plain(base: DataFrame, specs, partition_by) -> DataFrame:
-    out = base
-    for s in specs:
-        order = [_sort_col(c, a) for c, a in s.order]
-        if s.kind in ("row_number", "ntile"):
-            order += [_sort_col(c, True) for c in s.ties]
-        w = Window.partitionBy(*partition_by).orderBy(*order) if partition_by \
-            else Window.orderBy(*order)
-        fn = (F.ntile(s.n) if s.kind == "ntile" else
-              {"row_number": F.row_number, "rank": F.rank, "dense_rank": F.dense_rank}[s.kind]())
-        out = out.withColumn(s.name, fn.over(w).cast("bigint"))
-    return out
-
-
-# ---- large-input path -------------------------------------------------------
-
-def _zero_of(dt: T.DataType) -> Column:
-    if isinstance(dt, T.StringType):
-        return F.lit("")
-    if isinstance(dt, T.BooleanType):
-        return F.lit(False)
-    if isinstance(dt, T.DateType):
-        return F.lit(0)
-    return F.lit(0).cast(dt)
-
-
-def _norm_fields(df: DataFrame, cols_asc, prefix: str):
-    """Null-free ascending sort fields: (is_null flag, value or -value)."""
-    types = {f.name: f.dataType for f in df.schema.fields}
+    """Return ``df`` with one column per :class:`RankSpec` (bigint; the sum's type for
+    ``running_sum``)."""
+    specs, groups = list(specs), list(partition_by)
+    conf = df.sparkSession.conf.get(CONF_BUCKET_ROWS, None)
+    per_bucket = bucket_rows or (int(conf) if conf else DEFAULT_BUCKET_ROWS)
+    out = stored(df.withColumn("_rowid", F.monotonically_increasing_id()))
+    total = out.count()
+    buckets = max(MIN_BUCKETS, math.ceil(total / per_bucket))
+    for order, ties, same in _passes(specs):
+        out = _ranked(out, same, groups, order, ties, total, buckets)
+    return out.select(*df.columns, *[s.name for s in specs])
+
+
+def _passes(specs) -> list[tuple[tuple, tuple, list]]:
+    """Specs that one sort serves: equal order, and equal ties or none."""
     out = []
-    for i, (c, asc) in enumerate(cols_asc):
-        dt = types[c]
-        v = F.col(c)
-        if isinstance(dt, T.DateType):
-            v = F.unix_date(v)
-            dt = T.IntegerType()
-        elif isinstance(dt, T.TimestampNTZType):
-            # epoch micros of the wall-clock value, independent of the session zone
-            v = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), v)
-            dt = T.LongType()
-        elif isinstance(dt, T.TimestampType):
-            v = F.unix_micros(v)
-            dt = T.LongType()
-        if not asc:
-            if not isinstance(dt, T.NumericType):
-                raise TypeError(f"descending order needs a numeric or date column: {c}")
-            v = -v
-        out.append((f"{prefix}{i}n", F.col(c).isNull().cast("int")))
-        out.append((f"{prefix}{i}v", F.coalesce(v, _zero_of(dt))))
+    for s in specs:
+        ties = () if s.kind in ("rank", "dense_rank") else s.ties
+        for i, (order, held, same) in enumerate(out):
+            if order == s.order and (not ties or not held or ties == held):
+                out[i] = (order, held or ties, [*same, s])
+                break
+        else:
+            out.append((s.order, ties, [s]))
     return out
 
 
-def _cut_literal(values, dtypes) -> Column:
-    return F.struct(*[F.lit(v).cast(t) for v, t in zip(values, dtypes)])
-
-
-def _bucket_expr(key: Column, cuts, dtypes) -> Column:
-    """Bucket id = number of cut points ≤ key, by a balanced CASE tree
-    (depth log2 of the bucket count)."""
-    lits = [_cut_literal(c, dtypes) for c in cuts]
-
-    def tree(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < lits[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
-def _bucketed(base: DataFrame, s: RankSpec, partition_by, total: int,
-              per_bucket: int, keep_bucket: bool = False) -> DataFrame:
-    # A row id closes the key, so even a value (or exact copies of a row)
-    # holding a third of the input is cut into bounded buckets.  ``base`` is
-    # a checkpoint, so the id is the same in the sampling and the final pass.
-    base_id = base.withColumn("_rowid", F.monotonically_increasing_id())
-    g = _norm_fields(base_id, [(c, True) for c in partition_by], "_g")
-    o = _norm_fields(base_id, list(s.order), "_o")
-    t = _norm_fields(base_id, [(c, True) for c in s.ties] + [("_rowid", True)], "_t")
-    if not g:
-        g = [("_g0", F.lit(0))]
-    keyed = base_id.withColumns(dict(g + o + t))
-    gn, on, tn = [n for n, _ in g], [n for n, _ in o], [n for n, _ in t]
-    kn = gn + on + tn
-    K = F.struct(*[F.col(c) for c in kn])
-    G = F.struct(*[F.col(c) for c in gn])
-    O = F.struct(*[F.col(c) for c in on]) if on else F.lit(0)
-
-    # cut points from a sample of the full key, collected once as literals
-    p = min(MAX_BUCKETS, max(2, math.ceil(total / per_bucket)))
-    frac = min(1.0, OVERSAMPLE * p / max(total, 1))
-    sample = (keyed.select(*kn).sample(False, frac, seed=7)
-                   .orderBy(*[F.col(c).asc() for c in kn]).collect())
-    m = len(sample)
-    cuts = []
-    for j in range(1, p):
-        row = tuple(sample[min(m - 1, (j * m) // p)]) if m else None
-        if row is not None and (not cuts or row != cuts[-1]):
-            cuts.append(row)
-    dtypes = [keyed.schema[c].dataType for c in kn]
-    pid = _bucket_expr(K, cuts, dtypes) if cuts else F.lit(0)
-
-    kp = keyed.withColumn("_pid", pid)
-
-    # Bucket statistics from partial aggregates (no rows are shuffled for
-    # them): first/last key per bucket, then the rows (and, for dense_rank,
-    # distinct order values) of the bucket's last group / last key value.
-    ends = kp.groupBy("_pid").agg(F.min(K).alias("_kmin"), F.max(K).alias("_kmax"))
-    ends = ends.select(
-        "_pid",
-        F.struct(*[F.col(f"_kmin.{c}") for c in gn]).alias("fG"),
-        (F.struct(*[F.col(f"_kmin.{c}") for c in on]) if on else F.lit(0)).alias("fO"),
-        F.struct(*[F.col(f"_kmax.{c}") for c in gn]).alias("lG"),
-        (F.struct(*[F.col(f"_kmax.{c}") for c in on]) if on else F.lit(0)).alias("lO"))
-    last_g = G == F.col("lG")
-    aggs = [F.count_if(last_g).alias("t_g"), F.count_if(last_g & (O == F.col("lO"))).alias("t_go"),
-            F.count_if(G == F.col("fG")).alias("h_g")]
-    if s.kind == "dense_rank":
-        aggs.append(F.count_distinct(F.when(last_g, O)).alias("d_g"))
-    else:
-        aggs.append(F.max(F.lit(0)).alias("d_g"))
-    counts = kp.join(F.broadcast(ends), "_pid").groupBy("_pid").agg(*aggs)
-    stats = ends.join(counts, "_pid")
-
-    # ≤ p rows: carries by small single-partition windows over bucket order
-    wp = Window.orderBy("_pid")
-    stats = (stats
-             .withColumn("cont", F.coalesce(
-                 (F.col("fG") == F.lag("lG").over(wp)) & (F.col("fO") == F.lag("lO").over(wp)),
-                 F.lit(False)))
-             .withColumn("d_adj", F.col("d_g") - F.when(F.col("cont") & (F.col("fG") == F.col("lG")),
-                                                         1).otherwise(0))
-             .withColumn("cum_tg", F.sum("t_g").over(Window.partitionBy("lG").orderBy("_pid")))
-             .withColumn("cum_d", F.sum("d_adj").over(Window.partitionBy("lG").orderBy("_pid")))
-             .withColumn("cum_tgo", F.sum("t_go").over(
-                 Window.partitionBy("lG", "lO").orderBy("_pid")))
-             # rows of a bucket's first group in it and all later buckets
-             .withColumn("cum_h", F.sum("h_g").over(
-                 Window.partitionBy("fG").orderBy(F.col("_pid").desc()))))
-    prev_same_g = F.coalesce(F.lag("lG").over(wp) == F.col("fG"), F.lit(False))
-    prev_same_go = prev_same_g & F.coalesce(F.lag("lO").over(wp) == F.col("fO"), F.lit(False))
-    carries = stats.select(
-        "_pid", F.col("fG").alias("_fG"), F.col("fO").alias("_fO"),
-        F.when(prev_same_g, F.lag("cum_tg").over(wp)).otherwise(0).alias("_c_g"),
-        F.when(prev_same_go, F.lag("cum_tgo").over(wp)).otherwise(0).alias("_c_go"),
-        F.when(prev_same_g, F.lag("cum_d").over(wp)).otherwise(0).alias("_d_g"),
-        F.col("lG").alias("_lG"),
-        F.when(F.coalesce(F.lead("fG").over(wp) == F.col("lG"), F.lit(False)),
-               F.lead("cum_h").over(wp)).otherwise(0).alias("_r_g"))
-
-    # the one shuffle of the rows: by bucket, then local ranks per group
-    x = kp.repartition("_pid")
-    wg = Window.partitionBy("_pid", *gn)
-    if s.kind in ("row_number", "ntile"):
-        x = x.withColumn("_rn", F.row_number().over(wg.orderBy(*on, *tn)))
-        if s.kind == "ntile" and partition_by:
-            x = x.withColumn("_cnt", F.count(F.lit(1)).over(wg))
-    elif s.kind == "rank":
-        x = x.withColumn("_rk", F.rank().over(wg.orderBy(*on)) if on else F.lit(1))
-    else:
-        x = x.withColumn("_dr", F.dense_rank().over(wg.orderBy(*on)) if on else F.lit(1))
-    y = x.join(F.broadcast(carries), "_pid")
-    in_g = G == F.col("_fG")
-    in_go = in_g & (O == F.col("_fO"))
-    if s.kind in ("row_number", "ntile"):
-        val = F.col("_rn") + F.when(in_g, F.col("_c_g")).otherwise(0)
-        if s.kind == "ntile" and partition_by:
-            size = (F.col("_cnt") + F.when(in_g, F.col("_c_g")).otherwise(0)
-                    + F.when(G == F.col("_lG"), F.col("_r_g")).otherwise(0))
-            val = ntile_of_group(val, size, s.n)
+def _ranked(base: DataFrame, specs, groups, order, ties, total: int, buckets: int,
+            keep_bucket: bool = False) -> DataFrame:
+    """All specs of one order: local ranks per bucket, plus what precedes the bucket."""
+    group_cols = [_sort_col(c, True) for c in groups]
+    order_cols = [_sort_col(c, a) for c, a in order]
+    full = [*order_cols, *[_sort_col(c, True) for c in ties], F.col("_rowid").asc()]
+    # stored: the bounds come from a sample, and statistics and rows must agree on them
+    rows = stored(base.repartitionByRange(buckets, *group_cols, *full).withColumn(
+        "_bucket", F.spark_partition_id()))
+    group = F.struct(*groups) if groups else F.lit(0)
+    value = F.struct(*[c for c, _ in order]) if order else F.lit(0)
+
+    within = Window.partitionBy("_bucket", *groups)
+    local = rows.withColumns({
+        "_g": group, "_o": value,
+        "_pos": F.row_number().over(Window.partitionBy("_bucket").orderBy(*group_cols, *full)),
+        "_rn": F.row_number().over(within.orderBy(*full)),
+        "_rk": F.rank().over(within.orderBy(*order_cols)) if order else F.lit(1),
+        "_dr": F.dense_rank().over(within.orderBy(*order_cols)) if order else F.lit(1),
+        "_n": F.count(F.lit(1)).over(within)})
+    sums = [s for s in specs if s.kind == "running_sum"]
+    upto = within.orderBy(*full).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumns({f"_s{i}": F.sum(s.value).over(upto) for i, s in enumerate(sums)})
+
+    carries = _carries(local, len(sums))
+    joined = local.join(F.broadcast(carries), "_bucket")  # one row per bucket
+    begun = F.col("_g").eqNullSafe(F.col("_first_g"))
+    equal = begun & F.col("_o").eqNullSafe(F.col("_first_o"))
+
+    def carried(c, when=begun):
+        return F.when(when, F.col(c)).otherwise(F.lit(0))
+
+    row = F.col("_rn") + carried("_rows_before")
+    size = F.lit(total) if not groups else (
+        F.col("_n") + carried("_rows_before")
+        + F.when(F.col("_g").eqNullSafe(F.col("_last_g")), F.col("_rows_after")).otherwise(0))
+    out = {}
+    for s in specs:
+        if s.kind == "row_number":
+            out[s.name] = row
         elif s.kind == "ntile":
-            val = ntile_from_row_number(val, total, s.n)
-    elif s.kind == "rank":
-        val = (F.col("_rk") + F.when(in_g, F.col("_c_g")).otherwise(0)
-               - F.when(in_go, F.col("_c_go")).otherwise(0))
-    else:
-        val = F.col("_dr") + F.when(
-            in_g, F.col("_d_g") - F.when(F.col("_c_go") > 0, 1).otherwise(0)).otherwise(0)
-    out = y.withColumn(s.name, val.cast("bigint"))
-    return out.select(*base.columns, s.name, *(["_pid"] if keep_bucket else []))
+            out[s.name] = ntile_of_group(row, size, s.n)
+        elif s.kind == "rank":
+            out[s.name] = F.col("_rk") + carried("_rows_before") - carried("_equal_before", equal)
+        elif s.kind == "dense_rank":
+            out[s.name] = F.col("_dr") + F.when(begun, F.col("_values_before") - F.when(
+                F.col("_equal_before") > 0, 1).otherwise(0)).otherwise(0)
+    out = {k: v.cast("bigint") for k, v in out.items()}
+    for i, s in enumerate(sums):
+        before = F.when(begun, F.col(f"_sum_before{i}"))
+        out[s.name] = F.when(before.isNull(), F.col(f"_s{i}")).otherwise(
+            before + F.coalesce(F.col(f"_s{i}"), F.lit(0)))
+    return joined.select(*base.columns, *[v.alias(k) for k, v in out.items()],
+                         *(["_bucket"] if keep_bucket else []))
+
+
+def _carries(local: DataFrame, n_sums: int) -> DataFrame:
+    """Per bucket: its first and last group, and the rows, equal values, distinct values and
+    sums of its first group in earlier buckets, and the rows of its last group in later ones.
+
+    Groups lie in consecutive buckets, so a running sum over the buckets that
+    end with a group covers all of it.
+    """
+    ends = local.groupBy("_bucket").agg(
+        F.min_by(F.struct("_g", "_o", "_n"), "_pos").alias("f"),
+        F.max_by(F.struct("_g", "_o", "_rn", "_rk", "_dr", *[f"_s{i}" for i in range(n_sums)]),
+                 "_pos").alias("l"))
+    # one row per bucket from here on
+    every = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+    ends = ends.select(
+        "_bucket", F.col("f._g").alias("_first_g"), F.col("f._o").alias("_first_o"),
+        F.col("l._g").alias("_last_g"), F.col("l._o").alias("_last_o"),
+        F.col("f._n").alias("_head"), F.col("l._rn").alias("_rows"),
+        (F.col("l._rn") - F.col("l._rk") + 1).alias("_equal"), F.col("l._dr").alias("_values"),
+        *[F.col(f"l._s{i}").alias(f"_sum{i}") for i in range(n_sums)],
+        F.lag("l._g").over(every).alias("_prev_g"), F.lag("l._o").over(every).alias("_prev_o"),
+        F.lead("f._g").over(every).alias("_next_g"),
+        F.row_number().over(every).alias("_at"))
+    goes_on = (F.col("_at") > 1) & F.col("_prev_g").eqNullSafe(F.col("_first_g"))
+    same_value = goes_on & F.col("_prev_o").eqNullSafe(F.col("_first_o"))
+    whole = F.col("_first_g").eqNullSafe(F.col("_last_g"))
+    ends = ends.withColumn("_new_values", F.col("_values") - F.when(same_value & whole, 1).otherwise(0))
+    by_group = Window.partitionBy("_last_g").orderBy("_bucket")
+    by_value = Window.partitionBy("_last_g", "_last_o").orderBy("_bucket")
+    later = Window.partitionBy("_first_g").orderBy(F.col("_bucket").desc())
+    ends = ends.withColumns({
+        "_c_rows": F.sum("_rows").over(by_group), "_c_values": F.sum("_new_values").over(by_group),
+        "_c_equal": F.sum("_equal").over(by_value), "_c_head": F.sum("_head").over(later),
+        **{f"_c_sum{i}": F.sum(f"_sum{i}").over(by_group) for i in range(n_sums)}})
+
+    def before(c, when=goes_on):
+        return F.when(when, F.lag(c).over(every)).otherwise(F.lit(0))
+
+    return ends.select(
+        "_bucket", "_first_g", "_first_o", "_last_g",
+        before("_c_rows").alias("_rows_before"), before("_c_equal", same_value).alias("_equal_before"),
+        before("_c_values").alias("_values_before"),
+        *[F.when(goes_on, F.lag(f"_c_sum{i}").over(every)).alias(f"_sum_before{i}") for i in range(n_sums)],
+        F.when(F.col("_next_g").eqNullSafe(F.col("_last_g")) & F.lead("_bucket").over(every).isNotNull(),
+               F.lead("_c_head").over(every)).otherwise(F.lit(0)).alias("_rows_after"))

@@ -2,8 +2,8 @@
 
 Each operator can build the customer summary (B1) itself, which costs a
 scan and a shuffle of the whole fact table.  When several reports are
-wanted together, :func:`customer_reports` builds it once, checkpoints it to
-the shared checkpoint folder (a table of one row per customer) and derives
+wanted together, :func:`customer_reports` builds it once, stores it in the
+shared folder (a table of one row per customer) and derives
 every report from that, so the fact table is aggregated once instead of
 once per report.
 """
@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 
 from tillroll.functions.metrics import customer_summary
 from tillroll.operators import churn, revenue, rfm, winback
-from tillroll.plans.ranking import materialize
+from tillroll.plans.store import stored
 
 
 def customer_reports(tx: DataFrame, as_of=None, **rank_opts) -> dict[str, DataFrame]:
     """``{name: DataFrame}`` for the customer-level reports (O07, O11, O15,
     O16, O21, O22, O23), all computed from one materialised summary."""
-    s = materialize(customer_summary(tx, as_of))
+    s = stored(customer_summary(tx, as_of))
     flags = churn.churn_flags(tx, summary=s)
     return {
         "rfm_segments": rfm.rfm_segments(tx, summary=s, **rank_opts),

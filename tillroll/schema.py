@@ -42,13 +42,16 @@ REVENUE_TYPE = T.DecimalType(12, 2)
 MAX_LEN = {"invoice": 20, "stockcode": 20, "country": 60}
 # Invoice prefix that marks a cancellation (case-sensitive).
 CANCELLATION_PREFIX = "C"
-# RFM segments, in rule order (first match wins).
-SEG_CHAMPION = "Champion"
-SEG_BIG_SPENDER = "Big Spender"
-SEG_REGULAR = "Regular"
-SEG_AT_RISK = "At-Risk"
-SEG_LOST = "Lost"
-SEG_POTENTIAL = "Potential"
+# RFM segments: (label, bounds of the recency, frequency and monetary scores),
+# in rule order (first match wins), and the label of customers that fit no rule.
+SEGMENT_RULES = (
+    ("Champion", {"r": (4, 5), "f": (4, 5), "m": (4, 5)}),
+    ("Big Spender", {"r": (3, 5), "m": (4, 5)}),
+    ("Regular", {"r": (3, 5), "f": (3, 5)}),
+    ("At-Risk", {"r": (1, 2), "f": (3, 5)}),
+    ("Lost", {"r": (1, 2), "f": (1, 2)}),
+)
+SEG_OTHER = "Potential"
 # Churn tiers, in business order, and their day cut-offs (< 30, < 60, < 90).
 CHURN_TIERS = ("Active", "Watch", "At-Risk", "Churned")
 CHURN_CUTS = (30, 60, 90)
@@ -69,3 +72,6 @@ RULE_MISSING_CUSTOMER = "missing_customer"
 RULE_CANCELLATION = "cancellation"
 RULE_NON_POSITIVE = "non_positive_quantity_or_price"
 # --- end of fixed values ---
+
+# Factor on the quantities of the test lines that pushes some revenues out of range.
+BULK_SCALE = 1_000_000

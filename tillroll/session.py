@@ -1,9 +1,7 @@
-"""Session construction and the shared checkpoint folder."""
+"""Session construction and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -36,31 +34,22 @@ def build_session(master: str | None = None, app: str = "tillroll",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting it only when unset.
+    """The folder for intermediate tables that all executors reach.
 
-    On a cluster the folder must be the shared one named by
-    ``spark.checkpoint.dir``; a machine-local temporary folder is used only
-    for ``local[...]`` masters (tests, single-node runs).
+    It is named by ``spark.checkpoint.dir``. Only a ``local[...]`` session may
+    leave it unset (driver and executor are one process there) and gets a
+    folder below its warehouse; on a cluster an unset folder is an error.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # Spark Connect: no driver-side context; the server's setting applies
-        configured = spark.conf.get(_CHECKPOINT_CONF, None)
-        if not configured:
-            raise RuntimeError("spark.checkpoint.dir is not set on the Spark Connect server")
-        return configured
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get(_CHECKPOINT_CONF, None) or spark.conf.get(_CHECKPOINT_CONF, None)
+    configured = spark.conf.get(_CHECKPOINT_CONF, None)
     if configured:
-        sc.setCheckpointDir(configured)
+        return configured
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local["):
         raise RuntimeError(
             "spark.checkpoint.dir is not set: point it at a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
-    return sc.getCheckpointDir()
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
 
 
 def scale_conf(input_bytes: float, executor_cores_total: int,

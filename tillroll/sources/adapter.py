@@ -68,8 +68,12 @@ def raw_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def load_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned and typed transactions (O03 + O05) over the test tables."""
+def load_tx(spark: SparkSession, sf_dir: str, on_violation: str = "raise") -> DataFrame:
+    """Cleaned and typed transactions (O03 + O05) over the test tables.
+
+    Loads check the contract; reports, which read lines already checked, pass
+    ``'trust'`` and read only the columns they use.
+    """
     from tillroll.operators.clean import clean_transactions, type_transactions
 
-    return type_transactions(clean_transactions(raw_lines_from_tables(spark, sf_dir)))
+    return type_transactions(clean_transactions(raw_lines_from_tables(spark, sf_dir)), on_violation)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,31 +38,50 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def _parsed(name: str, source: T.DataType, target: T.DataType, timestamp_format: str | None) -> Column:
+    c = F.col(name)
+    if not isinstance(source, T.StringType) or isinstance(target, T.StringType):
+        return c.cast(target)
+    c = F.trim(c)
+    c = F.when(c != "", c)
+    if isinstance(target, T.TimestampNTZType) and timestamp_format:
+        return F.to_timestamp_ntz(c, F.lit(timestamp_format))
+    if isinstance(target, T.IntegralType):
+        return c.cast("decimal(38,6)").cast(target)  # a column with gaps is written as 13085.0
+    return c.cast(target)
+
+
+def parse_raw(df: DataFrame, schema: T.StructType = RAW_SCHEMA, optional: Iterable[str] = (),
+              timestamp_format: str | None = None) -> DataFrame:
+    """The columns of ``schema``, cast from text where they are text.
+
+    A missing column is an error that names it, unless it is in ``optional``
+    (then it is null).  Whole numbers may be written with a fraction, empty text
+    is null, and ``timestamp_format`` is a Spark datetime pattern (default: ISO).
+    """
+    have = {f.name: f.dataType for f in df.schema.fields}
+    missing = [f.name for f in schema.fields if f.name not in have and f.name not in set(optional)]
+    if missing:
+        raise ValueError(f"missing columns: {missing}; found: {sorted(have)}")
+    return df.select([
+        (_parsed(f.name, have[f.name], f.dataType, timestamp_format) if f.name in have
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 def read_raw(spark: SparkSession, paths: Iterable[str] | str, fmt: str = "parquet",
-             schema: T.StructType | None = None, header_schema: T.StructType | None = None,
-             **options) -> DataFrame:
-    """Read one or more raw extracts and return them stacked and normalised.
-
-    ``fmt`` is any Spark batch format (``csv``, ``parquet``, ``json`` ...).
-    CSV extracts keep their original headers (``header_schema`` lists them in
-    file order, e.g. ``"Customer ID"``); the headers are normalised with O02
-    and the columns cast to :data:`RAW_SCHEMA`.  Parquet/JSON extracts are read
-    as they are and then normalised.
+             schema: T.StructType = RAW_SCHEMA, optional: Iterable[str] = (),
+             timestamp_format: str | None = None, **options) -> DataFrame:
+    """Read one or more raw extracts and return them stacked, normalised and typed.
+
+    ``fmt`` is any Spark batch format.  CSV extracts are read as text by their own
+    header, whatever its order; then all extracts are normalised with O02 and
+    parsed with :func:`parse_raw`, each by itself, so a misspelt header in one
+    of them is an error.
     """
-    if isinstance(paths, str):
-        paths = [paths]
     frames = []
-    for p in paths:
+    for p in [paths] if isinstance(paths, str) else paths:
         r = spark.read.format(fmt).options(**options)
         if fmt == "csv":
-            r = r.option("header", "true")
-        if header_schema is not None:
-            r = r.schema(header_schema)
-        elif schema is not None:
-            r = r.schema(schema)
-        frames.append(normalize_columns(r.load(p)))
-    out = union_sources(*frames)
-    target = schema or RAW_SCHEMA
-    return out.select([
-        (F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in target.fields])
+            r = r.option("header", "true").option("inferSchema", "false")
+        frames.append(parse_raw(normalize_columns(r.load(p)), schema, optional, timestamp_format))
+    return union_sources(*frames)

@@ -1,50 +1,98 @@
-"""Write the transaction table and reconcile the stored row count."""
+"""Write the transaction table and reconcile the stored row count.
+
+A table is a folder of loads, ``<path>/load=<name>/invoice_month=<month>/``, so
+the batch load, appended loads and the streaming loader share one layout and a
+reader of ``<path>`` sees all of them. A load is written to a folder of its own,
+its stored rows are counted, and only then does it become part of the table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(tx: DataFrame, path: str, mode: str = "overwrite",
-                partition_by_month: bool = True, table: str | None = None) -> None:
-    """Write ``tx`` as Parquet, partitioned by ``invoice_month`` (date
+class ReconciliationError(RuntimeError):
+    """The stored row count of a load differs from the rows written."""
+
+
+def _fs(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    fs, a = _fs(spark, source)
+    _, b = _fs(spark, target)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def write_load(tx: DataFrame, folder: str, partition_by_month: bool = True) -> None:
+    """Write ``tx`` as Parquet files of one load, by ``invoice_month`` (date
     pruning).  The ``rebalance`` hint lets AQE size the write tasks by data
-    volume and split a hot month over several tasks, so each task writes
-    few, full files.  With ``table``, the files at ``path`` are also
-    registered as that catalog table (``saveAsTable``)."""
+    volume and split a hot month over several tasks."""
     if partition_by_month:
-        w = (tx.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
-               .hint("rebalance", "invoice_month")
-               .write.mode(mode).partitionBy("invoice_month"))
-    else:
-        w = tx.hint("rebalance").write.mode(mode)
-    if table:
-        w.format("parquet").option("path", path).saveAsTable(table)
+        (tx.withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM"))
+           .hint("rebalance", "invoice_month")
+           .write.mode("overwrite").partitionBy("invoice_month").parquet(folder))
     else:
-        w.parquet(path)
+        tx.hint("rebalance").write.mode("overwrite").parquet(folder)
 
 
 def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
                         partition_by_month: bool = True, table: str | None = None) -> DataFrame:
-    """Write ``tx`` as Parquet and return ``rows_expected, rows_written``.
+    """Load ``tx`` into the table at ``path``; returns ``rows_expected, rows_written``.
 
-    The table is laid out by ``invoice_month`` so that date filters prune
-    whole folders (the role the date index plays in a database).  Overwrite
-    replaces the table in one job instead of drop-then-append.  The expected
-    count is taken by ``observe`` on the write itself, so the input is
-    scanned once; the written count is read back from storage.
+    The load is written beside the table, counted as stored, and compared with
+    the count observed on the write itself (the input is scanned once).
+    ``overwrite`` then puts the new folder in the place of the old one, by
+    renames; a load that fails or does not agree leaves the old table as it
+    was.  ``append`` adds the load.  With ``table``, the folder is also
+    registered as that catalog table.
     """
     from pyspark.sql import Observation
 
+    if mode not in ("overwrite", "append"):
+        raise ValueError("mode must be 'overwrite' or 'append'")
+    spark, path = tx.sparkSession, path.rstrip("/")
+    load = f"load={uuid.uuid4().hex}"
+    staged = f"{path}.{uuid.uuid4().hex}.staged"
     obs = Observation("rows_expected")
-    write_table(tx.observe(obs, F.count(F.lit(1)).alias("rows")), path, mode,
-                partition_by_month, table)
-    expected = obs.get["rows"]
-    spark = tx.sparkSession
-    written = (spark.table(table) if table else spark.read.parquet(path)).count()
-    return spark.createDataFrame(
-        [(int(expected), int(written))], "rows_expected bigint, rows_written bigint")
+    try:
+        write_load(tx.observe(obs, F.count(F.lit(1)).alias("rows")), f"{staged}/{load}",
+                   partition_by_month)
+        expected = int(obs.get["rows"])
+        written = spark.read.schema(tx.schema).parquet(f"{staged}/{load}").count()
+        if written != expected:
+            raise ReconciliationError(f"{written} of {expected} rows were stored")
+        fs, where = _fs(spark, path)
+        if mode == "append" and fs.exists(where):
+            _move(spark, f"{staged}/{load}", f"{path}/{load}")
+        elif fs.exists(where):
+            old = f"{path}.{uuid.uuid4().hex}.old"
+            _move(spark, path, old)
+            _move(spark, staged, path)
+            _delete(spark, old)
+        else:
+            _move(spark, staged, path)
+    finally:
+        _delete(spark, staged)
+    if table:
+        if spark.catalog.tableExists(table):
+            spark.catalog.refreshTable(table)
+        else:
+            spark.catalog.createTable(table, path=path, source="parquet")
+    return spark.createDataFrame([(expected, written)], "rows_expected bigint, rows_written bigint")
 
 
 def write_jdbc(tx: DataFrame, url: str, table: str, properties: dict | None = None,
@@ -52,24 +100,28 @@ def write_jdbc(tx: DataFrame, url: str, table: str, properties: dict | None = No
                num_partitions: int | None = None) -> DataFrame:
     """O06 for a database sink: Spark's JDBC writer with multi-row batches of
     ``batchsize``; overwrite truncates the existing table (keeps its DDL,
-    constraints and indexes) instead of dropping it.  ``num_partitions``
-    caps the concurrent connections.  Returns ``rows_expected,
-    rows_written`` (the written count is a ``COUNT(*)`` pushed to the
-    database).  Credentials come from ``properties``, never from code.
+    constraints and indexes) instead of dropping it.  ``num_partitions`` caps
+    the concurrent connections (a shuffle, so that reading and cleaning keep
+    their own parallelism).  Returns ``rows_expected, rows_written``; the
+    written count is a pushed-down ``COUNT(*)``, for ``append`` less the count
+    before.  Credentials come from ``properties``, never from code.
     """
     from pyspark.sql import Observation
 
-    props = dict(properties or {})
+    spark, props = tx.sparkSession, dict(properties or {})
+
+    def stored_rows():
+        return int(spark.read.format("jdbc").option("url", url)
+                   .option("query", f"SELECT COUNT(*) AS n FROM {table}")
+                   .options(**props).load().first()[0])
+
+    before = stored_rows() if mode == "append" else 0
     obs = Observation("rows_expected")
     out = tx.observe(obs, F.count(F.lit(1)).alias("rows"))
     if num_partitions:
-        out = out.coalesce(num_partitions)
+        out = out.repartition(num_partitions)
     (out.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table)
         .option("batchsize", str(batchsize)).option("truncate", "true")
         .options(**props).save())
-    spark = tx.sparkSession
-    written = (spark.read.format("jdbc").option("url", url)
-               .option("query", f"SELECT COUNT(*) AS n FROM {table}")
-               .options(**props).load().first()[0])
-    return spark.createDataFrame([(int(obs.get["rows"]), int(written))],
+    return spark.createDataFrame([(int(obs.get["rows"]), stored_rows() - before)],
                                  "rows_expected bigint, rows_written bigint")

@@ -1,49 +1,55 @@
 """Incremental load: raw extract files arriving in a folder are cleaned,
-typed and appended to the transaction table.
-
-The same operators as the batch load (:func:`clean_transactions`,
-:func:`type_transactions`) run on each micro-batch.  The table is written
-by Spark's file sink, whose commit log makes each batch land exactly once
-even when a batch is retried after an executor loss; the stream's progress
-lives in the shared checkpoint folder, so a restarted job resumes where it
-stopped instead of reloading everything (the batch load replaces the table
-instead).
+typed and added to the transaction table.
+
+The same operators as the batch load run on each micro-batch.  A batch is one
+load of the table (:mod:`tillroll.sources.sink`): it overwrites a folder named
+after the stream's checkpoint and the batch number, so a batch retried after a
+failure lands exactly once, and the loads of the batch loader stay visible.
+The checkpoint is a required, stable folder: a restart with it, in any session,
+goes on after the last finished batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.operators.clean import clean_transactions, type_transactions
 from tillroll.schema import RAW_SCHEMA
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.sources.raw import parse_raw
+from tillroll.sources.sink import write_load
 
 
-def start_ingest(spark: SparkSession, source_dir: str, table_path: str, *,
-                 fmt: str = "parquet", checkpoint: str | None = None,
-                 available_now: bool = True, max_files_per_trigger: int | None = None,
-                 query_name: str = "tillroll_ingest", **read_options) -> StreamingQuery:
+def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, *,
+                 fmt: str = "parquet", available_now: bool = True,
+                 max_files_per_trigger: int | None = None, query_name: str = "tillroll_ingest",
+                 timestamp_format: str | None = None, **read_options) -> StreamingQuery:
     """Start the stream and return its handle.
 
-    ``fmt``: format of the arriving files (``parquet``, ``csv`` with a header
-    row in :data:`RAW_SCHEMA` order, ``json``).  ``available_now`` processes
-    everything present and stops; otherwise the query keeps running and
-    picks up new files as they appear.
+    ``fmt``: format of the arriving files (``parquet``, ``json``, or ``csv`` with a
+    header row that names the columns of :data:`RAW_SCHEMA` in this order; a file
+    with another header fails).  ``available_now`` processes everything present
+    and stops; otherwise the query keeps running and picks up new files.
     """
-    if checkpoint is None:
-        checkpoint = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{query_name}"
-    reader = spark.readStream.schema(RAW_SCHEMA).format(fmt).options(**read_options)
+    reader = spark.readStream.format(fmt).options(**read_options)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        # text columns, checked against the header, then parsed like the batch extracts
+        text = ", ".join(f"{f.name} string" for f in RAW_SCHEMA.fields)
+        reader = reader.option("header", "true").option("enforceSchema", "false").schema(text)
+    else:
+        reader = reader.schema(RAW_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = reader.load(source_dir)
-    typed = (type_transactions(clean_transactions(raw))
-             .withColumn("invoice_month", F.date_format("invoicedate", "yyyy-MM")))
-    writer = (typed.writeStream.queryName(query_name).format("parquet")
-              .option("path", table_path).option("checkpointLocation", checkpoint)
-              .partitionBy("invoice_month").outputMode("append"))
+    raw = parse_raw(reader.load(source_dir), timestamp_format=timestamp_format)
+    typed = type_transactions(clean_transactions(raw))
+    stream = f"{query_name}-{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+
+    def add(batch: DataFrame, number: int) -> None:
+        write_load(batch, f"{table_path.rstrip('/')}/load={stream}-{number}")
+
+    writer = typed.writeStream.queryName(query_name).option(
+        "checkpointLocation", checkpoint).foreachBatch(add)
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()
