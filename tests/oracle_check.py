@@ -80,9 +80,9 @@ def main(argv):
     # e.g. TILLROLL_SESSION_TZ=America/Sao_Paulo: results must not depend on it
     if os.environ.get("TILLROLL_SESSION_TZ"):
         spark.conf.set("spark.sql.session.timeZone", os.environ["TILLROLL_SESSION_TZ"])
-    # e.g. TILLROLL_SINGLE_TASK_ROWS=200 forces the bucketed ranking path
-    if os.environ.get("TILLROLL_SINGLE_TASK_ROWS"):
-        spark.conf.set("tillroll.ranking.singleTaskRows", os.environ["TILLROLL_SINGLE_TASK_ROWS"])
+    # e.g. TILLROLL_BUCKET_ROWS=200 ranks in many small buckets
+    if os.environ.get("TILLROLL_BUCKET_ROWS"):
+        spark.conf.set("tillroll.ranking.bucketRows", os.environ["TILLROLL_BUCKET_ROWS"])
     con = duck(sf_dir)
     qs, ors = E.queries(), E.oracle_sql()
     bad = 0

@@ -3,7 +3,8 @@
 import pytest
 
 from fixture import tx_frame
-from tillroll.operators import revenue, rfm, winback, windows
+from tillroll.operators import churn, revenue, rfm, winback, windows
+from tillroll.plans.store import stored
 
 
 def _plan(df):
@@ -12,34 +13,71 @@ def _plan(df):
 
 @pytest.fixture(scope="module")
 def tx(spark):
-    return tx_frame(spark)
+    return stored(tx_frame(spark))
 
 
-def test_top_products_at_risk_one_pass_with_group_limit(tx):
+def test_top_products_at_risk_filters_lines_by_a_semi_join(tx):
     p = _plan(winback.top_products_at_risk(tx))
-    assert "WindowGroupLimit" in p
-    assert "Join" not in p.replace("BroadcastNestedLoopJoin", "")  # only the 1-row as_of
+    assert "LeftSemi" in p and "WindowGroupLimit" in p
+    # no window over all customers: the only windows rank the products that remain
+    assert p.count("Window [") == 1
 
 
-def test_bucketed_ranking_windows_are_partitioned(tx):
-    df = rfm.rfm_segments(tx, bucket_rows=2, sort=False)
-    p = _plan(df)
-    # the per-row windows run per bucket; only the bucket-statistics window
-    # (one row per bucket) may be global
-    assert "hashpartitioning(_pid" in p
-    df2 = windows.customer_rank_in_country(tx, bucket_rows=2, sort=False)
-    assert "hashpartitioning(_pid" in _plan(df2)
+RANKED = {
+    "rfm_segments": lambda tx: rfm.rfm_segments(tx, sort=False),
+    "winback_candidates": lambda tx: winback.winback_candidates(tx, sort=False),
+    "winback_priority": lambda tx: winback.winback_priority(tx, sort=False),
+    "customer_rank_in_country": lambda tx: windows.customer_rank_in_country(tx, sort=False),
+    "order_sequence": lambda tx: windows.order_sequence(tx, sort=False),
+    "ltv_percentile_tiers": lambda tx: windows.ltv_percentile_tiers(tx, sort=False),
+    "running_invoice_revenue": windows.running_invoice_revenue,
+}
 
 
-def test_first_last_product_is_an_aggregate_not_a_window(tx):
+def _single_partition_children(plan: str) -> list[str]:
+    """What feeds every ``Exchange SinglePartition`` of a plan: its next aggregate, window or scan."""
+    lines, out = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            out.append(next((x for x in lines[i + 1:] if "Aggregate(" in x or "Scan" in x), ""))
+    return out
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_no_single_partition_over_rows_in_default_plans(tx, name):
+    p = _plan(RANKED[name](tx))
+    assert "hashpartitioning(_bucket" in p
+    # only the bucket statistics (one row per bucket) and one-row aggregates pass one task
+    for child in _single_partition_children(p):
+        assert "_bucket" in child or "keys=[]" in child, child
+
+
+def test_rank_columns_of_one_order_are_one_pass(tx):
+    p = _plan(windows.customer_rank_in_country(tx, sort=False))
+    assert p.count("BroadcastHashJoin") == 1  # one set of carries for the three columns
+
+
+def test_first_last_product_sorts_only_the_lines_at_the_ends(tx):
     p = _plan(windows.first_last_product(tx, sort=False))
-    assert "Window" not in p
-    assert "min_by" in p.lower()
+    assert "Window" not in p and "min_by" in p.lower()
+    assert "HashAggregate(keys=[customer_id" in p  # the first and last time
+    join = p.index("Join")
+    assert "SortAggregate" not in p[join:]  # below the join that drops the other lines
+
+
+def test_cohorts_use_hash_aggregates(tx):
+    p = _plan(churn.cohort_retention(tx, sort=False))
+    assert "ObjectHashAggregate" not in p and "SortAggregate" not in p
+
+
+def test_churn_flags_read_the_lines_once(tx):
+    # the summary is stored: what remains reads one row per customer
+    p = _plan(churn.churn_flags(tx, sort=False))
+    assert "invoicedate" not in p
 
 
 def test_cadence_windows_distinct_days_only(tx):
     # the only window runs after a (customer, day) aggregate
-    from tillroll.operators import churn
     p = _plan(churn.purchase_cadence(tx, sort=False))
     assert p.index("Window") < p.rindex("HashAggregate")
 
@@ -52,10 +90,21 @@ def test_filters_and_pruning_reach_the_scan(spark, tmp_path):
     assert "ReadSchema: struct<stockcode:string,description:string,quantity:int,country:string,revenue:decimal(12,2)>" in p
 
 
-def test_bucketed_ranking_shuffles_rows_once(tx):
-    # one row-level exchange (by bucket); the bucket statistics travel as
-    # partial aggregates and a broadcast of at most MAX_BUCKETS rows
-    df = windows.ltv_percentile_tiers(tx, bucket_rows=2, sort=False)
-    p = _plan(df)
-    assert p.count("REPARTITION_BY_COL") == 1
-    assert "BroadcastHashJoin" in p
+def test_trusted_lines_read_only_the_columns_used(spark):
+    from tillroll.sources.adapter import load_tx
+    p = _plan(windows.moving_average(load_tx(spark, "/root/testdata/sf0.001", "trust")))
+    assert "n_name" not in p.split("ReadSchema: struct<n_nationkey")[-1][:40]
+
+
+def test_stored_tables_are_removed(spark, tx, tmp_path):
+    import os
+
+    from tillroll.plans.reports import customer_reports
+    from tillroll.plans.store import folder, release
+
+    for name, df in customer_reports(tx_frame(spark)).items():
+        df.write.parquet(str(tmp_path / name))
+    path = folder(spark).removeprefix("file:")
+    assert os.listdir(path)
+    release(spark)
+    assert not os.path.exists(path)

@@ -88,10 +88,9 @@ def write_and_reconcile(tx: DataFrame, path: str, mode: str = "overwrite",
     finally:
         _delete(spark, staged)
     if table:
-        if spark.catalog.tableExists(table):
-            spark.catalog.refreshTable(table)
-        else:
+        if not spark.catalog.tableExists(table):
             spark.catalog.createTable(table, path=path, source="parquet")
+        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
     return spark.createDataFrame([(expected, written)], "rows_expected bigint, rows_written bigint")
 
 
