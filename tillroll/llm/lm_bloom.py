@@ -35,8 +35,10 @@ columns do not matter.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ SEGMENT_BITS = 1 << 19
 TOP_WORDS = 1 << 18
 FLUSH = 2_000_000      # n-grams a task holds before it hands on its counts
 CHUNK_WORDS = 400_000  # words scored at once
+MAX_WORDS = 500_000    # different words whose counts a task keeps at hand
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))          # no word holds white space
 START = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
@@ -76,57 +79,65 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-class Hasher:
-    """Hashes of words, each distinct word hashed once per chunk."""
+class Vocabulary:
+    """Numbers for words, in the order in which a task meets them; 0 is the end of a text."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.numbers = defaultdict(count().__next__)
+        self.numbers[b"\n"]
+        self.hashes = np.array([END])
 
     def __call__(self, found: list[bytes]) -> np.ndarray:
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > FLUSH:
-            known.clear()
-        out = np.empty(len(found) + 1, np.uint64)
-        for k, w in enumerate(found):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            out[k] = h
-        out[-1] = END
+        out = np.zeros(len(found) + 1, np.int64)
+        out[:-1] = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
         return out
 
+    def update(self) -> np.ndarray:
+        """Hash the words met since the last update; returns their hashes."""
+        new = [xxhash.xxh64_intdigest(w) for w in islice(self.numbers, len(self.hashes), None)]
+        new = np.array(new, np.uint64)
+        self.hashes = np.concatenate((self.hashes, new))
+        return new
 
-def ngrams(words: np.ndarray, order: int) -> list[np.ndarray]:
-    """Per order 1 to ``order``, the hash of the n-gram that ends at each word."""
+
+def ngrams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
+    """Per order 1 to ``order``, the hash of the n-gram that ends at each word, for the word
+    hashes of texts laid end to end; ``starts``: where the texts begin."""
     out = [words]
     for n in range(2, order + 1):
-        before = np.concatenate((np.full(1, START, np.uint64), out[-1][:-1])) if n == 2 else \
-            np.concatenate((np.full(1, mix(START * np.uint64(n)), np.uint64), out[-1][:-1]))
+        before = np.empty_like(words)
+        before[1:] = out[-1][:-1]
+        before[starts] = mix(np.array([int(START) * n & MASK], np.uint64))
         out.append(mix(before * _ODD + words))
     return out
 
 
+def _starts(texts: list[np.ndarray]) -> np.ndarray:
+    lens = np.array([len(t) for t in texts], np.int64)
+    return np.cumsum(lens) - lens
+
+
 def count_ngrams(train: DataFrame, text: str, order: int) -> DataFrame:
     """(n, h, c): exact counts of the n-gram hashes of all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = Hasher(), [[] for _ in range(order)], 0
-
         def flush():
-            for n, parts in enumerate(held, 1):
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
+            words.update()
+            flat = words.hashes[np.concatenate(held)]
+            for n, grams in enumerate(ngrams(flat, _starts(held), order), 1):
+                h, c = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(h), n, np.int8)), pa.array(h.view("<i8")),
                      pa.array(c.astype(np.int64))], ["n", "h", "c"])
 
+        words, held, size = Vocabulary(), [], 0
         for b in batches:
             for t in b.column("text"):
-                for n, grams in enumerate(ngrams(hasher(tokens(t.as_py())), order)):
-                    held[n].append(grams)
-                size += len(held[0][-1])
+                held.append(words(tokens(t.as_py())))
+                size += len(held[-1])
                 if size > FLUSH:
                     yield from flush()
-                    held, size = [[] for _ in range(order)], 0
-        if size:
+                    words, held, size = Vocabulary(), [], 0
+        if held:
             yield from flush()
 
     rows = train.select(F.col(f"`{text}`").alias("text"))
@@ -147,27 +158,27 @@ class Filter:
 
     def holds(self, grams: np.ndarray, quantum: int) -> np.ndarray:
         """Whether (n-gram, quantum) is present, per n-gram."""
-        out = np.ones(len(grams), bool)
-        segment = grams % np.uint64(len(self.bits))
+        flat = self.bits.reshape(-1)
+        base = (grams % np.uint64(len(self.bits))).astype(np.int64) * (SEGMENT_BITS // 8)
         a, b = _probe_hashes(grams, quantum)
         at = np.arange(len(grams))
-        for i in range(PROBES):
-            p = (a[at] + np.uint64(i) * b[at]) % np.uint64(SEGMENT_BITS)
-            hit = (self.bits[segment[at], p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
-            out[at[hit == 0]] = False
-            at = at[hit == 1]
+        for _ in range(PROBES):
+            p = a & np.uint64(SEGMENT_BITS - 1)
+            byte = flat[base + (p >> np.uint64(3)).astype(np.int64)]
+            hit = (byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            at, base, a, b = at[hit], base[hit], a[hit] + b[hit], b[hit]
+        out = np.zeros(len(grams), bool)
+        out[at] = True
         return out
 
     def counts(self, grams: np.ndarray) -> np.ndarray:
         """Expected counts of n-grams: the middle of their quantum's range, 0 if absent."""
-        names, inv = np.unique(grams, return_inverse=True)
-        quanta = np.zeros(len(names), np.int64)
-        at, q = np.arange(len(names)), 0
+        quanta, at, q = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
         while len(at) and q < 62:
             q += 1
-            at = at[self.holds(names[at], q)]
+            at = at[self.holds(grams[at], q)]
             quanta[at] = q
-        return np.where(quanta > 0, 0.75 * 2.0 ** quanta - 0.5, 0.0)[inv]
+        return np.where(quanta > 0, 0.75 * 2.0 ** quanta - 0.5, 0.0)
 
 
 def _probe_hashes(grams: np.ndarray, quantum) -> tuple[np.ndarray, np.ndarray]:
@@ -205,13 +216,13 @@ def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
     def fill(table: pa.Table) -> pa.Table:
         grams = table.column("h").to_numpy().view("<u8")
         quanta = table.column("q").to_numpy()
-        bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
+        flags = np.zeros(SEGMENT_BITS, bool)
         for q in range(1, int(quanta.max()) + 1):
             a, b = _probe_hashes(grams[quanta >= q], q)
             for i in range(PROBES):
-                p = (a + np.uint64(i) * b) % np.uint64(SEGMENT_BITS)
-                np.bitwise_or.at(bits, p >> np.uint64(3),
-                                 np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+                p = (a + np.uint64(i) * b) & np.uint64(SEGMENT_BITS - 1)
+                flags[p.astype(np.int64)] = True
+        bits = np.packbits(flags, bitorder="little")
         return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([bits.tobytes()])})
 
     filled = kept.select(segment.alias("segment"), "h", "q").groupBy("segment").applyInArrow(
@@ -223,17 +234,21 @@ def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
     return Filter(bits, total, distinct, ends.c if ends else 0, discount, shares)
 
 
-def log10_probability(f: Filter, grams: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+def log10_probability(f: Filter, grams: list[np.ndarray], starts: np.ndarray,
+                      unigrams: np.ndarray) -> np.ndarray:
     """log10 P of every token given the tokens before it, of texts laid end to end.
 
-    ``grams``: per order, as of :func:`ngrams`; ``starts``: where the texts begin.
+    ``grams``: per order, as of :func:`ngrams`; ``starts``: where the texts begin;
+    ``unigrams``: the filter's counts of the tokens.
     """
-    counts = [f.counts(g) for g in grams]
-    p = (counts[0] + 1.0) / (f.total + f.distinct + 1.0)
+    p = (unigrams + 1.0) / (f.total + f.distinct + 1.0)
+    shorter = unigrams
     for n, share in zip(range(1, len(grams)), f.shares):
-        before = np.concatenate((np.zeros(1), counts[n - 1][:-1]))
+        before = np.empty_like(shorter)
+        before[1:] = shorter[:-1]
         before[starts] = f.texts  # the start precedes the first word of every training text
-        seen = np.maximum(np.minimum(counts[n], before) - f.discount, 0.0)
+        shorter = f.counts(grams[n])
+        seen = np.maximum(np.minimum(shorter, before) - f.discount, 0.0)
         p = np.where(before > 0, seen / np.maximum(before, 1.0) + (1.0 - share) * p, p)
     return np.log10(np.minimum(p, 1.0))
 
@@ -253,56 +268,75 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     counts = stored(counts, f"{base}/counts")
     model = build_filter(counts, max_bytes)
     words = counts.filter("n = 1").select("h", "c")
-    top = np.array([tuple(r) for r in words.orderBy(F.desc("c"), "h").limit(top_words).collect()],
-                   np.int64).reshape(-1, 2)
-    top = top[np.argsort(top[:, 0].view("<u8"))]
+    top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
+    often = top.column("c").to_numpy().astype(np.float64)
+    common = top.column("h").to_numpy().view("<u8")
+    order_ = np.argsort(common)
     shared = spark.sparkContext.broadcast((
-        (model.bits, model.total, model.distinct, model.texts, model.discount, model.shares), top[:, 0].copy().view("<u8"), top[:, 1].astype(np.float64)))
+        (model.bits, model.total, model.distinct, model.texts, model.discount, model.shares), common[order_], often[order_]))
     denominator = float(model.total + model.distinct + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, common, often = shared.value
         f = Filter(*parts)
-        hasher = Hasher()
         rest = pa.struct([("h", pa.int64()), ("k", pa.int64())])
 
+        class Scored(Vocabulary):
+            """Words with the filter's count, and the base log of those with an exact count here."""
+
+            def __init__(self):
+                super().__init__()
+                self.counts, self.logs = self.look(self.hashes)
+
+            def look(self, hashes):
+                at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
+                logs = np.full(len(hashes), np.nan)
+                if len(common):
+                    found = common[at] == hashes
+                    logs[found] = np.log10((often[at[found]] + 1.0) / denominator)
+                return f.counts(hashes), logs
+
+            def update(self):
+                new = super().update()
+                counts, logs = self.look(new)
+                self.counts = np.concatenate((self.counts, counts))
+                self.logs = np.concatenate((self.logs, logs))
+                return new
+
         def chunk(ids, held, texts):
-            grams = [ngrams(w, order) for w in texts]
-            cut = np.cumsum([len(w) for w in texts])[:-1]
-            flat = [np.concatenate(g) for g in zip(*grams)]
-            starts = np.concatenate(([0], cut)).astype(np.int64)
-            p = log10_probability(f, flat, starts)
-            uni = flat[0]
-            at = np.searchsorted(common, uni) if len(common) else np.zeros(len(uni), np.int64)
-            at = np.minimum(at, max(len(common) - 1, 0))
-            found = common[at] == uni if len(common) else np.zeros(len(uni), bool)
-            logs = np.zeros(len(uni))
-            logs[found] = np.log10((often[at[found]] + 1.0) / denominator)
-            out = ([], [], [], [], [])
-            for a, n in zip(starts.tolist(), [len(w) for w in texts]):
-                ok = found[a:a + n]
-                h, k = np.unique(uni[a:a + n][~ok], return_counts=True)
-                for o, x in zip(out, (n, int(ok.sum()), float(logs[a:a + n].sum()),
-                                      float(p[a:a + n].sum()),
-                                      [{"h": x, "k": y} for x, y in zip(h.view("<i8").tolist(), k.tolist())])):
-                    o.append(x)
+            words.update()
+            starts = _starts(texts)
+            flat = np.concatenate(texts)
+            grams = ngrams(words.hashes[flat], starts, order)
+            p = log10_probability(f, grams, starts, words.counts[flat])
+            logs = words.logs[flat]
+            far = np.isnan(logs)
+            known = np.add.reduceat((~far).astype(np.int64), starts)
+            rare = []
+            for a, n, k in zip(starts.tolist(), [len(t) for t in texts], known.tolist()):
+                h, c = np.unique(grams[0][a:a + n][far[a:a + n]], return_counts=True) if k < n else ((), ())
+                rare.append([{"h": x, "k": y} for x, y in zip(h.view("<i8").tolist(), c.tolist())] if k < n else [])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(held, pa.bool_()), pa.array(out[0], pa.int64()),
-                 pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()),
-                 pa.array(out[3], pa.float64()), pa.array(out[4], pa.list_(rest))],
+                [pa.array(ids, id_type), pa.array(held, pa.bool_()),
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array(known),
+                 pa.array(np.add.reduceat(np.where(far, 0.0, logs), starts)),
+                 pa.array(np.add.reduceat(p, starts)), pa.array(rare, pa.list_(rest))],
                 ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
+        words = Scored()
         for b in batches:
             id_type = b.column("doc_id").type
             ids, held, texts, size = [], [], [], 0
             for i, o, t in zip(b.column("doc_id"), b.column("held_out"), b.column("text")):
                 ids.append(i.as_py())
                 held.append(o.as_py())
-                texts.append(hasher(tokens(t.as_py())))
+                texts.append(words(tokens(t.as_py())))
                 size += len(texts[-1])
                 if size > CHUNK_WORDS:
                     yield chunk(ids, held, texts)
                     ids, held, texts, size = [], [], [], 0
+                    if len(words.numbers) > MAX_WORDS:
+                        words = Scored()
             if ids:
                 yield chunk(ids, held, texts)
 
