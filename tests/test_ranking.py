@@ -62,12 +62,12 @@ def test_equals_plain_windows(spark, order, part):
 
 def test_orders_of_different_passes_and_columns_kept(spark):
     df = _data(spark, 300)
-    specs = [RankSpec("a", "row_number", (("m", False),), ("id",)),
-             RankSpec("b", "row_number", (("t", True),), ("id",))]
+    specs = [RankSpec("r1", "row_number", (("m", False),), ("id",)),
+             RankSpec("r2", "row_number", (("t", True),), ("id",))]
     out = add_rankings(df, specs, bucket_rows=50)
-    assert out.columns == [*df.columns, "a", "b"]
+    assert out.columns == [*df.columns, "r1", "r2"]
     want = _plain(df, specs, [])
-    key = lambda x: sorted((r.id, r.a, r.b) for r in x.collect())
+    key = lambda x: sorted((r.id, r.r1, r.r2) for r in x.collect())
     assert key(out) == key(want)
 
 
