@@ -156,7 +156,11 @@ def test_short_queries_are_widened_and_odd_vectors_left_out(spark):
     got = _neighbours(df, radius=0)  # nothing but equal codes at first
     assert set(got) == {0, 20, 40}
     x = np.array([v for _, v in rows])
-    for q, mine in got.items():
+    for q, mine in got.items():  # 20 each, as near as the radius they needed, with exact scores
+        assert len({v for _, v, _ in mine} - {q}) == 20 and all(v < 60 for _, v, _ in mine)
+        assert all(s == pytest.approx(float(x[v] @ x[q])) for _, v, s in mine)
+    whole = _neighbours(df, radius=64)  # every code is within the whole radius: exact
+    for q, mine in whole.items():
         assert [(v, pytest.approx(s)) for _, v, s in mine] == [(v, pytest.approx(s)) for v, s in _brute(np.arange(60), x, q)]
     few = _neighbours(df.filter("vec_id < 6 OR vec_id = 61"))
     assert [v for _, v, _ in few[0]] and len(few[0]) == 5

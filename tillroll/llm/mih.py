@@ -151,6 +151,8 @@ def search(index: DataFrame, queries: DataFrame, coder: Coder, k: int, radius: i
     def vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Ids ascending with their vectors; of equal ids the smallest vector."""
         ids = table.column("id").to_numpy()
+        if not len(ids):  # a slice without rows, or a block without queries
+            return ids, np.empty((0, 0))
         x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         x = x.astype(np.float64).reshape(len(ids), -1)
         if len(np.unique(ids)) < len(ids):

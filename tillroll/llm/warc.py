@@ -56,6 +56,8 @@ RECORDS = ("path string, offset bigint, length bigint, kind string, page_id bigi
 GAPS = "path string, offset bigint, length bigint, reason string"
 
 _START = re.compile(rb"WARC/1\.[01]\r\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
+_PAGE = re.compile(rb"<?" + ID_PREFIX + rb"(-?[0-9]+)>?")
 
 
 def record(page_id, url, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
@@ -139,7 +141,7 @@ def _parse(data: bytes, at: int):
     fields = {}
     for line in data[at:end].split(b"\r\n")[1:]:
         name, sep, value = line.partition(b":")
-        if not sep:
+        if not sep or _CONTROL.search(line):
             return "malformed header"
         fields[name.strip().lower()] = value.strip()
     size = fields.get(b"content-length", b"")
@@ -173,8 +175,8 @@ def _member_at(data: bytes, at: int):
 
 def _row(fields, payload, path, at, length):
     def page(v):
-        x = v.strip(b"<>")
-        return int(x[len(ID_PREFIX):]) if x.startswith(ID_PREFIX) and x[len(ID_PREFIX):] else None
+        m = _PAGE.fullmatch(v)
+        return int(m[1]) if m else None
 
     uri = fields.get(b"warc-target-uri")
     if uri is not None:
