@@ -15,6 +15,7 @@ def spark():
 
     from tillroll.session import build_session
     s = build_session("local[4]", shuffle_partitions=8, extra={
-        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tillroll-warehouse-")})
+        "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tillroll-warehouse-"),
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tillroll-shared-")})
     yield s
     s.stop()
