@@ -38,8 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 500_000
 BLOCK_DOCS = 20_000
+DECODE_ROWS = 256
 ROWS = ("block bigint, bucket int, doc_ids array<bigint>, n_pieces array<bigint>, places binary, "
         "buckets binary, words binary")
 
@@ -97,9 +98,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int):
     split = regex.compile(white_space(pattern)).findall
 
     def block():
-        places = np.concatenate(held) if held else np.empty(0, np.int64)
+        places = np.concatenate(held) if held else np.empty(0, np.uint32)
         order = np.argsort(-np.bincount(places, minlength=len(numbers)), kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
         pieces = list(numbers)
         return (name.intdigest() - (1 << 63), ids, n_pieces, rank[places],
@@ -111,7 +112,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, limit: int):
         for i, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
             text = t.as_py() or ""
             name.update(f"{i} {len(text)} {text}")
-            places = np.array([numbers[p] for p in split(text)], np.int64)
+            places = np.array([numbers[p] for p in split(text)], np.uint32)
             ids.append(i)
             n_pieces.append(len(places))
             held.append(places)
@@ -131,15 +132,19 @@ def _bucket_of(pieces: list[bytes], n: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id",
-           text: str = "text", block_tokens: int = BLOCK_TOKENS, buckets: int | None = None) -> DataFrame:
+           text: str = "text", block_tokens: int = BLOCK_TOKENS, buckets: int | None = None,
+           decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids), one row per row of ``docs``.
 
+    With ``decoded`` also the bytes that the ids decode to, found where the ids are
+    put together, which spares a pass over them (:func:`decode` is for stored ids).
     ``vocabulary`` is the path of a rank file, read on the driver; ``buckets``
     defaults to twice the shuffle partitions, which grow with the input.
     """
     spark = docs.sparkSession
     buckets = buckets or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    tokens = spark.sparkContext.broadcast(_token_bytes(ranks.value)) if decoded else None
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     names = [f.split()[0] for f in ROWS.split(", ")]
     longs = pa.list_(pa.int64())
@@ -165,10 +170,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
                     yield pa.RecordBatch.from_pylist(out, schema)
         return run
 
+    merges = None  # made once per task
+
     def encode_words(table: pa.Table) -> pa.Table:
         import tiktoken
 
-        merges = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        nonlocal merges
+        merges = merges or tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value,
+                                             special_tokens={})
         known: dict[bytes, list[int]] = {}
         out = []
         for words in table.column("words"):
@@ -184,8 +193,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
         return table.set_column(at, "words", pa.array(out, pa.binary())).cast(schema)
 
     def place(table: pa.Table) -> pa.Table:
-        blocks = [r for r in table.to_pylist() if r["bucket"] is None]  # equal but for repeated rows
-        words_of = {r["bucket"]: r["words"] for r in table.to_pylist() if r["bucket"] is not None}
+        rows_ = table.to_pylist()
+        blocks = [r for r in rows_ if r["bucket"] is None]  # equal but for repeated rows
+        words_of = {r["bucket"]: r["words"] for r in rows_ if r["bucket"] is not None}
         if not blocks:
             raise ValueError("a block's positions are missing: the texts were read differently")
         block = blocks[0]
@@ -203,7 +213,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
         flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         starts = np.zeros(len(of), np.int64)
         starts[order] = np.cumsum(lens[order]) - lens[order]
-        ids, n_tokens = [], []
+        ids, n_tokens, back = [], [], []
         ends = np.cumsum(block["n_pieces"])
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
             p = places[a:b]
@@ -213,29 +223,41 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id
             at = np.repeat(starts[p] - (upto - n), n) + np.arange(total)
             n_tokens.append(total)
             ids.append(flat[at].astype("<u4").tobytes())
+            if decoded:
+                back.append(_decode(ids[-1], tokens.value))
+        more = {"decoded": pa.array(back, pa.binary())} if decoded else {}
         return pa.concat_tables([pa.table({
             "doc_id": pa.array(block["doc_ids"], pa.int64()),
-            "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary())})] * len(blocks))
+            "n_tokens": pa.array(n_tokens, pa.int64()), "ids": pa.array(ids, pa.binary()), **more})] * len(blocks))
 
     words = rows.mapInArrow(split(True), ROWS).groupBy("bucket").applyInArrow(encode_words, ROWS)
     positions = rows.mapInArrow(split(False), ROWS)
     return words.unionByName(positions).groupBy("block").applyInArrow(
-        place, "doc_id bigint, n_tokens bigint, ids binary")
+        place, "doc_id bigint, n_tokens bigint, ids binary" + ", decoded binary" * decoded)
+
+
+def _token_bytes(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    """The token-byte table: the bytes of every id."""
+    return {i: b for b, i in ranks.items()}
+
+
+def _decode(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary): the bytes of every id, found in the token-byte table."""
     spark = encoded.sparkSession
-    table = spark.sparkContext.broadcast({i: b for b, i in read_ranks(vocabulary).items()})
+    table = spark.sparkContext.broadcast(_token_bytes(read_ranks(vocabulary)))
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = table.value
-        for b in batches:
-            out = [None if x.as_py() is None else
-                   b"".join([tokens[i] for i in np.frombuffer(x.as_py(), "<u4").tolist()])
-                   for x in b.column(ids)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())],
-                                             [*b.schema.names, "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, DECODE_ROWS):
+                b = whole.slice(at, DECODE_ROWS)
+                out = [None if x.as_py() is None else _decode(x.as_py(), tokens) for x in b.column(ids)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())],
+                                                 [*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

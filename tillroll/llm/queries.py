@@ -67,7 +67,7 @@ def op6_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_digests(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     """Digests of the ids of every text and of the text decoded from them, and the ids if wanted."""
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"),
                        *(["ids"] if with_ids else []))
