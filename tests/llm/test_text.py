@@ -198,6 +198,18 @@ def test_lm_edges(spark):
     assert {(r.train_tokens, r.n_known) for r in alone} == {(0, 0)}
 
 
+def test_a_large_filter_forgets_nothing(spark, monkeypatch):
+    """A filter far beyond MAX_BYTES in all: the shards hold all n-grams."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(12))) for i in range(40)]
+    rows += [(i + 100, t) for i, t in rows] * 2
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda: {r.doc_id: r.score for r in lm_bloom.score(df, F.col("doc_id") % 5 == 0).collect()}
+    small = score()
+    monkeypatch.setattr(lm_bloom, "BITS_PER_ENTRY", 1 << 20)  # more than MAX_BYTES for 512 entries
+    assert score() == {i: pytest.approx(s) for i, s in small.items()}
+
+
 # ---- BPE
 
 @pytest.fixture(scope="module")

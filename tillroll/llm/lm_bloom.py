@@ -1,34 +1,32 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Training: n-grams (orders 1 to ``order``, with a start context and an end token
-per text) are counted by 64-bit hash; each task sums its own counts before the
-shuffle. A count ``c`` is kept as its quantum ``q = 1 + floor(log2 c)``: the
-filter holds the pairs (n-gram, 1) ... (n-gram, q), and a lookup probes 1, 2, ...
-until a pair is absent, so a false positive can only raise a count by one
-quantum, with geometrically falling odds. The bits of an n-gram lie in the
-segment its hash names; segments are filled by Spark tasks, one row of the
-shuffle per n-gram, and their bits joined to the broadcast array.
-
-Size bound: the filter takes at most ``max_bytes``. The n-gram count from which
-n-grams of order 2 and up are kept is read off the corpus's counts of counts:
-2 (an n-gram seen once carries no more than its shorter one), or the smallest
-higher count for which the filter fits. Counts and statistics cover all
-training documents.
+1. The texts are cut into blocks of about ``block_words`` words, stored as packed
+   word numbers, so that texts are tokenised once.
+2. Every block sends its distinct n-grams (orders 1 to ``order``, with a start
+   context and an end token per text), as 64-bit hashes with their counts in the
+   block's training texts, to the filter's shards. A shard is a range of hashes;
+   the number of shards grows with the shuffle partitions and so with the input.
+3. A shard's task sums the counts and fills its filter. A count ``c`` is kept as
+   its quantum ``q = 1 + floor(log2 c)``: the filter holds the pairs (n-gram, 1)
+   ... (n-gram, q), and a lookup probes 1, 2, ... until a pair is absent, so a
+   false positive can only raise a count by one quantum, with geometrically
+   falling odds. Words are held from count 1, longer n-grams from count 2, however
+   large the corpus. The task probes the blocks' n-grams and sends the
+   quanta back, for words also the exact counts of the base score.
+4. A block's texts are scored where its quanta meet its words. No task or driver
+   holds more than one shard or one block.
 
 Scores: ``P(w | h) = max(c(h w) - D, 0) / c(h) + (1 - L) P(w | h')``, ``h'`` one
-word shorter, down to ``(c(w) + 1) / (N + V + 1)``; all ``c`` by probes. ``D`` is
-the largest count that is not kept, and ``L`` the share of the corpus's n-grams
-that remains after this discount, so the mass of dropped n-grams goes to the
-shorter ones; an unseen history passes all of it on. Texts are scored by tasks
-that hold the filter only.
+word shorter, down to ``(c(w) + 1) / (N + V + 1)``; all ``c`` by probes. Per order
+``D`` is 1, the largest count that is not kept, and ``L`` is the share of the corpus's n-grams that remains after
+this discount; an unseen history passes all its mass to the shorter one. The base
+score takes every word's exact count.
 
-The exact unigram base score needs every word's exact count: the ``top_words``
-commonest are broadcast (12 bytes each), all other words of a text meet the
-stored counts in a join on the word's hash, grouped per text and word before.
+:func:`build_filter` makes one filter of a stored table of counts, for a caller
+who wants it on one machine and bounds its size; :func:`score` does not use it.
 
 Defined results: a null or empty text is one end token; ids may be null or
-repeated (rows are told apart by a row number given when the first pass is
-stored); an id's text for the split is empty for a null id; an empty table, or
+repeated; an id's text for the split is empty for a null id; an empty table, or
 one without training rows, gives N = V = 0 and scores without counts; other
 columns do not matter.
 """
@@ -42,11 +40,13 @@ from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import scratch, stored
+from tillroll.llm.bpe import pack, unpack
+from tillroll.llm.common import stored
 
 ORDER = 2
 MIN_COUNT = 2
@@ -54,10 +54,9 @@ BITS_PER_ENTRY = 10
 PROBES = 6
 MAX_BYTES = 64 << 20
 SEGMENT_BITS = 1 << 19
-TOP_WORDS = 1 << 18
-FLUSH = 2_000_000      # n-grams a task holds before it hands on its counts
-CHUNK_WORDS = 400_000  # words scored at once
-MAX_WORDS = 500_000    # different words whose counts a task keeps at hand
+BLOCK_WORDS = 1_000_000  # words of a block
+BLOCK_DOCS = 100_000
+FLUSH = 2_000_000        # n-grams a task of count_ngrams holds before it hands on its counts
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))          # no word holds white space
 START = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
@@ -146,15 +145,21 @@ def count_ngrams(train: DataFrame, text: str, order: int) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Filter:
-    """The filter's segments as one array of bytes, with the totals of the training corpus."""
+class Totals:
+    """Totals of the training corpus."""
 
-    bits: np.ndarray  # (segments, SEGMENT_BITS / 8)
     total: int     # tokens
     distinct: int  # different tokens
     texts: int
-    discount: int
-    shares: tuple  # per order from 2: L
+    discount: tuple  # per order from 2: D
+    shares: tuple    # per order from 2: L
+
+
+@dataclass(frozen=True)
+class Filter(Totals):
+    """The filter's segments as one array of bytes, with the totals of the training corpus."""
+
+    bits: np.ndarray  # (segments, SEGMENT_BITS / 8)
 
     def holds(self, grams: np.ndarray, quantum: int) -> np.ndarray:
         """Whether (n-gram, quantum) is present, per n-gram."""
@@ -171,14 +176,23 @@ class Filter:
         out[at] = True
         return out
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
-        """Expected counts of n-grams: the middle of their quantum's range, 0 if absent."""
-        quanta, at, q = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
+    def quanta(self, grams: np.ndarray) -> np.ndarray:
+        """Quanta of n-grams, 0 if absent."""
+        quanta, at, q = np.zeros(len(grams), np.uint8), np.arange(len(grams)), 0
         while len(at) and q < 62:
             q += 1
             at = at[self.holds(grams[at], q)]
             quanta[at] = q
-        return np.where(quanta > 0, 0.75 * 2.0 ** quanta - 0.5, 0.0)
+        return quanta
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """Expected counts of n-grams."""
+        return expected(self.quanta(grams))
+
+
+def expected(quanta: np.ndarray) -> np.ndarray:
+    """The middle of each quantum's range of counts, 0 for 0."""
+    return np.where(quanta > 0, 0.75 * 2.0 ** quanta.astype(np.float64) - 0.5, 0.0)
 
 
 def _probe_hashes(grams: np.ndarray, quantum) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +204,30 @@ def quantum(c: Column) -> Column:
     return (F.floor(F.log2(c.cast("double"))) + 1).cast("int")
 
 
+def discounted(n1: int, n2: int) -> float:
+    """Absolute discount, from the numbers of n-grams seen once and twice; within (0, 1)."""
+    return (n1 + 1) / (n1 + 2 * n2 + 2)
+
+
+def set_bits(grams: np.ndarray, quanta: np.ndarray, segment: np.ndarray, segments: int) -> np.ndarray:
+    """Bytes (segments, SEGMENT_BITS / 8) that hold the n-grams with all their quanta."""
+    flags = np.zeros(segments * SEGMENT_BITS, bool)
+    for q in range(1, int(quanta.max(initial=0)) + 1):
+        own = quanta >= q
+        a, b = _probe_hashes(grams[own], q)
+        base = segment[own].astype(np.int64) * SEGMENT_BITS
+        for i in range(PROBES):
+            flags[base + ((a + np.uint64(i) * b) & np.uint64(SEGMENT_BITS - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").reshape(segments, -1)
+
+
 def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
-    """The filter of a stored table of counts (unigrams of any count, others from MIN_COUNT)."""
+    """One filter of a stored table of counts, of at most ``max_bytes``.
+
+    If it would be larger, n-grams of order 2 and up are kept from the smallest count
+    for which it fits; ``discount`` is then the largest count that is not kept. A table
+    without n-grams seen once counts as one that left them out.
+    """
     spread = counts.groupBy("n", "c").agg(F.count(F.lit(1)).alias("k"))
     by_quantum = spread.groupBy("n", quantum(F.col("c")).alias("q")).agg(
         F.sum("k").alias("k"), F.sum(F.col("k") * F.col("c")).alias("words")).collect()  # 63 per order
@@ -202,10 +238,15 @@ def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
         return sum(r.k * r.q for r in by_quantum if r.q >= least or (r.n == 1 and least <= 2))
 
     room = max_bytes * 8 // BITS_PER_ENTRY
-    least = next((q for q in range(2, 64) if entries(q) <= room), 64)
-    discount = 2 ** (least - 1) - 1
-    shares = tuple(sum(r.words - r.k * discount for r in by_quantum if r.n == n and r.q >= least)
-                   / max(total, 1) for n in range(2, max((r.n for r in by_quantum), default=1) + 1))
+    first = 1 if any(r.n > 1 and r.q == 1 for r in by_quantum) else 2
+    least = next((q for q in range(first, 64) if entries(q) <= room), 64)
+    orders = range(2, max((r.n for r in by_quantum), default=1) + 1)
+    discount = tuple(2.0 ** (least - 1) - 1 for _ in orders)
+    if least == 1:
+        seen = {(r.n, r.c): r.k for r in spread.filter("c <= 2").collect()}
+        discount = tuple(discounted(seen.get((n, 1), 0), seen.get((n, 2), 0)) for n in orders)
+    shares = tuple(sum(r.words - r.k * d for r in by_quantum if r.n == n and r.q >= least)
+                   / max(total, 1) for n, d in zip(orders, discount))
     segments = max(1, -(-entries(least) * BITS_PER_ENTRY // SEGMENT_BITS))
     kept = counts.withColumn("q", quantum(F.col("c"))).filter(
         (F.col("q") >= least) | ((F.col("n") == 1) & F.lit(least <= 2)))
@@ -215,14 +256,7 @@ def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
 
     def fill(table: pa.Table) -> pa.Table:
         grams = table.column("h").to_numpy().view("<u8")
-        quanta = table.column("q").to_numpy()
-        flags = np.zeros(SEGMENT_BITS, bool)
-        for q in range(1, int(quanta.max()) + 1):
-            a, b = _probe_hashes(grams[quanta >= q], q)
-            for i in range(PROBES):
-                p = (a + np.uint64(i) * b) & np.uint64(SEGMENT_BITS - 1)
-                flags[p.astype(np.int64)] = True
-        bits = np.packbits(flags, bitorder="little")
+        bits = set_bits(grams, table.column("q").to_numpy(), np.zeros(len(grams), np.int64), 1)
         return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([bits.tobytes()])})
 
     filled = kept.select(segment.alias("segment"), "h", "q").groupBy("segment").applyInArrow(
@@ -231,7 +265,7 @@ def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
     for r in filled.toLocalIterator():  # max_bytes at most
         bits[r.segment] = np.frombuffer(r.bits, np.uint8)
     ends = counts.filter((F.col("n") == 1) & (F.col("h") == F.lit(int(END.view(np.int64))))).first()
-    return Filter(bits, total, distinct, ends.c if ends else 0, discount, shares)
+    return Filter(total, distinct, ends.c if ends else 0, discount, shares, bits)
 
 
 def log10_probability(f: Filter, grams: list[np.ndarray], starts: np.ndarray,
@@ -241,119 +275,179 @@ def log10_probability(f: Filter, grams: list[np.ndarray], starts: np.ndarray,
     ``grams``: per order, as of :func:`ngrams`; ``starts``: where the texts begin;
     ``unigrams``: the filter's counts of the tokens.
     """
-    p = (unigrams + 1.0) / (f.total + f.distinct + 1.0)
-    shorter = unigrams
-    for n, share in zip(range(1, len(grams)), f.shares):
+    return interpolated(f, [unigrams, *(f.counts(g) for g in grams[1:])], starts)
+
+
+def interpolated(f: Totals, counts: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
+    """log10 P of every token, from the counts of the n-grams that end there, per order."""
+    p = (counts[0] + 1.0) / (f.total + f.distinct + 1.0)
+    for shorter, seen, discount, share in zip(counts, counts[1:], f.discount, f.shares):
         before = np.empty_like(shorter)
         before[1:] = shorter[:-1]
         before[starts] = f.texts  # the start precedes the first word of every training text
-        shorter = f.counts(grams[n])
-        seen = np.maximum(np.minimum(shorter, before) - f.discount, 0.0)
-        p = np.where(before > 0, seen / np.maximum(before, 1.0) + (1.0 - share) * p, p)
+        rest = np.maximum(np.minimum(seen, before) - discount, 0.0)
+        p = np.where(before > 0, rest / np.maximum(before, 1.0) + (1.0 - share) * p, p)
     return np.log10(np.minimum(p, 1.0))
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text",
-          order: int = ORDER, max_bytes: int = MAX_BYTES, top_words: int = TOP_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
+def _offsets(lens: np.ndarray) -> np.ndarray:
+    return np.cumsum(lens) - lens
 
-    The model learns from the rows for which ``held_out`` is false.
-    """
-    spark = docs.sparkSession
-    base = scratch(spark)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                       F.col(f"`{text}`").alias("text"))
-    counts = count_ngrams(rows.filter("not held_out"), "text", order).filter(
-        (F.col("n") == 1) | (F.col("c") >= MIN_COUNT))
-    counts = stored(counts, f"{base}/counts")
-    model = build_filter(counts, max_bytes)
-    words = counts.filter("n = 1").select("h", "c")
-    top = words.orderBy(F.desc("c"), "h").limit(top_words).toArrow()
-    often = top.column("c").to_numpy().astype(np.float64)
-    common = top.column("h").to_numpy().view("<u8")
-    order_ = np.argsort(common)
-    shared = spark.sparkContext.broadcast((
-        (model.bits, model.total, model.distinct, model.texts, model.discount, model.shares), common[order_], often[order_]))
-    denominator = float(model.total + model.distinct + 1)
 
+def encode_blocks(rows: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Blocks of the texts of (doc_id, held_out, text): ids, lengths, word hashes and numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, common, often = shared.value
-        f = Filter(*parts)
-        rest = pa.struct([("h", pa.int64()), ("k", pa.int64())])
-
-        class Scored(Vocabulary):
-            """Words with the filter's count, and the base log of those with an exact count here."""
-
-            def __init__(self):
-                super().__init__()
-                self.counts, self.logs = self.look(self.hashes)
-
-            def look(self, hashes):
-                at = np.minimum(np.searchsorted(common, hashes), max(len(common) - 1, 0))
-                logs = np.full(len(hashes), np.nan)
-                if len(common):
-                    found = common[at] == hashes
-                    logs[found] = np.log10((often[at[found]] + 1.0) / denominator)
-                return f.counts(hashes), logs
-
-            def update(self):
-                new = super().update()
-                counts, logs = self.look(new)
-                self.counts = np.concatenate((self.counts, counts))
-                self.logs = np.concatenate((self.logs, logs))
-                return new
-
-        def chunk(ids, held, texts):
+        def block():
             words.update()
-            starts = _starts(texts)
-            flat = np.concatenate(texts)
-            grams = ngrams(words.hashes[flat], starts, order)
-            p = log10_probability(f, grams, starts, words.counts[flat])
-            logs = words.logs[flat]
-            far = np.isnan(logs)
-            known = np.add.reduceat((~far).astype(np.int64), starts)
-            rare = []
-            for a, n, k in zip(starts.tolist(), [len(t) for t in texts], known.tolist()):
-                h, c = np.unique(grams[0][a:a + n][far[a:a + n]], return_counts=True) if k < n else ((), ())
-                rare.append([{"h": x, "k": y} for x, y in zip(h.view("<i8").tolist(), c.tolist())] if k < n else [])
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(held, pa.bool_()),
-                 pa.array([len(t) for t in texts], pa.int64()), pa.array(known),
-                 pa.array(np.add.reduceat(np.where(far, 0.0, logs), starts)),
-                 pa.array(np.add.reduceat(p, starts)), pa.array(rare, pa.list_(rest))],
-                ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                [pa.array([ids], pa.list_(id_type)), pa.array([out], pa.list_(pa.bool_())),
+                 pa.array([pack(np.array([len(t) for t in held], np.int64))]),
+                 pa.array([words.hashes.tobytes()], pa.binary()),
+                 pa.array([pack(np.concatenate(held))], pa.binary())],
+                ["ids", "held_out", "lens", "words", "tokens"])
 
-        words = Scored()
+        words, held, ids, out, size, id_type = Vocabulary(), [], [], [], 0, None
         for b in batches:
             id_type = b.column("doc_id").type
-            ids, held, texts, size = [], [], [], 0
             for i, o, t in zip(b.column("doc_id"), b.column("held_out"), b.column("text")):
                 ids.append(i.as_py())
-                held.append(o.as_py())
-                texts.append(words(tokens(t.as_py())))
-                size += len(texts[-1])
-                if size > CHUNK_WORDS:
-                    yield chunk(ids, held, texts)
-                    ids, held, texts, size = [], [], [], 0
-                    if len(words.numbers) > MAX_WORDS:
-                        words = Scored()
-            if ids:
-                yield chunk(ids, held, texts)
+                out.append(o.as_py())
+                held.append(words(tokens(t.as_py())))
+                size += len(held[-1])
+                if size >= block_words or len(ids) >= BLOCK_DOCS:
+                    yield block()
+                    words, held, ids, out, size = Vocabulary(), [], [], [], 0
+        if ids:
+            yield block()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = stored(rows.mapInArrow(run, (
-        f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, "
-        "score double, rare array<struct<h:bigint,k:bigint>>")).withColumn(
-        "row", F.monotonically_increasing_id()), f"{base}/scored")
-    # words beyond the commonest: exact counts by a join, one row per text and word
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.k").join(
-        words, "h", "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("k")).otherwise(F.lit(0))).alias("known"),
-        F.sum(F.log10((c + 1) / F.lit(denominator)) * F.col("k")).alias("logs"))
-    return scored.drop("rare").join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), "score")
+    return rows.mapInArrow(run, (f"ids array<{kind}>, held_out array<boolean>, lens binary, "
+                                 "words binary, tokens binary"))
+
+
+def _unpack_block(row: dict, order: int):
+    """(lengths, n-grams per order, starts) of a block."""
+    lens = unpack(row["lens"]).astype(np.int64)
+    flat = np.frombuffer(row["words"], "<u8")[unpack(row["tokens"])]
+    return lens, ngrams(flat, _offsets(lens), order), _offsets(lens)
+
+
+ASKED = "block bigint, n int, shard int, h binary, c binary"
+ANSWERS = ("block bigint, n int, shard int, q binary, c binary, k bigint, words bigint, "
+           "n1 bigint, n2 bigint, texts bigint")
+_ASKED = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("shard", pa.int32()),
+                    ("h", pa.binary()), ("c", pa.binary())])
+_ANSWERS = pa.schema([("block", pa.int64()), ("n", pa.int32()), ("shard", pa.int32()), ("q", pa.binary()),
+                      ("c", pa.binary()), *[(x, pa.int64()) for x in ("k", "words", "n1", "n2", "texts")]])
+
+
+def _ask(blocks: DataFrame, order: int, shards: int) -> DataFrame:
+    """Per block, order and shard: the distinct n-grams in order, and their counts in training texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([-(-(k << 64) // shards) for k in range(1, shards)], np.uint64)
+        for whole in batches:
+            for at in range(whole.num_rows):
+                row = whole.slice(at, 1).to_pylist()[0]
+                lens, grams, _ = _unpack_block(row, order)
+                learnt = np.repeat(~np.array(row["held_out"], bool), lens)
+                for n, g in enumerate(grams, 1):
+                    h, place = np.unique(g, return_inverse=True)
+                    c = np.bincount(place[learnt], minlength=len(h))
+                    cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
+                    out = [(row["block"], n, k, h[a:z].tobytes(), pack(c[a:z]))
+                           for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*out), _ASKED.types)], schema=_ASKED)
+
+    return blocks.mapInArrow(run, ASKED)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """A shard's filter, filled and probed: rows with quanta per block, and a row of statistics per order."""
+    orders, shard = table.column("n").to_numpy(), table.column("shard")[0].as_py()
+    found = {}
+    for n in np.unique(orders).tolist():
+        own = table.filter(pa.array(orders == n))
+        parts = [np.frombuffer(x.as_py(), "<u8") for x in own.column("h")]
+        h, place = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(place, np.concatenate([unpack(x.as_py()) for x in own.column("c")]),
+                        len(h)).astype(np.int64)
+        c[c < (1 if n == 1 else MIN_COUNT)] = 0
+        found[n] = own.column("block").to_pylist(), [len(x) for x in parts], place, h, c
+    grams = np.concatenate([h[c > 0] for *_, h, c in found.values()])
+    quanta = np.concatenate([np.frexp(c[c > 0].astype(np.float64))[1] for *_, c in found.values()])
+    segments = max(1, -(-int(quanta.sum()) * BITS_PER_ENTRY // SEGMENT_BITS))
+    f = Filter(0, 0, 0, (), (), set_bits(grams, quanta, grams % np.uint64(segments), segments))
+    out = []
+    for n, (blocks, lens, place, h, c) in found.items():
+        q = f.quanta(h)[place]
+        exact = c[place] if n == 1 else None
+        for block, a, m in zip(blocks, _offsets(np.array(lens)).tolist(), lens):
+            out.append((block, n, shard, pack(q[a:a + m]), None if exact is None else exact[a:a + m].tobytes(),
+                        *[None] * 5))
+        out.append((None, n, shard, None, None, int((c > 0).sum()), int(c.sum()), int((c == 1).sum()),
+                    int((c == 2).sum()), int(c[h == END].sum()) if n == 1 else 0))
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _ANSWERS.types)], schema=_ANSWERS)
+
+
+def _totals(answers: DataFrame) -> Totals:
+    seen = {r.n: r for r in answers.filter("block IS NULL").groupBy("n").agg(
+        *[F.sum(x).alias(x) for x in ("k", "words", "n1", "n2", "texts")]).collect()}
+    if 1 not in seen:
+        return Totals(0, 0, 0, (), ())
+    longer = [seen[n] for n in sorted(seen)[1:]]
+    total = seen[1].words
+    discount = tuple(float(MIN_COUNT - 1) for _ in longer)
+    return Totals(total, seen[1].k, seen[1].texts, discount, tuple(
+        (r.words - r.k * d) / max(total, 1) for r, d in zip(longer, discount)))
+
+
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text",
+          order: int = ORDER, top_words: int | None = None, block_words: int = BLOCK_WORDS,
+          shards: int | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
+
+    The model learns from the rows for which ``held_out`` is false. ``shards`` defaults to
+    twice the shuffle partitions, which grow with the input. ``top_words`` has no effect:
+    the exact counts of all words take one path.
+    """
+    spark = docs.sparkSession
+    shards = shards or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
+                       F.col(f"`{text}`").alias("text"))
+    blocks = stored(encode_blocks(rows, block_words).withColumn("block", F.monotonically_increasing_id()))
+    answers = stored(_ask(blocks, order, shards).groupBy("shard").applyInArrow(_answer, ANSWERS))
+    totals = _totals(answers)
+    denominator = float(totals.total + totals.distinct + 1)
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        is_block = table.column("tokens").is_valid()
+        body = table.filter(is_block)
+        row = body.to_pylist()[0]
+        lens, grams, starts = _unpack_block(row, order)
+        found = table.select(["n", "shard", "q", "c"]).filter(pc.invert(is_block)).sort_by(
+            [("n", "ascending"), ("shard", "ascending")]).to_pylist()
+        counts = []
+        for n, g in enumerate(grams, 1):
+            h, place = np.unique(g, return_inverse=True)
+            q = np.concatenate([unpack(r["q"]) for r in found if r["n"] == n])
+            if len(q) != len(h):
+                raise ValueError("a block's n-grams did not all come back")
+            counts.append(expected(q)[place])
+            if n == 1:
+                exact = np.concatenate([np.frombuffer(r["c"], "<i8") for r in found if r["n"] == 1])[place]
+        p = interpolated(totals, counts, starts)
+        return pa.table({
+            "doc_id": pc.list_flatten(body.column("ids")),
+            "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": pa.array(lens),
+            "n_known": pa.array(np.add.reduceat((exact > 0).astype(np.int64), starts)),
+            "base_score": pa.array(np.add.reduceat(np.log10((exact + 1.0) / denominator), starts)),
+            "score": pa.array(np.add.reduceat(p, starts))})
+
+    both = blocks.unionByName(answers.filter("block IS NOT NULL").select("block", "n", "shard", "q", "c"),
+                              allowMissingColumns=True)
+    scored = both.groupBy("block").applyInArrow(run, (
+        f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known",
+                         F.lit(totals.total).cast("long").alias("train_tokens"), "base_score", "score")
