@@ -198,6 +198,50 @@ def test_lm_edges(spark):
     assert {(r.train_tokens, r.n_known) for r in alone} == {(0, 0)}
 
 
+def _plain_scores(rows, held):
+    """Scores with exact n-gram counts at the middle of their quantum, without a filter."""
+    def grams(text):
+        w = tokens(text)
+        return w, list(zip(["start", *w[:-1]], w))
+
+    def mid(c):
+        return 0.75 * 2 ** c.bit_length() - 0.5 if c else 0.0
+
+    one, two = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w, pairs = grams(t)
+            one.update(w)
+            two.update(pairs)
+    total, texts = sum(one.values()), one[None]
+    n1, n2 = (sum(c == k for c in two.values()) for k in (1, 2))
+    d = (n1 + 1) / (n1 + 2 * n2 + 2)
+    share = (total - len(two) * d) / total
+    out = {}
+    for i, t in rows:
+        s = 0.0
+        for a, w in grams(t)[1]:
+            p = (mid(one[w]) + 1) / (total + len(one) + 1)
+            before = texts if a == "start" else mid(one[a])
+            if before:
+                p = max(min(mid(two[a, w]), before) - d, 0) / before + (1 - share) * p
+            s += math.log10(min(p, 1.0))
+        out[i] = s
+    return out
+
+
+def test_once_seen_ngrams_count(spark):
+    """The whole model: every n-gram, also those seen once, in any number of blocks and shards."""
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(12))) for i in range(40)]
+    rows += [(100, "once only here"), (200, "once only here"), (201, "here only once"), (202, None), (203, "new")]
+    want = _plain_scores(rows, lambda i: i >= 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for kw in ({}, {"block_words": 50, "shards": 7}, {"shards": 1}):
+        got = {r.doc_id: r.score for r in lm_bloom.score(df, F.col("doc_id") >= 200, **kw).collect()}
+        assert got == {i: pytest.approx(s) for i, s in want.items()}
+    assert want[200] > want[201]  # a bigram seen once is not an unseen one
+
+
 def test_a_large_filter_forgets_nothing(spark, monkeypatch):
     """A filter far beyond MAX_BYTES in all: the shards hold all n-grams."""
     rows = [(i, " ".join(f"w{(i * 7 + k * k) % 90}" for k in range(12))) for i in range(40)]

@@ -10,15 +10,16 @@
    its quantum ``q = 1 + floor(log2 c)``: the filter holds the pairs (n-gram, 1)
    ... (n-gram, q), and a lookup probes 1, 2, ... until a pair is absent, so a
    false positive can only raise a count by one quantum, with geometrically
-   falling odds. Words are held from count 1, longer n-grams from count 2, however
-   large the corpus. The task probes the blocks' n-grams and sends the
+   falling odds. Every n-gram of the training texts is held, however rare and
+   however large the corpus. The task probes the blocks' n-grams and sends the
    quanta back, for words also the exact counts of the base score.
 4. A block's texts are scored where its quanta meet its words. No task or driver
    holds more than one shard or one block.
 
 Scores: ``P(w | h) = max(c(h w) - D, 0) / c(h) + (1 - L) P(w | h')``, ``h'`` one
 word shorter, down to ``(c(w) + 1) / (N + V + 1)``; all ``c`` by probes. Per order
-``D`` is 1, the largest count that is not kept, and ``L`` is the share of the corpus's n-grams that remains after
+``D = (n1 + 1) / (n1 + 2 n2 + 2)``, ``n1`` and ``n2`` the numbers of n-grams seen
+once and twice, and ``L`` is the share of the corpus's n-grams that remains after
 this discount; an unseen history passes all its mass to the shorter one. The base
 score takes every word's exact count.
 
@@ -49,7 +50,6 @@ from tillroll.llm.bpe import pack, unpack
 from tillroll.llm.common import stored
 
 ORDER = 2
-MIN_COUNT = 2
 BITS_PER_ENTRY = 10
 PROBES = 6
 MAX_BYTES = 64 << 20
@@ -372,7 +372,6 @@ def _answer(table: pa.Table) -> pa.Table:
         h, place = np.unique(np.concatenate(parts), return_inverse=True)
         c = np.bincount(place, np.concatenate([unpack(x.as_py()) for x in own.column("c")]),
                         len(h)).astype(np.int64)
-        c[c < (1 if n == 1 else MIN_COUNT)] = 0
         found[n] = own.column("block").to_pylist(), [len(x) for x in parts], place, h, c
     grams = np.concatenate([h[c > 0] for *_, h, c in found.values()])
     quanta = np.concatenate([np.frexp(c[c > 0].astype(np.float64))[1] for *_, c in found.values()])
@@ -397,7 +396,7 @@ def _totals(answers: DataFrame) -> Totals:
         return Totals(0, 0, 0, (), ())
     longer = [seen[n] for n in sorted(seen)[1:]]
     total = seen[1].words
-    discount = tuple(float(MIN_COUNT - 1) for _ in longer)
+    discount = tuple(discounted(r.n1, r.n2) for r in longer)
     return Totals(total, seen[1].k, seen[1].texts, discount, tuple(
         (r.words - r.k * d) / max(total, 1) for r, d in zip(longer, discount)))
 
