@@ -86,6 +86,48 @@ def test_a_shared_passage_goes_from_all_but_the_first(spark):
     assert all(got[i] == rows[i][1].replace(passage + "\n", "") for i in range(1, 80))
 
 
+def whole_dedup(docs, min_block=10):
+    """Non-blank lines left without those in a block shared with any earlier document."""
+    seqs = {k: [x for x in t.split("\n") if x.split()] for k, t in docs}
+
+    def common(a, b):
+        cut, ends = set(), {}
+        for i in range(len(a)):  # longest common block that ends at each pair of lines
+            ends = {j: ends.get(j - 1, 0) + 1 for j in range(len(b)) if a[i] == b[j]}
+            for size in ends.values():
+                if sum(len(x.split()) for x in a[i + 1 - size:i + 1]) >= min_block:
+                    cut.update(range(i + 1 - size, i + 1))
+        return cut
+
+    out = {}
+    for k, a in seqs.items():
+        cut = set().union(*[common(a, b) for o, b in seqs.items() if o < k])
+        out[k] = [x for i, x in enumerate(a) if i not in cut]
+    return out
+
+
+def _left(spark, rows):
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in got}
+
+
+def test_a_passage_goes_whoever_holds_its_lines(spark):
+    """Its lines have first holders of their own, in another order, and no pair of them."""
+    a, b = "the first line has nine words in it now", "licensed under the terms of version two"
+    rows = [(1, a + "\nx"), (2, "y\n" + b), (3, f"p\n{a}\n{b}\nq"), (4, f"r s\n{a}\n{b}\nt"),
+            (5, f"{b}\nmiddle\n{a}\n{b}")]
+    assert _left(spark, rows) == whole_dedup(rows)
+    assert _left(spark, rows)[4] == ["r s", "t"]
+
+
+def test_line_dedup_equals_alignment_with_all_earlier_documents(spark):
+    rnd = random.Random(8)
+    shared = [words(rnd, rnd.choice([1, 2, 3, 4, 6, 9, 12])) for _ in range(9)]
+    rows = [(i, "\n".join(rnd.choice([*shared, "", f"own {i} {k}"]) for k in range(rnd.randint(1, 14))))
+            for i in range(90)]
+    assert _left(spark, rows) == whole_dedup(rows)
+
+
 def test_line_dedup_edges(spark):
     docs = with_clashes(awkward(spark))
     out = line_dedup.dedup_lines(docs)

@@ -1,22 +1,26 @@
 """Line dedup by pairwise alignment.
 
-1. Every line that holds enough words has a first holder: the first document, by
-   (id, text hash), with that line. A line that later documents share nominates
-   the pair (later document, first holder). A line nominates one partner per
-   document however frequent it is, so pairs stay in proportion to lines: rare
-   lines need no document-frequency limit and frequent ones no other path.
+1. A run is a sequence of consecutive non-blank lines that reaches
+   ``min_block_words`` words and would not without its first or its last line; every
+   line that lies in a block of that many words lies in a run within the block.
+   Every run has a first holder: the first document, by (id, text hash), with it.
+   A run that later documents share nominates the pair (later document, first
+   holder). A run nominates one partner per document however frequent it is, so
+   pairs stay in proportion to lines, and no passage depends on what else its
+   documents share with others.
 2. Each pair is aligned with a patience diff of the two sequences of line
    hashes: common heads and tails, then lines that occur once on both sides, in
-   their longest increasing order, and so on between them.
+   their longest increasing order, and so on between them. Runs that both hold but
+   in another order are aligned after that, each by itself.
 3. Aligned blocks of consecutive lines with ``min_block_words`` words or more
-   are deleted from the later document. The first holder of a line keeps it, so
+   are deleted from the later document. The first document with a line keeps it, so
    no line disappears from the corpus.
 
 Lines are compared by 128-bit hashes. Texts are read twice (hashes, deletion)
 and never shuffled unless the deletions are too many to broadcast.
 
 Defined results: a null text stays null, an empty text empty; blank lines are
-never compared and go only if both neighbours in a block go; null ids come
+never compared and go only if both neighbours go in one block of one pair; null ids come
 before all others; repeated rows (equal id and text) are one document and get
 equal results; equal ids with different texts are different documents; other
 columns pass through; an empty table gives an empty table.
@@ -24,6 +28,7 @@ columns pass through; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +39,6 @@ from pyspark.sql import functions as F
 
 from tillroll.llm.common import BROADCAST_ROWS, fresh, let, stored, words
 
-MIN_LINE_WORDS = 5
 MIN_BLOCK_WORDS = 10
 
 
@@ -95,23 +99,67 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(n_words: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs with ``least`` words, from every first and to every last line."""
+    out, least, n = set(), max(least, 1), len(n_words)
+    end = held = 0
+    for start in range(n):
+        while end < n and held < least:
+            held += n_words[end]
+            end += 1
+        if held < least:
+            break
+        out.add((start, end))
+        held -= n_words[start]
+    start = held = 0
+    for end in range(1, n + 1):
+        held += n_words[end - 1]
+        while held - n_words[start] >= least:
+            held -= n_words[start]
+            start += 1
+        if held >= least:
+            out.add((start, end))
+    return sorted(out)
+
+
+def _left_over(a: list, n_words: list[int], b: list, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of ``a`` that ``b`` holds, in any order."""
+    known, held, part = dict(zip(a, n_words)), set(), []
+    for x in [*b, None]:
+        if x in known:
+            part.append(x)
+            continue
+        held.update(tuple(part[i:j]) for i, j in runs([known[y] for y in part], least))
+        part = []
+    return [(i, j) for i, j in runs(n_words, least) if tuple(a[i:j]) in held]
+
+
 def cut_positions(later: list, n_words: list[int], first: list, min_block_words: int) -> list[int]:
     """Line positions of ``later`` that lie in aligned blocks with ``first``.
 
     Blank lines are None; blocks run over them.
     """
     at = [i for i, x in enumerate(later) if x is not None]
-    pairs = patience([later[i] for i in at], [x for x in first if x is not None])
-    out, k = [], 0
+    a, b = [later[i] for i in at], [x for x in first if x is not None]
+    pairs = patience(a, b)
+    out, k = set(), 0
     while k < len(pairs):
         m = k + 1
         while m < len(pairs) and pairs[m] == (pairs[m - 1][0] + 1, pairs[m - 1][1] + 1):
             m += 1
         block = [at[i] for i, _ in pairs[k:m]]
         if sum(n_words[i] for i in block) >= min_block_words:
-            out += range(block[0], block[-1] + 1)
+            out.update(range(block[0], block[-1] + 1))
         k = m
-    return out
+    more = _left_over(a, [n_words[i] for i in at], b, min_block_words)
+    if any(at[k] not in out for i, j in more for k in range(i, j)):
+        beside = set(zip(b, b[1:]))
+        for i, j in more:
+            out.update(range(at[i], at[j - 1] + 1))
+        for k in range(len(a) - 1):  # blank lines between neighbours of one block
+            if at[k] in out and at[k + 1] in out and (a[k], a[k + 1]) in beside:
+                out.update(range(at[k], at[k + 1]))
+    return sorted(out)
 
 
 def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,15 +175,34 @@ def sequences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         F.col("s.n").alias("n_words")).dropDuplicates(["doc"])
 
 
+def _run_hashes(seqs: DataFrame, min_block_words: int) -> DataFrame:
+    """(doc, h): the 128-bit hashes of every document's runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], []
+            for i in range(b.num_rows):
+                n_words = b.column("n_words")[i].as_py()
+                if sum(n_words) < min_block_words:
+                    continue
+                held = [(x, n) for x, n in zip(b.column("lines")[i].as_py(), n_words) if x is not None]
+                found = {hashlib.md5(b"".join([x for x, _ in held[a:z]])).digest()
+                         for a, z in runs([n for _, n in held], min_block_words)}
+                at += [i] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc").take(pa.array(at, pa.int64())), pa.array(out, pa.binary())], ["doc", "h"])
+
+    return seqs.mapInArrow(run, f"doc {seqs.schema['doc'].dataType.simpleString()}, h binary")
+
+
 def cuts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-         min_line_words: int = MIN_LINE_WORDS, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
+         min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc, cut): the positions of the lines to delete, for documents that have some."""
     seqs = stored(sequences(docs, doc_id, text))
-    lines = seqs.select("doc", F.explode(F.arrays_zip("lines", "n_words")).alias("x")).filter(
-        F.col("x.n_words") >= min_line_words).select("doc", F.col("x.lines").alias("h"))
-    holders = lines.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
+    held = stored(_run_hashes(seqs, min_block_words))
+    holders = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter(
         "first <> last").select("h", "first")
-    pairs = lines.join(holders, "h").filter("doc <> first").select("doc", "first").distinct()
+    pairs = held.join(holders, "h").filter("doc <> first").select("doc", "first").distinct()
     both = pairs.join(seqs, "doc").join(
         seqs.select(F.col("doc").alias("first"), F.col("lines").alias("others")), "first").select(
         "doc", "lines", "n_words", "others")
@@ -159,10 +226,9 @@ def cuts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                min_line_words: int = MIN_LINE_WORDS,
                 min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """``docs`` without the lines aligned with earlier documents, with ``n_lines`` and ``n_cut``."""
-    found = stored(cuts(docs, doc_id, text, min_line_words, min_block_words))
+    found = stored(cuts(docs, doc_id, text, min_block_words))
     total = found.select(F.sum(F.size("cut") + 8)).first()[0] or 0
     if total <= 10 * BROADCAST_ROWS:  # 8 MB of positions and keys
         found = F.broadcast(found)
