@@ -120,6 +120,13 @@ def test_a_passage_goes_whoever_holds_its_lines(spark):
     assert _left(spark, rows)[4] == ["r s", "t"]
 
 
+def test_lines_of_few_words_make_blocks(spark):
+    verse = "\n".join(f"short v{i} line" for i in range(20))
+    rows = [(i, f"own{i}\n{verse}\nend {i}") for i in range(4)]
+    assert _left(spark, rows) == whole_dedup(rows)
+    assert _left(spark, rows)[3] == ["own3", "end 3"]
+
+
 def test_line_dedup_equals_alignment_with_all_earlier_documents(spark):
     rnd = random.Random(8)
     shared = [words(rnd, rnd.choice([1, 2, 3, 4, 6, 9, 12])) for _ in range(9)]
