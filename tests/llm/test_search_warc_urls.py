@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -88,6 +89,38 @@ def test_salvage_recovers_later_records_and_logs_the_gap(gzip, damage):
     assert covered == len(data)  # every byte is in a record or in a gap
 
 
+@pytest.mark.parametrize("level", [0, 6], ids=["stored", "deflated"])
+@pytest.mark.parametrize("damage", ["payload", "flip", "tail"])
+def test_salvage_inside_a_member_of_several_records(damage, level):
+    rnd = random.Random(3)
+    words = [bytes(rnd.choices(b"abcdefgh", k=6)) for _ in range(500)]
+    plain = _archive([b" ".join(rnd.choices(words, k=2000)) for _ in range(30)], False)
+    if damage == "payload":
+        at = plain[12].index(b"\r\n\r\n") + 300
+        plain[12] = plain[12][:at] + b"#" + plain[12][at + 1:]
+
+    def member(data):
+        z = zlib.compressobj(level, zlib.DEFLATED, 31)
+        return z.compress(data) + z.flush()
+
+    one, after = bytearray(member(b"".join(plain))), member(_archive([b"x"], False)[0].replace(b":page:0", b":page:99"))
+    if damage == "flip":
+        one[len(one) // 2] ^= 0xFF
+    if damage == "tail":
+        del one[len(one) // 2:]
+    out = list(warc.salvage("f", bytes(one) + after))
+    ids = [r[4] for k, r in out if k == "record"]
+    gaps = [r for k, r in out if k == "gap"]
+    assert len(ids) == len(set(ids)) and ids[-1] == 99 and gaps
+    if damage == "payload":
+        assert ids == [*range(12), *range(13, 30), 99]
+        assert [(g[1], g[2]) for g in gaps] == [(0, len(one))]
+        assert f"bytes {sum(map(len, plain[:12]))} to {sum(map(len, plain[:13]))}" in gaps[0][3]
+    else:
+        assert ids[:12] == list(range(12))  # what lies before the damage
+        assert any(g[1] == 0 for g in gaps)
+
+
 def test_salvage_of_nothing_and_rubbish():
     assert list(warc.salvage("f", b"")) == []
     assert [k for k, _ in warc.salvage("f", b"no archive at all")] == ["gap"]

@@ -10,7 +10,10 @@ Reader: archives come as (path, content). Members are checked (gzip trailer,
 version line, content length, closing CRLF CRLF, payload digest). After a
 failed check the reader searches for the next valid gzip member or, in plain
 bytes, the next version line that starts a sound record, goes on there, and
-logs the byte gap between as quarantined. Memory: one archive file.
+logs the byte gap between as quarantined. Inside a member, whole or inflated up
+to its damage, it searches version lines the same way; such a gap has the
+member's place in the file, and the inflated bytes in its reason. Memory: one
+archive file and one inflated member.
 
 Equal payloads of at least ``min_revisit`` bytes are stored once: the record of
 the largest id is the response, the others are revisits that name it.
@@ -162,15 +165,44 @@ def _parse(data: bytes, at: int):
 
 
 def _member_at(data: bytes, at: int):
-    """(content, end) of the sound gzip member at ``at``, or the reason why it is none."""
+    """(content, end, reason) of the gzip member at ``at``; the reason is None if it is sound,
+    otherwise the content is what was inflated up to ``end``."""
     z, parts, view = zlib.decompressobj(31), [], memoryview(data)
-    try:
-        while not z.eof and at < len(data):
-            parts.append(z.decompress(view[at:at + CHUNK]))
-            at += len(view[at:at + CHUNK])
-    except zlib.error as e:
-        return f"gzip: {e}"
-    return (b"".join(parts), at - len(z.unused_data)) if z.eof else "gzip member without end"
+    step = CHUNK
+    while not z.eof and at < len(data):
+        before = z.copy() if step > 1 else None
+        try:
+            parts.append(z.decompress(view[at:at + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(parts), at, f"gzip: {e}"
+            z, step = before, 1  # byte by byte, for all that comes before the damage
+            continue
+        at += len(view[at:at + step])
+    if not z.eof:
+        return b"".join(parts), at, "gzip member without end"
+    return b"".join(parts), at - len(z.unused_data), None
+
+
+def _inside(content: bytes):
+    """Yield (start, end, fields and payload, None) of the sound records of plain bytes, and
+    (start, end, None, reason) of the gaps between."""
+    at, bad, reason = 0, None, ""
+    while at < len(content):
+        got = _parse(content, at)
+        if isinstance(got, str):
+            if bad is None:
+                bad, reason = at, got
+            line = _START.search(content, at + 1)
+            at = line.start() if line else len(content)
+            continue
+        if bad is not None:
+            yield bad, at, None, reason
+            bad = None
+        yield at, got[2], got[:2], None
+        at = got[2]
+    if bad is not None:
+        yield bad, len(content), None, reason
 
 
 def _row(fields, payload, path, at, length):
@@ -193,29 +225,35 @@ def salvage(path: str, data: bytes):
     gzip members and plain records may follow each other in any order.
     """
     at, bad, reason = 0, None, ""
+    seen, upto = [], 0  # records of a damaged member, and how far it was inflated
     while at < len(data):
         rows, end = [], None
         if data.startswith(GZIP_MAGIC, at):
-            got = _member_at(data, at)
-            if not isinstance(got, str):
-                content, end = got
-                inner = 0
-                while inner < len(content):  # usually one record
-                    one = _parse(content, inner)
-                    if isinstance(one, str):
-                        break
-                    rows.append(_row(one[0], one[1], path, at, end - at))
-                    inner = one[2]
-                if inner < len(content):  # a sound member, but not of sound records
-                    got, end = one, None
+            content, stop, got = _member_at(data, at)
+            found = list(_inside(content))
+            sound = [x[2] for x in found if x[2]]
+            for a, z, one, why in found if sound else ():
+                if one and at < upto and one in seen:  # the damaged member ran over it
+                    continue
+                rows.append(("record", _row(*one, path, at, stop - at)) if one else
+                            ("gap", (path, at, stop - at, f"{why}: bytes {a} to {z} of the inflated member")))
+            if got is None and (sound or not content):
+                end = stop
+            elif got is None:  # a sound member, but not of sound records
+                if bad is None:
+                    bad, reason = at, found[0][3]
+                at = stop
+                continue
+            elif sound:
+                seen, upto = seen + sound if at < upto else sound, max(stop, upto)
         else:
             got = _parse(data, at)
             if not isinstance(got, str):
                 end = got[2]
-                rows.append(_row(got[0], got[1], path, at, end - at))
+                if at >= upto or got[:2] not in seen:  # else inflated with the damaged member already
+                    rows.append(("record", _row(got[0], got[1], path, at, end - at)))
         if end is None:
-            for r in rows:
-                yield "record", r
+            yield from rows
             if bad is None:
                 bad, reason = at, got
             line = _START.search(data, at + 1)
@@ -225,8 +263,7 @@ def salvage(path: str, data: bytes):
         if bad is not None:
             yield "gap", (path, bad, at - bad, reason)
             bad = None
-        for r in rows:
-            yield "record", r
+        yield from rows
         at = end
     if bad is not None:
         yield "gap", (path, bad, len(data) - bad, reason)
