@@ -14,7 +14,7 @@
 4. The mentions meet the surrogates in a join, are rendered in the mention's
    own format (separators, case) and put back between the text's other parts.
 
-Texts without a digit, an ``@``, a secret's keyword or a title are passed by;
+Texts without a digit, an ``@``, a secret's keyword, a title or a key or address of letters are passed by;
 only the others are ever shuffled. The key is a parameter and is needed to
 repeat the surrogates.
 
@@ -58,7 +58,7 @@ KINDS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 #: What every mention holds at least.
-HINT = rf"[\d@]|{_SECRET_WORD}|(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.? \p{{Lu}}"
+HINT = rf"[\d@]|AKIA[A-Z]{{16}}|(?:[A-Fa-f]{{2}}[:-]){{5}}|(?:[A-Fa-f]{{1,4}}:){{7}}|{_SECRET_WORD}|(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.? \p{{Lu}}"
 
 # Building blocks of surrogate names, per script, and the endings of each gender.
 SYLLABLES = {
