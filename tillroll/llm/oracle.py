@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.llm import mixing, quality, url_cascade, warc
+from tillroll.llm import audit, mixing, quality, suffix_dedup, url_cascade, warc
 from tillroll.llm.queries import THIN_PAGE_BYTES
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -139,9 +139,113 @@ SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM p LEFT JOIN f USING (digest)"""
 
 
+def _op11() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    grams = f"""
+  SELECT r, w, unnest(w) AS g FROM {{0}}
+  UNION ALL
+  SELECT r, w, w[i] || ' ' || w[i + 1] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM {{0}})"""
+    return rf"""
+WITH RECURSIVE digit AS (SELECT b::UINTEGER AS b, b::UINTEGER AS c, 0 AS k FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END, k + 1
+  FROM digit WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY b) AS t FROM digit WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS r, regexp_extract_all({lower}, '{word}') AS w FROM benchmark),
+dg AS (SELECT r, g FROM ({grams.format('d')})),
+bg AS (SELECT r, g FROM ({grams.format('b')})),
+keys AS (SELECT DISTINCT g FROM (SELECT g FROM dg UNION ALL SELECT g FROM bg)),
+hashed AS (
+  SELECT g, xor(list_reduce(list_transform(range(octet_length(encode(g))),
+             lambda i: ('0x' || hex(encode(g)[i + 1:i + 1]))::UINTEGER),
+           lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::INTEGER + 1]), 4294967295::UINTEGER),
+         4294967295::UINTEGER) % 10000 AS bucket
+  FROM keys, tbl),
+s AS (SELECT bucket, count(*) AS n FROM dg JOIN hashed USING (g) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM bg JOIN hashed USING (g) GROUP BY bucket),
+gains AS (
+  SELECT z.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dg) + 10000)::DOUBLE
+      / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bg) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket FROM range(10000) z(bucket)) z LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+sums AS (SELECT r, count(*) AS n, sum(gain) AS total
+         FROM dg JOIN hashed USING (g) JOIN gains USING (bucket) GROUP BY r),
+w AS (SELECT r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+             CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END::BIGINT AS weight,
+             ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::DOUBLE AS h
+      FROM d LEFT JOIN sums USING (r)),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM w),
+rk AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+       CASE WHEN rank <= 25 * (SELECT count(*) FROM rk) // 100 THEN rank END::BIGINT AS rank
+FROM sc LEFT JOIN rk USING (r)"""
+
+
+def _op12() -> str:
+    n = suffix_dedup.LEAST
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS id, doc_id,
+                  encode(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT r, id, p, md5(x[p + 1:p + {n}]) AS s
+      FROM (SELECT r, id, x, unnest(range(octet_length(x) - {n - 1})) AS p FROM d)),
+f AS (SELECT s, min(id) AS first FROM p GROUP BY s HAVING min(id) < max(id)),
+hit AS (SELECT r, p FROM p JOIN f USING (s) WHERE id > first),
+runs AS (SELECT r, g, min(p) AS a, max(p) + {n} AS z
+         FROM (SELECT r, p, sum(CASE WHEN p - prev <= {n} THEN 0 ELSE 1 END)
+                            OVER (PARTITION BY r ORDER BY p) AS g
+               FROM (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS prev FROM hit))
+         GROUP BY r, g),
+cuts AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z, sum(z - a) AS removed FROM runs GROUP BY r),
+k AS (SELECT *, [0] || coalesce(z, []) AS s, coalesce(a, []) || [octet_length(x)] AS e
+      FROM d LEFT JOIN cuts USING (r))
+SELECT doc_id, octet_length(x)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed,
+       coalesce(len(a), 0)::BIGINT AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(s) + 1),
+              lambda i: hex(CASE WHEN e[i] > s[i] THEN x[s[i] + 1:e[i]] ELSE ''::BLOB END)), ''))) AS kept_sha256
+FROM k"""
+
+
+def _op13() -> str:
+    words = f"regexp_extract_all(coalesce(text, ''), '{_WORD}')"
+    steps = ", ".join(f"('{o}', {s}, {b}, {p})" for o, s, b, p in audit.orders("ABCDE"))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {words} AS w FROM documents),
+f AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS mask
+  FROM d JOIN f USING (t) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+s(filter_order, step, bit, before) AS (VALUES {steps}),
+x AS (SELECT *, (mask & bit) <> 0 AS fails, (mask & before) <> 0 AS early FROM c, s),
+y AS (
+  SELECT part, filter_order, step, bit,
+         coalesce(sum(n) FILTER (WHERE NOT fails AND NOT early), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE fails AND NOT early), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE fails AND early), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE mask = bit), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE fails AND NOT early), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE fails AND NOT early), 0) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM y"""
+
+
 ORACLE = {
     "op1_quality_rules": _op1(),
     "op2_source_mixing": _op2(),
     "op8_warc_salvage": _op8(),
     "op10_url_filter": _op10(),
+    "op11_importance_resampling": _op11(),
+    "op12_suffix_dedup": _op12(),
+    "op13_filter_audit": _op13(),
 }
