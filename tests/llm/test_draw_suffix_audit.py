@@ -144,7 +144,7 @@ def test_suffix_arrays_and_common_prefixes(monkeypatch):
         n = rnd.randrange(120)
         t = bytes(rnd.choice([97, 98, 0]) for _ in range(n)) if rnd.random() < .7 else b"ab\0" * (n // 3)
         monkeypatch.setattr(suffix_dedup, "LANES", rnd.choice([1, 3, 50, 4096]))
-        x = np.frombuffer(t, np.uint8)
+        x = suffix_dedup.words_at(np.frombuffer(t, np.uint8))
         order = suffix_dedup.suffix_array(x)
         assert order.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
         shared = suffix_dedup.common_prefixes(x, order, 20)

@@ -47,7 +47,7 @@ SHARD_BYTES = 512 << 10
 #: Bytes of stretches that a task holds before it sends a block to every range.
 SEND_BYTES = 32 << 20
 #: Bytes of an anchor.
-ANCHOR = 16
+ANCHOR = 12
 #: Uncompressed bytes of stretches that a merging task receives, on average.
 MERGE_BYTES = 24 << 20
 #: Stretches of text that Kasai's rule walks through at once.
@@ -68,14 +68,13 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return view.astype(np.uint64)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """All suffixes of ``text`` in order: Larsson-Sadakane refinement.
+def suffix_array(first: np.ndarray) -> np.ndarray:
+    """All suffixes of a text, given by :func:`words_at`, in order: Larsson-Sadakane refinement.
 
     ``start`` is the place where a group of suffixes, equal so far, begins; only groups
     of two and more are sorted again, by the ranks of the suffixes ``h`` bytes on.
     """
-    n = len(text)
-    first = words_at(text)
+    n = len(first)
     order = np.argsort(first)
     key = first[order]
     new = np.ones(n, bool)
@@ -103,16 +102,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(word: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Bytes that every suffix shares with the one before it in ``order``, ``most`` at most.
 
     Kasai's rule: the next position of the text shares at least one byte less than this one.
     ``LANES`` stretches of the text are walked at once, each from its own start.
     """
-    n = len(text)
+    n = len(word)
     if not n:
         return np.empty(0, np.int64)
-    word = words_at(text)
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)
@@ -166,7 +164,8 @@ def anchors(word: np.ndarray, least: int) -> np.ndarray:
     n = len(word)
     width = least - ANCHOR + 1
     # nothing starts behind the text, so no anchor does either: the last values repeat
-    second = np.concatenate([word[8:], np.zeros(min(8, n), np.uint64)])[:n]
+    rest = ANCHOR - 8
+    second = np.concatenate([word[rest:], np.zeros(min(rest, n), np.uint64)])[:n]
     h = word * _MIX[0] ^ (second + _MIX[2]) * _MIX[1]
     h = (h ^ h >> np.uint64(29)) * _MIX[0]
     bits = np.uint64(max(n, 2).bit_length())
@@ -197,11 +196,11 @@ def shard(text: np.ndarray, bounds: np.ndarray, ids: np.ndarray, hashes: np.ndar
     sizes = np.diff(bounds)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     valid = np.arange(n) + least <= bounds[1:][doc]
-    order = suffix_array(text)
-    known = repeats(order, common_prefixes(text, order, least), least, valid, ids[doc])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
     word = words_at(text)
+    order = suffix_array(word)
+    known = repeats(order, common_prefixes(word, order, least), least, valid, ids[doc])
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n)
     anchor = anchors(word, least)
 
     def pieces(start, end, at):
@@ -220,7 +219,7 @@ def shard(text: np.ndarray, bounds: np.ndarray, ids: np.ndarray, hashes: np.ndar
     ends = np.append(np.flatnonzero(cut), n)
     end = ends[np.searchsorted(ends, start, "right")]
     where = anchor[start]
-    key = word[where] * _MIX[1] ^ (word[np.minimum(where + 8, n - 1)] + _MIX[0]) * _MIX[2]
+    key = word[where] * _MIX[1] ^ (word[np.minimum(where + ANCHOR - 8, n - 1)] + _MIX[0]) * _MIX[2]
     part = ((key ^ key >> np.uint64(31)) * _MIX[2] >> np.uint64(32)) % np.uint64(parts)
     by = np.lexsort((rank[where], part))
     start, end, part = start[by], end[by], part[by]
@@ -273,7 +272,7 @@ def merged_repeats(pieces: np.ndarray, text: np.ndarray, blocks: list[int], leas
     begin = np.cumsum(size) - size
     word = words_at(text)
     where = begin + pieces["at"]
-    one, two = word[where], word[where + 8]
+    one, two = word[where], word[where + ANCHOR - 8]
     order = merge_order(np.split(one, np.cumsum(blocks)[:-1]))
     # equal first halves: by the second half
     same = np.concatenate([[0], np.cumsum(one[order][1:] != one[order][:-1])]) if m else one
@@ -327,7 +326,7 @@ def merged_repeats(pieces: np.ndarray, text: np.ndarray, blocks: list[int], leas
         lo, hi = inner[s], inner[s] + (e - s)
         yield piece[owner[s]], lo, hi
         # stretches of the same id that equal a representative share its result
-        mine = twins[(lead[twins] >= reps[a]) & (lead[twins] <= reps[z - 1])]
+        mine = twins[np.isin(lead[twins], reps[a:z])]
         if len(mine) and len(s):
             at = np.searchsorted(reps[a:z], lead[mine])
             for t, r in zip(mine, at):
@@ -379,24 +378,29 @@ def _string_repeats(ids, begin, group, at, n, text, word, least):
     for o in offsets:
         h = (h ^ word[p + o]) * _MIX[2]
         h ^= h >> np.uint64(32)
-    owner = np.repeat(ids, n)
-    by = np.lexsort((owner, h))
-    hs, ps, os_ = h[by], p[by], owner[by]
-    new = np.concatenate([[True], hs[1:] != hs[:-1]])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(hs)), 0))
-    same = np.ones(len(hs), bool)
+    by = np.argsort(h)
+    hs = h[by]
+    starts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
+    count = np.diff(np.append(starts, len(hs)))
+    # strings of a hash that no other has are not looked at again
+    some = count > 1
+    at = by[np.repeat(some, count)]
+    count, flag = count[some], np.zeros(len(h), bool)
+    if not len(at):
+        return flag, n
+    starts = np.cumsum(count) - count
+    owner, lead = np.repeat(ids, n)[at], np.repeat(at[starts], count)
+    same = np.ones(len(at), bool)
     for o in offsets:
-        same &= word[ps + o] == word[ps[lead] + o]
-    flag = np.empty(len(hs), bool)
-    flag[by] = same & (os_ > os_[lead])
-    odd = np.flatnonzero(~same)
-    if len(odd):  # hash collisions: the strings of these hashes are compared as bytes
-        bad = np.flatnonzero(np.isin(lead, lead[odd]))
+        same &= word[p[at] + o] == word[p[lead] + o]
+    flag[at] = owner > np.repeat(np.minimum.reduceat(owner, starts), count)
+    odd = np.isin(lead, lead[~same]) if not same.all() else ~same
+    if odd.any():  # hash collisions: the strings of these hashes are compared as bytes
+        keys = [text[x:x + least].tobytes() for x in p[at[odd]]]
         best = {}
-        keys = [text[x:x + least].tobytes() for x in ps[bad]]
-        for k, o in zip(keys, os_[bad]):
-            best[k] = min(o, best.get(k, o))
-        flag[by[bad]] = [o > best[k] for k, o in zip(keys, os_[bad])]
+        for k, i in zip(keys, owner[odd]):
+            best[k] = min(i, best.get(k, i))
+        flag[at[odd]] = [i > best[k] for k, i in zip(keys, owner[odd])]
     return flag, n
 
 
@@ -462,7 +466,7 @@ def found_spans(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BY
             yield sent(waiting)
 
     def sent(waiting):
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         return pa.RecordBatch.from_arrays(
             [pa.array(list(waiting), pa.int32()),
              pa.array([[len(b[0]) // _PIECE.itemsize if b[1] else 0 for b in w]
