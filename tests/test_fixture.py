@@ -122,7 +122,7 @@ def test_first_last_product(tx):
                    4: ("PEN", "PEN"), 5: ("PEN", "PEN"), 6: ("TAG", "TAG")}
 
 
-@pytest.mark.parametrize("opts", [{}, {"bucket_rows": 2}])
+@pytest.mark.parametrize("opts", [{}, {"leaf": 1, "cells": 8}])
 def test_rfm_and_percentiles(tx, opts):
     r = rfm.rfm_segments(tx, **opts).collect()
     assert len(r) == 6
@@ -162,7 +162,7 @@ def test_quantile_matches_percentile(spark, q):
     df = spark.createDataFrame([(float(rnd.choice([1, 2, 2, 3, 7.5, 100])) + rnd.random(),)
                                 for _ in range(501)], "v double")
     want = df.agg(F.percentile("v", F.lit(q)).alias("t")).first().t
-    for opts in ({}, {"bucket_rows": 40}):
+    for opts in ({}, {"leaf": 1, "cells": 30}):
         assert stats.quantile(df, "v", q, **opts).first().threshold == want
 
 

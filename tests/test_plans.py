@@ -3,7 +3,7 @@
 import pytest
 
 from fixture import tx_frame
-from tillroll.operators import churn, revenue, rfm, winback, windows
+from tillroll.operators import churn, revenue, rfm, stats, winback, windows
 from tillroll.plans.store import stored
 
 
@@ -23,14 +23,15 @@ def test_top_products_at_risk_filters_lines_by_a_semi_join(tx):
     assert p.count("Window [") == 1
 
 
-RANKED = {
+SELECTED = {
     "rfm_segments": lambda tx: rfm.rfm_segments(tx, sort=False),
-    "winback_candidates": lambda tx: winback.winback_candidates(tx, sort=False),
     "winback_priority": lambda tx: winback.winback_priority(tx, sort=False),
+    "ltv_percentile_tiers": lambda tx: windows.ltv_percentile_tiers(tx, sort=False),
+    "ltv_quantile": lambda tx: stats.quantile(windows.customer_ltv(tx)),
+}
+GROUPED = {
     "customer_rank_in_country": lambda tx: windows.customer_rank_in_country(tx, sort=False),
     "order_sequence": lambda tx: windows.order_sequence(tx, sort=False),
-    "ltv_percentile_tiers": lambda tx: windows.ltv_percentile_tiers(tx, sort=False),
-    "running_invoice_revenue": windows.running_invoice_revenue,
 }
 
 
@@ -43,9 +44,35 @@ def _single_partition_children(plan: str) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", RANKED)
-def test_no_single_partition_over_rows_in_default_plans(tx, name):
-    p = _plan(RANKED[name](tx))
+@pytest.mark.parametrize("name", SELECTED)
+def test_buckets_and_quantiles_are_projections(tx, name):
+    p = _plan(SELECTED[name](tx))
+    assert "Window" not in p and "Exchange" not in p and "Sort" not in p
+
+
+def test_rank_windows_lie_within_cells(tx):
+    p = _plan(winback.winback_candidates(tx, sort=False))
+    assert "hashpartitioning(_cell" in p and p.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_small_groups_are_ordinary_windows(tx, name):
+    p = _plan(GROUPED[name](tx))
+    assert p.count("Exchange") == 1 and "_bucket" not in p
+
+
+@pytest.mark.parametrize("name", GROUPED)
+def test_only_hot_groups_go_through_range_buckets(spark, tx, name):
+    spark.conf.set("tillroll.ranking.bucketRows", "2")
+    try:
+        p = _plan(GROUPED[name](tx))
+    finally:
+        spark.conf.unset("tillroll.ranking.bucketRows")
+    assert "LeftAnti" in p and "hashpartitioning(_bucket" in p
+
+
+def test_no_single_partition_over_rows_in_default_plans(tx):
+    p = _plan(windows.running_invoice_revenue(tx))
     assert "hashpartitioning(_bucket" in p
     # only the bucket statistics (one row per bucket) and one-row aggregates pass one task
     for child in _single_partition_children(p):
@@ -54,7 +81,8 @@ def test_no_single_partition_over_rows_in_default_plans(tx, name):
 
 def test_rank_columns_of_one_order_are_one_pass(tx):
     p = _plan(windows.customer_rank_in_country(tx, sort=False))
-    assert p.count("BroadcastHashJoin") == 1  # one set of carries for the three columns
+    # one shuffle and one sort serve the three columns
+    assert p.count("Exchange hashpartitioning") == 1
 
 
 def test_first_last_product_sorts_only_the_lines_at_the_ends(tx):

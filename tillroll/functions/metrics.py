@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import pct
-from tillroll.plans.store import stored
+from tillroll.plans.store import observed
 
 
 def month_of(col) -> Column:
@@ -53,10 +53,29 @@ def customer_summary(tx: DataFrame, as_of=None, recency: bool = True,
     scale 2 so it is already a cent value).  ``need`` names the aggregates a
     caller uses (default: all).
 
-    Without a given ``as_of`` it is the latest ``last_purchase``: the summary,
-    one row per customer, is then stored, so the lines are read and aggregated
-    once; this runs a job while the result is built.
+    Without a given ``as_of`` it is the latest ``last_purchase``: the summary is
+    then stored (:func:`stored_summary`).
     """
+    if recency and as_of is None:
+        return stored_summary(tx, need=need)
+    s = _summary(tx, need)
+    return _with_recency(with_as_of(s, as_of, tx)) if recency else s
+
+
+def stored_summary(tx: DataFrame, as_of=None, need: tuple = ()) -> DataFrame:
+    """:func:`customer_summary` stored once, one row per customer; a job runs while it is built.
+
+    Lines are read and aggregated once: the latest day is observed while the table is written.
+    """
+    s, seen = observed(_summary(tx, need), latest=F.max("last_purchase"))
+    return _with_recency(with_as_of(s, F.lit(seen["latest"]) if as_of is None else as_of, tx))
+
+
+def _with_recency(s: DataFrame) -> DataFrame:
+    return s.withColumn("days_inactive", F.datediff("as_of", "last_purchase"))
+
+
+def _summary(tx: DataFrame, need: tuple) -> DataFrame:
     aggs = {
         "first_purchase": F.to_date(F.min("invoicedate")),
         "last_purchase": F.to_date(F.max("invoicedate")),
@@ -66,15 +85,7 @@ def customer_summary(tx: DataFrame, as_of=None, recency: bool = True,
         "line_count": F.count(F.lit(1)),
     }
     need = {*need, "last_purchase"} if need else set(aggs)
-    s = tx.groupBy("customer_id").agg(*[v.alias(k) for k, v in aggs.items() if k in need])
-    if not recency:
-        return s
-    if as_of is None:
-        s = stored(s)
-        s = s.crossJoin(F.broadcast(s.agg(F.max("last_purchase").alias("as_of"))))
-    else:
-        s = with_as_of(s, as_of, tx)
-    return s.withColumn("days_inactive", F.datediff("as_of", "last_purchase"))
+    return tx.groupBy("customer_id").agg(*[v.alias(k) for k, v in aggs.items() if k in need])
 
 
 def monthly_revenue(tx: DataFrame, with_counts: bool = True) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary, share_of_total
+from tillroll.functions.metrics import share_of_total, stored_summary
 from tillroll.functions.numeric import mean_of
-from tillroll.plans.ranking import RankSpec, add_rankings
+from tillroll.plans.selection import Tiles, ntiles
 from tillroll.schema import SEG_OTHER, SEGMENT_RULES
 
 
@@ -24,26 +24,27 @@ def segment_of(r, f, m):
 
 
 def rfm_segments(tx: DataFrame, as_of=None, n: int = 5, sort: bool = True,
-                 summary: DataFrame | None = None, **rank_opts) -> DataFrame:
+                 summary: DataFrame | None = None, **passes) -> DataFrame:
     """``customer_id, last_purchase_date, recency_days, frequency,
     monetary, r_score, f_score, m_score, rfm_total, segment``.
 
     Scores are NTILE(n): recency by days descending (n = most recent),
     frequency and monetary ascending; ties broken by ``customer_id``.
-    The three global NTILEs run through :func:`add_rankings`, so no single
-    task ever holds all customers.
+    The customers at which the buckets of the three scores begin are found by
+    refined histograms in the same passes (:func:`ntiles`); the scores are then a
+    projection. A given ``summary`` should be stored, as it is read once per pass.
     """
-    s = (summary if summary is not None else customer_summary(
+    s = (summary if summary is not None else stored_summary(
         tx, as_of, need=("total_orders", "lifetime_value"))).select(
         "customer_id", F.col("last_purchase").alias("last_purchase_date"),
         F.col("days_inactive").alias("recency_days"),
         F.col("total_orders").alias("frequency"),
         F.round("lifetime_value", 2).alias("monetary"))
-    scored = add_rankings(s, [
-        RankSpec("r_score", "ntile", (("recency_days", False),), ("customer_id",), n=n),
-        RankSpec("f_score", "ntile", (("frequency", True),), ("customer_id",), n=n),
-        RankSpec("m_score", "ntile", (("monetary", True),), ("customer_id",), n=n),
-    ], **rank_opts)
+    scored = ntiles(s, [
+        Tiles("r_score", (("recency_days", False), ("customer_id", True)), n),
+        Tiles("f_score", (("frequency", True), ("customer_id", True)), n),
+        Tiles("m_score", (("monetary", True), ("customer_id", True)), n),
+    ], **passes)
     out = (scored.withColumn("rfm_total", F.col("r_score") + F.col("f_score") + F.col("m_score"))
                  .withColumn("segment", segment_of("r_score", "f_score", "m_score")))
     if sort:

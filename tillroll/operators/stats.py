@@ -3,10 +3,12 @@ and an exact interpolated quantile (O33)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.plans.ranking import RankSpec, add_rankings
+from tillroll.plans.selection import values_at
 from tillroll.plans.store import stored
 
 
@@ -48,32 +50,27 @@ def histogram(df: DataFrame, col: str = "lifetime_value", bins: int = 60) -> Dat
 
 
 def quantile(df: DataFrame, col: str = "lifetime_value", q: float = 0.9,
-             approx: bool = False, accuracy: int = 10000, **rank_opts) -> DataFrame:
+             approx: bool = False, accuracy: int = 10000, **passes) -> DataFrame:
     """One row ``threshold`` = the q-quantile with linear interpolation
     between the two values around position q·(n-1), as ``percentile`` does.
 
-    Exact and distributed: the values are numbered in order by the skew-safe
-    ranking (:func:`add_rankings`), the two rows at the floor and ceiling of
-    the position are kept, and a one-row aggregate interpolates.  (Spark's
-    ``percentile`` aggregate would merge a map of every distinct value in a
-    single task.)  ``approx=True`` uses ``percentile_approx`` instead.
+    Exact and distributed: the column is stored once, and the values at the floor and
+    ceiling of the position are found by refined histograms (:func:`values_at`); nothing
+    is sorted.  (Spark's ``percentile`` aggregate would merge a map of every distinct
+    value in a single task.)  ``approx=True`` uses ``percentile_approx`` instead.  No
+    values give a null.
     """
-    x = F.col(col).cast("double")
     if approx:
-        return df.agg(F.percentile_approx(x, q, accuracy).alias("threshold"))
-    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
-    vals = stored(vals)
-    ranked = add_rankings(vals, [RankSpec("_rn", "row_number", (("_x", True),))], **rank_opts)
-    n = vals.agg(F.count(F.lit(1)).alias("_n"))
-    pos = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-    lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    picked = (ranked.crossJoin(F.broadcast(n))
-                    .filter((F.col("_rn") - 1 == lo_i) | (F.col("_rn") - 1 == hi_i))
-                    .select(F.col("_x"), (F.col("_rn") - 1 == lo_i).alias("_is_lo"),
-                            (F.col("_rn") - 1 == hi_i).alias("_is_hi"), pos.alias("_pos")))
-    lo_v = F.max(F.when(F.col("_is_lo"), F.col("_x")))
-    hi_v = F.max(F.when(F.col("_is_hi"), F.col("_x")))
-    p = F.max("_pos")
-    interp = ((F.ceil(p) - p) * lo_v + (p - F.floor(p)) * hi_v)
-    return picked.agg(F.when((F.floor(p) == F.ceil(p)) | (lo_v == hi_v), lo_v)
-                      .otherwise(interp).alias("threshold"))
+        return df.agg(F.percentile_approx(F.col(col).cast("double"), q, accuracy).alias("threshold"))
+    vals = stored(df.select(F.col(col).alias("x")).filter("x IS NOT NULL"))
+
+    def around(n):
+        return [math.floor((n - 1) * q) + 1, math.ceil((n - 1) * q) + 1]
+
+    n, (low, high) = values_at(vals, "x", around, **passes)
+    out = None
+    if low is not None:
+        low, high, at = float(low), float(high), (n - 1) * q
+        out = low if low == high or at == math.floor(at) else (
+            (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return df.sparkSession.range(1).select(F.lit(out).cast("double").alias("threshold"))

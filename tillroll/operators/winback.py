@@ -8,9 +8,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary
+from tillroll.functions.metrics import customer_summary, stored_summary
 from tillroll.functions.numeric import mean_of
-from tillroll.plans.ranking import RankSpec, add_rankings
+from tillroll.plans.selection import Tiles, add_rank, ntiles
 from tillroll.schema import (RECOVERY_RATES, WINBACK_AT_RISK, WINBACK_CHURN_DAYS,
                              WINBACK_CHURNED, WINBACK_MIN_DAYS, WINBACK_TIER_CUTS,
                              WINBACK_TIERS)
@@ -22,8 +22,9 @@ def winback_candidates(tx: DataFrame, as_of=None, min_days: int = WINBACK_MIN_DA
     """Customers inactive ≥ ``min_days`` ranked by lifetime value:
     ``priority_rank, customer_id, last_purchase, days_inactive, total_orders,
     lifetime_value, avg_order_value, unique_products_bought, status``
-    (status: At-Risk for min..churn days inclusive, Churned above)."""
-    s = summary if summary is not None else customer_summary(
+    (status: At-Risk for min..churn days inclusive, Churned above).  A given
+    ``summary`` should be stored, as it is read once per pass of the ranking."""
+    s = summary if summary is not None else stored_summary(
         tx, as_of, need=("total_orders", "unique_products", "lifetime_value", "line_count"))
     s = s.filter(F.col("days_inactive") >= min_days).select(
         "customer_id", "last_purchase", "days_inactive", "total_orders",
@@ -32,8 +33,7 @@ def winback_candidates(tx: DataFrame, as_of=None, min_days: int = WINBACK_MIN_DA
         F.col("unique_products").alias("unique_products_bought"),
         F.when(F.col("days_inactive").between(min_days, churn_days), F.lit(WINBACK_AT_RISK))
          .when(F.col("days_inactive") > churn_days, F.lit(WINBACK_CHURNED)).alias("status"))
-    r = add_rankings(s, [RankSpec("priority_rank", "rank", (("lifetime_value", False),))],
-                     **rank_opts)
+    r = add_rank(s, "priority_rank", "lifetime_value", asc=False, **rank_opts)
     out = r.select("priority_rank", *s.columns)
     return out.orderBy(F.col("lifetime_value").desc(), "customer_id") if sort else out
 
@@ -47,21 +47,22 @@ def winback_tier(score):
 
 def winback_priority(tx: DataFrame, as_of=None, n: int = 10,
                      min_days: int = WINBACK_MIN_DAYS, sort: bool = True,
-                     summary: DataFrame | None = None, **rank_opts) -> DataFrame:
+                     summary: DataFrame | None = None, **passes) -> DataFrame:
     """``customer_id, days_inactive, lifetime_value, ltv_decile,
     recency_decile, winback_priority_score, winback_tier`` over customers
     inactive ≥ ``min_days`` (deciles are taken *after* that filter).
     LTV decile ascending; recency decile by days descending (so a larger
-    decile means more recently active); ties by ``customer_id``."""
-    s = ((summary if summary is not None else customer_summary(
+    decile means more recently active); ties by ``customer_id``.  A given
+    ``summary`` should be stored, as it is read once per pass."""
+    s = ((summary if summary is not None else stored_summary(
         tx, as_of, need=("lifetime_value",)))
          .filter(F.col("days_inactive") >= min_days)
          .select("customer_id", "days_inactive",
                  F.round("lifetime_value", 2).alias("lifetime_value")))
-    r = add_rankings(s, [
-        RankSpec("ltv_decile", "ntile", (("lifetime_value", True),), ("customer_id",), n=n),
-        RankSpec("recency_decile", "ntile", (("days_inactive", False),), ("customer_id",), n=n),
-    ], **rank_opts)
+    r = ntiles(s, [
+        Tiles("ltv_decile", (("lifetime_value", True), ("customer_id", True)), n),
+        Tiles("recency_decile", (("days_inactive", False), ("customer_id", True)), n),
+    ], **passes)
     out = (r.withColumn("winback_priority_score", F.col("ltv_decile") + F.col("recency_decile"))
             .withColumn("winback_tier", winback_tier("winback_priority_score")))
     if sort:

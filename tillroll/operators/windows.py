@@ -9,20 +9,22 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.metrics import fill_months, monthly_revenue
 from tillroll.functions.numeric import mean_of, pct
-from tillroll.plans.ranking import RankSpec, add_rankings
+from tillroll.plans.ranking import RankSpec, add_group_rankings, add_rankings
+from tillroll.plans.selection import Tiles, ntiles
+from tillroll.plans.store import stored
 from tillroll.schema import LTV_TIER_CUTS, LTV_TIERS
 
 
 def customer_rank_in_country(tx: DataFrame, sort: bool = True, **rank_opts) -> DataFrame:
     """``customer_id, country, total_revenue, rank_in_country,
     dense_rank_in_country, row_num_in_country`` by revenue descending
-    (row numbers break ties by ``customer_id``).  A dominant country is
-    split over several buckets by :func:`add_rankings`; the three columns
-    share one order, so they are one pass."""
+    (row numbers break ties by ``customer_id``).  Countries that fit a task are
+    ordinary windows; a dominant one is split over several buckets
+    (:func:`add_group_rankings`).  The three columns share one order, so they are one pass."""
     per = (tx.groupBy("customer_id", "country")
              .agg(F.sum("revenue").alias("_rev")))
     by_rev = (("_rev", False),)
-    r = add_rankings(per, [
+    r = add_group_rankings(per, [
         RankSpec("rank_in_country", "rank", by_rev),
         RankSpec("dense_rank_in_country", "dense_rank", by_rev),
         RankSpec("row_num_in_country", "row_number", by_rev, ("customer_id",)),
@@ -70,10 +72,11 @@ def moving_average(tx: DataFrame, k: int = 3, fill_months: bool = False) -> Data
 
 def order_sequence(tx: DataFrame, sort: bool = True, **rank_opts) -> DataFrame:
     """One row per (customer, invoice, timestamp) with its value,
-    numbered per customer in time order (ties by invoice)."""
+    numbered per customer in time order (ties by invoice).  Only customers with more orders
+    than a task should hold go through range buckets (:func:`add_group_rankings`)."""
     o = (tx.groupBy("customer_id", "invoice", "invoicedate")
            .agg(F.sum("revenue").alias("_value")))
-    r = add_rankings(o, [RankSpec("order_sequence_number", "row_number",
+    r = add_group_rankings(o, [RankSpec("order_sequence_number", "row_number",
                                   (("invoicedate", True),), ("invoice",))],
                      partition_by=["customer_id"], **rank_opts)
     out = r.select("customer_id", "invoice", F.to_date("invoicedate").alias("order_date"),
@@ -95,13 +98,12 @@ def customer_ltv(tx: DataFrame) -> DataFrame:
 
 
 def ltv_percentile_tiers(tx: DataFrame, n: int = 100, with_tier: bool = True,
-                         sort: bool = True, **rank_opts) -> DataFrame:
+                         sort: bool = True, **passes) -> DataFrame:
     """``customer_id, lifetime_value, ltv_percentile[, ltv_tier]``;
     NTILE(n) by LTV ascending, ties by ``customer_id``; the NTILE is
     computed once and reused by the tier CASE."""
-    r = add_rankings(customer_ltv(tx), [
-        RankSpec("ltv_percentile", "ntile", (("lifetime_value", True),), ("customer_id",), n=n)],
-        **rank_opts)
+    r = ntiles(stored(customer_ltv(tx)), [
+        Tiles("ltv_percentile", (("lifetime_value", True), ("customer_id", True)), n)], **passes)
     if with_tier:
         r = r.withColumn("ltv_tier", ltv_tier("ltv_percentile"))
     return r.orderBy(F.col("lifetime_value").desc(), "customer_id") if sort else r

@@ -24,19 +24,22 @@ result of the first.
 Nulls sort last, ascending and descending alike; otherwise the order is
 Spark's (NaN is the largest number).
 
-:func:`add_rankings` runs jobs while it builds its result: it stores the input,
-counts it, and stores it once more per order, by bucket.
+:func:`add_rankings` runs jobs while it builds its result: it stores the input
+(and counts it meanwhile), and stores it once more per order, by bucket.
+Where most groups are small, :func:`add_group_rankings` sends only the large ones this way.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.plans.store import stored
+from tillroll.plans.store import observed, stored
 
 CONF_BUCKET_ROWS = "tillroll.ranking.bucketRows"
 DEFAULT_BUCKET_ROWS = 500_000
@@ -90,16 +93,59 @@ def add_rankings(df: DataFrame, specs, partition_by=(), *,
     """Return ``df`` with one column per :class:`RankSpec` (bigint; the sum's type for
     ``running_sum``)."""
     specs, groups = list(specs), list(partition_by)
-    conf = df.sparkSession.conf.get(CONF_BUCKET_ROWS, None)
-    per_bucket = bucket_rows or (int(conf) if conf else DEFAULT_BUCKET_ROWS)
-    out = stored(df.withColumn("_rowid", F.monotonically_increasing_id()))
-    total = out.count()
+    per_bucket = _bucket_rows(df, bucket_rows)
+    out, seen = observed(df.withColumn("_rowid", F.monotonically_increasing_id()),
+                         n=F.count(F.lit(1)))
+    total = seen["n"]
     buckets = max(MIN_BUCKETS, math.ceil(total / per_bucket))
     for order, ties, same in _passes(specs):
         out = _ranked(out, same, groups, order, ties, total, buckets)
     return out.select(*df.columns, *[s.name for s in specs])
 
 
+def add_group_rankings(df: DataFrame, specs, partition_by, *,
+                       bucket_rows: int | None = None) -> DataFrame:
+    """:func:`add_rankings` within groups of which most are small.
+
+    The rows are stored and counted by group. Groups of at most ``bucket_rows`` rows are ordinary
+    windows, one shuffle by group; only the rows of the others, of which there are at
+    most ``rows / bucket_rows``, go through range buckets.
+    """
+    specs, groups = list(specs), list(partition_by)
+    rows = stored(df)
+    per = _bucket_rows(df, bucket_rows)
+    hot, seen = observed(
+        rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > per).drop("_n"),
+        n=F.count(F.lit(1)))
+    if not seen["n"]:
+        return _windows(rows, specs, groups)
+    a, b = rows.alias("a"), hot.alias("b")
+    same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in groups])
+    return _windows(a.join(b, same, "left_anti"), specs, groups).unionByName(
+        add_rankings(a.join(b, same, "left_semi"), specs, groups, bucket_rows=per))
+
+
+def _windows(df: DataFrame, specs, groups) -> DataFrame:
+    """The ranking columns as plain windows, for groups that fit a task."""
+    out = {}
+    for s in specs:
+        order = [_sort_col(c, a) for c, a in s.order]
+        whole = Window.partitionBy(*groups).orderBy(*order, *[_sort_col(c, True) for c in s.ties])
+        if s.kind in ("rank", "dense_rank"):
+            col = getattr(F, s.kind)().over(Window.partitionBy(*groups).orderBy(*order))
+        elif s.kind == "running_sum":
+            col = F.sum(s.value).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        else:
+            col = (F.ntile(s.n) if s.kind == "ntile" else F.row_number()).over(whole)
+        out[s.name] = col if s.kind == "running_sum" else col.cast("bigint")
+    return df.select(*df.columns, *[v.alias(k) for k, v in out.items()])
+
+
+def _bucket_rows(df: DataFrame, given: int | None) -> int:
+    conf = df.sparkSession.conf.get(CONF_BUCKET_ROWS, None)
+    return given or (int(conf) if conf else DEFAULT_BUCKET_ROWS)
+
+
 def _passes(specs) -> list[tuple[tuple, tuple, list]]:
     """Specs that one sort serves: equal order, and equal ties or none."""
     out = []

@@ -12,22 +12,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tillroll.functions.metrics import customer_summary
+from tillroll.functions.metrics import stored_summary
 from tillroll.operators import churn, revenue, rfm, winback
-from tillroll.plans.store import stored
 
 
-def customer_reports(tx: DataFrame, as_of=None, **rank_opts) -> dict[str, DataFrame]:
+def customer_reports(tx: DataFrame, as_of=None) -> dict[str, DataFrame]:
     """``{name: DataFrame}`` for the customer-level reports (O07, O11, O15,
     O16, O21, O22, O23), all computed from one materialised summary."""
-    s = stored(customer_summary(tx, as_of))
+    s = stored_summary(tx, as_of)
     flags = churn.churn_flags(tx, summary=s)
     return {
-        "rfm_segments": rfm.rfm_segments(tx, summary=s, **rank_opts),
+        "rfm_segments": rfm.rfm_segments(tx, summary=s),
         "top_customers": revenue.top_customers(tx, summary=s),
         "churn_flags": flags,
         "churn_summary": churn.churn_summary(churn.churn_flags(tx, summary=s, sort=False)),
-        "winback_candidates": winback.winback_candidates(tx, summary=s, **rank_opts),
-        "winback_priority": winback.winback_priority(tx, summary=s, **rank_opts),
+        "winback_candidates": winback.winback_candidates(tx, summary=s),
+        "winback_priority": winback.winback_priority(tx, summary=s),
         "recovery_potential": winback.recovery_potential(tx, summary=s),
     }

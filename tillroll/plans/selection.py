@@ -13,8 +13,8 @@ range of one order's keys that holds a wanted place; at first it is the whole fr
 3. Cells of at most ``LEAF`` rows, and only the rows in them, come to the driver, which
    holds ``LEAF`` rows a place at most.
 
-:func:`ntiles` turns the rows where buckets begin into a projection (a tree of
-comparisons with literals) and :func:`add_rank` cuts the frame into cells of known
+:func:`ntiles` turns the rows where buckets begin into a projection (a row is compared with
+the beginnings in its own part of the whole frame, which a literal lists) and :func:`add_rank` cuts the frame into cells of known
 beginnings, so that its windows are bounded and a hot value needs none.
 
 The order of keys is Spark's, nulls last in ascending and descending orders alike. Keys are
@@ -24,32 +24,41 @@ integers, decimals, dates, strings or booleans; doubles are ordered by their bit
 
 from __future__ import annotations
 
+import datetime
+import json
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.plans.ranking import _bucket_rows
+
 #: Parts per order and pass.
 CELLS = 4096
 #: Rows of a cell that are read as they are.
 LEAF = 256
-CONF_BUCKET_ROWS = "tillroll.ranking.bucketRows"
-DEFAULT_BUCKET_ROWS = 500_000
 MIN_CELLS = 4
 
 Order = tuple[tuple[str, bool], ...]
+_KEYS = (T.IntegralType, T.DecimalType, T.DateType, T.StringType, T.BooleanType)
 
 
 @dataclass(frozen=True)
 class Hit:
-    """The key at a place, the rows before the first row with that key, and the rows that have it."""
+    """The key at a place, the rows before the first row with that key, the rows that have it,
+    and the part of the whole frame that it lies in."""
 
     key: tuple
     before: int
     equal: int
+    part: int
 
 
 @dataclass
@@ -63,152 +72,236 @@ class _Cell:
     before: int
     rows: int
     places: list[int] = field(default_factory=list)
+    part: int | None = None    # part of the whole frame that it lies in; None: the whole frame
 
 
-def _literal(value, of: T.DataType) -> Column:
-    return F.lit(value).cast(of)
-
-
-def _equals(c: str, value, of: T.DataType) -> Column:
-    return F.col(c).isNull() if value is None else F.coalesce(
-        F.col(c) == _literal(value, of), F.lit(False))
+def _distance(x: Column, low: Column, same: Column, of: T.DataType) -> Column:
+    """How far a value lies above ``low``, as a double that never falls where the value rises.
 
-
-def _distance(x: Column, low, high, of: T.DataType) -> Column:
-    """How far a value lies above ``low``, as a double that never falls where the value rises."""
+    ``same``: bytes that all strings of the cell have in common at their beginning.
+    """
     if isinstance(of, T.BooleanType):
-        return x.cast("int").cast("double") - F.lit(float(low))
+        return x.cast("int").cast("double") - low.cast("int").cast("double")
     if isinstance(of, T.DateType):
-        return F.datediff(x, _literal(low, of)).cast("double")
+        return F.datediff(x, low).cast("double")
     if isinstance(of, T.DecimalType):
-        return (x - _literal(low, of)).cast("double")
+        return (x - low).cast("double")
     if isinstance(of, T.StringType):
-        # the bytes that follow what all values of the cell have in common
-        a, b = low.encode(), high.encode()
-        same = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
-        part = F.rpad(F.hex(F.substring(x.cast("binary"), same + 1, 6)), 12, "0")
-        return F.conv(part, 16, 10).cast("double") - F.conv(F.rpad(F.hex(F.substring(
-            F.lit(low).cast("binary"), same + 1, 6)), 12, "0"), 16, 10).cast("double")
+        def number(text):
+            return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), same + 1, F.lit(6))), 12, "0"),
+                          16, 10).cast("double")
+        return number(x) - number(low)
     if isinstance(of, T.IntegralType):
-        return (x.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("double")
+        return (x.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
     raise TypeError(f"no selection over {of.simpleString()} keys")
 
 
+def _part(x: Column, low: Column, high: Column, same: Column, of: T.DataType, asc: bool,
+          parts: int) -> Column:
+    """Number of the part between ``low`` and ``high`` that a value lies in, in the order's
+    direction; nulls lie in a part behind the others."""
+    span = F.nullif(_distance(high, low, same, of), F.lit(0.0))
+    split = F.least(F.floor(_distance(x, low, same, of) * F.lit(float(parts)) / span), F.lit(parts - 1))
+    # strings that differ behind the bytes looked at: the least value, and the rest
+    part = F.when(span.isNull(), (x != low).cast("int")).otherwise(split.cast("int"))
+    return F.when(x.isNull(), F.lit(parts)).otherwise(part if asc else F.lit(parts - 1) - part)
+
+
+def _common(low, high) -> int:
+    if not isinstance(low, str):
+        return 0
+    a, b = low.encode(), high.encode()
+    return next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
+
+
+def _json(value) -> str:
+    if isinstance(value, Decimal):
+        return format(value, "f")
+    return json.dumps(value.isoformat() if isinstance(value, datetime.date) else value)
+
+
 class _Passes:
-    def __init__(self, df: DataFrame, orders: list[Order]):
-        self.df, self.orders = df, orders
+    def __init__(self, df: DataFrame, orders: list[Order], cells: int):
+        self.df, self.orders, self.cells = df, orders, cells
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.columns = list(dict.fromkeys(c for o in orders for c, _ in o))
         self.figures = [F.count(F.lit(1)).alias("n")] + [
             f(c).alias(f"{k}{i}") for i, c in enumerate(self.columns)
             for k, f in (("lo", F.min), ("hi", F.max), ("has", F.count))]
+        whole = df.agg(*self.figures).first()
+        self.total = whole["n"]
+        self.roots = [self.cell(o, 0, (), whole, 0, True, [], None) for o in range(len(orders))]
 
-    def cell(self, order: int, at: int, fixed: tuple, row, before: int, nulls: bool, places) -> _Cell:
+    def cell(self, order: int, at: int, fixed: tuple, row, before: int, nulls: bool, places, part) -> _Cell:
         """The cell of counted rows, moved on over keys of which it has one value only."""
         keys, n = self.orders[order], row["n"]
         while at < len(keys):
             i = self.columns.index(keys[at][0])
             low, high, has = row[f"lo{i}"], row[f"hi{i}"], row[f"has{i}"]
             if has and (low != high or has < n and nulls):
-                return _Cell(order, at, fixed, low, high, nulls and has < n, before, n, places)
+                return _Cell(order, at, fixed, low, high, nulls and has < n, before, n, places, part)
             fixed, at, nulls = (*fixed, low if has else None), at + 1, True
-        return _Cell(order, at, fixed, None, None, False, before, n, places)
-
-    def inside(self, c: _Cell) -> Column:
-        keys, out = self.orders[c.order], F.lit(True)
-        for (name, _), v in zip(keys, c.fixed):
-            out = out & _equals(name, v, self.types[name])
-        if c.at < len(keys):
-            name = keys[c.at][0]
-            of = self.types[name]
-            held = F.coalesce(F.col(name).between(_literal(c.low, of), _literal(c.high, of)), F.lit(False))
-            out = out & (held | F.col(name).isNull() if c.nulls else held)
-        return out
-
-    def part(self, c: _Cell, parts: int) -> Column:
-        """Number of the part that a row of the cell lies in, in the order's direction."""
-        name, asc = self.orders[c.order][c.at]
-        of, x = self.types[name], F.col(name)
-        span = _distance(_literal(c.high, of), c.low, c.high, of)
-        share = _distance(x, c.low, c.high, of) * F.lit(float(parts)) / span
-        split = F.least(F.floor(share), F.lit(parts - 1)).cast("int")
-        # strings that differ behind the bytes looked at: the least value, and the rest
-        part = F.when(span == 0, (x != _literal(c.low, of)).cast("int")).otherwise(split)
-        return F.when(x.isNull(), F.lit(parts)).otherwise(part if asc else F.lit(parts - 1) - part)
-
-    def spread(self, cells: list[_Cell], value: Callable[[int, _Cell], Column]) -> DataFrame:
-        """One row ``p`` per row and order that has it in one of the cells."""
+        return _Cell(order, at, fixed, None, None, False, before, n, places, part)
+
+    def root_part(self, order: int) -> Column:
+        """Part of the whole frame that a row lies in, by the order's first key with several values."""
+        root = self.roots[order]
+        if root.at == len(self.orders[order]):
+            return F.lit(0)
+        name, asc = self.orders[order][root.at]
+        of = self.types[name]
+        if not isinstance(of, _KEYS):
+            raise TypeError(f"no selection over {of.simpleString()} keys")
+        return _part(F.col(name), F.lit(root.low).cast(of), F.lit(root.high).cast(of),
+                     F.lit(_common(root.low, root.high)), of, asc, self.cells)
+
+    def table(self, order: int, rows: list[tuple[int, dict]], extra: str) -> Column:
+        """A literal: for every part of the whole frame, the given structs (fields by key and ``extra``)."""
+        by_part: list[list[str]] = [[] for _ in range(self.cells + 1)]
+        for part, fields in rows:
+            by_part[part].append("{" + ", ".join(f'"{k}": {_json(v)}' for k, v in fields.items()) + "}")
+        kinds = [self.types[name].simpleString() for name, _ in self.orders[order]]
+        fields = ", ".join([extra] + [f"v{k}: {t}, lo{k}: {t}, hi{k}: {t}" for k, t in enumerate(kinds)])
+        text = "[" + ", ".join("[" + ", ".join(p) + "]" for p in by_part) + "]"
+        return F.from_json(F.lit(text), f"array<array<struct<{fields}>>>", {"mode": "FAILFAST"})
+
+    def spread(self, cells: list[_Cell], value: Callable[[int, Column], Column]) -> DataFrame:
+        """One row ``_p`` (``value`` of order and cell) per row and order that has it in one of the cells."""
         found = []
-        for o in {c.order for c in cells}:
-            case = None
+        for o in sorted({c.order for c in cells}):
+            keys, rows = self.orders[o], []
             for i, c in enumerate(cells):
                 if c.order == o:
-                    case = (F if case is None else case).when(self.inside(c), value(i, c))
-            found.append(case)
-        rows = self.df.select(*[F.col(f"`{c}`") for c in self.columns], F.array(*found).alias("_p"))
-        return rows.withColumn("_p", F.explode("_p")).filter("_p IS NOT NULL")
+                    fixed = {f"v{k}": v for k, v in enumerate(c.fixed) if v is not None}
+                    ends = {f"lo{c.at}": c.low, f"hi{c.at}": c.high} if c.at < len(keys) else {}
+                    rows.append((c.part, {"i": i, "at": c.at, "nulls": c.nulls,
+                                          "same": _common(c.low, c.high), **fixed, **ends}))
+            table = self.table(o, rows, "i: int, at: int, nulls: boolean, same: int")
+            near = F.get(table, self.root_part(o))
+            found.append(F.transform(F.filter(near, self.inside(o)), partial(value, o)))
+        return self.df.select(*[F.col(f"`{c}`") for c in self.columns],
+                              F.explode(F.concat(*found)).alias("_p"))
+
+    def inside(self, order: int) -> Callable[[Column], Column]:
+        """Whether a row lies in a cell of :meth:`table`."""
+        def test(c):
+            out = F.lit(True)
+            for k, (name, _) in enumerate(self.orders[order]):
+                x = F.col(name)
+                held = F.coalesce(x.between(c[f"lo{k}"], c[f"hi{k}"]), c["nulls"])
+                out = out & F.when(c["at"] > k, x.eqNullSafe(c[f"v{k}"])).when(
+                    c["at"] == k, held).otherwise(F.lit(True))
+            return out
+
+        return test
 
     def split(self, cells: list[_Cell]) -> list[_Cell]:
         """The parts of the cells that hold their places."""
-        share = {o: max(2, CELLS // sum(c.order == o for c in cells)) for o in {c.order for c in cells}}
-        rows = self.spread(cells, lambda i, c: F.struct(
-            F.lit(i).alias("c"), self.part(c, share[c.order]).alias("s")))
-        counted = rows.groupBy("_p.c", "_p.s").agg(*self.figures).collect()
+        share = {o: max(2, self.cells // sum(c.order == o for c in cells)) for o in {c.order for c in cells}}
+
+        def within(o, c):
+            part = None
+            for k, (name, asc) in enumerate(self.orders[o]):
+                of = self.types[name]
+                if isinstance(of, _KEYS):
+                    part = (F if part is None else part).when(c["at"] == k, _part(
+                        F.col(name), c[f"lo{k}"], c[f"hi{k}"], c["same"], of, asc, share[o]))
+            return F.struct(c["i"].alias("c"), part.alias("s"))
+
+        if cells[0].part is None:  # the first pass: every order's whole frame
+            share = {c.order: self.cells for c in cells}
+            rows = self.df.select(*[F.col(f"`{c}`") for c in self.columns], F.explode(F.array(*[
+                F.struct(F.lit(i).alias("c"), self.root_part(c.order).alias("s"))
+                for i, c in enumerate(cells)])).alias("_p"))
+        else:
+            rows = self.spread(cells, within)
+        counted: dict[int, list] = {}
+        for r in rows.groupBy("_p.c", "_p.s").agg(*self.figures).collect():
+            counted.setdefault(r["c"], []).append(r)
         out = []
         for i, c in enumerate(cells):
             before, places = c.before, sorted(c.places)
-            for row in sorted((r for r in counted if r["c"] == i), key=lambda r: r["s"]):
+            for row in sorted(counted.get(i, []), key=lambda r: r["s"]):
                 mine = [p for p in places if before < p <= before + row["n"]]
                 if mine:
-                    out.append(self.cell(c.order, c.at, c.fixed, row, before,
-                                         row["s"] == share[c.order], mine))
+                    out.append(self.cell(c.order, c.at, c.fixed, row, before, row["s"] == share[c.order],
+                                         mine, row["s"] if c.part is None else c.part))
                 before += row["n"]
         return out
 
     def read(self, cells: list[_Cell]) -> dict[tuple[int, int], Hit]:
         """The keys at the places of cells that are small enough to be read."""
-        rows = self.spread(cells, lambda i, c: F.lit(i)).collect()
+        held: dict[int, list] = {}
+        for r in self.spread(cells, lambda o, c: c["i"]).collect():
+            held.setdefault(r["_p"], []).append(r)
         out = {}
         for i, c in enumerate(cells):
             keys = self.orders[c.order]
-            held = [tuple(r[name] for name, _ in keys) for r in rows if r["_p"] == i]
+            rows = [tuple(r[name] for name, _ in keys) for r in held.get(i, [])]
             for k in range(len(keys) - 1, -1, -1):  # stable: the last key first
-                held = sorted((h for h in held if h[k] is not None), key=lambda h: h[k],
-                              reverse=not keys[k][1]) + [h for h in held if h[k] is None]
+                rows = sorted((h for h in rows if h[k] is not None), key=lambda h: h[k],
+                              reverse=not keys[k][1]) + [h for h in rows if h[k] is None]
             for p in c.places:
-                key = held[p - c.before - 1]
-                out[c.order, p] = Hit(key, c.before + held.index(key), held.count(key))
+                key = rows[p - c.before - 1]
+                out[c.order, p] = Hit(key, c.before + rows.index(key), rows.count(key), c.part)
         return out
 
-
-def select(df: DataFrame, orders: list[Order],
-           places: Callable[[int], list[list[int]]]) -> tuple[int, list[dict[int, Hit]]]:
-    """Number of rows, and per order the rows at its places (from 1).
+    def reached(self, order: int, bounds: list[tuple[Hit, bool]]) -> Column:
+        """How many of the bounds a row stands at or behind (only behind, if the flag is set).
+
+        Bounds in other parts of the frame than the row's are counted beforehand.
+        """
+        keys = self.orders[order]
+        if not bounds:
+            return F.lit(0)
+        before, n = [], 0
+        for part in range(self.cells + 1):
+            before.append(n)
+            n += sum(h.part == part for h, _ in bounds)
+        table = self.table(order, [(h.part, {"strict": flag, **{
+            f"v{k}": v for k, v in enumerate(h.key) if v is not None}}) for h, flag in bounds], "strict: boolean")
+
+        def stands(c):
+            out = ~c["strict"]
+            for k in range(len(keys) - 1, -1, -1):
+                (name, asc), v = keys[k], c[f"v{k}"]
+                x = F.col(name)
+                behind = v.isNotNull() & F.coalesce(x > v if asc else x < v, F.lit(True))
+                out = behind | (x.eqNullSafe(v) & out)
+            return out
+
+        part = self.root_part(order)
+        earlier = F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), part)
+        return earlier + F.size(F.filter(F.get(table, part), stands))
+
+
+def select(df: DataFrame, orders: list[Order], places: Callable[[int], list[list[int]]],
+           cells: int = CELLS, leaf: int = LEAF) -> tuple[_Passes, list[dict[int, Hit]]]:
+    """The passes (with the number of rows, ``total``), and per order the rows at its places (from 1).
 
     ``places`` is given the number of rows and returns every order's places. Pass a stored
     frame: it is read once per pass.
     """
     df, back = _by_bits(df, orders)
-    passes = _Passes(df, orders)
-    whole = df.agg(*passes.figures).first()
-    total, found, open_, leaves = whole["n"], {}, [], []
-    todo = [passes.cell(o, 0, (), whole, 0, True, sorted({p for p in wanted if 1 <= p <= total}))
-            for o, wanted in enumerate(places(total)) if total]
-    first = True
+    passes = _Passes(df, orders, cells)
+    found, open_, leaves = {}, [], []
+    todo = passes.roots if passes.total else []
+    for root, wanted in zip(todo, places(passes.total)):
+        root.places = sorted({p for p in wanted if 1 <= p <= passes.total})
     while todo:
         for c in todo:
             if not c.places:
                 continue
             if c.at == len(orders[c.order]):
-                found.update({(c.order, p): Hit(c.fixed, c.before, c.rows) for p in c.places})
+                found.update({(c.order, p): Hit(c.fixed, c.before, c.rows, c.part or 0) for p in c.places})
             else:
                 # one histogram at least, however small the frame
-                (leaves if c.rows <= LEAF and not first else open_).append(c)
-        todo, open_, first = passes.split(open_) if open_ else [], [], False
+                (open_ if c.part is None or c.rows > leaf else leaves).append(c)
+        todo, open_ = passes.split(open_) if open_ else [], []
     if leaves:
         found.update(passes.read(leaves))
-    return total, [{p: Hit(back(o, h.key), h.before, h.equal) for (i, p), h in found.items() if i == o}
-                   for o in range(len(orders))]
+    return passes, [{p: Hit(back(o, h.key), h.before, h.equal, h.part)
+                     for (i, p), h in found.items() if i == o} for o in range(len(orders))]
 
 
 def _by_bits(df: DataFrame, orders: list[Order]):
@@ -217,8 +310,6 @@ def _by_bits(df: DataFrame, orders: list[Order]):
                if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
     if not doubles:
         return df, lambda o, key: key
-    import numpy as np
-    import pandas as pd
 
     @F.pandas_udf("long")
     def bits(x: pd.Series) -> pd.Series:
@@ -241,29 +332,6 @@ def _by_bits(df: DataFrame, orders: list[Order]):
         F.col(c).cast("double"), F.lit(0.0)))) for c in doubles}), back
 
 
-def _reaches(order: Order, key: tuple, types: dict, strictly: bool = False) -> Column:
-    """Whether a row stands at ``key`` or behind it (only behind it, if ``strictly``)."""
-    out = F.lit(not strictly)
-    for (name, asc), v in reversed(list(zip(order, key))):
-        x = F.col(name)
-        if v is None:  # nothing comes behind nulls
-            out = x.isNull() & out
-            continue
-        to = _literal(v, types[name])
-        behind = F.coalesce(x > to if asc else x < to, F.lit(True))
-        out = behind | (_equals(name, v, types[name]) & out)
-    return out
-
-
-def _tree(bounds: list[tuple[Column, object]], first) -> Column:
-    """The value of the last bound that a row reaches; ``first`` if it reaches none."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(bounds[mid][0], _tree(bounds[mid + 1:], bounds[mid][1])).otherwise(
-        _tree(bounds[:mid], first))
-
-
 @dataclass(frozen=True)
 class Tiles:
     """One NTILE(n) column; ``order`` should be total."""
@@ -280,29 +348,20 @@ def tile_starts(rows: int, n: int) -> list[int]:
     return [s for s in starts if s <= rows]
 
 
-def ntiles(df: DataFrame, tiles: list[Tiles]) -> DataFrame:
+def ntiles(df: DataFrame, tiles: list[Tiles], **passes) -> DataFrame:
     """``df``, a stored frame, with a bucket number (bigint) per entry of ``tiles``.
 
     Rows that are equal in every key of an order get the same bucket.
     """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    total, found = select(df, [t.order for t in tiles], lambda n: [tile_starts(n, t.n) for t in tiles])
-    out = {}
-    for t, hits in zip(tiles, found):
-        cuts = [(_reaches(t.order, hits[s].key, types), k)
-                for k, s in enumerate(tile_starts(total, t.n), 2)]
-        out[t.name] = _tree(cuts, 1).cast("bigint")
-    return df.withColumns(out)
-
-
-def bucket_rows_of(df: DataFrame, given: int | None = None) -> int:
-    """Rows that one window task may hold: the argument, the session's setting or the default."""
-    conf = df.sparkSession.conf.get(CONF_BUCKET_ROWS, None)
-    return given or (int(conf) if conf else DEFAULT_BUCKET_ROWS)
+    passes, found = select(df, [t.order for t in tiles],
+                           lambda n: [tile_starts(n, t.n) for t in tiles], **passes)
+    return df.withColumns({t.name: (passes.reached(o, [
+        (found[o][s], False) for s in tile_starts(passes.total, t.n)]) + 1).cast("bigint")
+        for o, t in enumerate(tiles)})
 
 
 def add_rank(df: DataFrame, name: str, column: str, asc: bool = True, *,
-             bucket_rows: int | None = None) -> DataFrame:
+             bucket_rows: int | None = None, **passes) -> DataFrame:
     """``df``, a stored frame, with the RANK of ``column`` over all rows.
 
     The values at every ``bucket_rows``-th place cut the frame into cells; the rows before a cell are
@@ -310,32 +369,33 @@ def add_rank(df: DataFrame, name: str, column: str, asc: bool = True, *,
     fills a cell alone is a cell of its own, in which all rows rank first: its
     rows are dealt over several tasks by a hash.
     """
-    per = bucket_rows_of(df, bucket_rows)
-    order = ((column, asc),)
-    types = {f.name: f.dataType for f in df.schema.fields}
-
+    per = _bucket_rows(df, bucket_rows)
     def places(n):
         cells = max(MIN_CELLS, math.ceil(n / per))
         return [[n * k // cells + 1 for k in range(1, cells)]]
 
-    _, (hits,) = select(df, [order], places)
-    bounds, hot = [], []
-    for key, hit in sorted({h.key: h for h in hits.values()}.items(), key=lambda kv: kv[1].before):
-        bounds.append((_reaches(order, key, types), hit.before))
-        if hit.equal >= per:
-            hot.append(F.when(_equals(column, key[0], types[column]), F.pmod(
-                F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(math.ceil(hit.equal / per)))))
-            bounds.append((_reaches(order, key, types, strictly=True), hit.before + hit.equal))
+    found, (hits,) = select(df, [((column, asc),)], places, **passes)
+    bounds, before, deal = [], [0], [1]
+    for hit in sorted({h.key: h for h in hits.values()}.values(), key=lambda h: h.before):
+        bounds.append((hit, False))
+        before.append(hit.before)
+        deal.append(math.ceil(hit.equal / per) if hit.equal >= per else 1)
+        if hit.equal >= per:  # a cell of its own
+            bounds.append((hit, True))
+            before.append(hit.before + hit.equal)
+            deal.append(1)
+    lists = [F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (before, deal)]
     x = F.col(column)
-    cell = Window.partitionBy("_before", "_deal").orderBy(
+    cell = Window.partitionBy("_cell", "_deal").orderBy(
         x.asc_nulls_last() if asc else x.desc_nulls_last())
-    return (df.withColumns({"_before": _tree(bounds, 0).cast("bigint"),
-                            "_deal": F.coalesce(*hot, F.lit(0).cast("bigint"))})
-            .withColumn(name, (F.col("_before") + F.rank().over(cell)).cast("bigint"))
-            .drop("_before", "_deal"))
+    rows = df.withColumn("_cell", found.reached(0, bounds)).withColumn("_deal", F.pmod(
+        F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.get(lists[1], F.col("_cell"))))
+    return (rows.withColumn(name, F.get(lists[0], F.col("_cell")) + F.rank().over(cell))
+            .drop("_cell", "_deal"))
 
 
-def values_at(df: DataFrame, column: str, places: Callable[[int], list[int]]) -> tuple[int, list]:
+def values_at(df: DataFrame, column: str, places: Callable[[int], list[int]],
+              **passes) -> tuple[int, list]:
     """Number of rows, and the values of a column at the given places (from 1) of its order."""
     wanted: list[int] = []
 
@@ -343,5 +403,5 @@ def values_at(df: DataFrame, column: str, places: Callable[[int], list[int]]) ->
         wanted.extend(places(n))
         return [wanted]
 
-    total, (hits,) = select(df, [((column, True),)], at)
-    return total, [hits[p].key[0] if p in hits else None for p in wanted]
+    found, (hits,) = select(df, [((column, True),)], at, **passes)
+    return found.total, [hits[p].key[0] if p in hits else None for p in wanted]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 from tillroll.session import ensure_checkpoint_dir
 
@@ -38,6 +38,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``df`` stored as by :func:`stored`, and aggregates of it taken while it was written."""
+    seen = Observation(uuid.uuid4().hex)
+    out = stored(df.observe(seen, *[v.alias(k) for k, v in figures.items()]))
+    return out, seen.get
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a folder that a caller made below :func:`folder`."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
