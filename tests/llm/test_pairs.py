@@ -33,27 +33,6 @@ def test_patience_aligns_in_order_and_completely():
     assert len(line_dedup.patience(a, b)) == sum(m.size for m in blocks)
 
 
-def plain_dedup(docs, min_line=5, min_block=10):
-    """The operator's definition, pair by pair, over (key, text)."""
-    seqs = {}
-    for key, text in docs:
-        lines = text.split("\n")
-        seqs[key] = [x if simhash_words(x) else None for x in lines], [len(simhash_words(x)) for x in lines]
-    first = {}
-    for key in sorted(seqs):
-        for x, n in zip(*seqs[key]):
-            if n >= min_line:
-                first.setdefault(x, key)
-    out = {}
-    for key, text in docs:
-        lines, n = seqs[key]
-        cut = set()
-        for other in {first[x] for x, k in zip(lines, n) if k >= min_line and first[x] != key}:
-            cut |= set(line_dedup.cut_positions(lines, n, seqs[other][0], min_block))
-        out[key] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in cut)
-    return out
-
-
 def simhash_words(x):
     return x.encode().split()
 
@@ -69,8 +48,8 @@ def test_line_dedup_equals_the_plain_version(spark):
     rows += [(200 + i, rows[i][1]) for i in range(10)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    want = plain_dedup(rows)
-    assert {k: r.text for k, r in got.items()} == want
+    assert {k: [x for x in r.text.split("\n") if x.split()] for k, r in got.items()} == whole_dedup(rows)
+    want = {k: r.text for k, r in got.items()}
     assert any(r.n_cut for r in got.values())
     left = {x for t in want.values() for x in t.split("\n")}
     assert all(x in left for _, t in rows for x in t.split("\n"))  # no line is lost altogether
@@ -111,6 +90,22 @@ def _left(spark, rows):
     return {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in got}
 
 
+def test_the_alignment_decides_what_goes(monkeypatch):
+    rnd, cases = random.Random(6), []
+    for _ in range(300):
+        a, b = [[rnd.randrange(3) for _ in range(rnd.randrange(14))] for _ in range(2)]
+        cases.append((a, b, line_dedup.cut_positions(a, [4] * len(a), b, 10)))
+    assert sum(bool(cut) for _, _, cut in cases) > 30
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert not any(line_dedup.cut_positions(a, [4] * len(a), b, 10) for a, b, _ in cases)
+
+
+def test_registered_line_dedup_equals_alignment_with_all_earlier_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = QUERIES["op4_line_dedup"](spark, SF).collect()
+    assert {r.doc_id: [x for x in r.text.split("\n") if x.split()] for r in got} == whole_dedup(docs)
+
+
 def test_a_passage_goes_whoever_holds_its_lines(spark):
     """Its lines have first holders of their own, in another order, and no pair of them."""
     a, b = "the first line has nine words in it now", "licensed under the terms of version two"

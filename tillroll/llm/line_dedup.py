@@ -10,8 +10,8 @@
    documents share with others.
 2. Each pair is aligned with a patience diff of the two sequences of line
    hashes: common heads and tails, then lines that occur once on both sides, in
-   their longest increasing order, and so on between them. Runs that both hold but
-   in another order are aligned after that, each by itself.
+   their longest increasing order, and so on between them. Where lines are left over that lie
+   in runs of both documents (in another order, say), the segments around these are aligned again.
 3. Aligned blocks of consecutive lines with ``min_block_words`` words or more
    are deleted from the later document. The first document with a line keeps it, so
    no line disappears from the corpus.
@@ -122,40 +122,61 @@ def runs(n_words: list[int], least: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _left_over(a: list, n_words: list[int], b: list, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the runs of ``a`` that ``b`` holds, in any order."""
-    known, held, part = dict(zip(a, n_words)), set(), []
-    for x in [*b, None]:
-        if x in known:
+def _blocks(pairs: list[tuple[int, int]], n_words: list[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) in the first sequence of the runs of pairs that have ``least`` words."""
+    out, k = [], 0
+    while k < len(pairs):
+        m = k + 1
+        while m < len(pairs) and pairs[m] == (pairs[m - 1][0] + 1, pairs[m - 1][1] + 1):
+            m += 1
+        if sum(n_words[i] for i, _ in pairs[k:m]) >= least:
+            out.append((pairs[k][0], pairs[m - 1][0] + 1))
+        k = m
+    return out
+
+
+def _realigned(a: list, n_words: list[int], b: list, done: set[int], least: int) -> list[tuple[int, int]]:
+    """(start, end) of blocks that hold lines of ``a`` not in ``done``.
+
+    An alignment keeps an order, so blocks in another order, and blocks that share lines with
+    those it took, are left over. Runs with such lines say where ``b`` has the like;
+    runs of equal distance are one segment, and each segment is aligned by itself.
+    """
+    size, where, part = dict(zip(a, n_words)), {}, []
+    for k, x in enumerate([*b, None]):
+        if x in size:
             part.append(x)
             continue
-        held.update(tuple(part[i:j]) for i, j in runs([known[y] for y in part], least))
+        for i, j in runs([size[y] for y in part], least):
+            where.setdefault(tuple(part[i:j]), k - len(part) + i)
         part = []
-    return [(i, j) for i, j in runs(n_words, least) if tuple(a[i:j]) in held]
+    segments: list[list[int]] = []
+    for i, j in runs(n_words, least):
+        there = None if all(k in done for k in range(i, j)) else where.get(tuple(a[i:j]))
+        if there is None:
+            continue
+        if segments and segments[-1][2] == there - i and i <= segments[-1][1]:
+            segments[-1][1] = max(j, segments[-1][1])
+        else:
+            segments.append([i, j, there - i])
+    return [(i + p, i + q) for i, j, far in segments
+            for p, q in _blocks(patience(a[i:j], b[i + far:j + far]), n_words[i:j], least)]
 
 
 def cut_positions(later: list, n_words: list[int], first: list, min_block_words: int) -> list[int]:
     """Line positions of ``later`` that lie in aligned blocks with ``first``.
 
-    Blank lines are None; blocks run over them.
+    Blank lines are None; blocks run over them. The two are aligned as wholes, then what
+    that left over.
     """
     at = [i for i, x in enumerate(later) if x is not None]
-    a, b = [later[i] for i in at], [x for x in first if x is not None]
-    pairs = patience(a, b)
-    out, k = set(), 0
-    while k < len(pairs):
-        m = k + 1
-        while m < len(pairs) and pairs[m] == (pairs[m - 1][0] + 1, pairs[m - 1][1] + 1):
-            m += 1
-        block = [at[i] for i, _ in pairs[k:m]]
-        if sum(n_words[i] for i in block) >= min_block_words:
-            out.update(range(block[0], block[-1] + 1))
-        k = m
-    more = _left_over(a, [n_words[i] for i in at], b, min_block_words)
-    if any(at[k] not in out for i, j in more for k in range(i, j)):
+    a, b, size = [later[i] for i in at], [x for x in first if x is not None], [n_words[i] for i in at]
+    blocks = _blocks(patience(a, b), size, min_block_words)
+    done = {k for i, j in blocks for k in range(i, j)}
+    more = _realigned(a, size, b, done, min_block_words)
+    out = {k for i, j in [*blocks, *more] for k in range(at[i], at[j - 1] + 1)}
+    if more:
         beside = set(zip(b, b[1:]))
-        for i, j in more:
-            out.update(range(at[i], at[j - 1] + 1))
         for k in range(len(a) - 1):  # blank lines between neighbours of one block
             if at[k] in out and at[k + 1] in out and (a[k], a[k + 1]) in beside:
                 out.update(range(at[k], at[k + 1]))
