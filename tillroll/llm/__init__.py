@@ -1,4 +1,4 @@
-"""Training-data operators: ten self-contained modules over the corpus tables.
+"""Training-data operators: thirteen self-contained modules over the corpus tables.
 
 Nothing else in the package imports this one; :mod:`tillroll.llm.queries`
 lists the registered queries and :mod:`tillroll.llm.oracle` their SQL.
