@@ -27,10 +27,10 @@ from __future__ import annotations
 import datetime
 import json
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -75,36 +75,39 @@ class _Cell:
     part: int | None = None    # part of the whole frame that it lies in; None: the whole frame
 
 
-def _distance(x: Column, low: Column, same: Column, of: T.DataType) -> Column:
+# Expressions over keys are SQL texts: they are long, and a text is one call to the JVM.
+
+def _distance(x: str, low: str, same: str, of: T.DataType) -> str:
     """How far a value lies above ``low``, as a double that never falls where the value rises.
 
     ``same``: bytes that all strings of the cell have in common at their beginning.
     """
     if isinstance(of, T.BooleanType):
-        return x.cast("int").cast("double") - low.cast("int").cast("double")
+        return f"cast(cast({x} AS int) - cast({low} AS int) AS double)"
     if isinstance(of, T.DateType):
-        return F.datediff(x, low).cast("double")
+        return f"cast(datediff({x}, {low}) AS double)"
     if isinstance(of, T.DecimalType):
-        return (x - low).cast("double")
+        return f"cast({x} - {low} AS double)"
     if isinstance(of, T.StringType):
-        def number(text):
-            return F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), same + 1, F.lit(6))), 12, "0"),
-                          16, 10).cast("double")
-        return number(x) - number(low)
-    if isinstance(of, T.IntegralType):
-        return (x.cast("decimal(20,0)") - low.cast("decimal(20,0)")).cast("double")
-    raise TypeError(f"no selection over {of.simpleString()} keys")
+        def number(t):
+            return (f"cast(conv(rpad(hex(substring(cast({t} AS binary), {same} + 1, 6)), 12, '0'), 16, 10)"
+                    " AS double)")
+        return f"({number(x)} - {number(low)})"
+    return f"cast(cast({x} AS decimal(20,0)) - cast({low} AS decimal(20,0)) AS double)"
 
 
-def _part(x: Column, low: Column, high: Column, same: Column, of: T.DataType, asc: bool,
-          parts: int) -> Column:
+def _part(x: str, low: str, high: str, same: str, of: T.DataType, asc: bool, parts: int) -> str:
     """Number of the part between ``low`` and ``high`` that a value lies in, in the order's
     direction; nulls lie in a part behind the others."""
-    span = F.nullif(_distance(high, low, same, of), F.lit(0.0))
-    split = F.least(F.floor(_distance(x, low, same, of) * F.lit(float(parts)) / span), F.lit(parts - 1))
+    span = f"nullif({_distance(high, low, same, of)}, 0D)"
+    split = f"cast(least(floor({_distance(x, low, same, of)} * {float(parts)}D / {span}), {parts - 1}) AS int)"
     # strings that differ behind the bytes looked at: the least value, and the rest
-    part = F.when(span.isNull(), (x != low).cast("int")).otherwise(split.cast("int"))
-    return F.when(x.isNull(), F.lit(parts)).otherwise(part if asc else F.lit(parts - 1) - part)
+    part = f"CASE WHEN {span} IS NULL THEN cast({x} <> {low} AS int) ELSE {split} END"
+    return f"CASE WHEN {x} IS NULL THEN {parts} ELSE {part if asc else f'{parts - 1} - ({part})'} END"
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def _common(low, high) -> int:
@@ -120,6 +123,10 @@ def _json(value) -> str:
     return json.dumps(value.isoformat() if isinstance(value, datetime.date) else value)
 
 
+def _object(fields: dict) -> str:
+    return "{" + ", ".join(f'"{k}": {_json(v)}' for k, v in fields.items()) + "}"
+
+
 class _Passes:
     def __init__(self, df: DataFrame, orders: list[Order], cells: int):
         self.df, self.orders, self.cells = df, orders, cells
@@ -143,80 +150,76 @@ class _Passes:
             fixed, at, nulls = (*fixed, low if has else None), at + 1, True
         return _Cell(order, at, fixed, None, None, False, before, n, places, part)
 
-    def root_part(self, order: int) -> Column:
+    def literals(self, order: int, rows: list[tuple[int, dict]], extra: str) -> Column:
+        """A literal: the ends of the whole frame, and for every part of it the given structs
+        (fields by key and ``extra``)."""
+        by_part: list[list[str]] = [[] for _ in range(self.cells + 1)]
+        for part, fields in rows:
+            by_part[part].append(_object(fields))
+        root, keys = self.roots[order], self.orders[order]
+        ends = {}
+        if root.at < len(keys):
+            if not isinstance(self.types[keys[root.at][0]], _KEYS):
+                raise TypeError(f"no selection over {self.types[keys[root.at][0]].simpleString()} keys")
+            ends = {f"lo{root.at}": root.low, f"hi{root.at}": root.high}
+        kinds = [self.types[name].simpleString() for name, _ in keys]
+        own = ", ".join(f"lo{k}: {t}, hi{k}: {t}" for k, t in enumerate(kinds))
+        fields = ", ".join([extra] + [f"v{k}: {t}, lo{k}: {t}, hi{k}: {t}" for k, t in enumerate(kinds)])
+        text = "{" + '"root": ' + _object(ends) + ', "parts": [' + ", ".join(
+            "[" + ", ".join(p) + "]" for p in by_part) + "]}"
+        return F.from_json(F.lit(text), f"struct<root: struct<{own}>, parts: array<array<struct<{fields}>>>>",
+                           {"mode": "FAILFAST"})
+
+    def root_part(self, order: int, literals: str) -> str:
         """Part of the whole frame that a row lies in, by the order's first key with several values."""
         root = self.roots[order]
         if root.at == len(self.orders[order]):
-            return F.lit(0)
+            return "0"
         name, asc = self.orders[order][root.at]
-        of = self.types[name]
-        if not isinstance(of, _KEYS):
-            raise TypeError(f"no selection over {of.simpleString()} keys")
-        return _part(F.col(name), F.lit(root.low).cast(of), F.lit(root.high).cast(of),
-                     F.lit(_common(root.low, root.high)), of, asc, self.cells)
-
-    def table(self, order: int, rows: list[tuple[int, dict]], extra: str) -> Column:
-        """A literal: for every part of the whole frame, the given structs (fields by key and ``extra``)."""
-        by_part: list[list[str]] = [[] for _ in range(self.cells + 1)]
-        for part, fields in rows:
-            by_part[part].append("{" + ", ".join(f'"{k}": {_json(v)}' for k, v in fields.items()) + "}")
-        kinds = [self.types[name].simpleString() for name, _ in self.orders[order]]
-        fields = ", ".join([extra] + [f"v{k}: {t}, lo{k}: {t}, hi{k}: {t}" for k, t in enumerate(kinds)])
-        text = "[" + ", ".join("[" + ", ".join(p) + "]" for p in by_part) + "]"
-        return F.from_json(F.lit(text), f"array<array<struct<{fields}>>>", {"mode": "FAILFAST"})
+        return _part(_name(name), f"{literals}.root.lo{root.at}", f"{literals}.root.hi{root.at}",
+                     str(_common(root.low, root.high)), self.types[name], asc, self.cells)
 
-    def spread(self, cells: list[_Cell], value: Callable[[int, Column], Column]) -> DataFrame:
-        """One row ``_p`` (``value`` of order and cell) per row and order that has it in one of the cells."""
-        found = []
+    def spread(self, cells: list[_Cell], value: Callable[[int], str]) -> DataFrame:
+        """One row ``_p`` (``value`` of an order, for a cell ``c``) per row and order that has it
+        in one of the cells."""
+        rows, found = self.df.select(*[_name(c) for c in self.columns]), []
         for o in sorted({c.order for c in cells}):
-            keys, rows = self.orders[o], []
+            keys, entries = self.orders[o], []
             for i, c in enumerate(cells):
-                if c.order == o:
+                if c.order == o and c.part is not None:
                     fixed = {f"v{k}": v for k, v in enumerate(c.fixed) if v is not None}
                     ends = {f"lo{c.at}": c.low, f"hi{c.at}": c.high} if c.at < len(keys) else {}
-                    rows.append((c.part, {"i": i, "at": c.at, "nulls": c.nulls,
-                                          "same": _common(c.low, c.high), **fixed, **ends}))
-            table = self.table(o, rows, "i: int, at: int, nulls: boolean, same: int")
-            near = F.get(table, self.root_part(o))
-            found.append(F.transform(F.filter(near, self.inside(o)), partial(value, o)))
-        return self.df.select(*[F.col(f"`{c}`") for c in self.columns],
-                              F.explode(F.concat(*found)).alias("_p"))
-
-    def inside(self, order: int) -> Callable[[Column], Column]:
-        """Whether a row lies in a cell of :meth:`table`."""
-        def test(c):
-            out = F.lit(True)
-            for k, (name, _) in enumerate(self.orders[order]):
-                x = F.col(name)
-                held = F.coalesce(x.between(c[f"lo{k}"], c[f"hi{k}"]), c["nulls"])
-                out = out & F.when(c["at"] > k, x.eqNullSafe(c[f"v{k}"])).when(
-                    c["at"] == k, held).otherwise(F.lit(True))
-            return out
-
-        return test
+                    entries.append((c.part, {"i": i, "at": c.at, "nulls": c.nulls,
+                                             "same": _common(c.low, c.high), **fixed, **ends}))
+            t = f"_t{o}"
+            rows = rows.withColumn(t, self.literals(o, entries, "i: int, at: int, nulls: boolean, same: int"))
+            if not entries:  # the first pass: the whole frame is one cell
+                i = next(i for i, c in enumerate(cells) if c.order == o)
+                found.append(f"array(struct({i} AS c, {self.root_part(o, t)} AS s))")
+                continue
+            tests = []
+            for k, (name, _) in enumerate(keys):
+                x = _name(name)
+                tests.append(f"CASE WHEN c.at > {k} THEN {x} <=> c.v{k} WHEN c.at = {k} THEN "
+                             f"coalesce({x} BETWEEN c.lo{k} AND c.hi{k}, c.nulls) ELSE true END")
+            found.append(f"transform(filter(get({t}.parts, {self.root_part(o, t)}), c -> "
+                         f"{' AND '.join(tests)}), c -> {value(o)})")
+        return rows.select(*[_name(c) for c in self.columns],
+                           F.expr(f"explode(concat({', '.join(found)}))").alias("_p"))
 
     def split(self, cells: list[_Cell]) -> list[_Cell]:
         """The parts of the cells that hold their places."""
-        share = {o: max(2, self.cells // sum(c.order == o for c in cells)) for o in {c.order for c in cells}}
-
-        def within(o, c):
-            part = None
-            for k, (name, asc) in enumerate(self.orders[o]):
-                of = self.types[name]
-                if isinstance(of, _KEYS):
-                    part = (F if part is None else part).when(c["at"] == k, _part(
-                        F.col(name), c[f"lo{k}"], c[f"hi{k}"], c["same"], of, asc, share[o]))
-            return F.struct(c["i"].alias("c"), part.alias("s"))
-
-        if cells[0].part is None:  # the first pass: every order's whole frame
-            share = {c.order: self.cells for c in cells}
-            rows = self.df.select(*[F.col(f"`{c}`") for c in self.columns], F.explode(F.array(*[
-                F.struct(F.lit(i).alias("c"), self.root_part(c.order).alias("s"))
-                for i, c in enumerate(cells)])).alias("_p"))
-        else:
-            rows = self.spread(cells, within)
+        share = {o: self.cells // sum(c.order == o for c in cells) for o in {c.order for c in cells}}
+        share = {o: max(2, n) for o, n in share.items()}
+
+        def within(o):
+            cases = [f"WHEN c.at = {k} THEN " + _part(
+                _name(name), f"c.lo{k}", f"c.hi{k}", "c.same", self.types[name], asc, share[o])
+                for k, (name, asc) in enumerate(self.orders[o]) if isinstance(self.types[name], _KEYS)]
+            return f"struct(c.i AS c, CASE {' '.join(cases)} END AS s)"
+
         counted: dict[int, list] = {}
-        for r in rows.groupBy("_p.c", "_p.s").agg(*self.figures).collect():
+        for r in self.spread(cells, within).groupBy("_p.c", "_p.s").agg(*self.figures).collect():
             counted.setdefault(r["c"], []).append(r)
         out = []
         for i, c in enumerate(cells):
@@ -232,7 +235,7 @@ class _Passes:
     def read(self, cells: list[_Cell]) -> dict[tuple[int, int], Hit]:
         """The keys at the places of cells that are small enough to be read."""
         held: dict[int, list] = {}
-        for r in self.spread(cells, lambda o, c: c["i"]).collect():
+        for r in self.spread(cells, lambda o: "c.i").collect():
             held.setdefault(r["_p"], []).append(r)
         out = {}
         for i, c in enumerate(cells):
@@ -246,33 +249,31 @@ class _Passes:
                 out[c.order, p] = Hit(key, c.before + rows.index(key), rows.count(key), c.part)
         return out
 
-    def reached(self, order: int, bounds: list[tuple[Hit, bool]]) -> Column:
-        """How many of the bounds a row stands at or behind (only behind, if the flag is set).
+    def reached(self, df: DataFrame, bounds: dict[str, tuple[int, list[tuple[Hit, bool]]]]) -> DataFrame:
+        """``df`` with columns of how many of the bounds of an order a row stands at or behind (only
+        behind, if a bound's flag is set).
 
         Bounds in other parts of the frame than the row's are counted beforehand.
         """
-        keys = self.orders[order]
-        if not bounds:
-            return F.lit(0)
-        before, n = [], 0
-        for part in range(self.cells + 1):
-            before.append(n)
-            n += sum(h.part == part for h, _ in bounds)
-        table = self.table(order, [(h.part, {"strict": flag, **{
-            f"v{k}": v for k, v in enumerate(h.key) if v is not None}}) for h, flag in bounds], "strict: boolean")
-
-        def stands(c):
-            out = ~c["strict"]
-            for k in range(len(keys) - 1, -1, -1):
-                (name, asc), v = keys[k], c[f"v{k}"]
-                x = F.col(name)
-                behind = v.isNotNull() & F.coalesce(x > v if asc else x < v, F.lit(True))
-                out = behind | (x.eqNullSafe(v) & out)
-            return out
-
-        part = self.root_part(order)
-        earlier = F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), part)
-        return earlier + F.size(F.filter(F.get(table, part), stands))
+        out = {}
+        for i, (column, (o, held)) in enumerate(bounds.items()):
+            before, n, t = [], 0, f"_t{i}"
+            counts = Counter(h.part for h, _ in held)
+            for part in range(self.cells + 1):
+                before.append(n)
+                n += counts[part]
+            df = df.withColumn(t, self.literals(o, [(h.part, {"strict": flag, **{
+                f"v{k}": v for k, v in enumerate(h.key) if v is not None}}) for h, flag in held],
+                "strict: boolean")).withColumn(f"_n{i}", F.from_json(F.lit(json.dumps(before)), "array<int>"))
+            test = "NOT c.strict"
+            for k, (name, asc) in reversed(list(enumerate(self.orders[o]))):
+                x, sign = _name(name), ">" if asc else "<"
+                test = (f"(c.v{k} IS NOT NULL AND coalesce({x} {sign} c.v{k}, true)) "
+                        f"OR ({x} <=> c.v{k} AND ({test}))")
+            part = self.root_part(o, t)
+            out[column] = F.expr(f"get(_n{i}, {part}) + size(filter(get({t}.parts, {part}), c -> {test}))")
+        kept = [c for c in df.columns if c not in out and not c.startswith(("_t", "_n"))]
+        return df.select(*[_name(c) for c in kept], *[v.alias(c) for c, v in out.items()])
 
 
 def select(df: DataFrame, orders: list[Order], places: Callable[[int], list[list[int]]],
@@ -355,9 +356,9 @@ def ntiles(df: DataFrame, tiles: list[Tiles], **passes) -> DataFrame:
     """
     passes, found = select(df, [t.order for t in tiles],
                            lambda n: [tile_starts(n, t.n) for t in tiles], **passes)
-    return df.withColumns({t.name: (passes.reached(o, [
-        (found[o][s], False) for s in tile_starts(passes.total, t.n)]) + 1).cast("bigint")
-        for o, t in enumerate(tiles)})
+    out = passes.reached(df, {t.name: (o, [(found[o][s], False) for s in tile_starts(passes.total, t.n)])
+                              for o, t in enumerate(tiles)})
+    return out.withColumns({t.name: (F.col(t.name) + 1).cast("bigint") for t in tiles})
 
 
 def add_rank(df: DataFrame, name: str, column: str, asc: bool = True, *,
@@ -388,7 +389,7 @@ def add_rank(df: DataFrame, name: str, column: str, asc: bool = True, *,
     x = F.col(column)
     cell = Window.partitionBy("_cell", "_deal").orderBy(
         x.asc_nulls_last() if asc else x.desc_nulls_last())
-    rows = df.withColumn("_cell", found.reached(0, bounds)).withColumn("_deal", F.pmod(
+    rows = found.reached(df, {"_cell": (0, bounds)}).withColumn("_deal", F.pmod(
         F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.get(lists[1], F.col("_cell"))))
     return (rows.withColumn(name, F.get(lists[0], F.col("_cell")) + F.rank().over(cell))
             .drop("_cell", "_deal"))
