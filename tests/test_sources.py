@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixture import ROWS, raw_frame, tx_frame
-from tillroll.sources import normalize_columns, read_raw, union_sources, write_and_reconcile
+from tillroll.sources import (normalize_columns, read_raw, read_table, sink, union_sources, vacuum,
+                              write_and_reconcile)
 
 HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price, Customer ID ,Country"
 
@@ -129,3 +130,83 @@ def test_clean_with_audit_counts_during_the_write(spark):
     cleaned.write.format("noop").mode("overwrite").save()
     assert obs.get == {"input": 15, "missing_customer": 2, "cancellation": 1,
                        "non_positive_quantity_or_price": 2}
+
+
+class Killed(BaseException):
+    """The loader's process is gone: nothing after it runs, no clean-up either."""
+
+
+STEPS = ["write_load", "_pointer", "commit_load", "_point", "_delete"]
+
+
+@pytest.mark.parametrize("mode", ["overwrite", "append"])
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("step", STEPS)
+def test_killed_load_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch, step, after, mode):
+    path = str(tmp_path / "tx")
+    write_and_reconcile(tx_frame(spark), path)
+    dead = []
+
+    def dying(name, real):
+        def run(*args, **kw):
+            if dead:
+                raise Killed(name)
+            if name == step:
+                if after:
+                    real(*args, **kw)
+                dead.append(name)
+                raise Killed(name)
+            return real(*args, **kw)
+        return run
+
+    with monkeypatch.context() as m:
+        for name in STEPS:
+            m.setattr(sink, name, dying(name, getattr(sink, name)))
+        if step == "_delete" and mode == "append":
+            assert write_and_reconcile(tx_frame(spark).limit(3), path, mode).first().rows_written == 3
+        else:
+            with pytest.raises(Killed):
+                write_and_reconcile(tx_frame(spark).limit(3), path, mode)
+    new = 13 if mode == "append" else 3
+    committed = step == "_delete" or (after and step in ("commit_load", "_point"))
+    assert read_table(spark, path).count() == (new if committed else 10)
+    # what the dead load left goes away, and the table goes on
+    vacuum(spark, path)
+    held = new if committed else 10
+    assert read_table(spark, path).count() == spark.read.parquet(path).count() == held
+    write_and_reconcile(tx_frame(spark).limit(2), path, "append")
+    assert read_table(spark, path).count() == held + 2
+
+
+def test_loads_that_race_for_a_pointer_both_land(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "tx")
+    write_and_reconcile(tx_frame(spark), path)
+    point, raced = sink._point, []
+
+    def second(*args):
+        if not raced:
+            raced.append(True)
+            write_and_reconcile(tx_frame(spark).limit(4), path, "append")
+        return point(*args)
+
+    monkeypatch.setattr(sink, "_point", second)
+    write_and_reconcile(tx_frame(spark).limit(3), path, "append")
+    assert read_table(spark, path).count() == 17
+
+
+def test_read_table_prunes_months_and_checks_the_schema(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sink, "KEPT_POINTERS", 2)
+    path = str(tmp_path / "tx")
+    with pytest.raises(FileNotFoundError):
+        read_table(spark, path)
+    write_and_reconcile(tx_frame(spark).limit(0), path)  # an empty load is a table
+    assert read_table(spark, path).count() == 0
+    for _ in range(sink.KEPT_POINTERS + 3):
+        write_and_reconcile(tx_frame(spark), path)
+    t = read_table(spark, path).filter("invoice_month = '2011-12'")
+    assert t.count() == 2 and "PartitionFilters: [isnotnull(invoice_month" in (
+        t._jdf.queryExecution().executedPlan().toString())
+    assert len(sink._numbers(spark, path)) == sink.KEPT_POINTERS + 1
+    with pytest.raises(ValueError, match="schema"):
+        write_and_reconcile(tx_frame(spark).withColumn("extra", F.lit(1)), path, "append")
+    assert read_table(spark, path).count() == spark.read.parquet(path).count() == 10

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fixture import raw_frame, tx_frame
 from tillroll.schema import TX_SCHEMA
-from tillroll.sources import write_and_reconcile
+from tillroll.sources import read_table, sink, write_and_reconcile
 from tillroll.streaming import start_ingest
 
 
@@ -63,3 +63,27 @@ def test_csv_stream_parses_text_and_checks_the_header(spark, tmp_path):
 def test_checkpoint_is_required(spark, tmp_path):
     with pytest.raises(TypeError):
         start_ingest(spark, str(tmp_path), str(tmp_path / "t"))
+
+
+def test_retried_batch_lands_once_and_a_replaced_batch_stays_gone(spark, tmp_path, monkeypatch):
+    src, table, ck = str(tmp_path / "in"), str(tmp_path / "tx"), str(tmp_path / "ck")
+    raw_frame(spark).write.parquet(src + "/part1")
+    commit = sink.commit_load
+
+    def fails(*args, **kw):
+        commit(*args, **kw)
+        raise OSError("lost after the commit")
+
+    import tillroll.streaming.ingest as ingest
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "commit_load", fails)
+        with pytest.raises(Exception, match="lost after the commit"):
+            start_ingest(spark, src + "/*", table, ck).awaitTermination(120)
+    assert read_table(spark, table).count() == 10
+    start_ingest(spark, src + "/*", table, ck).awaitTermination(120)
+    assert read_table(spark, table).count() == 10
+    write_and_reconcile(tx_frame(spark).limit(2), table)
+    assert read_table(spark, table).count() == 2
+    raw_frame(spark).limit(1).write.parquet(src + "/part2")
+    start_ingest(spark, src + "/*", table, ck).awaitTermination(120)
+    assert read_table(spark, table).count() == 3

@@ -116,14 +116,15 @@ def first_last_product(tx: DataFrame, sort: bool = True) -> DataFrame:
     invoice, stock code, then description with nulls last); a null description
     of the chosen line is returned as null, as FIRST_VALUE / LAST_VALUE do.
 
-    A hash aggregate finds each customer's first and last time; only the lines
-    at these two times reach ``min_by`` / ``max_by``, whose text buffers need a
-    sort-based aggregate."""
-    ends = tx.groupBy("customer_id").agg(F.min("invoicedate").alias("_first"),
-                                         F.max("invoicedate").alias("_last"))
+    A hash aggregate finds each customer's first and last time; a semi join on
+    (customer, time), which spreads a heavy customer's lines over the tasks, keeps
+    the lines at these two times, and only they reach ``min_by`` / ``max_by``,
+    whose text buffers need a sort-based aggregate."""
+    ends = (tx.groupBy("customer_id").agg(F.array_distinct(F.array(F.min("invoicedate"), F.max("invoicedate")))
+                                          .alias("_ends"))
+              .select("customer_id", F.explode("_ends").alias("invoicedate")))
     lines = tx.select("customer_id", "invoicedate", "invoice", "stockcode", "description").join(
-        ends, "customer_id").filter((F.col("invoicedate") == F.col("_first"))
-                                    | (F.col("invoicedate") == F.col("_last")))
+        ends, ["customer_id", "invoicedate"], "left_semi")
     key = F.struct("invoicedate", "invoice", "stockcode",
                    F.col("description").isNull().alias("_null_desc"), "description")
     out = (lines.groupBy("customer_id")

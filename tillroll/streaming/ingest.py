@@ -2,9 +2,10 @@
 typed and added to the transaction table.
 
 The same operators as the batch load run on each micro-batch.  A batch is one
-load of the table (:mod:`tillroll.sources.sink`): it overwrites a folder named
-after the stream's checkpoint and the batch number, so a batch retried after a
-failure lands exactly once, and the loads of the batch loader stay visible.
+load of the table (:mod:`tillroll.sources.sink`): it writes a folder named after the
+stream's checkpoint and the batch number, and the table's pointer remembers the
+stream's last batch, so a batch retried after a failure lands exactly once, also if
+the table was replaced in between, and the loads of the batch loader stay visible.
 The checkpoint is a required, stable folder: a restart with it, in any session,
 goes on after the last finished batch.
 """
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tillroll.operators.clean import clean_transactions, type_transactions
 from tillroll.schema import RAW_SCHEMA
 from tillroll.sources.raw import parse_raw
-from tillroll.sources.sink import write_load
+from tillroll.sources.sink import commit_load, last_batch, write_load
 
 
 def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, *,
@@ -47,7 +48,10 @@ def start_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoi
     stream = f"{query_name}-{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
 
     def add(batch: DataFrame, number: int) -> None:
-        write_load(batch, f"{table_path.rstrip('/')}/load={stream}-{number}")
+        path, load = table_path.rstrip("/"), f"load={stream}-{number}"
+        if last_batch(batch.sparkSession, path, stream) < number:
+            write_load(batch, f"{path}/{load}")
+            commit_load(batch.sparkSession, path, load, batch.schema, batch=(stream, number))
 
     writer = typed.writeStream.queryName(query_name).option(
         "checkpointLocation", checkpoint).foreachBatch(add)
