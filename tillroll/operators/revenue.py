@@ -9,21 +9,24 @@ from pyspark.sql import functions as F
 from tillroll.functions.metrics import customer_summary, monthly_revenue, share_of_total
 from tillroll.functions.metrics import fill_months as fill_months_of
 from tillroll.functions.numeric import mean_of, pct
+from tillroll.functions.sketches import as_sketches, merged
 
 
 def monthly_revenue_growth(tx: DataFrame, with_orders: bool = True,
                            prev_name: str = "prev_month_revenue",
-                           fill_months: bool = False) -> DataFrame:
+                           fill_months: bool = False, approx: bool | DataFrame = False) -> DataFrame:
     """``month, total_revenue, unique_customers[, total_orders],
     prev_month_revenue, mom_growth_pct``.  LAG steps over months *with*
     sales; growth is null for the first month or a zero previous month.
     ``fill_months=True`` inserts the months without sales as zero rows, so
-    LAG compares calendar-adjacent months.
+    LAG compares calendar-adjacent months.  ``approx`` takes the two distinct
+    counts from sketches, of ``tx`` (True) or of a sketch frame such as
+    :func:`tillroll.functions.sketches.read_sketches` gives (``tx`` is then not read).
 
     The window has no partition key on purpose: it runs over one row per
     calendar month, a size fixed by the calendar, not by the data volume.
     """
-    m = monthly_revenue(tx).select(
+    m = (merged(as_sketches(tx, approx), "month") if approx else monthly_revenue(tx)).select(
         "month", F.round("revenue", 2).alias("total_revenue"), "unique_customers",
         *(["total_orders"] if with_orders else []))
     if fill_months:
@@ -90,14 +93,18 @@ def top_products(tx: DataFrame, k: int = 10) -> DataFrame:
              .orderBy("revenue_rank", "stockcode"))
 
 
-def country_revenue(tx: DataFrame) -> DataFrame:
+def country_revenue(tx: DataFrame, approx: bool | DataFrame = False) -> DataFrame:
     """``rank, country, unique_customers, total_orders, total_revenue,
     pct_of_total``.  One row per country (bounded), so the rank window is a
-    plain one."""
-    c = (tx.groupBy("country")
-           .agg(F.count_distinct("customer_id").alias("unique_customers"),
-                F.count_distinct("invoice").alias("total_orders"),
-                F.round(F.sum("revenue"), 2).alias("total_revenue")))
+    plain one.  ``approx`` as in :func:`monthly_revenue_growth`."""
+    if approx:
+        c = merged(as_sketches(tx, approx), "country")
+    else:
+        c = (tx.groupBy("country")
+               .agg(F.count_distinct("customer_id").alias("unique_customers"),
+                    F.count_distinct("invoice").alias("total_orders"),
+                    F.sum("revenue").alias("revenue")))
+    c = c.withColumn("total_revenue", F.round("revenue", 2)).drop("revenue")
     c = share_of_total(c, "total_revenue", "pct_of_total", 2)
     return (c.withColumn("rank", F.rank().over(Window.orderBy(F.col("total_revenue").desc())))
              .select("rank", "country", "unique_customers", "total_orders", "total_revenue",

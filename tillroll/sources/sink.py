@@ -136,9 +136,15 @@ def last_batch(spark: SparkSession, path: str, stream: str) -> int:
     return (_pointer(spark, path.rstrip("/"))[1] or {"streams": {}})["streams"].get(stream, -1)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The table at ``path``: the loads that its newest pointer names, with the columns
-    ``load`` and ``invoice_month``.  Loads under way or broken off are not read.
+def table_loads(spark: SparkSession, path: str) -> list[str]:
+    """Folder names of the loads that are the table at ``path`` now."""
+    return (_pointer(spark, path.rstrip("/"))[1] or {"loads": []})["loads"]
+
+
+def read_table(spark: SparkSession, path: str, loads: list[str] | None = None) -> DataFrame:
+    """The table at ``path``: the loads that its newest pointer names (or those of them in
+    ``loads``), with the columns ``load`` and ``invoice_month``.  Loads under way or broken
+    off are not read.
 
     A reader that must outlast a replacement of the table it reads keeps a copy."""
     path = path.rstrip("/")
@@ -149,7 +155,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if now["by_month"]:
         schema = schema.add("invoice_month", "string")
     return (spark.read.schema(schema).option("basePath", path)
-            .parquet(*[f"{path}/{x}" for x in now["loads"]]))
+            .parquet(*[f"{path}/{x}" for x in now["loads"] if loads is None or x in loads]))
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
