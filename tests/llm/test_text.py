@@ -158,48 +158,60 @@ def test_base_scores_and_counts_equal_plain_python(spark):
     assert held[0] > held[1]  # the model beats its base on texts it has not seen
 
 
-def _frame(spark, texts):
-    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-
-
-def test_filter_counts_follow_the_quanta(spark):
-    texts = ["a b"] * 40 + ["a c"] * 5 + ["d e", "f g h"]
-    counts = lm_bloom.stored(lm_bloom.count_ngrams(_frame(spark, texts), "text", 2).filter("n = 1 OR c >= 2"))
-    model = lm_bloom.build_filter(counts)
+def _model(texts):
+    """(filter, totals, vocabulary) of texts whose n-grams of orders 1 and 2 are counted here."""
     voc = lm_bloom.Vocabulary()
+    held = [voc(t.encode().lower().split()) for t in texts]
+    voc.update()
+    starts = np.cumsum([0, *map(len, held[:-1])])
+    seen = [Counter(g.tolist()) for g in lm_bloom.ngrams(voc.hashes[np.concatenate(held)], starts, 2)]
+    grams = np.array([h for c in seen for h in c], np.uint64)
+    quanta = np.array([k.bit_length() for c in seen for k in c.values()])
+    segments = 3
+    model = lm_bloom.Filter(lm_bloom.set_bits(grams, quanta, grams % np.uint64(segments), segments))
+    total, n1, n2 = sum(seen[0].values()), *(sum(k == x for k in seen[1].values()) for x in (1, 2))
+    d = lm_bloom.discounted(n1, n2)
+    return model, lm_bloom.Totals(total, len(seen[0]), len(texts), (d,), ((total - len(seen[1]) * d) / total,)), voc
+
+
+def test_filter_counts_follow_the_quanta():
+    model, totals, voc = _model(["a b"] * 40 + ["a c"] * 5 + ["d e", "f g h"])
     ids = voc([w.encode() for w in "a b c d zz".split()])
     voc.update()
     got = model.counts(voc.hashes[ids[:-1]])
     assert got[0] == 0.75 * 64 - 0.5 and got[1] == 0.75 * 64 - 0.5 and got[2] == 0.75 * 8 - 0.5 and got[3] == 1.0
-    assert model.total == sum(len(t.split()) + 1 for t in texts) and model.distinct == 9 and model.texts == 47
     absent = np.arange(1, 200_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert (model.counts(absent) > 0).mean() < 0.02
-    small = lm_bloom.build_filter(counts, max_bytes=10)  # the bound raises the least count kept
-    assert small.bits.nbytes <= lm_bloom.SEGMENT_BITS // 8 and small.discount > model.discount
 
 
-def test_probabilities_of_a_context_sum_to_at_most_about_one(spark):
+def test_probabilities_of_a_context_sum_to_at_most_about_one():
     rng = np.random.default_rng(0)
     texts = [" ".join(f"w{rng.zipf(1.5) % 50}" for _ in range(20)) for _ in range(300)]
-    counts = lm_bloom.stored(lm_bloom.count_ngrams(_frame(spark, texts), "text", 2).filter("n = 1 OR c >= 2"))
-    f = lm_bloom.build_filter(counts)
-    voc = lm_bloom.Vocabulary()
+    f, totals, voc = _model(texts)
     vocabulary = sorted({w for t in texts for w in t.split()})
     for context in ("w1", "w2", "w7"):
-        seqs = [voc([context.encode(), w.encode()]) for w in vocabulary]
-        voc.update()
-        flat = voc.hashes[np.concatenate(seqs)]
-        starts = np.arange(len(seqs)) * 3
-        p = 10 ** lm_bloom.log10_probability(f, lm_bloom.ngrams(flat, starts, 2), starts, f.counts(flat))
+        flat = voc.hashes[np.concatenate([voc([context.encode(), w.encode()]) for w in vocabulary])]
+        starts = np.arange(len(vocabulary)) * 3
+        p = 10 ** lm_bloom.interpolated(totals, [f.counts(g) for g in lm_bloom.ngrams(flat, starts, 2)], starts)
         assert 0.6 < p[1::3].sum() < 1.4  # counts are quantised, so only about one
 
 
+def test_shards_follow_the_blocks_and_not_the_session(spark):
+    assert [lm_bloom.shards_for(n) for n in (0, 85, 5_000, 10_000)] == [64, 64, 2_500, 5_000]
+    docs = spark.createDataFrame([(i, f"a b{i % 7} c{i} d") for i in range(200)], "doc_id long, text string")
+    want = sorted(map(tuple, lm_bloom.score(docs, F.col("doc_id") % 5 == 0).collect()))
+    # small blocks and other numbers of shards leave the counts as they are
+    few = sorted(map(tuple, lm_bloom.score(docs, F.col("doc_id") % 5 == 0, block_words=50, shards=3).collect()))
+    assert [r[:5] for r in few] == [r[:5] for r in want]
+    assert [r[5] for r in few] == pytest.approx([r[5] for r in want])
+
+
 def test_lm_edges(spark):
     docs = with_clashes(awkward(spark))
     got = lm_bloom.score(docs, F.col("doc_id") % 5 == 0, order=3).collect()
     assert len(got) == docs.count()
     assert {r.n_tokens for r in got if r.doc_id in (60, 61, 62)} == {1}
-    plain = lm_bloom.score(docs, F.col("doc_id") % 5 == 0, top_words=3).collect()  # nearly all words by the join
+    plain = lm_bloom.score(docs, F.col("doc_id") % 5 == 0, block_words=20, shards=5).collect()
     key = lambda rows: sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in rows)
     assert key(plain) == key(got)
     assert lm_bloom.score(empty(spark), F.lit(False)).count() == 0

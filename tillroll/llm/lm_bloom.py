@@ -5,7 +5,8 @@
 2. Every block sends its distinct n-grams (orders 1 to ``order``, with a start
    context and an end token per text), as 64-bit hashes with their counts in the
    block's training texts, to the filter's shards. A shard is a range of hashes;
-   the number of shards grows with the shuffle partitions and so with the input.
+   the number of shards follows the number of blocks, whatever the session's
+   shuffle partitions, so that a shard is asked about ``SHARD_NGRAMS`` n-grams.
 3. A shard's task sums the counts and fills its filter. A count ``c`` is kept as
    its quantum ``q = 1 + floor(log2 c)``: the filter holds the pairs (n-gram, 1)
    ... (n-gram, q), and a lookup probes 1, 2, ... until a pair is absent, so a
@@ -23,9 +24,6 @@ once and twice, and ``L`` is the share of the corpus's n-grams that remains afte
 this discount; an unseen history passes all its mass to the shorter one. The base
 score takes every word's exact count.
 
-:func:`build_filter` makes one filter of a stored table of counts, for a caller
-who wants it on one machine and bounds its size; :func:`score` does not use it.
-
 Defined results: a null or empty text is one end token; ids may be null or
 repeated; an id's text for the split is empty for a null id; an empty table, or
 one without training rows, gives N = V = 0 and scores without counts; other
@@ -52,11 +50,10 @@ from tillroll.llm.common import stored
 ORDER = 2
 BITS_PER_ENTRY = 10
 PROBES = 6
-MAX_BYTES = 64 << 20
 SEGMENT_BITS = 1 << 19
 BLOCK_WORDS = 1_000_000  # words of a block
 BLOCK_DOCS = 100_000
-FLUSH = 2_000_000        # n-grams a task of count_ngrams holds before it hands on its counts
+SHARD_NGRAMS = 4_000_000  # n-grams, repeats over blocks included, that a shard's task is asked about
 
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))          # no word holds white space
 START = np.uint64(xxhash.xxh64_intdigest(b"\n\n"))
@@ -111,39 +108,6 @@ def ngrams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray
     return out
 
 
-def _starts(texts: list[np.ndarray]) -> np.ndarray:
-    lens = np.array([len(t) for t in texts], np.int64)
-    return np.cumsum(lens) - lens
-
-
-def count_ngrams(train: DataFrame, text: str, order: int) -> DataFrame:
-    """(n, h, c): exact counts of the n-gram hashes of all texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            words.update()
-            flat = words.hashes[np.concatenate(held)]
-            for n, grams in enumerate(ngrams(flat, _starts(held), order), 1):
-                h, c = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), n, np.int8)), pa.array(h.view("<i8")),
-                     pa.array(c.astype(np.int64))], ["n", "h", "c"])
-
-        words, held, size = Vocabulary(), [], 0
-        for b in batches:
-            for t in b.column("text"):
-                held.append(words(tokens(t.as_py())))
-                size += len(held[-1])
-                if size > FLUSH:
-                    yield from flush()
-                    words, held, size = Vocabulary(), [], 0
-        if held:
-            yield from flush()
-
-    rows = train.select(F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "n tinyint, h bigint, c bigint").groupBy("n", "h").agg(
-        F.sum("c").alias("c"))
-
-
 @dataclass(frozen=True)
 class Totals:
     """Totals of the training corpus."""
@@ -156,8 +120,8 @@ class Totals:
 
 
 @dataclass(frozen=True)
-class Filter(Totals):
-    """The filter's segments as one array of bytes, with the totals of the training corpus."""
+class Filter:
+    """A shard's filter: its segments as one array of bytes."""
 
     bits: np.ndarray  # (segments, SEGMENT_BITS / 8)
 
@@ -200,10 +164,6 @@ def _probe_hashes(grams: np.ndarray, quantum) -> tuple[np.ndarray, np.ndarray]:
     return seeded, mix(seeded) | np.uint64(1)
 
 
-def quantum(c: Column) -> Column:
-    return (F.floor(F.log2(c.cast("double"))) + 1).cast("int")
-
-
 def discounted(n1: int, n2: int) -> float:
     """Absolute discount, from the numbers of n-grams seen once and twice; within (0, 1)."""
     return (n1 + 1) / (n1 + 2 * n2 + 2)
@@ -221,63 +181,6 @@ def set_bits(grams: np.ndarray, quanta: np.ndarray, segment: np.ndarray, segment
     return np.packbits(flags, bitorder="little").reshape(segments, -1)
 
 
-def build_filter(counts: DataFrame, max_bytes: int = MAX_BYTES) -> Filter:
-    """One filter of a stored table of counts, of at most ``max_bytes``.
-
-    If it would be larger, n-grams of order 2 and up are kept from the smallest count
-    for which it fits; ``discount`` is then the largest count that is not kept. A table
-    without n-grams seen once counts as one that left them out.
-    """
-    spread = counts.groupBy("n", "c").agg(F.count(F.lit(1)).alias("k"))
-    by_quantum = spread.groupBy("n", quantum(F.col("c")).alias("q")).agg(
-        F.sum("k").alias("k"), F.sum(F.col("k") * F.col("c")).alias("words")).collect()  # 63 per order
-    total = sum(r.words for r in by_quantum if r.n == 1)
-    distinct = sum(r.k for r in by_quantum if r.n == 1)
-
-    def entries(least):  # n-grams from quantum `least`, every n-gram with all its quanta
-        return sum(r.k * r.q for r in by_quantum if r.q >= least or (r.n == 1 and least <= 2))
-
-    room = max_bytes * 8 // BITS_PER_ENTRY
-    first = 1 if any(r.n > 1 and r.q == 1 for r in by_quantum) else 2
-    least = next((q for q in range(first, 64) if entries(q) <= room), 64)
-    orders = range(2, max((r.n for r in by_quantum), default=1) + 1)
-    discount = tuple(2.0 ** (least - 1) - 1 for _ in orders)
-    if least == 1:
-        seen = {(r.n, r.c): r.k for r in spread.filter("c <= 2").collect()}
-        discount = tuple(discounted(seen.get((n, 1), 0), seen.get((n, 2), 0)) for n in orders)
-    shares = tuple(sum(r.words - r.k * d for r in by_quantum if r.n == n and r.q >= least)
-                   / max(total, 1) for n, d in zip(orders, discount))
-    segments = max(1, -(-entries(least) * BITS_PER_ENTRY // SEGMENT_BITS))
-    kept = counts.withColumn("q", quantum(F.col("c"))).filter(
-        (F.col("q") >= least) | ((F.col("n") == 1) & F.lit(least <= 2)))
-    # unsigned remainder of the hash, in long arithmetic
-    high, low = F.shiftrightunsigned("h", 1), F.col("h").bitwiseAND(F.lit(1).cast("long"))
-    segment = F.pmod(F.pmod(high, F.lit(segments)) * 2 + low, F.lit(segments))
-
-    def fill(table: pa.Table) -> pa.Table:
-        grams = table.column("h").to_numpy().view("<u8")
-        bits = set_bits(grams, table.column("q").to_numpy(), np.zeros(len(grams), np.int64), 1)
-        return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([bits.tobytes()])})
-
-    filled = kept.select(segment.alias("segment"), "h", "q").groupBy("segment").applyInArrow(
-        fill, "segment bigint, bits binary")
-    bits = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
-    for r in filled.toLocalIterator():  # max_bytes at most
-        bits[r.segment] = np.frombuffer(r.bits, np.uint8)
-    ends = counts.filter((F.col("n") == 1) & (F.col("h") == F.lit(int(END.view(np.int64))))).first()
-    return Filter(total, distinct, ends.c if ends else 0, discount, shares, bits)
-
-
-def log10_probability(f: Filter, grams: list[np.ndarray], starts: np.ndarray,
-                      unigrams: np.ndarray) -> np.ndarray:
-    """log10 P of every token given the tokens before it, of texts laid end to end.
-
-    ``grams``: per order, as of :func:`ngrams`; ``starts``: where the texts begin;
-    ``unigrams``: the filter's counts of the tokens.
-    """
-    return interpolated(f, [unigrams, *(f.counts(g) for g in grams[1:])], starts)
-
-
 def interpolated(f: Totals, counts: list[np.ndarray], starts: np.ndarray) -> np.ndarray:
     """log10 P of every token, from the counts of the n-grams that end there, per order."""
     p = (counts[0] + 1.0) / (f.total + f.distinct + 1.0)
@@ -376,7 +279,7 @@ def _answer(table: pa.Table) -> pa.Table:
     grams = np.concatenate([h[c > 0] for *_, h, c in found.values()])
     quanta = np.concatenate([np.frexp(c[c > 0].astype(np.float64))[1] for *_, c in found.values()])
     segments = max(1, -(-int(quanta.sum()) * BITS_PER_ENTRY // SEGMENT_BITS))
-    f = Filter(0, 0, 0, (), (), set_bits(grams, quanta, grams % np.uint64(segments), segments))
+    f = Filter(set_bits(grams, quanta, grams % np.uint64(segments), segments))
     out = []
     for n, (blocks, lens, place, h, c) in found.items():
         q = f.quanta(h)[place]
@@ -401,20 +304,22 @@ def _totals(answers: DataFrame) -> Totals:
         (r.words - r.k * d) / max(total, 1) for r, d in zip(longer, discount)))
 
 
+def shards_for(blocks: int, order: int = ORDER, block_words: int = BLOCK_WORDS) -> int:
+    """Shards for which none is asked about more than about ``SHARD_NGRAMS`` n-grams; 64 at least."""
+    return max(64, -(-blocks * order * block_words // SHARD_NGRAMS))
+
+
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text",
-          order: int = ORDER, top_words: int | None = None, block_words: int = BLOCK_WORDS,
-          shards: int | None = None) -> DataFrame:
+          order: int = ORDER, block_words: int = BLOCK_WORDS, shards: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
 
     The model learns from the rows for which ``held_out`` is false. ``shards`` defaults to
-    twice the shuffle partitions, which grow with the input. ``top_words`` has no effect:
-    the exact counts of all words take one path.
+    :func:`shards_for` the blocks.
     """
-    spark = docs.sparkSession
-    shards = shards or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.col(f"`{text}`").alias("text"))
     blocks = stored(encode_blocks(rows, block_words).withColumn("block", F.monotonically_increasing_id()))
+    shards = shards or shards_for(blocks.count(), order, block_words)
     answers = stored(_ask(blocks, order, shards).groupBy("shard").applyInArrow(_answer, ANSWERS))
     totals = _totals(answers)
     denominator = float(totals.total + totals.distinct + 1)
