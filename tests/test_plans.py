@@ -94,8 +94,11 @@ def test_first_last_product_sorts_only_the_lines_at_the_ends(tx):
 
 
 def test_cohorts_use_hash_aggregates(tx):
-    p = _plan(churn.cohort_retention(tx, sort=False))
-    assert "ObjectHashAggregate" not in p and "SortAggregate" not in p
+    for df in (churn.cohort_retention(tx, sort=False), churn.cohort_matrix(tx)):
+        p = _plan(df)
+        assert "ObjectHashAggregate" not in p and "SortAggregate" not in p and "Window" not in p
+        # lines combine in the scan and cross one exchange, by customer; cohorts cross the other
+        assert p.count("Exchange hashpartitioning") == 2 and "hashpartitioning(customer_id" in p
 
 
 def test_churn_flags_read_the_lines_once(tx):

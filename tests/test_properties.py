@@ -76,3 +76,23 @@ def test_bucketed_equals_plain_random(spark, rows, bucket_rows):
         dist = add_rankings(df, specs, part, bucket_rows=bucket_rows)
         cols = ["id", "rn", "rk", "dr", "nt"]
         assert sorted(plain.select(cols).collect()) == sorted(dist.select(cols).collect())
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(1, 6)), st.one_of(st.none(), st.integers(0, 300))),
+                max_size=60), st.sampled_from([0, 1, 6, 12]))
+def test_cohorts_equal_the_pairs_of_customer_and_month(spark, lines, max_offset):
+    """Calendars longer than any machine word, gaps of whole multiples of the offsets, nulls."""
+    import datetime as dt
+    df = spark.createDataFrame([(c, None if m is None else dt.datetime(1990 + m // 12, m % 12 + 1, 1 + m % 28))
+                                for c, m in lines], "customer_id long, invoicedate timestamp_ntz")
+    pairs = {(c, m) for c, m in lines if m is not None}
+    first = {c: min(m for d, m in pairs if d == c) for c, _ in pairs}
+    want = collections.Counter((first[c], m - first[c]) for c, m in pairs if m - first[c] <= max_offset)
+    got = {((r.cohort_month.year - 1990) * 12 + r.cohort_month.month - 1, r.month_number):
+           (r.cohort_customers, r.retained_customers)
+           for r in churn.cohort_retention(df, max_offset).collect()}
+    assert got == {(c, k): (want[c, 0], n) for (c, k), n in want.items()}
+    for r in churn.cohort_matrix(df, max_offset, 2).collect():
+        cohort = (int(r.cohort_month[:4]) - 1990) * 12 + int(r.cohort_month[5:]) - 1
+        assert [v is not None for v in r[1:]] == [(cohort, k) in want for k in range(max_offset + 1)]

@@ -12,6 +12,11 @@ from tillroll.functions.numeric import pct
 from tillroll.plans.store import observed
 
 
+#: Aggregates of the customer summary, beside the customer.
+SUMMARY_COLUMNS = ("first_purchase", "last_purchase", "total_orders", "unique_products",
+                   "lifetime_value", "line_count")
+
+
 def month_of(col) -> Column:
     """First day of the calendar month of a date or timestamp_ntz, computed
     on dates (no time zone is involved, whatever the session zone)."""
@@ -67,8 +72,14 @@ def stored_summary(tx: DataFrame, as_of=None, need: tuple = ()) -> DataFrame:
 
     Lines are read and aggregated once: the latest day is observed while the table is written.
     """
-    s, seen = observed(_summary(tx, need), latest=F.max("last_purchase"))
-    return _with_recency(with_as_of(s, F.lit(seen["latest"]) if as_of is None else as_of, tx))
+    return store_with_recency(_summary(tx, need), as_of)
+
+
+def store_with_recency(summary: DataFrame, as_of=None) -> DataFrame:
+    """A summary stored once, with ``as_of`` (default: its latest ``last_purchase``) and
+    ``days_inactive``."""
+    s, seen = observed(summary, latest=F.max("last_purchase"))
+    return _with_recency(with_as_of(s, F.lit(seen["latest"]) if as_of is None else as_of))
 
 
 def _with_recency(s: DataFrame) -> DataFrame:

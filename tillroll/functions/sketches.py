@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions import parts
 from tillroll.functions.metrics import month_of
-from tillroll.sources.sink import read_table, table_loads
 
 LG_K = 14
+KIND = "sketches"
 _SCHEMA = "month date, country string, revenue decimal(22,2), customers binary, invoices binary"
 
 
@@ -45,30 +46,12 @@ def as_sketches(tx: DataFrame | None, approx) -> DataFrame:
 
 
 def refresh_sketches(spark: SparkSession, path: str, lg_k: int = LG_K) -> list[str]:
-    """Sketch the loads of the table at ``path`` that have none yet; returns their names.
-
-    Each goes into ``<path>/_sketches/load=<name>``, from the load's own lines only; a load
-    counts as sketched once the write's success marker is there, so a broken-off refresh
-    is done again.  The rows of one load are bounded by months and countries."""
-    path = path.rstrip("/")
-    have = _sketched(spark, path)
-    todo = [x for x in table_loads(spark, path) if x not in have]
-    for load in todo:
-        part = read_table(spark, path, loads=[load])
-        month_sketches(part, lg_k).coalesce(1).write.mode("overwrite").parquet(f"{path}/_sketches/{load}")
-    return todo
+    """Sketch the loads of the table at ``path`` that have none yet, each from its own lines only;
+    returns their names.  The rows of one load are bounded by months and countries."""
+    return parts.refresh(spark, path, KIND, lambda tx, folder: month_sketches(tx, lg_k).coalesce(1)
+                         .write.mode("overwrite").parquet(folder))
 
 
 def read_sketches(spark: SparkSession, path: str) -> DataFrame:
     """The sketches of the loads that the table holds now; sketches of replaced loads are not read."""
-    path = path.rstrip("/")
-    loads, have = table_loads(spark, path), _sketched(spark, path)
-    if missing := [x for x in loads if x not in have]:
-        raise ValueError(f"loads without sketches, run refresh_sketches first: {missing}")
-    return spark.read.schema(_SCHEMA).parquet(*[f"{path}/_sketches/{x}" for x in loads])
-
-
-def _sketched(spark: SparkSession, path: str) -> set[str]:
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_sketches/*/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return {s.getPath().getParent().getName() for s in fs.globStatus(jvm_path) or []}
+    return spark.read.schema(_SCHEMA).parquet(*parts.folders(spark, path, KIND))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.metrics import customer_summary, month_of, share_of_total
+from tillroll.functions.metrics import customer_summary, share_of_total
 from tillroll.functions.numeric import mean_of, pct
 from tillroll.schema import CHURN_CUTS, CHURN_TIERS
 
@@ -68,8 +68,39 @@ def purchase_frequency(tx: DataFrame, sort: bool = True) -> DataFrame:
     return out.orderBy("order_count") if sort else out
 
 
-def _months_between(later, earlier):
-    return ((F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier))
+def _month_number(col):
+    """Months since year 0, an integer that steps by one from month to month."""
+    return F.year(col) * 12 + F.month(col) - 1
+
+
+def _cohort_counts(tx: DataFrame, max_offset: int) -> DataFrame:
+    """``cohort, active``: per first month (a :func:`_month_number`), how many customers were
+    active at each offset 0..max_offset.
+
+    One hash aggregate per customer holds, for each residue r of the month number modulo
+    max_offset + 1, the least active month of that residue.  The month at offset k after the
+    first is the least month of its residue that the customer can have, so the customer was
+    active then exactly if it is the one held.  That is exact for calendars of any length,
+    combines partially in the scan tasks, and needs neither distinct pairs nor a window: one
+    exchange by customer, of one row per customer and task, then one row per cohort.
+    """
+    if max_offset < 0:
+        raise ValueError("max_offset must not be negative")
+    n = max_offset + 1
+    month = _month_number("invoicedate")
+    per_customer = tx.select("customer_id", month.alias("_m")).groupBy("customer_id").agg(
+        F.min("_m").alias("cohort"),
+        *[F.min(F.when(F.col("_m") % n == r, F.col("_m"))).alias(f"_r{r}") for r in range(n)])
+    least = F.array(*[f"_r{r}" for r in range(n)])
+    hits = [F.coalesce(F.get(least, (F.col("cohort") + k) % n) == F.col("cohort") + k, F.lit(False))
+            for k in range(n)]
+    counts = (per_customer.filter(F.col("cohort").isNotNull()).groupBy("cohort")
+              .agg(*[F.count_if(h).alias(f"_n{k}") for k, h in enumerate(hits)]))
+    return counts.select("cohort", F.array(*[f"_n{k}" for k in range(n)]).alias("active"))
+
+
+def _cohort_date():
+    return F.make_date(F.floor(F.col("cohort") / 12).cast("int"), F.col("cohort") % 12 + 1, F.lit(1))
 
 
 def cohort_retention(tx: DataFrame, max_offset: int = 12, scale: int = 2,
@@ -77,40 +108,25 @@ def cohort_retention(tx: DataFrame, max_offset: int = 12, scale: int = 2,
     """``cohort_month, cohort_customers, month_number, retained_customers,
     retention_rate_pct`` for month offsets 0..max_offset.
 
-    The lines are first reduced to one row per (customer, active month), a
-    hash aggregate with partial combining, so a very heavy customer is cheap;
-    the cohort is the customer's first such month (a window over at most as
-    many rows as the calendar has months), and the final count is a plain
-    ``count``.  No join with the fact table is needed.
+    Lines are aggregated once, by customer (:func:`_cohort_counts`); offsets at which nobody of
+    a cohort was active have no row.  Lines without a date belong to no month.
     """
-    months = (tx.select("customer_id", month_of("invoicedate").alias("activity_month")).distinct()
-              .withColumn("cohort_month", F.min("activity_month").over(
-                  Window.partitionBy("customer_id"))))
-    offs = months.withColumn("month_number",
-                             _months_between("activity_month", "cohort_month"))
-    counts = (offs.filter(F.col("month_number").between(0, max_offset))
-                  .groupBy("cohort_month", "month_number")
-                  .agg(F.count(F.lit(1)).alias("retained_customers")))
-    # one row per (cohort, offset): small, bounded by months x (max_offset+1)
-    size = F.max(F.when(F.col("month_number") == 0, F.col("retained_customers"))).over(
-        Window.partitionBy("cohort_month"))
-    out = (counts.withColumn("cohort_customers", size)
-                 .select("cohort_month", "cohort_customers", "month_number",
-                         "retained_customers",
-                         pct("retained_customers", "cohort_customers", scale)
-                         .alias("retention_rate_pct")))
+    out = (_cohort_counts(tx, max_offset)
+           .select(_cohort_date().alias("cohort_month"), F.col("active")[0].alias("cohort_customers"),
+                   F.posexplode("active").alias("month_number", "retained_customers"))
+           .filter(F.col("retained_customers") > 0)
+           .withColumn("retention_rate_pct", pct("retained_customers", "cohort_customers", scale)))
     return out.orderBy("cohort_month", "month_number") if sort else out
 
 
 def cohort_matrix(tx: DataFrame, max_offset: int = 6, scale: int = 1) -> DataFrame:
     """Cohorts as rows (``YYYY-MM``), ``month_0 .. month_<max_offset>``
     retention percentages as columns (null where no customer returned)."""
-    ret = cohort_retention(tx, max_offset, scale, sort=False)
-    offsets = list(range(max_offset + 1))
-    piv = (ret.groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort_month"))
-              .pivot("month_number", offsets)
-              .agg(F.first("retention_rate_pct")))
-    return piv.toDF("cohort_month", *[f"month_{i}" for i in offsets]).orderBy("cohort_month")
+    rates = [F.when(F.col("active")[k] > 0, pct(F.col("active")[k], F.col("active")[0], scale))
+             .alias(f"month_{k}") for k in range(max_offset + 1)]
+    return (_cohort_counts(tx, max_offset)
+            .select(F.date_format(_cohort_date(), "yyyy-MM").alias("cohort_month"), *rates)
+            .orderBy("cohort_month"))
 
 
 def purchase_cadence(tx: DataFrame, min_gaps: int = 2, sort: bool = True,

@@ -16,10 +16,12 @@ from tillroll.functions.metrics import stored_summary
 from tillroll.operators import churn, revenue, rfm, winback
 
 
-def customer_reports(tx: DataFrame, as_of=None) -> dict[str, DataFrame]:
+def customer_reports(tx: DataFrame | None, as_of=None, summary: DataFrame | None = None) -> dict[str, DataFrame]:
     """``{name: DataFrame}`` for the customer-level reports (O07, O11, O15,
-    O16, O21, O22, O23), all computed from one materialised summary."""
-    s = stored_summary(tx, as_of)
+    O16, O21, O22, O23), all computed from one materialised summary: that of ``tx``,
+    or ``summary``, such as :func:`tillroll.functions.summaries.read_summary` merges
+    from the parts of a table's loads (``tx`` is then not read)."""
+    s = summary if summary is not None else stored_summary(tx, as_of)
     flags = churn.churn_flags(tx, summary=s)
     return {
         "rfm_segments": rfm.rfm_segments(tx, summary=s),
