@@ -4,11 +4,13 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from helpers import SF, awkward, empty, with_clashes, words
 from tillroll.llm import line_dedup, simhash
+from tillroll.llm.common import stored
 from tillroll.llm.components import components
 from tillroll.llm.queries import QUERIES
 
@@ -235,6 +237,42 @@ def test_tree_finds_all_links_of_clustered_fingerprints():
     assert {tuple(map(int, x)) for x in zip(*both)} == want
 
 
+def clustered(seed, n):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 2**63, 1 + n // 75, dtype=np.uint64)
+    fps = centres[rng.integers(0, len(centres), n)]
+    for _ in range(3):
+        fps ^= np.uint64(1) << rng.integers(0, 64, len(fps), dtype=np.uint64)
+    return np.unique(fps)
+
+
+@pytest.mark.parametrize("n", [600, 4800])
+def test_parts_are_bounded_and_lose_no_link(spark, n):
+    """Eight times the fingerprints: more parts, not larger ones; each stored row meets each asking row once."""
+    fps, limits = clustered(2, n), {"shard_rows": 20, "block_rows": 50}
+    df = stored(spark.createDataFrame([(int(x),) for x in fps.view("<i8")], "fp long"))
+    parts = simhash.dealt(df, 4, **limits).groupBy("part").agg(
+        F.count_if("home").alias("homes"), F.count_if("asks").alias("asks")).collect()
+    # blocks are dealt by hash: three times the mean is far beyond what such counts vary by
+    assert max(r.homes for r in parts) <= 3 * 20 and max(r.asks for r in parts) <= 3 * 50
+    a, b = np.nonzero(np.triu(simhash.distance(fps[:, None], fps[None, :]) <= 4, 1))
+    want = {tuple(map(int, x)) for x in zip(*simhash.stars(fps[a], fps[b]))}
+    for how in (limits, {}):
+        links = np.array(simhash.fingerprint_links(df, 4, **how).collect(), "<i8").view("<u8")
+        assert {tuple(map(int, x)) for x in zip(*simhash.stars(links[:, 0], links[:, 1]))} == want
+
+
+def test_simhash_of_awkward_rows_and_of_a_text_beyond_the_buffer(spark, monkeypatch):
+    df = with_clashes(awkward(spark))
+    rows = [tuple(r) for r in df.select("doc_id", "text").collect()]
+    got = simhash.groups(df).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("f"), "component_id")
+    assert sorted((repr(r[0]), r[1], repr(r[2])) for r in got.collect()) == plain_groups(rows)
+    long = " ".join(f"w{i % 977}" for i in range(5000))
+    whole = simhash.fingerprint(long)
+    monkeypatch.setattr(simhash, "PAIR_BUFFER", 256)
+    assert simhash.fingerprint(long) == whole
+
+
 def test_components_of_chains_stars_and_repeats(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(200, 260)] + [
         (1, 2), (2, 1), (3, 3), (5, 4), (5, 4), (None, 9), (-5, 4), (140, 259)]

@@ -7,6 +7,7 @@
    exactly one leaf (shard) and queries every shard that the triangle bound
    cannot rule out: the inner side if ``d <= radius + bits``, the outer side if
    ``d > radius - bits``. The sample decides the balance only, never the result.
+   Shards asked by many are cut into blocks of bounded size (:func:`dealt`).
 3. Inside a shard the same split goes on with vantage points of its own until
    the parts are small, where fingerprints are compared exactly. Links are
    reduced to stars as they appear, so a shard emits at most one link per
@@ -39,6 +40,7 @@ MAX_BITS = 4
 SEED = 42
 SAMPLE = 16_384          # fingerprints that the routing tree is built from
 SHARD_ROWS = 1 << 18     # stored fingerprints a shard aims at
+BLOCK_ROWS = 1 << 20     # asking fingerprints that a task takes at once
 MIN_DEPTH = 4            # 16 shards at least, for parallel work
 LEAF = 48                # fingerprints of a part that are compared without further splits
 PAIR_BUFFER = 1 << 20
@@ -202,34 +204,86 @@ def shard_links(own: np.ndarray, query: np.ndarray, bits: int) -> tuple[np.ndarr
     return stars(*map(np.concatenate, zip(*links)))
 
 
-def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): star links that join the same fingerprints as all pairs within ``bits`` bits.
+def _blocks_of(fps: np.ndarray, homes: int, asks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The home block and the asking block of every fingerprint, by two independent hashes."""
+    mixed = fps * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(40)) % np.uint64(homes)).astype(np.int64), (
+        (mixed >> np.uint64(8) & np.uint64(0xFFFFFFFF)) % np.uint64(asks)).astype(np.int64)
 
-    ``distinct`` is a stored table with every fingerprint once (``fp``).
+
+def _longs(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("fp").to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
+
+
+def dealt(distinct: DataFrame, bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS,
+          block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(part, fp, home, asks): every fingerprint in the parts where it is stored or asks.
+
+    A shard whose counted stored rows pass ``shard_rows`` or whose asking rows pass
+    ``block_rows`` is a grid of parts: a stored row lies in one row of the grid, an asking
+    row in one column, so that each pair of them meets in exactly one part.  A part holds about
+    ``shard_rows + block_rows`` rows at most, however many fingerprints a shard is asked by.
+    The counts are one row per shard.
     """
     n = distinct.count()
-    part = min(1.0, 2.0 * SAMPLE / max(n, 1))
-    sample = np.array([r[0] for r in distinct.select("fp").sample(part, seed=1).limit(SAMPLE).collect()],
+    share = min(1.0, 2.0 * SAMPLE / max(n, 1))
+    sample = np.array([r[0] for r in distinct.select("fp").sample(share, seed=1).limit(SAMPLE).collect()],
                       dtype="<i8").view("<u8")
-    depth = max(MIN_DEPTH, int(np.ceil(np.log2(max(n, 1) / SHARD_ROWS))))
+    depth = max(MIN_DEPTH, int(np.ceil(np.log2(max(n, 1) / shard_rows))))
     tree, shards = routing_tree(sample, depth) if len(sample) else (0, 1)
 
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored_rows, asking = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        for b in batches:
+            for shard, at, home in route(tree, _longs(b), bits):
+                stored_rows[shard] += home.sum()
+                asking[shard] += len(at)
+        used = np.flatnonzero(asking)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(stored_rows[used]),
+                                          pa.array(asking[used])], ["shard", "homes", "asks"])
+
+    homes, asks = np.ones(shards, np.int64), np.ones(shards, np.int64)
+    counts = distinct.select("fp").mapInArrow(tell, "shard int, homes bigint, asks bigint")
+    for r in counts.groupBy("shard").agg(F.sum("homes").alias("h"), F.sum("asks").alias("q")).collect():
+        homes[r.shard], asks[r.shard] = max(1, -(-r.h // shard_rows)), max(1, -(-r.q // block_rows))
+    first = np.concatenate(([0], np.cumsum(homes * asks)))
+
+    def rows(part: np.ndarray, fps: np.ndarray, home: np.ndarray, ask: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part), pa.array(fps.view("<i8")), pa.array(home), pa.array(np.full(len(fps), ask))],
+            ["part", "fp", "home", "asks"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b.column("fp").to_numpy(zero_copy_only=False).astype("<i8").view("<u8")
-            for shard, at, home in route(tree, fps, bits):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), shard, np.int32)), pa.array(fps[at].view("<i8")),
-                     pa.array(home)], ["shard", "fp", "home"])
+            everything = _longs(b)
+            for shard, at, home in route(tree, everything, bits):
+                fps, h, q = everything[at], int(homes[shard]), int(asks[shard])
+                own, column = _blocks_of(fps, h, q)
+                for i in range(h):
+                    yield rows(first[shard] + i * q + column, fps, home & (own == i), True)
+                for j in range(q):
+                    elsewhere = home & (column != j)
+                    if elsewhere.any():
+                        yield rows(first[shard] + own[elsewhere] * q + j, fps[elsewhere],
+                                   np.ones(elsewhere.sum(), bool), False)
+
+    return distinct.select("fp").mapInArrow(deal, "part bigint, fp bigint, home boolean, asks boolean")
+
+
+def fingerprint_links(distinct: DataFrame, bits: int = MAX_BITS, shard_rows: int = SHARD_ROWS,
+                      block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): star links that join the same fingerprints as all pairs within ``bits`` bits.
 
+    ``distinct`` is a stored table with every fingerprint once (``fp``).
+    """
     def search(table: pa.Table) -> pa.Table:
         fps = table.column("fp").to_numpy().view("<u8")
-        home = table.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        a, b = shard_links(fps[home], fps, bits)
+        home, ask = (table.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("home", "asks"))
+        a, b = shard_links(fps[home], fps[ask], bits)
         return pa.table({"a": pa.array(a.view("<i8"), pa.int64()), "b": pa.array(b.view("<i8"), pa.int64())})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "shard int, fp bigint, home boolean")
-    return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    return dealt(distinct, bits, shard_rows, block_rows).groupBy("part").applyInArrow(
+        search, "a bigint, b bigint")
 
 
 def _grouped(docs, doc_id, text, shingle, bits):
