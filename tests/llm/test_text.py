@@ -106,6 +106,34 @@ def test_surrogates_are_distinct_and_no_real_entity(spark):
     assert again == got and other != got
 
 
+PHONES = ["06 12 34 56 78", "06.12.34.56.78", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+34 612 34 56 78",
+          "612 34 56 78", "030 12345678", "+49 30 12345678", "0171/1234567", "+49 (0)30 1234567", "+49 30 1234567-89",
+          "+39 06 698 1234", "+44 20 7946 0958", "+1 (974) 555-3436"]
+SHORT_IPV6 = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:1::ab"]
+LOOK_ALIKES = ["2011-12-09", "09.12.2011 10:30", "12/09/2011", "09-12-2011", "version 1.12.3", "3.14159265",
+               "1 234 euros", "12 000 m", "1,234,567.89", "2001-2010", "10 20 30 40 50", "std::vector", "dead::beef",
+               "12:30:45", "1995/1996", "ISO 8601-1", "lines 120 34 to 56", "0.12345678", "a+b::c", "12 34 56 78"]
+
+
+def shape(text):
+    return re.sub(r"[0-9A-Fa-f]", "x", text)
+
+
+def test_phone_forms_of_several_countries_and_shortened_addresses(spark):
+    forms = [*PHONES, *SHORT_IPV6]
+    rows = [(i, f"Call {f}, or ask ({f}).") for i, f in enumerate(forms)]
+    clean = [(100 + i, f"Seen: {t} there, ({t}).") for i, t in enumerate(LOOK_ALIKES)]
+    df = spark.createDataFrame(rows + clean, "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.pseudonymize(df, "key").collect()}
+    for i, t in rows:
+        assert got[i].n_replaced == 2 and forms[i] not in got[i].text, forms[i]
+        assert shape(got[i].text) == shape(t), forms[i]  # digits for digits, separators kept
+        a, b = re.fullmatch(r"Call (.*), or ask \((.*)\)\.", got[i].text).groups()
+        assert a == b
+    for i, t in clean:
+        assert (got[i].n_replaced, got[i].text) == (0, t), t
+
+
 def test_surrogates_need_no_python(spark):
     df = spark.createDataFrame(PII, "doc_id long, text string")
     plan = surrogates.pseudonymize(df, "key")._jdf.queryExecution().executedPlan().toString()

@@ -41,18 +41,29 @@ _SECRET_WORD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key
 _TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Господин|Г-н|Κύριος"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа|Г-жа|Κυρία"
 _TITLES_N = "Dr|Prof|Professor"
+_COUNTRY = r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?"
+_BEFORE = r"(?<![\w.,+/-])(?<!\d )"
+_BEHIND = r"(?![\w-])(?![.,/]\d)"
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "aws_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": _SECRET_WORD + r"[\"']? ?[=:] ?[\"']?[A-Za-z0-9+/_.-]{8,}",
     "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": (r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+             # shortened by ::, with a digit somewhere, which names joined by :: in code seldom have
+             r"|(?<![\w:.])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])"),
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
     "phone": (r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-])"
-              r"|(?<![\w+])\+\d{8,15}(?!\w)"),
+              r"|(?<![\w+])\+\d{8,15}(?!\w)"
+              # pairs after a country code or the trunk zero; three digits and pairs
+              rf"|{_BEFORE}(?:{_COUNTRY}\d|0\d)(?:[ .-]\d{{2}}){{4}}{_BEHIND}"
+              rf"|{_BEFORE}(?:{_COUNTRY})?\d{{3}}(?:[ .-]\d{{2}}){{3}}{_BEHIND}"
+              # area and subscriber; groups after a country code
+              rf"|{_BEFORE}(?:0\d{{1,4}}[ /-]\d{{5,8}}|{_COUNTRY}\(?\d{{1,4}}\)?[ ./-]\d{{4,8}})(?:-\d{{1,4}})?{_BEHIND}"
+              rf"|{_BEFORE}{_COUNTRY}\d{{1,4}}(?:[ ./-]\d{{2,4}}){{2,3}}{_BEHIND}"),
     "name": (rf"(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.? \p{{Lu}}[\p{{L}}'-]+"
              r"(?: \p{Lu}[\p{L}'-]+)?"),
 }
