@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import permutations
 
@@ -165,6 +166,61 @@ def test_merging_by_binary_search():
         assert both[order].tolist() == sorted(both.tolist())
 
 
+def test_suffixes_of_a_text_too_long_to_pack():
+    """Group, rank and position of a suffix of over a million bytes do not fit one number."""
+    x = np.random.default_rng(1).integers(97, 99, 1_060_000).astype(np.uint8)
+    x[-300:] = x[:300]
+    order, t = suffix_dedup.suffix_array(suffix_dedup.words_at(x)), x.tobytes()
+    assert (np.bincount(order, minlength=len(x)) == 1).all()
+    assert all(t[a:a + 400] < t[b:b + 400] for a, b in zip(order[:-1].tolist(), order[1:].tolist()))
+
+
+def test_equal_stretches_of_one_id_share_one_answer():
+    """40 rows of one id, each in its own shard: their spans come at once, not stretch by stretch."""
+    rnd = random.Random(12)
+    same = words(rnd, 30, 60)
+    held = [(1, f"{words(rnd, 9, 60)} {same} {words(rnd, 9, 60)}".encode())]
+    held += [(5, f"{words(rnd, 9, 60)} {same} {words(rnd, 9, 60)}".encode())] * 40
+    want = plain_cut([(i, t.decode()) for i, t in held], 50)
+    out, text = [], b""
+    for k, (i, raw) in enumerate(held):
+        x = np.frombuffer(raw, np.uint8)
+        for _, p, t in suffix_dedup.shard(x, np.array([0, len(x)]), np.array([i]), np.array([k]), np.array([0]), 50, 1):
+            out.append(np.frombuffer(p, suffix_dedup._PIECE))
+            text += t
+    pieces = np.concatenate(out)
+    found = list(suffix_dedup.merged_repeats(pieces, np.frombuffer(text, np.uint8), [len(x) for x in out], 50))
+    gone = {k: set() for k in range(len(held))}
+    for piece, lo, hi in found:
+        for p, a, z in zip(piece, lo, hi):
+            gone[int(pieces["h"][p])].update(range(pieces["pos"][p] + a, pieces["pos"][p] + z + 49))
+    assert all(len(raw) - len(gone[k]) == len(want[i, raw][0]) for k, (i, raw) in enumerate(held))
+    assert gone[1] and len(found) <= 3
+
+
+def test_stretches_are_hashed_and_compared_by_words():
+    """Less than 8 bytes of working memory per byte: a number per word, not several per byte."""
+    rnd = np.random.default_rng(3)
+    size = rnd.integers(60, 90, 20_000)
+    start = np.cumsum(size) - size
+    text = rnd.integers(0, 256, int(size.sum())).astype(np.uint8)
+    for k in (1, 2, 3):  # differs in one byte: the first, one within, the last
+        size[k] = size[0]
+        text[start[k]:start[k] + size[k]] = text[:size[0]]
+        text[start[k] + (0, 33, size[0] - 1)[k - 1]] ^= 1
+    text[start[9]:start[9] + 60], text[start[10]:start[10] + 60] = text[start[8]:][:60], text[start[8]:][:60]
+    size[8:10] = 60
+    size[10] = 59
+    tracemalloc.start()
+    h = suffix_dedup._hash_strings(text, start, size)
+    equal = suffix_dedup._equal(text, start, np.roll(start, 1), size, np.roll(size, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert h[8] == h[9] != h[10] and len(set(h[:4].tolist())) == 4
+    assert np.flatnonzero(equal).tolist() == [9]
+    assert peak < 8 * len(text)
+
+
 @pytest.mark.parametrize("shard_bytes, merge_bytes", [(512 << 10, 24 << 20), (400, 3000), (90, 700)])
 def test_cut_across_small_shards(spark, shard_bytes, merge_bytes):
     rnd = random.Random(7)

@@ -7,9 +7,8 @@ smaller id is removed. Strings are judged on the input and never cross documents
    bytes (a longer document takes several shards that overlap by ``least - 1`` bytes).
    A shard's suffixes are sorted by Larsson-Sadakane refinement: by their first eight
    bytes, then, only where still equal, by the ranks of the suffixes 8, 16, 32... bytes
-   on, until no two are equal. Kasai's rule gives the common prefixes of
-   neighbours, in text order, many stretches of text side by side.
-   Neighbours that share ``least`` bytes are one string; all but the smallest id's
+   on, until no two are equal. The common prefixes of neighbours are compared word
+   by word, as far as ``least`` bytes. Neighbours that share ``least`` bytes are one string; all but the smallest id's
    are known as repeats.
 2. *Strings that travel.* What is first in its shard must be compared with other shards. A string
    goes where its anchor goes: the ``ANCHOR`` bytes of least hash within it, the leftmost of
@@ -50,7 +49,7 @@ SEND_BYTES = 32 << 20
 ANCHOR = 12
 #: Uncompressed bytes of stretches that a merging task receives, on average.
 MERGE_BYTES = 24 << 20
-#: Stretches of text that Kasai's rule walks through at once.
+#: Neighbours in a suffix array that are compared at once, in a core's cache.
 LANES = 32768
 #: Strings that are compared at once.
 BLOCK_STRINGS = 1 << 20
@@ -72,87 +71,90 @@ def suffix_array(first: np.ndarray) -> np.ndarray:
     """All suffixes of a text, given by :func:`words_at`, in order: Larsson-Sadakane refinement.
 
     ``start`` is the place where a group of suffixes, equal so far, begins; only groups
-    of two and more are sorted again, by the ranks of the suffixes ``h`` bytes on.
+    of two and more are sorted again, by the ranks of the suffixes ``h`` bytes on. Group, rank
+    and position of a suffix make one number if 63 bits hold them: numbers alone are sorted
+    much faster than positions by their numbers.
     """
     n = len(first)
     order = np.argsort(first)
     key = first[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
-    rank = np.empty(n, np.int64)
+    # places behind the text come first, the last of them foremost: a suffix that ends
+    # comes before those that go on
+    behind = max(n, 8)
+    rank = np.empty(n + behind, np.int32 if n < 2 ** 30 else np.int64)
+    rank[n:] = np.arange(behind - 1, -1, -1)
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[order] = start
+    rank[order] = start + behind
     open_ = np.flatnonzero(~(new & np.append(new[1:], True)[:n]))
     start, h = start[open_], 8
+    low, high = n.bit_length(), (n + behind).bit_length()
+    packed = 2 * low + high <= 63
     while len(open_):
         at = order[open_]
-        beyond = at + h
-        # a suffix that ends comes before those that go on
-        second = np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, n - at - h)
-        second[beyond >= n] -= 2 * n
-        full = start * (4 * n + 2) + second + 2 * n
-        by = np.argsort(full)
-        order[open_], full = at[by], full[by]
+        full = start << high | rank[at + h]
+        if packed:
+            full = np.sort(full << low | at)
+            at, full = full & (1 << low) - 1, full >> low
+        else:
+            by = np.argsort(full)
+            at, full = at[by], full[by]
+        order[open_] = at
         new = np.ones(len(open_), bool)
         new[1:] = full[1:] != full[:-1]
         start = np.maximum.accumulate(np.where(new, open_, 0))
-        rank[order[open_]] = start
+        rank[at] = start + behind
         more = ~(new & np.append(new[1:], True))
         open_, start, h = open_[more], start[more], 2 * h
     return order
 
 
+def _equal_bytes(differs: np.ndarray) -> np.ndarray:
+    """Equal leading bytes of words, given by their exclusive or."""
+    out = np.zeros(len(differs), np.uint8)
+    for least in _BYTES:
+        out += differs < least
+    return out
+
+
 def common_prefixes(word: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Bytes that every suffix shares with the one before it in ``order``, ``most`` at most.
 
-    Kasai's rule: the next position of the text shares at least one byte less than this one.
-    ``LANES`` stretches of the text are walked at once, each from its own start.
+    Neighbours are compared word by word, ``LANES`` pairs at once; only those whose words are equal go on.
     """
     n = len(word)
-    if not n:
-        return np.empty(0, np.int64)
-    before = np.full(n, -1, np.int32)
-    before[order[1:]] = order[:-1]
     out = np.zeros(n, np.int32)
-    size = -(-n // LANES)
-    at = np.arange(0, n, size)
-    held = np.zeros(len(at), np.int64)
-    for step in range(size):
-        live = at + step < n
-        if not live.all():
-            at, held = at[live], held[live]
-        p = at + step
-        q = before[p]
-        held = np.maximum(held - 1, 0)
-        held[q < 0] = 0
-        todo = np.flatnonzero(q >= 0)
-        room = np.minimum(n - np.maximum(p, q), most)
+    for a in range(1, n, LANES):
+        pair = order[a - 1:a + LANES]
+        one, two = pair[1:], pair[:-1]
+        room = np.minimum(n - np.maximum(one, two), most)
+        key = word[pair]
+        more = _equal_bytes(key[1:] ^ key[:-1])
+        held = np.minimum(more, room)
+        todo = np.flatnonzero((more == 8) & (held < room))
         while len(todo):
-            todo = todo[held[todo] < room[todo]]
-            a, b = p[todo] + held[todo], q[todo] + held[todo]
-            # equal leading bytes of eight
-            more = 8 - np.searchsorted(_BYTES, word[a] ^ word[b], "right")
+            more = _equal_bytes(word[one[todo] + held[todo]] ^ word[two[todo] + held[todo]])
             held[todo] = np.minimum(held[todo] + more, room[todo])
-            todo = todo[more == 8]
-        out[p] = held
-    return out[order]
+            todo = todo[(more == 8) & (held[todo] < room[todo])]
+        out[a:a + LANES] = held
+    return out
 
 
 def repeats(order: np.ndarray, shared: np.ndarray, least: int, valid: np.ndarray,
-            owner: np.ndarray) -> np.ndarray:
+            doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether the string at every position also starts in a document with a smaller id in the shard."""
-    n = len(order)
-    out = np.zeros(n, bool)
-    if not n:
-        return out
-    group = np.cumsum(shared < least) - 1 if n else shared
-    if shared[0] >= least:
-        group += 1
-    ids = np.where(valid, owner, np.iinfo(np.int64).max)[order]
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    lowest = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.append(starts, n)))
-    out[order] = ids > lowest
-    return out & valid
+    out = np.zeros(len(order), bool)
+    alike = shared >= least
+    # strings that no neighbour equals are not looked at again
+    place = np.flatnonzero(alike | np.append(alike[1:], False)[:len(alike)])
+    if len(place):
+        at = order[place]
+        owner = np.where(valid[at], ids[doc[at]], np.iinfo(np.int64).max)
+        starts = np.flatnonzero(~alike[place])
+        lowest = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(place))))
+        out[at] = (owner > lowest) & valid[at]
+    return out
 
 
 def anchors(word: np.ndarray, least: int) -> np.ndarray:
@@ -165,19 +167,24 @@ def anchors(word: np.ndarray, least: int) -> np.ndarray:
     width = least - ANCHOR + 1
     # nothing starts behind the text, so no anchor does either: the last values repeat
     rest = ANCHOR - 8
-    second = np.concatenate([word[rest:], np.zeros(min(rest, n), np.uint64)])[:n]
-    h = word * _MIX[0] ^ (second + _MIX[2]) * _MIX[1]
-    h = (h ^ h >> np.uint64(29)) * _MIX[0]
+    low = np.full(n, _MIX[2])
+    low[:max(n - rest, 0)] += word[rest:]
+    low *= _MIX[1]
+    low ^= word * _MIX[0]
+    low ^= low >> np.uint64(29)
+    low *= _MIX[0]
     bits = np.uint64(max(n, 2).bit_length())
-    low = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
-    span = 1
-    while span * 2 <= width:
-        low[:n - span] = np.minimum(low[:n - span], low[span:])
-        span *= 2
-    rest = width - span
-    if 0 < rest < n:
-        low[:n - rest] = np.minimum(low[:n - rest], low[rest:])
-    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low >>= bits
+    low <<= bits
+    low |= np.arange(n, dtype=np.uint64)
+    other = np.empty_like(low)
+    for step in [*(1 << k for k in range(width.bit_length() - 1)), width - (1 << width.bit_length() - 1)]:
+        if 0 < step < n:
+            np.minimum(low[:n - step], low[step:], out=other[:n - step])
+            other[n - step:] = low[n - step:]
+            low, other = other, low
+    low &= (np.uint64(1) << bits) - np.uint64(1)
+    return low.view(np.int64)
 
 
 def spans(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,13 +201,15 @@ def shard(text: np.ndarray, bounds: np.ndarray, ids: np.ndarray, hashes: np.ndar
     """
     n = len(text)
     sizes = np.diff(bounds)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    valid = np.arange(n) + least <= bounds[1:][doc]
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    valid = np.ones(n, bool)
+    for a, z in zip(bounds[:-1], bounds[1:]):
+        valid[max(a, z - least + 1):z] = False
     word = words_at(text)
     order = suffix_array(word)
-    known = repeats(order, common_prefixes(word, order, least), least, valid, ids[doc])
+    known = repeats(order, common_prefixes(word, order, least), least, valid, doc, ids)
     rank = np.empty(n, np.int32)
-    rank[order] = np.arange(n)
+    rank[order] = np.arange(n, dtype=np.int32)
     anchor = anchors(word, least)
 
     def pieces(start, end, at):
@@ -211,30 +220,33 @@ def shard(text: np.ndarray, bounds: np.ndarray, ids: np.ndarray, hashes: np.ndar
         out["size"], out["at"] = end - start, at
         return out
 
-    # runs of strings that have one anchor and one document
+    def runs(of, edge):
+        """Starts and ends of the stretches between edges that ``of`` holds for."""
+        edge = np.flatnonzero(edge)
+        chosen = of[edge]
+        return edge[chosen], np.append(edge[1:], n)[chosen]
+
+    # runs of strings that have one anchor; the last strings of a document are not valid
     open_ = valid & ~known
     cut = np.ones(n, bool)
-    cut[1:] = ~((anchor[1:] == anchor[:-1]) & open_[1:] & open_[:-1] & (doc[1:] == doc[:-1]))
-    start = np.flatnonzero(cut & open_)
-    ends = np.append(np.flatnonzero(cut), n)
-    end = ends[np.searchsorted(ends, start, "right")]
+    cut[1:] = (anchor[1:] != anchor[:-1]) | (open_[1:] != open_[:-1])
+    start, end = runs(open_, cut)
     where = anchor[start]
     key = word[where] * _MIX[1] ^ (word[np.minimum(where + ANCHOR - 8, n - 1)] + _MIX[0]) * _MIX[2]
     part = ((key ^ key >> np.uint64(31)) * _MIX[2] >> np.uint64(32)) % np.uint64(parts)
-    by = np.lexsort((rank[where], part))
-    start, end, part = start[by], end[by], part[by]
-    made = pieces(start, end + least - 1, where[by] - start)
+    by = np.argsort(part << np.uint64(32) | rank[where].astype(np.uint64), kind="stable")
+    start, end, part = start[by], end[by] + least - 1, part[by]
+    made = pieces(start, end, where[by] - start)
+    raw = text.tobytes()
+    strings = [raw[a:z] for a, z in zip(start.tolist(), end.tolist())]
     firsts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
     for a, z in zip(firsts, [*firsts[1:], len(part)]):
-        take = np.repeat(start[a:z], made["size"][a:z]) + _inner(made["size"][a:z])
-        yield int(part[a]), made[a:z].tobytes(), text[take].tobytes()
+        yield int(part[a]), made[a:z].tobytes(), b"".join(strings[a:z])
     # what the shard itself knows passes through any merging task
     edge = np.ones(n, bool)
-    edge[1:] = ~(known[1:] & known[:-1] & (doc[1:] == doc[:-1]))
-    start = np.flatnonzero(edge & known)
+    edge[1:] = known[1:] != known[:-1]
+    start, end = runs(known, edge)
     if len(start):
-        ends = np.append(np.flatnonzero(edge), n)
-        end = ends[np.searchsorted(ends, start, "right")]
         yield int(hashes[0]) % parts, pieces(start, end, KNOWN).tobytes(), b""
 
 
@@ -328,64 +340,88 @@ def merged_repeats(pieces: np.ndarray, text: np.ndarray, blocks: list[int], leas
         # stretches of the same id that equal a representative share its result
         mine = twins[np.isin(lead[twins], reps[a:z])]
         if len(mine) and len(s):
-            at = np.searchsorted(reps[a:z], lead[mine])
-            for t, r in zip(mine, at):
-                ok = owner[s] == r
-                yield np.full(int(ok.sum()), chosen[t]), lo[ok], hi[ok]
+            r = np.searchsorted(reps[a:z], lead[mine])
+            of = owner[s]
+            first = np.searchsorted(of, r)
+            n = np.searchsorted(of, r, "right") - first
+            each = np.repeat(first, n) + _inner(n)
+            yield np.repeat(chosen[mine], n), lo[each], hi[each]
         a = z
 
 
+def _words_of(text: np.ndarray, start: np.ndarray, n: np.ndarray, size: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    """The ``n`` words of eight bytes that cover every stretch; the last one ends where the stretch does."""
+    view = np.ndarray(len(text) - 7, "<u8", text, strides=(1,))
+    return view[np.repeat(start, n) + np.minimum(8 * inner, np.repeat(size - 8, n))]
+
+
 def _hash_strings(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of every stretch, from a running sum of mixed bytes and places."""
-    place = np.arange(int(size.max()) if len(size) else 0, dtype=np.uint64)
+    """A hash of every stretch, of eight bytes at least, from a running sum of mixed words and places."""
+    place = np.arange(-(-int(size.max()) // 8) if len(size) else 0, dtype=np.uint64)
     factor = (place + _MIX[0]) * _MIX[1]
     factor = (factor ^ factor >> np.uint64(31)) * _MIX[2] | np.uint64(1)
     out = np.empty(len(start), np.uint64)
     for a in range(0, len(start), 1 << 16):
-        n = size[a:a + (1 << 16)]
+        sizes = size[a:a + (1 << 16)]
+        n = -(-sizes // 8)
         inner = _inner(n)
-        value = text[np.repeat(start[a:a + (1 << 16)], n) + inner].astype(np.uint64) + np.uint64(1)
-        value = value * _MIX[2] * factor[inner]
+        value = (_words_of(text, start[a:a + (1 << 16)], n, sizes, inner) + _MIX[0]) * _MIX[2]
+        value = (value ^ value >> np.uint64(32)) * factor[inner]
         out[a:a + (1 << 16)] = np.add.reduceat(value ^ value >> np.uint64(29), np.cumsum(n) - n)
     return out ^ size.astype(np.uint64) * _MIX[0]
 
 
 def _equal(text, start, other, size, other_size) -> np.ndarray:
-    """Whether two stretches are equal, byte by byte."""
+    """Whether two stretches, of eight bytes at least, are equal in all bytes."""
     out = size == other_size
     for a in range(0, len(start), 1 << 16):
         sel = np.arange(a, min(a + (1 << 16), len(start)))
         sel = sel[out[sel] & (start[sel] != other[sel])]
         if not len(sel):
             continue
-        n = size[sel]
+        n = -(-size[sel] // 8)
         inner = _inner(n)
-        differs = text[np.repeat(start[sel], n) + inner] != text[np.repeat(other[sel], n) + inner]
-        out[sel] = np.add.reduceat(differs.astype(np.int64), np.cumsum(n) - n) == 0
+        one, two = (_words_of(text, x[sel], n, size[sel], inner) for x in (start, other))
+        out[sel] = np.add.reduceat((one != two).astype(np.int64), np.cumsum(n) - n) == 0
     return out
 
 
 def _string_repeats(ids, begin, group, at, n, text, word, least):
     """For every string of the pieces, whether a smaller id has it in the same group."""
-    inner = _inner(n)
-    p = np.repeat(begin, n) + inner
+    ends = np.cumsum(n)
+    total = int(ends[-1])
+    flag = np.zeros(total, bool)
+    p = np.arange(total) + np.repeat(begin - ends + n, n)
+    # a string's place relative to the anchor is part of its identity, as the anchor is
+    named = group.astype(np.uint64) * _MIX[0] + (begin + at).astype(np.uint64) * _MIX[1]
+    named = np.repeat(named, n) - p.astype(np.uint64) * _MIX[1]
+    # most strings differ from all others in their first or last word
+    h = named
+    for o in (0, least - 8):
+        h = (h ^ word[p + o]) * _MIX[2]
+        h ^= h >> np.uint64(32)
+    bits = np.uint64(total.bit_length())
+    h = np.sort(h >> bits << bits | np.arange(total, dtype=np.uint64))
+    same = h[1:] >> bits == h[:-1] >> bits
+    some = np.append(same, False)
+    some[1:] |= same
+    some = (h[some] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    if not len(some):
+        return flag, n
     offsets = [*range(0, least - 7, 8)]
     if offsets[-1] + 8 < least:
         offsets.append(least - 8)
-    # a string's place relative to the anchor is part of its identity, as the anchor is
-    place = np.repeat(at.astype(np.int64), n) - inner
-    h = np.repeat(group.astype(np.uint64), n) * _MIX[0] ^ place.astype(np.uint64) * _MIX[1]
+    h, q = named[some], p[some]
     for o in offsets:
-        h = (h ^ word[p + o]) * _MIX[2]
+        h = (h ^ word[q + o]) * _MIX[2]
         h ^= h >> np.uint64(32)
     by = np.argsort(h)
     hs = h[by]
     starts = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
     count = np.diff(np.append(starts, len(hs)))
     # strings of a hash that no other has are not looked at again
-    some = count > 1
-    at = by[np.repeat(some, count)]
-    count, flag = count[some], np.zeros(len(h), bool)
+    at = some[by[np.repeat(count > 1, count)]]
+    count = count[count > 1]
     if not len(at):
         return flag, n
     starts = np.cumsum(count) - count
