@@ -338,3 +338,17 @@ def test_first_copies_go_to_every_salt(spark, monkeypatch):
     assert sorted(r.id for r in found.collect()) == list(range(1, 50))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "salt" in plan
+
+
+def test_only_counted_rows_are_broadcast(spark, monkeypatch):
+    """A file's bytes decide nothing: dealt hashes, texts and labels are shuffled beyond ``small``."""
+    monkeypatch.setattr(audit, "small", lambda df: df)
+    rows = [(i, f"text {i % 40}", "a") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 3)], "doc_id long, quality int, toxic int")
+    got = audit.audit(docs, labels)
+    plan = got._jdf.queryExecution().executedPlan()
+    assert "BroadcastHashJoin" not in plan.toString()
+    assert {(r.part, r.filter_order, r.step): list(r[3:]) for r in got.collect()} == plain_audit(
+        rows, [(i, 1, 0) for i in range(0, 120, 3)])
+    assert "BroadcastHashJoin" not in plan.toString() and "SortMergeJoin" in plan.toString()  # nor as it ran

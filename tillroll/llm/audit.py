@@ -69,14 +69,14 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     few = small(again)
     if few is again:  # too many to broadcast: a hash's rows are dealt, its narrow row goes to each
         spread = again.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-        shared = rows.withColumn("deal", deal).join(spread, ["h", "deal"]).drop("deal")
+        shared = rows.withColumn("deal", deal).join(spread.hint("merge"), ["h", "deal"]).drop("deal")
     else:
         shared = rows.join(few, "h")
     # one row per text and, by partial aggregation, few on the way there
     first = shared.groupBy("h", "t", "salts").agg(F.min("id").alias("first")).select(
         "h", "t", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     later = shared.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    a, b = later.alias("a"), first.alias("b")
+    a, b = later.alias("a"), first.hint("merge").alias("b")
     return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.salt") == F.col("b.salt"))
                   & (F.col("a.t") == F.col("b.t")) & (F.col("b.first") < F.col("a.id")),
                   "left_semi").select("id", "h", *[F.col(f"`{c}`") for c in keep])
@@ -103,7 +103,7 @@ def failure_masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     marks = labels.groupBy(F.col("doc_id").alias("id")).agg(
         F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"),
         F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
-    return each.join(marks, "id", "left").groupBy("part", "mask").agg(
+    return each.join(marks.hint("merge"), "id", "left").groupBy("part", "mask").agg(
         F.sum("n").alias("n"),
         F.sum(F.col("n") * F.coalesce("good", F.lit(0))).alias("good"),
         F.sum(F.col("n") * F.coalesce("toxic", F.lit(0))).alias("toxic"))
