@@ -341,14 +341,31 @@ def test_first_copies_go_to_every_salt(spark, monkeypatch):
 
 
 def test_only_counted_rows_are_broadcast(spark, monkeypatch):
-    """A file's bytes decide nothing: dealt hashes, texts and labels are shuffled beyond ``small``."""
+    """A file's bytes decide nothing: joins are broadcast where asked for, all others are shuffled."""
     monkeypatch.setattr(audit, "small", lambda df: df)
+    monkeypatch.setattr(audit, "GROUP_ROWS", 2)
     rows = [(i, f"text {i % 40}", "a") for i in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 3)], "doc_id long, quality int, toxic int")
-    got = audit.audit(docs, labels)
-    plan = got._jdf.queryExecution().executedPlan()
-    assert "BroadcastHashJoin" not in plan.toString()
-    assert {(r.part, r.filter_order, r.step): list(r[3:]) for r in got.collect()} == plain_audit(
-        rows, [(i, 1, 0) for i in range(0, 120, 3)])
-    assert "BroadcastHashJoin" not in plan.toString() and "SortMergeJoin" in plan.toString()  # nor as it ran
+    labels = [(i, 1, 0) for i in range(0, 120, 3)]
+    got = audit.audit(spark.createDataFrame(rows, "doc_id long, text string, source string"),
+                      spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    query = got._jdf.queryExecution()
+    asked, plan = query.optimizedPlan().toString().count("strategy=broadcast"), query.executedPlan()
+    assert plan.toString().count("BroadcastHashJoin") == asked
+    assert {(r.part, r.filter_order, r.step): list(r[3:]) for r in got.collect()} == plain_audit(rows, labels)
+    final = plan.toString().split("Initial Plan")[0]
+    assert final.count("BroadcastHashJoin") == asked and final.count("SortMergeJoin") == 2
+    assert "sequence(0, 31" not in final  # no row for each hash and task
+
+
+@pytest.mark.parametrize("bits, most", [(1 << 28, 5_010), (1 << 15, 8_000), (8, 20_000)])
+def test_map_of_hashes_keeps_every_copy(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(audit, "MAP_BITS", bits)
+    rows = spark.range(20_000).selectExpr("id", "md5(string(id)) AS h", "id AS map")
+    passed = {r.id for r in audit.mapped(rows, rows.filter("id % 4 = 0").select("h")).collect()}
+    assert passed >= set(range(0, 20_000, 4))
+    assert len(passed) <= most
+    monkeypatch.setattr(audit, "small", lambda df: df)
+    monkeypatch.setattr(audit, "BROADCAST_ROWS", 2)  # groups of more rows for fewer groups
+    monkeypatch.setattr(audit, "GROUP_ROWS", 3)
+    docs = spark.createDataFrame([(i, f"t{min(i % 50, 9)}") for i in range(200)], "doc_id long, text string")
+    assert sorted(r.id for r in audit.copies(docs).collect()) == list(range(10, 200))

@@ -5,12 +5,17 @@
 2. The filter on copies is an existential self-join: a left semi join on the text's
    hash, the exact text and a smaller id. Its right side is one row per text that
    occurs twice or more, with the smallest id; its left side is only the documents
-   whose hash occurs twice or more. A group of copies is dealt over as many tasks as
+   whose hash occurs twice or more. These hashes are broadcast, or beyond a counted
+   number a bit map of them; it lets other documents pass too, which are no copies and are
+   left to the join. A group of copies is dealt over as many tasks as
    its counted size asks for (salt), and the right side's few rows go to each.
 3. The ids that the join returns are united with the documents' own masks and
    combined by document; then documents are counted by (part, mask). There are at
    most ``2 ** filters`` masks a part, and all orders are worked out from these counts.
 
+What is broadcast is bounded by count. All other joins are told to shuffle, as the planner
+goes by the bytes of compressed files and would collect millions of rows in the driver.
+
 Defined results: a null text is an empty one; a null id is neither smaller nor larger
 than another, so its document is not a copy and makes none; every row is a document,
 so repeated rows count as often as they occur and are no copies of each other
@@ -26,12 +31,13 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import let, small, stored, words
+from tillroll.llm.common import BROADCAST_ROWS, let, small, stored, words
 
 #: Rows of one group of copies that go to one task.
 GROUP_ROWS = 20_000
-#: Tasks over which the rows of one hash are dealt before its size is known.
-DEAL = 32
+#: Bits of the map of hashes (32 MB at most), and of each of its rows as ``bitmap_construct_agg`` makes them.
+MAP_BITS = 1 << 28
+ROW_BITS = 1 << 15
 
 
 def text_filters(text: Column) -> dict[str, Column]:
@@ -49,6 +55,20 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
+def mapped(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows whose ``h`` is in ``hashes``, and others that share a bit of a map of bounded size with one."""
+    def bit(h):
+        return F.pmod(F.xxhash64(h), F.lit(MAP_BITS))
+
+    # dealt by row of the map, so that a row is made in one task
+    bits = hashes.select(F.floor(bit("h") / ROW_BITS).alias("row"), (bit("h") % ROW_BITS).alias("at")).repartition(
+        "row").groupBy("row").agg(F.bitmap_construct_agg("at").alias("map"))
+    at = bit("r.h") % ROW_BITS
+    byte = F.conv(F.hex(F.substring("m.map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.alias("r").join(F.broadcast(bits).alias("m"), (F.floor(bit("r.h") / ROW_BITS) == F.col("m.row"))
+                                & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+
+
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            keep: tuple[str, ...] = (), hashes: DataFrame | None = None) -> DataFrame:
     """``id, h`` and the columns ``keep`` of the rows whose text a smaller id has too.
@@ -62,16 +82,15 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         hashes = rows.select("id", "h")
     counted = hashes.filter("id IS NOT NULL").groupBy("h").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    again = stored(counted.filter("lo < hi").select(
-        "h", F.ceil(F.col("n") / F.lit(GROUP_ROWS)).cast("int").alias("salts")))
-
-    deal = F.pmod(F.xxhash64("id"), F.lit(DEAL)).cast("int")
-    few = small(again)
-    if few is again:  # too many to broadcast: a hash's rows are dealt, its narrow row goes to each
-        spread = again.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
-        shared = rows.withColumn("deal", deal).join(spread.hint("merge"), ["h", "deal"]).drop("deal")
-    else:
-        shared = rows.join(few, "h")
+    again = stored(counted.filter("lo < hi").select("h", "n"))
+
+    few, group, how = small(again), GROUP_ROWS, "inner"
+    if few is again:  # too many to broadcast: only those of large groups are, whose number is bounded
+        total = again.agg(F.sum("n")).first()[0] or 0
+        group, how = max(GROUP_ROWS, -(-total // BROADCAST_ROWS)), "left"
+        rows, few = mapped(rows, again), F.broadcast(again.filter(F.col("n") > group))
+    shared = rows.join(few.select("h", F.ceil(F.col("n") / F.lit(group)).cast("int").alias("salts")), "h", how)
+    shared = shared.withColumn("salts", F.coalesce("salts", F.lit(1)))
     # one row per text and, by partial aggregation, few on the way there
     first = shared.groupBy("h", "t", "salts").agg(F.min("id").alias("first")).select(
         "h", "t", "first", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
